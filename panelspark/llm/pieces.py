@@ -3,7 +3,8 @@
 A segmentation is drawn with probability proportional to the product of its pieces' weights by forward filtering and
 backward sampling. The draw at each place depends on the row's key and the place only, so results do not depend on how
 rows are batched or dealt. The forward pass runs once for each distinct chunk of a batch, the backward pass over all chunks
-at once, both in numpy. Chunks are cut before a run of spaces (no piece crosses such a place; checked when loaded).
+at once, both in numpy. Chunks are cut only where no piece of the vocabulary can cross: before a run of spaces (checked
+when loaded) and between ASCII characters that stand side by side in no piece.
 """
 
 from __future__ import annotations
@@ -58,6 +59,25 @@ class Lattice:
             rows.sort()
             ids = np.array([i for _, i in rows], dtype=np.int32)
             self.tables[length] = np.array([h for h, _ in rows], dtype=np.uint64), ids, np.array([weight[i] for i in ids])
+        # leading hash bits of all beginnings of pieces: a walk from a place ends where none can go on
+        heads: dict[int, set[str]] = {}
+        for _, piece in seen:
+            for k in range(1, len(piece) + 1):
+                heads.setdefault(k, set()).add(piece[:k])
+        self.heads = {}
+        for length, texts in sorted(heads.items()):
+            codes = np.array([[ord(c) for c in t] for t in texts], dtype=np.uint64)
+            power = np.cumprod(np.concatenate(([np.uint64(1)], np.full(length - 1, BASE, dtype=np.uint64))), dtype=np.uint64)
+            bits = np.zeros(1 << 20, dtype=bool)
+            bits[(mix(((codes + np.uint64(1)) * power).sum(axis=1, dtype=np.uint64)) >> np.uint64(44)).astype(np.int64)] = True
+            self.heads[length] = bits
+        # pairs of ASCII characters (128: the space mark) that stand side by side in some piece
+        self.joined = np.zeros((129, 129), dtype=bool)
+        place = lambda c: 128 if c == "▁" else ord(c)
+        for _, piece in seen:
+            for a, b in zip(piece[:-1], piece[1:], strict=True):
+                if place(a) < 129 and place(b) < 129:
+                    self.joined[place(a), place(b)] = True
 
 
 @functools.lru_cache(maxsize=2)
@@ -88,7 +108,7 @@ def _utf8_len(codes: np.ndarray) -> np.ndarray:
 
 def _forward(lat: Lattice, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray):
     """Lattices of the chunks codes[starts:ends] (laid end to end, in order). Returns the edges grouped by end node:
-    (first edge of each end place, start offset, piece or -1, cumulative share), places counted over all codes."""
+    (first edge of each end place, start place, piece or -1, cumulative share), places counted over all codes."""
     n = len(codes)
     sums, down = _prefix(codes)
     chunk_start = np.repeat(starts, ends - starts)
@@ -96,18 +116,24 @@ def _forward(lat: Lattice, codes: np.ndarray, starts: np.ndarray, ends: np.ndarr
     e_from, e_to, e_piece, e_weight = [], [], [], []
     single = np.zeros(n, dtype=bool)
     chunk_end = np.repeat(ends, ends - starts)
-    for length, (hashes, ids, weights) in sorted(lat.tables.items()):
-        at = np.flatnonzero(np.arange(n) + length <= chunk_end)
+    at = np.arange(n)
+    for length, heads in lat.heads.items():
+        at = at[at + length <= chunk_end[at]]
+        h = mix((sums[at + length] - sums[at]) * down[at])
+        on = heads[(h >> np.uint64(44)).astype(np.int64)]
+        at, h = at[on], h[on]
         if not len(at):
+            break
+        if length not in lat.tables:
             continue
-        h = mix((sums[at + length] - sums[at]) * down[at])
+        hashes, ids, weights = lat.tables[length]
         k = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
         hit = hashes[k] == h
-        at, k = at[hit], k[hit]
+        found, k = at[hit], k[hit]
         if length == 1:
-            single[at] = True
-        e_from.append(at)
-        e_to.append(at + length)
+            single[found] = True
+        e_from.append(found)
+        e_to.append(found + length)
         e_piece.append(ids[k])
         e_weight.append(weights[k])
     rest = np.flatnonzero(~single)
@@ -127,10 +153,11 @@ def _forward(lat: Lattice, codes: np.ndarray, starts: np.ndarray, ends: np.ndarr
     cuts = np.flatnonzero(np.concatenate(([True], level_of_node[1:] != level_of_node[:-1])))
     cuts = np.append(cuts, len(node_first))
     share = np.empty(len(dst))
+    at_start = depth[np.minimum(src, n - 1)] == 0
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
         lo, hi = node_first[a], node_first[b - 1] + node_count[b - 1]
         s = src[lo:hi]
-        x = weight[lo:hi] + np.where(depth[s] == 0, 0.0, alpha[s])
+        x = weight[lo:hi] + np.where(at_start[lo:hi], 0.0, alpha[s])
         first, count = node_first[a:b] - lo, node_count[a:b]
         top = np.maximum.reduceat(x, first)
         p = np.exp(x - np.repeat(top, count))
@@ -139,11 +166,11 @@ def _forward(lat: Lattice, codes: np.ndarray, starts: np.ndarray, ends: np.ndarr
         share[lo:hi] = p / np.repeat(total, count)
     run = np.cumsum(share)
     before = np.repeat(run[node_first] - share[node_first], node_count)
-    cumulative = np.minimum(run - before, 1.0)
-    cumulative[node_first + node_count - 1] = 1.0
+    cumulative = run - before
+    cumulative[node_first + node_count - 1] = 2.0
     edge_of = np.full(n + 1, -1, dtype=np.int64)
-    edge_of[dst[node_first]] = np.arange(len(node_first))
-    return edge_of, node_first, src, piece, np.repeat(np.arange(len(node_first)), node_count) + cumulative
+    edge_of[dst[node_first]] = node_first
+    return edge_of, src, piece, cumulative
 
 
 def encode_batch(lat: Lattice, texts: list[str], seeds: np.ndarray) -> list[np.ndarray]:
@@ -158,7 +185,10 @@ def encode_batch(lat: Lattice, texts: list[str], seeds: np.ndarray) -> list[np.n
     codes[codes == 32] = SPACE_MARK
     space = codes == SPACE_MARK
     cut = np.zeros(n, dtype=bool)
-    cut[1:] = space[1:] & ~space[:-1]
+    small = np.where(space, 128, np.minimum(codes, 129)).astype(np.int64)
+    plain = small < 129
+    small[~plain] = 0
+    cut[1:] = (space[1:] & ~space[:-1]) | (plain[1:] & plain[:-1] & ~lat.joined[small[:-1], small[1:]])
     cut[offsets[:-1][np.diff(offsets) > 0]] = True
     starts = np.flatnonzero(cut)
     ends = np.append(starts[1:], n)
@@ -168,7 +198,7 @@ def encode_batch(lat: Lattice, texts: list[str], seeds: np.ndarray) -> list[np.n
     u_ends = np.cumsum(lengths)
     u_starts = u_ends - lengths
     where = np.arange(int(u_ends[-1])) - np.repeat(u_starts, lengths) + np.repeat(starts[pick], lengths)
-    edge_of, node_first, src, piece, key = _forward(lat, codes[where], u_starts, u_ends)
+    edge_of, src, piece, cumulative = _forward(lat, codes[where], u_starts, u_ends)
     # backward: all chunks step together from their ends to their starts
     chosen = np.full(n, -2, dtype=np.int32)
     seed_of = np.repeat(seeds.astype(np.uint64), np.diff(offsets))
@@ -179,7 +209,11 @@ def encode_batch(lat: Lattice, texts: list[str], seeds: np.ndarray) -> list[np.n
     while len(chunk):
         end = place + shift[chunk]
         draw = (mix(seed_of[end - 1] + local[end - 1] * np.uint64(0x9E3779B97F4A7C15), 5) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-        edge = np.searchsorted(key, edge_of[place] + draw, side="right")
+        edge = edge_of[place]
+        behind = np.flatnonzero(draw >= cumulative[edge])
+        while len(behind):
+            edge[behind] += 1
+            behind = behind[draw[behind] >= cumulative[edge[behind]]]
         place = src[edge]
         chosen[place + shift[chunk]] = piece[edge]
         on = place > u_starts[of[chunk]]

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelspark.llm.decontaminate import find_leaks
+from panelspark.llm.langid import identify
+from panelspark.llm.pieces import encode_pieces
 from panelspark.llm.quality import quality_rules
+from panelspark.llm.secrets import scan_secrets
 from panelspark.llm.sharding import hilbert_shards
 from panelspark.llm.simhash import simhash_components
 from panelspark.llm.urlfilter import filter_urls
@@ -21,6 +25,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op4_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """law is rows: shard counts differ by at most one."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
@@ -30,6 +38,16 @@ def op4_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
 
 
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scan_secrets(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encode_pieces(docs).select("doc_id", "n_pieces", "lossless", "ids")
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_table(spark, sf_dir, "documents"), shingle=3, radius=3)
 
@@ -45,8 +63,13 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(pages, _table(spark, sf_dir, "labels")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc, op4_hilbert_sharding, op7_simhash_near_dedup, op8_quality_rules, op9_url_filters)}
+    every = (op1_warc, op3_decontamination, op4_hilbert_sharding, op5_secret_scans, op6_sentencepiece, op7_simhash_near_dedup, op8_quality_rules, op9_url_filters, op10_language_id)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
