@@ -245,8 +245,8 @@ def row_seed(key: str | None) -> int:
     return h
 
 
-def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = DEFAULT_MODEL, alpha: float = 1.0, seed: int = 0) -> DataFrame:
-    """docs plus ids array<int>, n_pieces and lossless (decoding gave the text back). Sampled by (seed, id).
+def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = DEFAULT_MODEL, alpha: float = 1.0, seed: int = 0, keep_text: bool = True) -> DataFrame:
+    """docs (without the text unless keep_text) plus ids array<int>, n_pieces and lossless (decoding gave the text back). Sampled by (seed, id).
 
     Null texts have null ids, 0 pieces and are lossless; empty texts have no pieces. Rows with the same id and text get the
     same pieces; null ids share one seed. Columns ids, n_pieces and lossless of docs are replaced. model names a file that
@@ -257,7 +257,7 @@ def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         lat = lattice(model, alpha)
         for batch in batches:
             names = batch.schema.names
-            texts = batch.column(names.index("__text")).to_pylist()
+            texts = batch.column(names.index(text_name)).to_pylist()
             keys = batch.column(names.index("__key")).to_pylist()
             values, sizes, lossless, first = [], [], [], 0
             while first < len(texts):
@@ -274,9 +274,11 @@ def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 first = last
             offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32), mask=np.array([t is None for t in texts] + [False]))
             arrays = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(values) if values else np.empty(0, np.int32), type=pa.int32()))
-            keep = [c for c in names if c not in ("__text", "__key")]
+            keep = [c for c in names if c not in ("__text", "__key")]  # __text is there only if the text itself is not kept
             yield pa.RecordBatch.from_arrays([batch.column(names.index(c)) for c in keep] + [arrays, pa.array(sizes, pa.int64()), pa.array(lossless, pa.bool_())], [*keep, "ids", "n_pieces", "lossless"])
 
-    fields = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    wide = docs.withColumn("__text", F.col(text_col)).withColumn("__key", F.col(id_col).cast("string"))
+    text_name = text_col if keep_text else "__text"
+    wide = docs if keep_text else docs.withColumnRenamed(text_col, "__text")
+    fields = ", ".join(f"`{c}` {t}" for c, t in wide.dtypes if c != "__text")
+    wide = wide.withColumn("__key", F.col(id_col).cast("string"))
     return wide.mapInArrow(run, f"{fields}, ids array<int>, n_pieces bigint, lossless boolean")

@@ -12,6 +12,7 @@ from panelspark.llm.quality import quality_rules
 from panelspark.llm.secrets import scan_secrets
 from panelspark.llm.sharding import hilbert_shards
 from panelspark.llm.simhash import simhash_components
+from panelspark.llm.substrings import repeated_passages
 from panelspark.llm.urlfilter import filter_urls
 from panelspark.llm.warc import archive_pages
 
@@ -25,6 +26,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -45,7 +50,7 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return encode_pieces(docs).select("doc_id", "n_pieces", "lossless", "ids")
+    return encode_pieces(docs, keep_text=False).select("doc_id", "n_pieces", "lossless", "ids")
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,8 +72,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    every = (op1_warc, op3_decontamination, op4_hilbert_sharding, op5_secret_scans, op6_sentencepiece, op7_simhash_near_dedup, op8_quality_rules, op9_url_filters, op10_language_id)
+    every = (op1_warc, op2_substring_dedup, op3_decontamination, op4_hilbert_sharding, op5_secret_scans, op6_sentencepiece, op7_simhash_near_dedup, op8_quality_rules, op9_url_filters, op10_language_id, pipeline)
     return {f.__name__: f for f in every}
 
 
