@@ -1,0 +1,94 @@
+"""Roll-ups over many runs, alert rules, and the retraining policy over run history."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from panelspark.functions.calendar import bday_ord
+
+
+def distribution(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Count, mean, median, population deviation, extremes."""
+    return df.groupBy(*by).agg(F.count(value).alias("count"), F.avg(value).alias("mean"), F.percentile(value, 0.5).alias("median"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+
+
+def grouped_rollup(df: DataFrame, fields: list[str], value: str) -> DataFrame:
+    """The distribution of each field's values and over all rows, in one pass of grouping sets."""
+    out = df.groupingSets([*[[f] for f in fields], []], *fields).agg(F.count(value).alias("count"), F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"), *[F.grouping(f).alias(f"__g_{f}") for f in fields])
+    name = F.coalesce(*[F.when(F.col(f"__g_{f}") == 0, F.lit(f)) for f in fields], F.lit("all"))
+    item = F.coalesce(*[F.when(F.col(f"__g_{f}") == 0, F.col(f).cast("string")) for f in fields], F.lit("all"))
+    return out.select(name.alias("dimension"), item.alias("item"), "count", "mean", "min", "max")
+
+
+def trigger_counts(df: DataFrame, names: str) -> DataFrame:
+    """Runs that contain each name."""
+    return df.select(F.explode(F.array_distinct(names)).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("runs"))
+
+
+def co_triggers(df: DataFrame, names: str) -> DataFrame:
+    """Runs that contain both of two different names; lists are short."""
+    x = df.select(F.array_sort(F.array_distinct(names)).alias("n"))
+    pairs = F.flatten(F.transform("n", lambda a, i: F.transform(F.slice("n", i + 2, F.greatest(F.size("n") - i - 1, F.lit(0))), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    return x.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("runs"))
+
+
+def run_class(base: Column, effective: Column) -> Column:
+    """What dominates a run's triggers."""
+    return F.when(F.size(base) == 0, "none").when(F.size(F.array_except(base, F.array(F.lit("calibration")))) == 0, "calibration_only").when(F.arrays_overlap(base, F.array(F.lit("drift"))), "drift").when(F.arrays_overlap(base, F.array(F.lit("regime"))), "regime").otherwise("other")
+
+
+def alerts(metrics: DataFrame, rules: DataFrame) -> DataFrame:
+    """metrics (run, metric, value) x rules (metric, op, threshold, severity): findings and each run's worst severity."""
+    hit = ((F.col("op") == ">=") & (F.col("value") >= F.col("threshold"))) | ((F.col("op") == "<=") & (F.col("value") <= F.col("threshold")))
+    f = metrics.join(F.broadcast(rules), "metric").where(hit)
+    level = F.when(F.col("severity") == "critical", 3).when(F.col("severity") == "warning", 2).otherwise(1)
+    return f.groupBy("run").agg(F.count(F.lit(1)).alias("findings"), F.max_by("severity", level).alias("severity"), F.array_join(F.array_sort(F.collect_set("metric")), "|").alias("metrics"))
+
+
+def evidence_hash(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """A digest of each group that does not depend on row order."""
+    h = F.xxhash64(*columns)
+    return df.groupBy(*by).agg(F.bit_xor(h).alias("digest"), F.sum(F.shiftright(h, 32)).alias("check"), F.count(F.lit(1)).alias("rows"))
+
+
+def history_match(runs: DataFrame, window: int) -> DataFrame:
+    """runs (key, date, causes array): prior runs of the key within `window` business days that share a cause, and the
+    business days since the first of them. Runs are spread by cause, so the join is on (key, cause)."""
+    r = runs.withColumn("ord", bday_ord(F.col("date")))
+    a = r.select("key", "date", "ord", F.explode("causes").alias("cause"))
+    b = a.select("key", "cause", F.col("ord").alias("o2"))
+    m = a.join(b, ["key", "cause"]).where((F.col("o2") < F.col("ord")) & (F.col("o2") >= F.col("ord") - window))
+    m = m.select("key", "date", "ord", "o2").distinct().groupBy("key", "date", "ord").agg(F.count(F.lit(1)).alias("matches"), F.min("o2").alias("first"))
+    out = runs.join(m, ["key", "date"], "left")
+    return out.select("key", "date", F.coalesce("matches", F.lit(0)).alias("matches"), F.coalesce(F.col("ord") - F.col("first"), F.lit(0)).alias("span"))
+
+
+def cool_off(runs: DataFrame, days: int) -> DataFrame:
+    """runs (key, date, wanted): a wanted run is effective unless an effective one lies within `days` business days before.
+    The rule feeds back on itself: one ordered fold over the (short) history of each key."""
+    rows = F.array_sort(F.collect_list(F.struct("date", bday_ord(F.col("date")).alias("ord"), "wanted")))
+    start = F.struct(F.lit(-1_000_000).alias("last"), F.array().cast("array<boolean>").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        ok = x["wanted"] & (x["ord"] - s["last"] > days)
+        return F.struct(F.when(ok, x["ord"]).otherwise(s["last"]).alias("last"), F.concat(s["out"], F.array(ok)).alias("out"))
+
+    h = runs.groupBy("key").agg(rows.alias("rows")).withColumn("flags", F.aggregate("rows", start, step, lambda s: s["out"]))
+    x = F.explode(F.arrays_zip("rows", "flags"))
+    return h.select("key", x.alias("x")).select("key", F.col("x.rows.date").alias("date"), F.col("x.rows.wanted").alias("wanted"), F.col("x.flags").alias("effective"))
+
+
+def drift_policy(diagnostics: DataFrame, weights: DataFrame, threshold: float, persistence: int) -> DataFrame:
+    """diagnostics (key, date, family, status): family-weighted drift score of a run, and persistence over runs in a row."""
+    points = F.when(F.col("status") == "FAIL", 1.0).when(F.col("status") == "WARNING", 0.5).otherwise(0.0)
+    score = diagnostics.join(F.broadcast(weights), "family").groupBy("key", "date").agg(F.sum(points * F.col("weight")).alias("score"))
+    w = Window.partitionBy("key").orderBy("date")
+    over = score.withColumn("over", (F.col("score") >= threshold).cast("int"))
+    recent = F.sum("over").over(w.rowsBetween(1 - persistence, 0))
+    return over.withColumn("persistent", recent == persistence).withColumn("over", F.col("over") == 1)
+
+
+def recent_history(runs: DataFrame, n: int = 128) -> DataFrame:
+    w = Window.partitionBy("key").orderBy(F.desc("date"))
+    return runs.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= n).drop("__n")
