@@ -22,13 +22,13 @@ class ByteCNN:
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
         self._tables = None
 
-    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int = 4, batch: int = 64, rate: float = 4e-3, seed: int = 11, crop: int | None = None) -> ByteCNN:
-        """x (n, length) uint8. Adam on the weighted cross-entropy. crop: in half of the batches only so many bytes."""
+    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 800, batch: int = 64, rate: float = 4e-3, seed: int = 11, crop: int | None = None) -> ByteCNN:
+        """x (n, length) uint8. Adam on the weighted cross-entropy, about `steps` batches however many rows. crop: in half of the batches only so many bytes."""
         g = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(u) for k, u in self.p.items()}
         t = 0
-        for _ in range(epochs):
+        for _ in range(max(1, round(steps * batch / max(1, len(x))))):
             order = g.permutation(len(x))
             for i in range(0, len(x), batch):
                 rows = order[i : i + batch]
