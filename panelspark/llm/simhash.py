@@ -96,11 +96,12 @@ def covering_links(nodes: DataFrame, ws: Workspace, radius: int, limit: int, pos
             yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
 
     found = None
-    dealt = nodes.select("node", F.col("sig")[0].alias("fp"), F.lit(0).cast("bigint").alias("mask"))
+    fps = nodes.select("node", F.col("sig")[0].alias("fp"))
+    dealt = fps.withColumn("mask", F.lit(0).cast("bigint"))
     for level in range(3):
         masks = F.array(*[F.lit(m).cast("bigint") for m in covering_masks(positions, radius, level)])
         dealt = dealt.select("node", "fp", F.col("mask").alias("was"), F.explode(masks).alias("m")).select("node", "fp", F.col("was").bitwiseOR(F.col("m")).alias("mask"))
-        dealt = dealt.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
+        dealt = dealt.select("node", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))  # narrow rows: these are shuffled
         if level:
             dealt = ws.save(dealt.distinct(), f"dealt{level}")
         sizes = ws.save(dealt.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), f"buckets{level}")
@@ -112,7 +113,7 @@ def covering_links(nodes: DataFrame, ws: Workspace, radius: int, limit: int, pos
         found = new if found is None else found.unionByName(new)
         if last:
             return found.distinct()
-        dealt = held.where(F.col("n") > most).select("node", "fp", "mask")
+        dealt = held.where(F.col("n") > most).select("node", "mask").join(fps, "node")
     return found
 
 
@@ -145,20 +146,20 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex(F.col("sig")[0]), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 6) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 5) -> DataFrame:
     """Keeps one row of each group of near duplicates: that with the smallest id. Columns stay as they are.
 
     Signatures have 256 bits over shingles of five words. Two texts are near when at most `limit` bits differ, which is
     the expected share of differing bits at a Jaccard similarity of `similarity`, arccos(2s / (1 + s)) / pi, plus one
     standard deviation. Candidates meet by a covering of the first 64 bits: all pairs within `radius` there, and most
-    pairs beyond (2^(radius+1) - 1 tables on about log2(n) + 6 bits each, so that chance collisions stay in proportion).
+    pairs beyond (2^(radius+1) - 1 tables on about log2(n) + 2 bits each, so that chance collisions stay in proportion).
     Ties: of rows with the smallest id one stays. Rows with null ids go last. Wordless texts are one group."""
     ws = Workspace(docs.sparkSession)
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     limit = round(256 * share + (256 * share * (1 - share)) ** 0.5)
     slim = docs.select(F.coalesce(F.col(id_col), F.lit((1 << 63) - 1)).alias("id"), F.col(text_col).alias("text"))
     sigs = ws.save(fingerprints(slim, "id", "text", shingle, 4), "raw")
-    used = min(64, 2 * max(1, sigs.count()).bit_length() + 12)
+    used = min(64, 2 * max(1, sigs.count()).bit_length() + 4)
     comps = hamming_components(sigs, ws, radius, limit, list(range(used)))
     gone = ws.save(comps.where("id <> component").select("id").distinct(), "gone")
     kept = docs.withColumn("__id", F.coalesce(F.col(id_col), F.lit((1 << 63) - 1))).join(gone, F.col("__id") == F.col("id"), "left_anti")
