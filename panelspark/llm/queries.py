@@ -83,5 +83,26 @@ def queries() -> dict:
     return {f.__name__: f for f in every}
 
 
+_BASE32 = " || ".join(
+    "(" + " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast((cast('0x' || substr(h, {5 * i + 1}, 5) as bigint) >> {s}) & 31 as integer) + 1, 1)" for s in (15, 10, 5, 0)) + ")" for i in range(8)
+)
+OP1_SQL = f"""with p as (select page_id, coalesce(html, '') as x from pages), q as (select page_id, strlen(x) as payload_bytes, sha1(x) as h, min(page_id) over (partition by x) as first from p)
+select page_id, payload_bytes, {_BASE32} as payload_digest, case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to from q"""
+
+FENCE = {"symbol_rate": 0.25, "dup_line_rate": 0.34, "word_length": 3.0}
+_RATES = ", ".join(f"case when count(*) >= 50 then quantile_disc({m}, 0.5) + greatest(3.0 * (quantile_disc({m}, 0.75) - quantile_disc({m}, 0.25)), {x}) end as {{0}}_{m}" for m, x in FENCE.items())
+OP8_SQL = f"""with w as (select doc_id, lang, source, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as ws from documents),
+g as (select doc_id, i, ws[i:i+2] as g from (select doc_id, ws, unnest(range(1, len(ws) - 1)) as i from w) t), r as (select doc_id, i, count(*) over (partition by doc_id, g) as c from g),
+c as (select doc_id, count(distinct j) as n_repeat_words from (select doc_id, unnest([i, i + 1, i + 2]) as j from r where c > 1) t group by doc_id),
+l as (select doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as ls from w),
+b as (select w.doc_id, lang, source, cast(len(ws) as bigint) as n_words, cast(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) as bigint) as word_chars, cast(len(regexp_extract_all(text, '[#*$%&|<>]')) as bigint) as n_symbols,
+  cast(len(ls) - len(list_distinct(ls)) as bigint) as n_dup_lines, cast(coalesce(n_repeat_words, 0) as bigint) as n_repeat_words, len(ls) as n_lines from w join l on l.doc_id = w.doc_id left join c on c.doc_id = w.doc_id),
+m as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, coalesce(n_symbols / nullif(n_words, 0), 0) as symbol_rate, coalesce(n_dup_lines / nullif(n_lines, 0), 0) as dup_line_rate, coalesce(word_chars / nullif(n_words, 0), 0) as word_length from b),
+f1 as (select lang, source, {_RATES.format("a")} from m where not base_failed group by all), f2 as (select lang, {_RATES.format("b")} from m where not base_failed group by all), f3 as (select {_RATES.format("c")} from m where not base_failed)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not ({" or ".join(f"coalesce({m} > coalesce(a_{m}, b_{m}, c_{m}), false)" for m in FENCE)}) as kept
+from m left join f1 on f1.lang is not distinct from m.lang and f1.source is not distinct from m.source left join f2 on f2.lang is not distinct from m.lang, f3"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """op8's sketches are exact on groups of under 10,000 rows, so SQL quantiles give the same fences there."""
+    return {"op1_warc": OP1_SQL, "op8_quality_rules": OP8_SQL}
