@@ -129,7 +129,7 @@ def hamming_components(sigs: DataFrame, ws: Workspace, radius: int, limit: int,
     labels = ws.save(connected_components(links, ws), "components")
     placed = nodes.select("node", "least").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     placed = ws.save(placed, "placed")
-    least = placed.groupBy("label").agg(F.min("least").alias("component"))
+    least = ws.save(placed.groupBy("label").agg(F.min("least").alias("component")), "smallest")  # written: a join with a plain table can split a large component
     placed = ws.save(placed.join(least, "label").select("node", "component"), "least")
     return sigs.join(placed, "node").drop("node")
 
