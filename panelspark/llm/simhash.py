@@ -16,7 +16,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.llm.components import connected_components
@@ -79,9 +79,37 @@ def _parts(sigs: np.ndarray, limit: int) -> np.ndarray:
     return label
 
 
-def covering_links(nodes: DataFrame, ws: Workspace, radius: int, limit: int, positions: list[int], most: int = 16384) -> DataFrame:
+def _near_pairs(labels: np.ndarray, sigs: np.ndarray, limit: int, whole: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of rows of sigs (g, m) with different labels and at most `limit` differing bits. Up to `whole` rows
+    give all of them, more rows those of a spanning forest of the shortest links (Prim; rows of one label are one)."""
+    g = len(sigs)
+    if g <= whole:
+        i, j = np.triu_indices(g, 1)
+        near = (labels[i] != labels[j]) & (np.bitwise_count(sigs[i] ^ sigs[j]).sum(axis=1) <= limit)
+        return i[near], j[near]
+    best, by, left, at = np.full(g, 1 << 20), np.zeros(g, dtype=np.int64), np.ones(g, dtype=bool), 0
+    out = []
+    for _ in range(g - 1):
+        left[at] = False
+        far = np.bitwise_count(sigs ^ sigs[at]).sum(axis=1).astype(np.int64)
+        far[labels == labels[at]] = 0
+        closer = left & (far < best)
+        best[closer], by[closer] = far[closer], at
+        at = int(np.where(left, best, 1 << 21).argmin())
+        if 0 < best[at] <= limit:
+            out.append((by[at], at))
+    pairs = np.array(out, dtype=np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def covering_links(nodes: DataFrame, ws: Workspace, radius: int, limit: int, positions: list[int], most: int = 16384, fp: Column | None = None) -> DataFrame:
     """nodes (node long, unique; sig array<long>) -> links (a, b). The links connect all signatures that are connected
-    over distances up to limit, as far as each step is within radius on sig[0] (always, if limit <= radius)."""
+    over distances up to limit, as far as each step is within radius on sig[0] (always, if limit <= radius).
+
+    With fp (a word made of sig, masked in place of sig[0]) nodes also have a label, and the links are pairs within limit
+    whose labels differ (see _near_pairs)."""
+    pairs = fp is not None
+    held_sig = F.concat(F.array("node", "label"), "sig") if pairs else F.concat(F.array("node"), "sig")
 
     def links(batches):
         for pdf in batches:
@@ -89,6 +117,11 @@ def covering_links(nodes: DataFrame, ws: Workspace, radius: int, limit: int, pos
             for flat, n in zip(pdf["members"], pdf["n"], strict=True):
                 rows = np.asarray(flat, dtype=np.int64).reshape(n, -1)
                 rows = rows[np.argsort(rows[:, 0], kind="stable")]
+                if pairs:
+                    i, j = _near_pairs(rows[:, 1], np.ascontiguousarray(rows[:, 2:]).view(np.uint64), limit)
+                    a.append(np.minimum(rows[i, 0], rows[j, 0]))
+                    b.append(np.maximum(rows[i, 0], rows[j, 0]))
+                    continue
                 label = _parts(rows[:, 1:].view(np.uint64), limit)
                 moved = np.flatnonzero(label != np.arange(n))
                 a.append(rows[label[moved], 0])
@@ -96,7 +129,7 @@ def covering_links(nodes: DataFrame, ws: Workspace, radius: int, limit: int, pos
             yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
 
     found = None
-    fps = nodes.select("node", F.col("sig")[0].alias("fp"))
+    fps = nodes.select("node", (F.col("sig")[0] if fp is None else fp).alias("fp"))
     dealt = fps.withColumn("mask", F.lit(0).cast("bigint"))
     for level in range(3):
         masks = F.array(*[F.lit(m).cast("bigint") for m in covering_masks(positions, radius, level)])
@@ -108,7 +141,7 @@ def covering_links(nodes: DataFrame, ws: Workspace, radius: int, limit: int, pos
         held = dealt.join(sizes, ["mask", "key"])
         last = level == 2 or sizes.where(F.col("n") > most).limit(1).count() == 0
         small = held if last else held.where(F.col("n") <= most)
-        members = small.select("mask", "key", "node").join(nodes, "node").groupBy("mask", "key").agg(F.collect_list(F.concat(F.array("node"), "sig")).alias("x"))
+        members = small.select("mask", "key", "node").join(nodes, "node").groupBy("mask", "key").agg(F.collect_list(held_sig).alias("x"))
         new = members.select(F.size("x").alias("n"), F.flatten("x").alias("members")).mapInPandas(links, "a bigint, b bigint")
         found = new if found is None else found.unionByName(new)
         if last:
@@ -146,21 +179,108 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex(F.col("sig")[0]), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 5) -> DataFrame:
+def signatures(docs: DataFrame, shingle: int) -> DataFrame:
+    """docs (id, text) -> (id, sig of 256 bits, shingles). Both are of the distinct shingles of a text, whose sorted 32-bit
+    hashes are packed in shingles. Null and wordless texts have zero bits and no shingle."""
+
+    def run(batches):
+        for pdf in batches:
+            sigs, sets = [], []
+            for first, last, hashes, ptr in word_batches(encoded(pdf["text"])):
+                for i in range(last - first):
+                    h = np.unique(shingle_hashes(hashes[ptr[i] : ptr[i + 1]], shingle))
+                    sigs.append(majority_bits(np.stack([mix(h, s + 2) for s in range(4)], axis=1)).view(np.int64))
+                    sets.append(np.unique((h >> np.uint64(32)).astype(np.uint32)).tobytes())
+            yield pd.DataFrame({"id": pdf["id"], "sig": sigs, "shingles": sets})
+
+    return docs.mapInPandas(run, f"id {dict(docs.dtypes)['id']}, sig array<bigint>, shingles binary")
+
+
+def block_offset(block: int, used: int) -> int:
+    """First bit of a block of `used` bits of 256, taken as a ring: blocks are disjoint until the bits are used up."""
+    return (block * used + block // (256 // used) * 19) % 256
+
+
+def block_word(block: int, used: int) -> Column:
+    """The bits of a block as one word, its first bit lowest."""
+    at, bit = divmod(block_offset(block, used), 64)
+    low = F.col("sig")[at]
+    return low if bit == 0 else F.shiftrightunsigned(low, bit).bitwiseOR(F.shiftleft(F.col("sig")[(at + 1) % 4], 64 - bit))
+
+
+def block_recall(n: int, similarity: float, limit: int, radius: int, least: float = 0.0, blocks: int = 64, trials: int = 8000) -> tuple[int, int, float]:
+    """(bits a block, blocks, recall): the fewest blocks, at most `blocks`, that give a recall of `least` among n signatures,
+    by random differences at the similarity's share of bits. Recall: a table is equal and at most `limit` bits differ."""
+    used = min(64, 2 * max(1, n).bit_length() + 4)
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    differ = np.random.default_rng(7).random((trials, 256)) < share
+    near = differ.sum(axis=1) <= limit
+    masks = np.array([[m >> p & 1 for m in covering_masks(list(range(used)), radius)] for p in range(used)], dtype=np.float32)
+    met, recall, b = np.zeros(trials, dtype=bool), 0.0, 0
+    while b < blocks and (recall < least or b == 0):
+        bits = (block_offset(b, used) + np.arange(used)) % 256
+        met |= ((differ[:, bits].astype(np.float32) @ masks) == 0).any(axis=1)
+        recall, b = float((met & near).mean()), b + 1
+    return used, b, recall
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets (node, shingles) have a Jaccard similarity of at least `similarity`; two empty sets are equal."""
+
+    def run(batches):
+        for pdf in batches:
+            keep = []
+            for x, y in zip(pdf["x"], pdf["y"], strict=True):
+                u, v = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+                both = len(np.intersect1d(u, v, assume_unique=True)) if min(len(u), len(v)) >= similarity * max(len(u), len(v)) else 0
+                keep.append(both >= similarity * (len(u) + len(v) - both) - 1e-9)
+            yield pdf.loc[np.array(keep, dtype=bool), ["a", "b"]]
+
+    x, y = (sets.select(F.col("node").alias(c), F.col("shingles").alias(d)) for c, d in (("a", "x"), ("b", "y")))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(run, "a bigint, b bigint")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 5, recall: float = 0.95) -> DataFrame:
     """Keeps one row of each group of near duplicates: that with the smallest id. Columns stay as they are.
 
-    Signatures have 256 bits over shingles of five words. Two texts are near when at most `limit` bits differ, which is
-    the expected share of differing bits at a Jaccard similarity of `similarity`, arccos(2s / (1 + s)) / pi, plus one
-    standard deviation. Candidates meet by a covering of the first 64 bits: all pairs within `radius` there, and most
-    pairs beyond (2^(radius+1) - 1 tables on about log2(n) + 2 bits each, so that chance collisions stay in proportion).
+    Two texts are near when their distinct shingles of five words have a Jaccard similarity of at least `similarity`; this is
+    checked on their sets. Candidates come from 256-bit signatures: pairs within `limit` bits, the expected share of
+    differing bits at `similarity`, arccos(2s / (1 + s)) / pi, plus 2.5 standard deviations, that meet in a table. The
+    tables are coverings of `radius`, one for each block of about 2 log2(n) + 4 bits (2^(radius+1) - 1 tables on about
+    log2(n) + 2 bits each, so that chance collisions stay in proportion). There are as many blocks as bring the computed
+    recall at exactly `similarity` to `recall`, whatever n is; pairs within radius on some block meet for certain.
+    Rows of one component after the first block are not paired again on the others.
     Ties: of rows with the smallest id one stays. Rows with null ids go last. Wordless texts are one group."""
     ws = Workspace(docs.sparkSession)
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    limit = round(256 * share + (256 * share * (1 - share)) ** 0.5)
+    limit = round(256 * share + 2.5 * (256 * share * (1 - share)) ** 0.5)
     slim = docs.select(F.coalesce(F.col(id_col), F.lit((1 << 63) - 1)).alias("id"), F.col(text_col).alias("text"))
-    sigs = ws.save(fingerprints(slim, "id", "text", shingle, 4), "raw")
-    used = min(64, 2 * max(1, sigs.count()).bit_length() + 4)
-    comps = hamming_components(sigs, ws, radius, limit, list(range(used)))
-    gone = ws.save(comps.where("id <> component").select("id").distinct(), "gone")
+    sigs = ws.save(signatures(slim, shingle).withColumn("node", F.xxhash64("sig")), "raw")
+    nodes = ws.save(sigs.groupBy("node").agg(F.first("sig").alias("sig"), F.min("id").alias("least")), "nodes")
+    used, blocks, _ = block_recall(nodes.count(), similarity, limit, radius, recall)
+
+    def near(labelled: DataFrame, chosen: range) -> DataFrame:
+        pairs = None
+        for b in chosen:
+            new = ws.save(covering_links(labelled, ws, radius, limit, list(range(used)), fp=block_word(b, used)), "pairs")
+            pairs = new if pairs is None else pairs.unionByName(new)
+            docs.sparkSession.sparkContext._jvm.System.gc()  # so that Spark removes the shuffle files of the block
+        pairs = ws.save(pairs.distinct(), "candidates")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "least"), "node")
+        sets = sigs.select(F.col("id").alias("least"), "node", "shingles").join(ws.save(wanted, "wanted"), ["least", "node"]).dropDuplicates(["node"])
+        return ws.save(verified(pairs, ws.save(sets, "sets"), similarity), "links")
+
+    labelled = nodes.select("node", "sig", F.col("node").alias("label"))
+    links = near(labelled, range(1))
+    labels = ws.save(connected_components(links, ws), "components")
+    if blocks > 1:
+        labelled = ws.save(nodes.select("node", "sig").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+        links = near(labelled, range(1, blocks)).unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
+        labels = ws.save(connected_components(links, ws), "components")
+    placed = nodes.select("node", "least").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    placed = ws.save(placed, "placed")
+    least = ws.save(placed.groupBy("label").agg(F.min("least").alias("component")), "smallest")
+    placed = ws.save(placed.join(least, "label").select("node", "component"), "least")
+    gone = ws.save(sigs.select("id", "node").join(placed, "node").where("id <> component").select("id").distinct(), "gone")
     kept = docs.withColumn("__id", F.coalesce(F.col(id_col), F.lit((1 << 63) - 1))).join(gone, F.col("__id") == F.col("id"), "left_anti")
     return kept.dropDuplicates(["__id"]).drop("__id")

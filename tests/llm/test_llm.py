@@ -229,6 +229,31 @@ def test_near_duplicates_keep_one(spark, docs, empty):
     assert simhash.drop_near_duplicates(empty).count() == 0
 
 
+def test_near_duplicate_recall_does_not_fall_with_size():
+    for n in (10_000, 200_000, 15_000_000):
+        assert simhash.block_recall(n, 0.8, 53, 5, 0.95)[2] >= 0.95
+
+
+def test_near_duplicates_are_verified_on_shingles(spark):
+    r = random.Random(9)
+    rows, near, far = [], 0, 0
+    for k in range(150):
+        words = [f"w{r.randrange(10**6)}" for _ in range(300)]
+        other = list(words)
+        for i in r.sample(range(5, 290), 5 if k % 2 else 11):
+            other[i] = f"x{r.randrange(10**6)}"
+        a, b = ({tuple(t[i : i + 5]) for i in range(296)} for t in (words, other))
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+        similar = len(a & b) / len(a | b) >= 0.8
+        near, far = near + similar, far + (not similar)
+        rows[-1] += (similar,)
+        rows[-2] += (False,)
+    kept = {x.doc_id for x in simhash.drop_near_duplicates(spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string")).collect()}
+    assert near > 50 and far > 50
+    assert not [i for i, _, similar in rows if not similar and i not in kept]
+    assert sum(i not in kept for i, _, similar in rows if similar) >= 0.95 * near
+
+
 def test_quality_counts_equal_brute_force(spark, docs, empty):
     out = quality.quality_rules(docs).collect()
     assert len(out) == docs.count()
