@@ -240,6 +240,12 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(run, "a bigint, b bigint")
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """A string that orders rows by id (a bigint), null ids last, then by the MD5 of the text; null texts are empty."""
+    number = F.hex(F.coalesce(F.col(id_col).cast("bigint"), F.lit(0)).bitwiseXOR(F.lit(-(1 << 63))))
+    return F.concat(F.when(F.col(id_col).isNull(), "1").otherwise("0"), F.lpad(number, 16, "0"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 5, recall: float = 0.95) -> DataFrame:
     """Keeps one row of each group of near duplicates: that with the smallest id. Columns stay as they are.
 
@@ -250,11 +256,13 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     log2(n) + 2 bits each, so that chance collisions stay in proportion). There are as many blocks as bring the computed
     recall at exactly `similarity` to `recall`, whatever n is; pairs within radius on some block meet for certain.
     Rows of one component after the first block are not paired again on the others.
-    Ties: of rows with the smallest id one stays. Rows with null ids go last. Wordless texts are one group."""
+    Rows are told apart by id and text, so null and repeated ids lose no other text; of rows equal in both one stays. Ties
+    of ids go by a hash of the text. Rows with null ids go last. Wordless texts are one group."""
     ws = Workspace(docs.sparkSession)
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     limit = round(256 * share + 2.5 * (256 * share * (1 - share)) ** 0.5)
-    slim = docs.select(F.coalesce(F.col(id_col), F.lit((1 << 63) - 1)).alias("id"), F.col(text_col).alias("text"))
+    key = row_key(id_col, text_col)
+    slim = docs.select(key.alias("id"), F.col(text_col).alias("text"))
     sigs = ws.save(signatures(slim, shingle).withColumn("node", F.xxhash64("sig")), "raw")
     nodes = ws.save(sigs.groupBy("node").agg(F.first("sig").alias("sig"), F.min("id").alias("least")), "nodes")
     used, blocks, _ = block_recall(nodes.count(), similarity, limit, radius, recall)
@@ -282,5 +290,5 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     least = ws.save(placed.groupBy("label").agg(F.min("least").alias("component")), "smallest")
     placed = ws.save(placed.join(least, "label").select("node", "component"), "least")
     gone = ws.save(sigs.select("id", "node").join(placed, "node").where("id <> component").select("id").distinct(), "gone")
-    kept = docs.withColumn("__id", F.coalesce(F.col(id_col), F.lit((1 << 63) - 1))).join(gone, F.col("__id") == F.col("id"), "left_anti")
-    return kept.dropDuplicates(["__id"]).drop("__id")
+    kept = docs.withColumn("__key", key).join(gone.withColumnRenamed("id", "__gone"), F.col("__key") == F.col("__gone"), "left_anti")
+    return kept.dropDuplicates(["__key"]).drop("__key")

@@ -254,6 +254,13 @@ def test_near_duplicates_are_verified_on_shingles(spark):
     assert sum(i not in kept for i, _, similar in rows if similar) >= 0.95 * near
 
 
+def test_null_and_repeated_ids_lose_no_other_text(spark):
+    a, b, c, d, e = (prose(s, 120) for s in range(40, 45))
+    rows = [(-3, a), (None, a), (None, b), (None, c), (None, c), (5, d), (5, e), (5, e), (6, d), (2, e), (2**62, prose(45, 120))]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter([(-3, a), (None, b), (None, c), (5, d), (2, e), (2**62, prose(45, 120))])
+
+
 def test_quality_counts_equal_brute_force(spark, docs, empty):
     out = quality.quality_rules(docs).collect()
     assert len(out) == docs.count()
