@@ -36,9 +36,9 @@ def rule_verdict(host: Column, path: Column, rules: list[tuple[str, str, str]] =
 def url_tokens(host: Column, path: Column, url: Column) -> Column:
     """Distinct tokens: scheme, labels of the host, whole host, words of host labels, path segments and query keys."""
     tag = lambda p, xs: F.transform(F.filter(xs, lambda x: x != ""), lambda x: F.concat(F.lit(p), x))
-    query = F.regexp_extract(F.coalesce(url, F.lit("")), "(?s)\\\\?([^#]*)", 1)
+    query = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^[^?#]*\?([^#]*)", 1)
     keys = F.transform(F.split(query, "&"), lambda x: F.substring_index(x, "=", 1))
-    segments = F.filter(F.split(path, "/"), lambda x: ~x.rlike("^[0-9]+(\\\\.[a-z]+)?$"))
+    segments = F.filter(F.split(path, "/"), lambda x: ~x.rlike(r"^[0-9]+(\.[a-z]+)?$"))
     return F.array_distinct(F.concat(tag("h=", F.array(host)), tag("d=", F.split(host, "[.]")), tag("w=", F.array_except(F.split(host, "[.-]"), F.split(host, "[.]"))), tag("p=", segments), tag("q=", keys)))
 
 

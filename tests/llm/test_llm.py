@@ -296,6 +296,13 @@ def test_url_rules_and_learned_rules(spark):
     assert urlfilter.filter_urls(pages.limit(0), none).count() == 0
 
 
+def test_url_tokens_hold_query_keys_and_no_numbers(spark):
+    urls = ["http://h/p/4033.html?a=1&b=2#c=3", "http://h/p/12/x.html", "http://h/p#f?z=1", None]
+    host, path = urlfilter.url_parts(F.col("url"))
+    got = spark.createDataFrame([(u,) for u in urls], "url string").select(urlfilter.url_tokens(host, path, F.col("url"))).collect()
+    assert [{t for t in r[0] if t[:2] in ("p=", "q=")} for r in got] == [{"p=p", "q=a", "q=b"}, {"p=p", "p=x.html"}, {"p=p"}, set()]
+
+
 def test_language_on_held_out_rows(spark, docs, empty):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = langid.identify(d).join(d.select("doc_id", "lang"), "doc_id").where("held_out")
