@@ -4,7 +4,7 @@ Masks. Every bit position i gets a vector m(i) in {0,1}^(r+1); table v (non-zero
 with <m(i), v> = 1. At most r differing positions span at most r dimensions, so some v is orthogonal to all of them, and
 that table's key is equal: every pair within radius r meets in a table. About half of the positions are in a mask.
 
-Large buckets. A bucket of more than `most` signatures is dealt again, its key joined with that of a second covering whose
+Large buckets. A bucket of more than `most` fingerprints is dealt again, its key joined with that of a second covering whose
 vectors are assigned anew, then a third. A pair within radius r has an orthogonal v in each covering, so it still meets.
 Each level leaves about half of the free positions, so a last bucket of distinct fingerprints is bounded by 2^free.
 Inside a bucket all distances are taken, and one link per member is returned (to the smallest member of its connected
@@ -37,25 +37,16 @@ def _xxh64_fingerprint(text: bytes, k: int) -> np.ndarray:
     return majority_bits(hashes[:, None])
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, words64: int | None = None) -> DataFrame:
-    """(id, sig array<long>). words64 None: one word from XXH64 (seed 42) of space-joined shingles; else so many 64-bit
-    words from mixed word hashes. Null and wordless texts have an all-zero signature."""
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(id, sig array of one long) from XXH64 (seed 42) of space-joined shingles. Null and wordless texts have zero bits."""
 
     def run(batches):
         for pdf in batches:
-            texts = encoded(pdf["text"])
-            if words64 is None:
-                out = [_xxh64_fingerprint(t, shingle).view(np.int64) for t in texts]
-            else:
-                out = []
-                for first, last, hashes, ptr in word_batches(texts):
-                    for i in range(last - first):
-                        h = shingle_hashes(hashes[ptr[i] : ptr[i + 1]], shingle)
-                        out.append(majority_bits(np.stack([mix(h, s + 2) for s in range(words64)], axis=1)).view(np.int64))
-            yield pd.DataFrame({"id": pdf["id"], "sig": out})
+            yield pd.DataFrame({"id": pdf["id"], "sig": [_xxh64_fingerprint(t, shingle).view(np.int64) for t in encoded(pdf["text"])]})
 
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return slim.mapInPandas(run, f"id {dict(slim.dtypes)['id']}, sig array<bigint>")
+    kind = dict(docs.dtypes)[id_col]
+    slim = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))  # a string: pandas has no null integers
+    return slim.mapInPandas(run, "id string, sig array<bigint>").withColumn("id", F.col("id").cast(kind))
 
 
 def covering_masks(positions: list[int], radius: int, level: int = 0) -> list[int]:
@@ -79,9 +70,10 @@ def _parts(sigs: np.ndarray, limit: int) -> np.ndarray:
     return label
 
 
-def _near_pairs(labels: np.ndarray, sigs: np.ndarray, limit: int, whole: int = 64) -> tuple[np.ndarray, np.ndarray]:
+def _near_pairs(labels: np.ndarray, sigs: np.ndarray, limit: int, whole: int = 64, nearest: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (i, j) of rows of sigs (g, m) with different labels and at most `limit` differing bits. Up to `whole` rows
-    give all of them, more rows those of a spanning forest of the shortest links (Prim; rows of one label are one)."""
+    give all of them; more rows those of a spanning forest of the shortest links (Prim; rows of one label are one) and
+    those of each row with its `nearest` nearest rows of other labels."""
     g = len(sigs)
     if g <= whole:
         i, j = np.triu_indices(g, 1)
@@ -89,27 +81,28 @@ def _near_pairs(labels: np.ndarray, sigs: np.ndarray, limit: int, whole: int = 6
         return i[near], j[near]
     best, by, left, at = np.full(g, 1 << 20), np.zeros(g, dtype=np.int64), np.ones(g, dtype=bool), 0
     out = []
-    for _ in range(g - 1):
+    for step in range(g):
         left[at] = False
         far = np.bitwise_count(sigs ^ sigs[at]).sum(axis=1).astype(np.int64)
+        other = np.flatnonzero((labels != labels[at]) & (far <= limit))
+        if len(other) > nearest:
+            other = other[np.argsort(far[other], kind="stable")[:nearest]]
+        out += [(at, j) for j in other.tolist()]
         far[labels == labels[at]] = 0
         closer = left & (far < best)
         best[closer], by[closer] = far[closer], at
-        at = int(np.where(left, best, 1 << 21).argmin())
-        if 0 < best[at] <= limit:
-            out.append((by[at], at))
-    pairs = np.array(out, dtype=np.int64).reshape(-1, 2)
+        if step < g - 1:
+            at = int(np.where(left, best, 1 << 21).argmin())
+            if 0 < best[at] <= limit:
+                out.append((by[at], at))
+    pairs = np.unique(np.sort(np.array(out, dtype=np.int64).reshape(-1, 2), axis=1), axis=0)
     return pairs[:, 0], pairs[:, 1]
 
 
-def covering_links(nodes: DataFrame, ws: Workspace, radius: int, limit: int, positions: list[int], most: int = 16384, fp: Column | None = None) -> DataFrame:
-    """nodes (node long, unique; sig array<long>) -> links (a, b). The links connect all signatures that are connected
-    over distances up to limit, as far as each step is within radius on sig[0] (always, if limit <= radius).
-
-    With fp (a word made of sig, masked in place of sig[0]) nodes also have a label, and the links are pairs within limit
-    whose labels differ (see _near_pairs)."""
-    pairs = fp is not None
-    held_sig = F.concat(F.array("node", "label"), "sig") if pairs else F.concat(F.array("node"), "sig")
+def covering_links(nodes: DataFrame, ws: Workspace, radius: int, positions: list[int], most: int = 16384) -> DataFrame:
+    """nodes (node long, unique; sig array<long>) -> links (a, b) that connect all signatures that are connected over steps
+    of at most `radius` differing bits of sig[0], which the masks guarantee to meet."""
+    held_sig = F.concat(F.array("node"), "sig")
 
     def links(batches):
         for pdf in batches:
@@ -117,19 +110,14 @@ def covering_links(nodes: DataFrame, ws: Workspace, radius: int, limit: int, pos
             for flat, n in zip(pdf["members"], pdf["n"], strict=True):
                 rows = np.asarray(flat, dtype=np.int64).reshape(n, -1)
                 rows = rows[np.argsort(rows[:, 0], kind="stable")]
-                if pairs:
-                    i, j = _near_pairs(rows[:, 1], np.ascontiguousarray(rows[:, 2:]).view(np.uint64), limit)
-                    a.append(np.minimum(rows[i, 0], rows[j, 0]))
-                    b.append(np.maximum(rows[i, 0], rows[j, 0]))
-                    continue
-                label = _parts(rows[:, 1:].view(np.uint64), limit)
+                label = _parts(rows[:, 1:].view(np.uint64), radius)
                 moved = np.flatnonzero(label != np.arange(n))
                 a.append(rows[label[moved], 0])
                 b.append(rows[moved, 0])
             yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
 
     found = None
-    fps = nodes.select("node", (F.col("sig")[0] if fp is None else fp).alias("fp"))
+    fps = nodes.select("node", F.col("sig")[0].alias("fp"))
     dealt = fps.withColumn("mask", F.lit(0).cast("bigint"))
     for level in range(3):
         masks = F.array(*[F.lit(m).cast("bigint") for m in covering_masks(positions, radius, level)])
@@ -150,21 +138,77 @@ def covering_links(nodes: DataFrame, ws: Workspace, radius: int, limit: int, pos
     return found
 
 
-def hamming_components(sigs: DataFrame, ws: Workspace, radius: int, limit: int, positions: list[int]) -> DataFrame:
-    """sigs (id, sig, ...) -> sigs with component: the smallest id reachable over links of at most `limit` differing
-    bits, itself included (null ids count as largest). Equal signatures are one node: copies make no pairs.
+def pairs_of_buckets(entries: DataFrame, nodes: DataFrame, ws: Workspace, limit: int, most: int = 1024) -> DataFrame:
+    """entries (node, label, key, block) deal nodes (node, label, sig of 256 bits) into buckets -> candidate pairs (a, b), a < b:
+    of one bucket, of different labels, within `limit` bits (see _near_pairs).
+
+    A bucket of more than `most` nodes is dealt again by a covering of radius 5 over 40 bits of the signature that start
+    at 40 x block, and what is still larger by the next block, so that no bucket is collected whole however many rows
+    share its key. Buckets that stay larger after both (their nodes agree on about 40 bits) are cut into parts by a hash,
+    each with the bucket's smallest node, which ties the parts of a group of copies together. Buckets whose nodes have one
+    label already cost a row a task."""
+    masks = F.array(*[F.lit(m).cast("bigint") for m in covering_masks(list(range(40)), 5)])
+    slim = F.concat(F.array("node", "label"), "sig")
+
+    def pairs(batches):
+        for pdf in batches:
+            a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for flat, n in zip(pdf["members"], pdf["n"], strict=True):
+                rows = np.asarray(flat, dtype=np.int64).reshape(n, -1)
+                rows = rows[np.argsort(rows[:, 0], kind="stable")]
+                i, j = _near_pairs(rows[:, 1], np.ascontiguousarray(rows[:, 2:]).view(np.uint64), limit)
+                a.append(np.minimum(rows[i, 0], rows[j, 0]))
+                b.append(np.maximum(rows[i, 0], rows[j, 0]))
+            yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
 
-    The covering guarantee holds for limit <= radius; beyond, sig[0] must meet within radius in some table."""
-    node = F.col("sig")[0] if limit <= radius else F.xxhash64("sig")
-    sigs = ws.save(sigs.withColumn("node", node), "sigs")
+    found = None
+    for level in range(3):
+        sizes = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("l0"), F.max("label").alias("l1"), F.min("node").alias("first")).where("l0 <> l1")
+        sizes = ws.save(sizes.select("key", "n", "first"), f"buckets{level}")
+        held = entries.join(sizes, "key")
+        large = sizes.where(F.col("n") > most).limit(1).count() > 0
+        small = held.where(F.col("n") <= most).select("key", "node") if large else held.select("key", "node")
+        if large and level == 2:
+            part = F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("n") / (most - 1)))
+            deal = lambda key, node, p: F.struct(F.xxhash64(key, p).alias("key"), node.alias("node"))
+            parts = held.where(F.col("n") > most).withColumn("p", part)
+            parts = parts.select(F.inline(F.array(deal("key", F.col("node"), F.col("p")), deal("key", F.col("first"), F.col("p"))))).distinct()
+            small, large = small.unionByName(parts), False
+        members = small.join(nodes, "node").groupBy("key").agg(F.collect_list(slim).alias("x"))
+        new = members.select(F.size("x").alias("n"), F.flatten("x").alias("members")).mapInPandas(pairs, "a bigint, b bigint")
+        found = new if found is None else found.unionByName(new)
+        if not large:
+            break
+        word = F.element_at(F.array(*[_word(40 * b) for b in range(6)]), (F.col("block") + level) % 6 + 1)
+        again = held.where(F.col("n") > most).select("node", "key", "block").join(nodes, "node").select("node", "label", "key", "block", word.alias("w"))
+        again = again.select("node", "label", "block", "key", "w", F.explode(masks).alias("m"))
+        entries = again.select("node", "label", F.xxhash64("key", "m", F.col("w").bitwiseAND(F.col("m"))).alias("key"), "block")
+    return found.distinct()
+
+
+def _word(at: int) -> Column:
+    """64 bits of the signature from bit `at` on, the first lowest."""
+    at, bit = divmod(at, 64)
+    low = F.col("sig")[at]
+    return low if bit == 0 else F.shiftrightunsigned(low, bit).bitwiseOR(F.shiftleft(F.col("sig")[(at + 1) % 4], 64 - bit))
+
+
+def hamming_components(sigs: DataFrame, ws: Workspace, radius: int, positions: list[int]) -> DataFrame:
+    """sigs (id, sig, ...) -> sigs with component: the smallest id reachable over links of at most `radius` differing
+    bits, itself included (null ids count as largest). Equal signatures are one node: copies make no pairs."""
+    sigs = ws.save(sigs.withColumn("node", F.col("sig")[0]), "sigs")
     nodes = ws.save(sigs.groupBy("node").agg(F.first("sig").alias("sig"), F.min("id").alias("least")), "nodes")
-    links = covering_links(nodes.select("node", "sig"), ws, radius, limit, positions)
+    links = covering_links(nodes.select("node", "sig"), ws, radius, positions)
     labels = ws.save(connected_components(links, ws), "components")
+    return sigs.join(least_ids(nodes, labels, ws), "node").drop("node")
+
+
+def least_ids(nodes: DataFrame, labels: DataFrame, ws: Workspace) -> DataFrame:
+    """nodes (node, least), labels (node, label) -> (node, component): the smallest `least` of the node's component."""
     placed = nodes.select("node", "least").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     placed = ws.save(placed, "placed")
     least = ws.save(placed.groupBy("label").agg(F.min("least").alias("component")), "smallest")  # written: a join with a plain table can split a large component
-    placed = ws.save(placed.join(least, "label").select("node", "component"), "least")
-    return sigs.join(placed, "node").drop("node")
+    return ws.save(placed.join(least, "label").select("node", "component"), "least")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
@@ -175,53 +219,31 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows. Extra columns are ignored. Texts are read whole; only ids and fingerprints are shuffled."""
     ws = Workspace(docs.sparkSession)
     sigs = fingerprints(docs, id_col, text_col, shingle)
-    out = hamming_components(sigs, ws, radius, radius, list(range(64)))
+    out = hamming_components(sigs, ws, radius, list(range(64)))
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex(F.col("sig")[0]), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+ANCHORS = 6
+
+
 def signatures(docs: DataFrame, shingle: int) -> DataFrame:
-    """docs (id, text) -> (id, sig of 256 bits, shingles). Both are of the distinct shingles of a text, whose sorted 32-bit
-    hashes are packed in shingles. Null and wordless texts have zero bits and no shingle."""
+    """docs (id string, text) -> (id, node, sig of 256 bits, anchors, shingles), all of the distinct shingles of a text: node
+    is a hash of the set, anchors are its smallest members under six mixings, shingles the packed sorted 32-bit hashes.
+    Null and wordless texts have zero bits, zero anchors and no shingle."""
 
     def run(batches):
         for pdf in batches:
-            sigs, sets = [], []
+            node, sigs, anchors, sets = [], [], [], []
             for first, last, hashes, ptr in word_batches(encoded(pdf["text"])):
                 for i in range(last - first):
                     h = np.unique(shingle_hashes(hashes[ptr[i] : ptr[i + 1]], shingle))
                     sigs.append(majority_bits(np.stack([mix(h, s + 2) for s in range(4)], axis=1)).view(np.int64))
+                    anchors.append(np.array([mix(h, s + 11).min() if len(h) else 0 for s in range(ANCHORS)], dtype=np.uint64).view(np.int64))
                     sets.append(np.unique((h >> np.uint64(32)).astype(np.uint32)).tobytes())
-            yield pd.DataFrame({"id": pdf["id"], "sig": sigs, "shingles": sets})
-
-    return docs.mapInPandas(run, f"id {dict(docs.dtypes)['id']}, sig array<bigint>, shingles binary")
-
+                    node.append(xxhash.xxh64_intdigest(h.tobytes(), 3) - (1 << 63))
+            yield pd.DataFrame({"id": pdf["id"], "node": node, "sig": sigs, "anchors": anchors, "shingles": sets})
 
-def block_offset(block: int, used: int) -> int:
-    """First bit of a block of `used` bits of 256, taken as a ring: blocks are disjoint until the bits are used up."""
-    return (block * used + block // (256 // used) * 19) % 256
-
-
-def block_word(block: int, used: int) -> Column:
-    """The bits of a block as one word, its first bit lowest."""
-    at, bit = divmod(block_offset(block, used), 64)
-    low = F.col("sig")[at]
-    return low if bit == 0 else F.shiftrightunsigned(low, bit).bitwiseOR(F.shiftleft(F.col("sig")[(at + 1) % 4], 64 - bit))
-
-
-def block_recall(n: int, similarity: float, limit: int, radius: int, least: float = 0.0, blocks: int = 64, trials: int = 8000) -> tuple[int, int, float]:
-    """(bits a block, blocks, recall): the fewest blocks, at most `blocks`, that give a recall of `least` among n signatures,
-    by random differences at the similarity's share of bits. Recall: a table is equal and at most `limit` bits differ."""
-    used = min(64, 2 * max(1, n).bit_length() + 4)
-    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    differ = np.random.default_rng(7).random((trials, 256)) < share
-    near = differ.sum(axis=1) <= limit
-    masks = np.array([[m >> p & 1 for m in covering_masks(list(range(used)), radius)] for p in range(used)], dtype=np.float32)
-    met, recall, b = np.zeros(trials, dtype=bool), 0.0, 0
-    while b < blocks and (recall < least or b == 0):
-        bits = (block_offset(b, used) + np.arange(used)) % 256
-        met |= ((differ[:, bits].astype(np.float32) @ masks) == 0).any(axis=1)
-        recall, b = float((met & near).mean()), b + 1
-    return used, b, recall
+    return docs.mapInPandas(run, "id string, node bigint, sig array<bigint>, anchors array<bigint>, shingles binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -246,49 +268,42 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.concat(F.when(F.col(id_col).isNull(), "1").otherwise("0"), F.lpad(number, 16, "0"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 5, recall: float = 0.95) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """Keeps one row of each group of near duplicates: that with the smallest id. Columns stay as they are.
 
-    Two texts are near when their distinct shingles of five words have a Jaccard similarity of at least `similarity`; this is
-    checked on their sets. Candidates come from 256-bit signatures: pairs within `limit` bits, the expected share of
-    differing bits at `similarity`, arccos(2s / (1 + s)) / pi, plus 2.5 standard deviations, that meet in a table. The
-    tables are coverings of `radius`, one for each block of about 2 log2(n) + 4 bits (2^(radius+1) - 1 tables on about
-    log2(n) + 2 bits each, so that chance collisions stay in proportion). There are as many blocks as bring the computed
-    recall at exactly `similarity` to `recall`, whatever n is; pairs within radius on some block meet for certain.
-    Rows of one component after the first block are not paired again on the others.
+    Two texts are near when their distinct shingles of five words have a Jaccard similarity of at least `similarity`; every
+    link is checked on the sets. Equal sets are one node. Candidates are pairs within `limit` of 256 SimHash bits (the
+    expected share of differing bits at `similarity`, arccos(2s / (1 + s)) / pi, plus 2.5 standard deviations) that meet:
+    1. in one of the 15 tables of a covering of radius 3 over the first 64 bits, as all within that radius do;
+    2. at a smaller similarity, where fingerprints differ in more bits than any covering of practical size allows, in a
+       group that shares the smallest shingle under one of six mixings (a pair shares each with the probability of its
+       similarity, whatever the size of the corpus); groups of more than 1024 nodes are split by coverings.
+    Each step contracts what the one before has linked, so a group of copies makes few candidates later.
+
     Rows are told apart by id and text, so null and repeated ids lose no other text; of rows equal in both one stays. Ties
-    of ids go by a hash of the text. Rows with null ids go last. Wordless texts are one group."""
+    of ids go by a hash of the text. Rows with null ids go last. Wordless texts are one group. Very long texts are read
+    whole; extra columns stay. An empty table gives no rows."""
     ws = Workspace(docs.sparkSession)
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     limit = round(256 * share + 2.5 * (256 * share * (1 - share)) ** 0.5)
     key = row_key(id_col, text_col)
-    slim = docs.select(key.alias("id"), F.col(text_col).alias("text"))
-    sigs = ws.save(signatures(slim, shingle).withColumn("node", F.xxhash64("sig")), "raw")
-    nodes = ws.save(sigs.groupBy("node").agg(F.first("sig").alias("sig"), F.min("id").alias("least")), "nodes")
-    used, blocks, _ = block_recall(nodes.count(), similarity, limit, radius, recall)
-
-    def near(labelled: DataFrame, chosen: range) -> DataFrame:
-        pairs = None
-        for b in chosen:
-            new = ws.save(covering_links(labelled, ws, radius, limit, list(range(used)), fp=block_word(b, used)), "pairs")
-            pairs = new if pairs is None else pairs.unionByName(new)
-            docs.sparkSession.sparkContext._jvm.System.gc()  # so that Spark removes the shuffle files of the block
-        pairs = ws.save(pairs.distinct(), "candidates")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "least"), "node")
-        sets = sigs.select(F.col("id").alias("least"), "node", "shingles").join(ws.save(wanted, "wanted"), ["least", "node"]).dropDuplicates(["node"])
-        return ws.save(verified(pairs, ws.save(sets, "sets"), similarity), "links")
-
-    labelled = nodes.select("node", "sig", F.col("node").alias("label"))
-    links = near(labelled, range(1))
-    labels = ws.save(connected_components(links, ws), "components")
-    if blocks > 1:
-        labelled = ws.save(nodes.select("node", "sig").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
-        links = near(labelled, range(1, blocks)).unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
-        labels = ws.save(connected_components(links, ws), "components")
-    placed = nodes.select("node", "least").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    placed = ws.save(placed, "placed")
-    least = ws.save(placed.groupBy("label").agg(F.min("least").alias("component")), "smallest")
-    placed = ws.save(placed.join(least, "label").select("node", "component"), "least")
-    gone = ws.save(sigs.select("id", "node").join(placed, "node").where("id <> component").select("id").distinct(), "gone")
+    sigs = ws.save(signatures(docs.select(key.alias("id"), F.col(text_col).alias("text")), shingle), "signatures")
+    nodes = sigs.groupBy("node").agg(F.first("sig").alias("sig"), F.first("anchors").alias("anchors"), F.min("id").alias("least"))
+    nodes = ws.save(nodes, "nodes")
+    masks = F.array(*[F.lit(m).cast("bigint") for m in covering_masks(list(range(64)), 3)])
+    by_mask = lambda df: df.select("node", "label", F.col("sig")[0].alias("w"), F.explode(masks).alias("m")).select("node", "label", F.xxhash64("m", F.col("w").bitwiseAND(F.col("m"))).alias("key"), F.lit(0).alias("block"))
+    by_anchor = lambda df: df.select("node", "label", F.posexplode("anchors").alias("block", "x")).select("node", "label", F.xxhash64("block", "x").alias("key"), "block")
+    steps = {"covering": by_mask, "first": lambda df: by_anchor(df).where("block = 0"), "anchors": lambda df: by_anchor(df).where("block > 0")}
+    labels, held = None, nodes.withColumn("label", F.col("node"))
+    for name, deal in steps.items():
+        pairs = ws.save(pairs_of_buckets(deal(held), held.select("node", "label", "sig"), ws, limit), f"{name}-pairs")
+        wanted = ws.save(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "least"), "node"), "wanted")
+        sets = sigs.select(F.col("id").alias("least"), "node", "shingles").join(wanted, ["least", "node"]).dropDuplicates(["node"])
+        links = verified(pairs, ws.save(sets, "sets"), similarity)
+        links = links if labels is None else links.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
+        labels = ws.save(connected_components(ws.save(links, "links"), ws), f"{name}-components")
+        held = ws.save(nodes.select("node", "sig", "anchors").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+    least = least_ids(nodes, labels, ws)
+    gone = ws.save(sigs.select("id", "node").join(least, "node").where("id <> component").select("id").distinct(), "gone")
     kept = docs.withColumn("__key", key).join(gone.withColumnRenamed("id", "__gone"), F.col("__key") == F.col("__gone"), "left_anti")
     return kept.dropDuplicates(["__key"]).drop("__key")

@@ -217,7 +217,7 @@ def test_large_buckets_are_dealt_again(spark):
     base = 0x0123456789ABCDEF
     fps = [base] + [base ^ (1 << b) for b in range(60)]
     nodes = spark.createDataFrame([(f, [f]) for f in fps], "node long, sig array<long>")
-    links = simhash.covering_links(nodes, Workspace(spark), 3, 3, list(range(64)), most=8)
+    links = simhash.covering_links(nodes, Workspace(spark), 3, list(range(64)), most=8)
     got = dict(connected_components(links, Workspace(spark)).collect())
     assert len(got) == 61 and len(set(got.values())) == 1
 
@@ -229,9 +229,35 @@ def test_near_duplicates_keep_one(spark, docs, empty):
     assert simhash.drop_near_duplicates(empty).count() == 0
 
 
-def test_near_duplicate_recall_does_not_fall_with_size():
-    for n in (10_000, 200_000, 15_000_000):
-        assert simhash.block_recall(n, 0.8, 53, 5, 0.95)[2] >= 0.95
+def near_pairs_in_one_bucket(spark, copies, others):
+    """Entries that put everything into one bucket: `copies` signatures near to each other, and `others` pairs near by."""
+    r = np.random.default_rng(5)
+    flip = lambda sig, k: sig ^ np.bitwise_or.reduce([np.array([(1 << (b % 64)) if b // 64 == w else 0 for w in range(4)], dtype=np.uint64) for b in r.choice(256, k, replace=False)])
+    base = r.integers(0, 1 << 63, 4).astype(np.uint64)
+    sigs = [flip(base, 3) for _ in range(copies)]
+    for _ in range(others):
+        x = r.integers(0, 1 << 63, 4).astype(np.uint64)
+        sigs += [x, flip(x, 12)]
+    rows = [(i, i, [int(v) for v in s.view(np.int64)]) for i, s in enumerate(sigs)]
+    nodes = spark.createDataFrame(rows, "node long, label long, sig array<long>")
+    return nodes, nodes.select("node", "label", F.lit(1).cast("bigint").alias("key"), F.lit(0).alias("block"))
+
+
+def test_a_large_bucket_is_split_and_keeps_its_links(spark):
+    nodes, entries = near_pairs_in_one_bucket(spark, 300, 150)
+    whole = simhash.pairs_of_buckets(entries, nodes, Workspace(spark), 53, most=1024).collect()
+    split = simhash.pairs_of_buckets(entries, nodes, Workspace(spark), 53, most=40).collect()
+    for pairs, least in ((whole, 1.0), (split, 0.95)):
+        got = dict(connected_components(spark.createDataFrame(pairs, "a long, b long"), Workspace(spark)).collect())
+        assert len({got[i] for i in range(300)}) == 1
+        assert sum(got.get(i) == got.get(i + 1) is not None for i in range(300, 600, 2)) >= least * 150
+
+
+def test_near_copies_of_a_large_group_make_few_pairs(spark):
+    nodes, _ = near_pairs_in_one_bucket(spark, 1000, 0)
+    masks = F.array(*[F.lit(m).cast("bigint") for m in simhash.covering_masks(list(range(64)), 3)])
+    entries = nodes.select("node", "label", F.col("sig")[0].alias("w"), F.explode(masks).alias("m")).select("node", "label", F.xxhash64("m", F.col("w").bitwiseAND(F.col("m"))).alias("key"), F.lit(0).alias("block"))
+    assert simhash.pairs_of_buckets(entries, nodes, Workspace(spark), 53).count() < 60 * 1000
 
 
 def test_near_duplicates_are_verified_on_shingles(spark):
