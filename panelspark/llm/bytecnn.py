@@ -23,24 +23,25 @@ class ByteCNN:
         self._tables = None
 
     def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 800, batch: int = 64, rate: float = 4e-3, seed: int = 11, crop: int | None = None) -> ByteCNN:
-        """x (n, length) uint8. Adam on the weighted cross-entropy, about `steps` batches however many rows. crop: in half of the batches only so many bytes."""
+        """x (n, length) uint8. Adam on the weighted cross-entropy, `steps` batches however many rows. crop: half of the batches
+        are cut to a random length of at least so many bytes."""
         g = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(u) for k, u in self.p.items()}
-        t = 0
-        for _ in range(max(1, round(steps * batch / max(1, len(x))))):
-            order = g.permutation(len(x))
-            for i in range(0, len(x), batch):
-                rows = order[i : i + batch]
-                part = x[rows]
-                if crop and g.random() < 0.5:
-                    part = part[:, : int(g.integers(crop, part.shape[1] + 1))]
-                grad = self._gradient(part, y[rows], weight[rows])
-                t += 1
-                for k, d in grad.items():
-                    m[k] += 0.1 * (d - m[k])
-                    v[k] += 0.001 * (d * d - v[k])
-                    self.p[k] -= rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
+        order, at = g.permutation(len(x)), 0
+        for t in range(1, steps + 1):
+            if at >= len(x):
+                order, at = g.permutation(len(x)), 0
+            rows = order[at : at + batch]
+            at += batch
+            part = x[rows]
+            if crop and g.random() < 0.5:
+                part = part[:, : int(g.integers(crop, part.shape[1] + 1))]
+            grad = self._gradient(part, y[rows], weight[rows])
+            for k, d in grad.items():
+                m[k] += 0.1 * (d - m[k])
+                v[k] += 0.001 * (d * d - v[k])
+                self.p[k] -= rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
         self._tables = None
         return self
 
@@ -98,22 +99,25 @@ class ByteCNN:
             code = part[:, :-1] * 256 + part[:, 1:]
             r = first.take(code, axis=0)
             pooled[i : i + step, :f] = r[:, :, :f].max(axis=1)
-            r = r[:, :-2, f:]
-            r += last.take(code[:, 2:], axis=0)
-            # a width-3 filter may also end at the very last byte; the pad column keeps windows whole
-            pooled[i : i + step, f:] = r.max(axis=1)
+            r = r[:, :-1, f:]
+            r += last.take(np.concatenate([code[:, 2:], part[:, -1:] * 256], axis=1), axis=0)  # the last place of width 3 has one byte left
+            pooled[i : i + step, f : 2 * f] = r[:, :, :f].max(axis=1)
+            pooled[i : i + step, 2 * f :] = r[:, :-1, f:].max(axis=1)
         z = np.maximum(pooled + self.p["bias"], 0) @ self.p["out"] + self.p["prior"]
         q = np.exp(z - z.max(axis=1, keepdims=True))
         return q / q.sum(axis=1, keepdims=True)
 
 
 def windows(data: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Fixed windows over whole texts, the last padded with zero bytes: (rows (n, length), text index, bytes held)."""
+    """Fixed windows over whole texts, the last padded with zero bytes: (rows (n, length), text index, new bytes). Neighbours
+    share as many bytes as the widest filter less one, so no place of a filter is lost at an edge."""
+    share = max(WIDTHS) - 1
+    step = length - share
     sizes = np.array([len(d) for d in data], dtype=np.int64)
-    counts = -(-sizes // length)
+    counts = np.where(sizes > 0, 1 + np.maximum(0, -(-(sizes - length) // step)), 0)
+    buf = np.frombuffer(b"".join(d + bytes(length) for d in data), dtype=np.uint8)
     owner = np.repeat(np.arange(len(data)), counts)
-    rows = np.frombuffer(b"".join(d.ljust(int(c) * length, b"\0") for d, c in zip(data, counts, strict=True)), dtype=np.uint8).reshape(-1, length)
-    held = np.full(len(owner), length, dtype=np.int64)
-    lasts = np.cumsum(counts)[counts > 0] - 1
-    held[lasts] = (sizes - (counts - 1) * length)[counts > 0]
-    return rows, owner, held
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+    starts = (np.cumsum(sizes + length) - sizes - length)[owner] + nth * step
+    rows = np.lib.stride_tricks.sliding_window_view(buf, length)[starts] if len(owner) else np.empty((0, length), np.uint8)
+    return rows, owner, np.minimum(length, sizes[owner] - nth * step) - np.where(nth > 0, share, 0)

@@ -17,15 +17,24 @@ def fold_of(id_col: str) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4
 
 
-def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int = 8000, length: int = 256) -> tuple[ByteCNN, list[str]]:
-    """Fits on at most `sample` labelled rows of the folds 0, 1 and 3: those with the smallest hashes of their ids, and of
-    each a passage of at most `length` characters at a place given by the hash. Classes are weighted by the inverse root
-    of their frequency. Without labelled rows the class list is empty."""
+def hashed_sample(rows: DataFrame, key: Column, sample: int, columns: list[str]) -> DataFrame:
+    """About `sample` of the rows, those with the smallest hashes of key; rows of equal hash count once. The rows are counted
+    first and a bound on the hash leaves about 1.5 times as many as asked for, so what is sorted and sent is bounded however
+    many partitions there are."""
+    share = min(1.0, 1.5 * (sample + 50) / max(1, rows.count()))
+    bound = min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))
+    hashed = rows.select(F.xxhash64(key).alias("rank"), F.struct(*columns).alias("row")).where(F.col("rank") <= bound)
+    return hashed.groupBy("rank").agg(F.min("row").alias("row")).orderBy("rank").limit(sample).select("row.*")
+
+
+def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int = 8000, length: int = 512) -> tuple[ByteCNN, list[str]]:
+    """Fits on about `sample` labelled rows of the folds 0, 1 and 3: those with the smallest hashes of their ids, and of
+    each `length` bytes from a place given by the hash, as long as a window of a prediction. Classes are weighted by the
+    inverse root of their frequency. Without labelled rows the class list is empty."""
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (F.coalesce(fold_of(id_col), F.lit(2)) != 2))
-    rank = F.xxhash64(F.lit("train"), F.col(id_col))
-    start = F.pmod(F.xxhash64(F.lit("start"), F.col(id_col)), F.greatest(F.length(text_col) - length, F.lit(1))).cast("int") + 1
-    rows = rows.select(rank.alias("rank"), F.substr(text_col, start, F.lit(length)).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    rows = rows.orderBy("rank", "text").limit(sample).toPandas()
+    start = F.pmod(F.xxhash64(F.lit("start"), F.col(id_col)), F.greatest(F.length(text_col) - length // 2, F.lit(1))).cast("int") + 1
+    rows = rows.select(F.col(id_col).alias("id"), F.substr(text_col, start, F.lit(length)).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    rows = hashed_sample(rows, F.concat(F.lit("train"), F.col("id").cast("string")), sample, ["text", "lang"]).toPandas()
     langs = sorted(rows["lang"].unique())
     if len(langs) < 1:
         return ByteCNN(1), []
@@ -37,10 +46,10 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: in
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 8000, window: int = 512) -> DataFrame:
-    """(id, held_out, lang_pred, score) per row. Whole texts are scored in fixed windows of bytes; their probabilities are
-    averaged by bytes held; score is the winner's mean. `und` with score 0 for null texts, texts without a letter, and
+    """(id, held_out, lang_pred, score) per row. Whole texts are scored in fixed overlapping windows of bytes; their
+    probabilities are averaged by new bytes held; score is the winner's mean. `und` with score 0 for null texts, texts without a letter, and
     where no labelled row exists. held_out: fold 2 (false for null ids). Ties take the first language by name. Repeated
-    rows get a row each; an empty table none. Only the bounded training sample reaches the driver."""
+    rows get a row each; an empty table none. Very long texts cost more windows; extra columns are ignored. Only the bounded training sample reaches the driver."""
     net, langs = train(docs, id_col, text_col, lang_col, sample)
 
     def run(batches):
@@ -63,6 +72,6 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
                     todo, size = [], 0
             yield pd.DataFrame({"id": pdf["id"], "held_out": pdf["held_out"], "lang_pred": pred, "score": np.clip(score, 0, 1)})
 
-    slim = docs.select(F.col(id_col).alias("id"), F.coalesce(fold_of(id_col) == 2, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
-    out = slim.mapInPandas(run, f"id {dict(slim.dtypes)['id']}, held_out boolean, lang_pred string, score double")
-    return out.withColumnRenamed("id", id_col)
+    slim = docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(fold_of(id_col) == 2, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
+    out = slim.mapInPandas(run, "id string, held_out boolean, lang_pred string, score double")  # a string: pandas has no null integers
+    return out.select(F.col("id").cast(dict(docs.dtypes)[id_col]).alias(id_col), "held_out", "lang_pred", "score")
