@@ -36,11 +36,11 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """law is rows: shard counts differ by at most one."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
-    out = hilbert_shards(docs, ["lang", "source", "n_chars"], 24, tie_cols=["doc_id"])
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8
     crc = F.crc32(F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")))
-    return out.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars", size.alias("size"), crc.alias("text_crc32"))
+    out = hilbert_shards(docs, ["lang", "source", "n_chars"], 24, tie_cols=["doc_id"])
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
 
 
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,12 +62,23 @@ def hilbert_index(coords: list[Column], bits: int) -> Column:
     return F.aggregate(F.array(*corners), start, step)["h"]
 
 
-def ordinal(column: str, dtype: str) -> Column:
-    """A number that keeps the order of the column: numbers as they are, strings by their first six bytes; null is lowest."""
+def ordinal(column: str, dtype: str, shared: int = 0) -> Column:
+    """A number that keeps the order of the column: numbers as they are, strings by the six bytes after the first `shared`
+    ones, which all have in common; null is lowest."""
     if dtype == "string":
-        head = F.rpad(F.hex(F.substring(F.encode(F.col(column), "UTF-8"), 1, 6)), 12, "0")
+        head = F.rpad(F.hex(F.substring(F.encode(F.col(column), "UTF-8"), shared + 1, 6)), 12, "0")
         return F.coalesce(F.conv(head, 16, 10).cast("double"), F.lit(-1.0))
-    return F.coalesce(F.col(column).cast("double"), F.lit(-1.0))
+    return F.coalesce(F.col(column).cast("double"), F.lit(float("-inf")))
+
+
+def shared_prefixes(docs: DataFrame, dims: list[str]) -> dict[str, int]:
+    """Bytes that all strings of each string dimension begin with, from its smallest and largest."""
+    names = [c for c in dims if dict(docs.dtypes)[c] == "string"]
+    if not names:
+        return {}
+    ends = docs.agg(*[f(F.encode(F.col(c), "UTF-8")).alias(f"{c}_{k}") for c in names for k, f in (("lo", F.min), ("hi", F.max))]).first()
+    pairs = {c: (bytes(ends[f"{c}_lo"] or b""), bytes(ends[f"{c}_hi"] or b"")) for c in names}
+    return {c: len(os.path.commonprefix([lo, hi])) for c, (lo, hi) in pairs.items()}
 
 
 def hilbert_shards(docs: DataFrame, dims: list[str], n_shards: int = 24, bits: int = 4, tie_cols: list[str] | None = None) -> DataFrame:
@@ -81,7 +94,8 @@ def hilbert_shards(docs: DataFrame, dims: list[str], n_shards: int = 24, bits: i
     spark, ws = docs.sparkSession, Workspace(docs.sparkSession)
     docs = docs.drop("hilbert", "shard", "slot", "__run", "__at")
     types = dict(docs.dtypes)
-    numbers = {f"__d{i}": ordinal(c, types[c]) for i, c in enumerate(dims)}
+    shared = shared_prefixes(docs, dims)
+    numbers = {f"__d{i}": ordinal(c, types[c], shared.get(c, 0)) for i, c in enumerate(dims)}
     cuts = [k / 2**bits for k in range(1, 2**bits)]
     bounds = docs.agg(*[F.percentile_approx(x, cuts, 2000).alias(c) for c, x in numbers.items()])
     bounds = bounds.first()  # one row of (2^bits - 1) numbers a dimension
@@ -102,3 +116,19 @@ def hilbert_shards(docs: DataFrame, dims: list[str], n_shards: int = 24, bits: i
     out = out.withColumn("shard", F.expr(f"cast(__k * {n_shards} div __total as int)"))
     out = out.withColumn("slot", F.expr(f"__k - (shard * __total + {n_shards - 1}) div {n_shards}"))
     return out.drop("__run", "__at", "__from", "__total", "__k")
+
+
+def write_shards(sharded: DataFrame, folder: str, dims: list[str]) -> DataFrame:
+    """Writes the rows of hilbert_shards as one folder a shard, sorted by slot, and returns the pruning table: shard, rows,
+    and the smallest and largest value and the number of nulls of each dimension."""
+    sharded.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(folder)
+    ends = [f(F.col(c)).alias(f"{c}_{k}") for c in dims for k, f in (("lo", F.min), ("hi", F.max), ("nulls", lambda x: F.count_if(x.isNull())))]
+    return sharded.groupBy("shard").agg(F.count(F.lit(1)).alias("rows"), *ends)
+
+
+def shards_for(pruning: DataFrame, box: dict[str, tuple]) -> DataFrame:
+    """The shards that can hold a row inside the box {dimension: (least, most)}; the others need not be read."""
+    keep = F.lit(True)
+    for c, (lo, hi) in box.items():
+        keep = keep & (F.col(f"{c}_lo") <= F.lit(hi)) & (F.col(f"{c}_hi") >= F.lit(lo))
+    return pruning.where(keep).select("shard", "rows")

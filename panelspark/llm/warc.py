@@ -201,7 +201,7 @@ def read_archives(spark: SparkSession, manifest: DataFrame, split_bytes: int = 6
     columns = [x.split()[0] for x in RECORD_SCHEMA.split(", ")]
     cuts = manifest.where("bytes > 0").select("path", "bytes", F.explode(F.sequence(F.lit(0), F.col("bytes") - 1, F.lit(split_bytes))).alias("start"))
     cuts = cuts.select("path", "start", F.least(F.col("start") + split_bytes, "bytes").alias("stop"))
-    return cuts.repartition("path", "start").mapInPandas(run, RECORD_SCHEMA)
+    return cuts.repartition(max(1, cuts.count())).mapInPandas(run, RECORD_SCHEMA)  # a number: else these few rows are put into one task
 
 
 def with_revisits(pages: DataFrame, id_col: str, payload_col: str, least_bytes: int = 0) -> DataFrame:
