@@ -91,16 +91,46 @@ def test_leaks_and_paraphrase(spark, empty):
     item = prose(11, 30) + ". The answer is omega"
     words = item.split()
     loose = " ".join(w for i, w in enumerate(words) if i % 7 != 3)
-    texts = [prose(12, 60) + " " + item.upper().lower() + " " + prose(13, 60), prose(14, 300), prose(15, 40) + " " + loose + " " + prose(16, 40), None, "", item]
+    texts = [prose(12, 60) + " " + item.upper().lower() + " " + prose(13, 60), prose(14, 300), prose(15, 40) + " " + loose + " " + prose(16, 40), None, "", item, "a b Too Short but (exact) c", "too short exact but"]
     df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, item_id string")
-    bench = spark.createDataFrame([(5, item), (6, None), (7, "too short"), (8, prose(17, 40))], "item_id long, text string")
+    bench = spark.createDataFrame([(5, item), (6, None), (7, "too short"), (8, prose(17, 40)), (9, "too short, but exact")], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(df, bench).collect()}
-    assert got == {(0, 5), (2, 5), (5, 5)}
+    assert got == {(0, 5), (2, 5), (5, 5), (6, 9)}
     kept = {r.doc_id for r in decontaminate.drop_contaminated(df, bench).collect()}
-    assert kept == {1, 3, 4}
+    assert kept == {1, 3, 4, 7}
     assert decontaminate.find_leaks(empty, bench).count() == 0 and decontaminate.find_leaks(df, bench.limit(0)).count() == 0
 
 
+def test_leaks_equal_brute_force_on_paraphrases(spark):
+    """Items with shares of their words replaced, anywhere in a document, against the LCS and answer rules on every region."""
+    r = random.Random(21)
+    items = [prose(100 + i, r.randrange(15, 60)) + ". " + prose(200 + i, 4) for i in range(40)]
+    docs = []
+    for i in range(240):
+        words = items[i % 40].split()
+        for j in r.sample(range(len(words)), round((0.05, 0.15, 0.25, 0.33, 0.38, 0.6)[i % 6] * len(words))):
+            words[j] = r.choice(WORDS) + str(r.randrange(300))
+        docs.append(prose(1000 + i, r.randrange(200)) + " " + " ".join(words) + " " + prose(2000 + i, r.randrange(200)))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, t) for i, t in enumerate(items)], "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontaminate.find_leaks(df, bench).collect()}
+    want, loose = set(), set()
+    split = [decontaminate.normal(t).split() for t in items]
+    ends = [decontaminate.answer_of(t).split() for t in items]
+    for d, t in enumerate(docs):
+        w = decontaminate.normal(t).split()
+        for k, item in enumerate(split):
+            n = len(item)
+            for s in range(0, max(1, len(w) - n + 1), max(1, n // 8)):
+                share, kept = decontaminate.lcs_length(item, w[s : s + n + n // 8]) / n, decontaminate.lcs_length(ends[k], w[s : s + n + n // 8]) / len(ends[k])
+                if share >= 0.8 or (share >= 0.6 and kept >= 0.8):
+                    want.add((d, k))
+            share, kept = decontaminate.lcs_length(item, w) / n, decontaminate.lcs_length(ends[k], w) / len(ends[k])
+            if share >= 0.8 or (share >= 0.6 and kept >= 0.8):
+                loose.add((d, k))
+    assert len(want) >= 80 and len(want & got) >= 0.95 * len(want) and got <= loose
+
+
 def test_lcs_equals_brute_force():
     r = random.Random(5)
     for _ in range(50):
