@@ -138,17 +138,8 @@ def covering_links(nodes: DataFrame, ws: Workspace, radius: int, positions: list
     return found
 
 
-def pairs_of_buckets(entries: DataFrame, nodes: DataFrame, ws: Workspace, limit: int, most: int = 1024) -> DataFrame:
-    """entries (node, label, key, block) deal nodes (node, label, sig of 256 bits) into buckets -> candidate pairs (a, b), a < b:
-    of one bucket, of different labels, within `limit` bits (see _near_pairs).
-
-    A bucket of more than `most` nodes is dealt again by a covering of radius 5 over 40 bits of the signature that start
-    at 40 x block, and what is still larger by the next block, so that no bucket is collected whole however many rows
-    share its key. Buckets that stay larger after both (their nodes agree on about 40 bits) are cut into parts by a hash,
-    each with the bucket's smallest node, which ties the parts of a group of copies together. Buckets whose nodes have one
-    label already cost a row a task."""
-    masks = F.array(*[F.lit(m).cast("bigint") for m in covering_masks(list(range(40)), 5)])
-    slim = F.concat(F.array("node", "label"), "sig")
+def _pairs_within(limit: int):
+    """The task that turns buckets (n, members: node, label, sig) into candidate pairs (a, b), a < b; see _near_pairs."""
 
     def pairs(batches):
         for pdf in batches:
@@ -161,31 +152,69 @@ def pairs_of_buckets(entries: DataFrame, nodes: DataFrame, ws: Workspace, limit:
                 b.append(np.maximum(rows[i, 0], rows[j, 0]))
             yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
 
+    return pairs
+
+
+def pairs_of_buckets(entries: DataFrame, nodes: DataFrame, ws: Workspace, limit: int, most: int = 512) -> DataFrame:
+    """entries (node, label, base, used) deal nodes (node, label, sig of 256 bits, anchors) into buckets, by base and by the
+    anchors whose bits are set in used -> candidate pairs (a, b), a < b: of one bucket, of different labels, within `limit`
+    bits (see _near_pairs).
+
+    A bucket of more than `most` nodes is never collected whole. If all but most / 2 of its nodes have one label, those are
+    cut into parts, and the others, which stand in every part, meet all of them. Else it is dealt again by one more anchor,
+    then another (a pair shares each with the probability of its similarity), then by a covering of radius 3 over 28 bits
+    of the signature. What is larger still has two equal anchors and equal bits besides; it is cut by a hash, and its
+    smallest node stands in every part, which ties a group of copies together. Buckets of one label cost a row a task."""
+    masks = F.array(*[F.lit(m).cast("bigint") for m in covering_masks(list(range(28)), 3)])
+    slim = F.concat(F.array("node", "label"), "sig")
+    chosen = F.expr("transform(anchors, (x, i) -> if(shiftright(used, i) % 2 = 1, x, 0L))")
+    key = F.xxhash64("base", "used", chosen)
     found = None
-    for level in range(3):
-        sizes = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("l0"), F.max("label").alias("l1"), F.min("node").alias("first")).where("l0 <> l1")
-        sizes = ws.save(sizes.select("key", "n", "first"), f"buckets{level}")
-        held = entries.join(sizes, "key")
-        large = sizes.where(F.col("n") > most).limit(1).count() > 0
-        small = held.where(F.col("n") <= most).select("key", "node") if large else held.select("key", "node")
-        if large and level == 2:
-            part = F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("n") / (most - 1)))
-            deal = lambda key, node, p: F.struct(F.xxhash64(key, p).alias("key"), node.alias("node"))
-            parts = held.where(F.col("n") > most).withColumn("p", part)
-            parts = parts.select(F.inline(F.array(deal("key", F.col("node"), F.col("p")), deal("key", F.col("first"), F.col("p"))))).distinct()
-            small, large = small.unionByName(parts), False
-        members = small.join(nodes, "node").groupBy("key").agg(F.collect_list(slim).alias("x"))
-        new = members.select(F.size("x").alias("n"), F.flatten("x").alias("members")).mapInPandas(pairs, "a bigint, b bigint")
+
+    def met(members: DataFrame) -> DataFrame:
+        lists = members.join(nodes.select("node", "label", "sig"), "node").groupBy("key").agg(F.collect_list(slim).alias("x"))
+        return lists.select(F.size("x").alias("n"), F.flatten("x").alias("members")).mapInPandas(_pairs_within(limit), "a bigint, b bigint")
+
+    rows = entries.join(nodes.select("node", "anchors"), "node").withColumn("key", key).drop("anchors")
+    for level in range(4):
+        rows = ws.save(rows.select("node", "label", "base", "used", "key"), f"dealt{level}")
+        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("l0"), F.max("label").alias("l1"), F.min("node").alias("least")).where("l0 <> l1")
+        sizes = ws.save(sizes.select("key", "n", "least"), f"buckets{level}")
+        new = met(rows.join(sizes.where(F.col("n") <= most), "key").select("node", "key"))
         found = new if found is None else found.unionByName(new)
-        if not large:
+        if sizes.where(F.col("n") > most).limit(1).count() == 0:
             break
-        word = F.element_at(F.array(*[_word(40 * b) for b in range(6)]), (F.col("block") + level) % 6 + 1)
-        again = held.where(F.col("n") > most).select("node", "key", "block").join(nodes, "node").select("node", "label", "key", "block", word.alias("w"))
-        again = again.select("node", "label", "block", "key", "w", F.explode(masks).alias("m"))
-        entries = again.select("node", "label", F.xxhash64("key", "m", F.col("w").bitwiseAND(F.col("m"))).alias("key"), "block")
+        large = ws.save(rows.join(sizes.where(F.col("n") > most), "key"), f"large{level}")
+        tops = large.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("top"), (F.sum("c") - F.max("c")).alias("others"))
+        large = large.join(ws.save(tops, f"tops{level}"), "key")
+        parts = F.ceil(F.col("n") / (most // 2)).cast("int")
+        own = F.array(F.pmod(F.xxhash64("node", "key"), parts).cast("int"))
+        every = F.sequence(F.lit(0), parts - 1)
+        few = F.col("others") <= most // 2
+        at = F.when(few & (F.col("label") != F.col("top")), every).when(~few & (F.col("node") == F.col("least")), every).otherwise(own)
+        cut = large if level == 3 else large.where(few)
+        found = found.unionByName(met(cut.select("node", F.explode(at).alias("p"), "key").select("node", F.xxhash64("key", "p").alias("key"))))
+        rest = large.where(~few)
+        if level < 2:
+            rest = rest.select("node", "label", "base", F.explode(F.expr("transform(filter(sequence(0, 5), k -> shiftright(used, k) % 2 = 0), k -> used + shiftleft(1, k))")).alias("used")).distinct()
+            rows = rest.join(nodes.select("node", "anchors"), "node").withColumn("key", key)
+        else:
+            word = F.element_at(F.array(*[_word(40 * k) for k in range(6)]), F.col("used") % 6 + 1)
+            rest = rest.join(nodes.select("node", "sig"), "node").select("node", "label", "base", "used", "key", word.alias("w"), F.explode(masks).alias("m"))
+            rows = rest.withColumn("key", F.xxhash64("key", "m", F.col("w").bitwiseAND(F.col("m"))))
     return found.distinct()
 
 
+def pairs_with_leaders(entries: DataFrame, nodes: DataFrame, limit: int) -> DataFrame:
+    """Candidate pairs (a, b) of each node and the smallest node of each of its buckets, within `limit` bits: a row an entry,
+    however large the bucket."""
+    least = entries.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "a")
+    pairs = entries.join(least, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    x, y = (nodes.select(F.col("node").alias(c), F.col("sig").alias(d)) for c, d in (("a", "x"), ("b", "y")))
+    far = sum([F.bit_count(F.col("x")[k].bitwiseXOR(F.col("y")[k])) for k in range(4)], F.lit(0))
+    return pairs.join(x, "a").join(y, "b").where(far <= limit).select("a", "b")
+
+
 def _word(at: int) -> Column:
     """64 bits of the signature from bit `at` on, the first lowest."""
     at, bit = divmod(at, 64)
@@ -277,8 +306,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     1. in one of the 15 tables of a covering of radius 3 over the first 64 bits, as all within that radius do;
     2. at a smaller similarity, where fingerprints differ in more bits than any covering of practical size allows, in a
        group that shares the smallest shingle under one of six mixings (a pair shares each with the probability of its
-       similarity, whatever the size of the corpus); groups of more than 1024 nodes are split by coverings.
-    Each step contracts what the one before has linked, so a group of copies makes few candidates later.
+       similarity, whatever the size of the corpus); how large groups are split is said in pairs_of_buckets.
+    Before both, every text is compared with the smallest node of each of its groups, and each step contracts what the one
+    before has linked, so a group of copies makes few candidates later.
 
     Rows are told apart by id and text, so null and repeated ids lose no other text; of rows equal in both one stays. Ties
     of ids go by a hash of the text. Rows with null ids go last. Wordless texts are one group. Very long texts are read
@@ -291,12 +321,16 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     nodes = sigs.groupBy("node").agg(F.first("sig").alias("sig"), F.first("anchors").alias("anchors"), F.min("id").alias("least"))
     nodes = ws.save(nodes, "nodes")
     masks = F.array(*[F.lit(m).cast("bigint") for m in covering_masks(list(range(64)), 3)])
-    by_mask = lambda df: df.select("node", "label", F.col("sig")[0].alias("w"), F.explode(masks).alias("m")).select("node", "label", F.xxhash64("m", F.col("w").bitwiseAND(F.col("m"))).alias("key"), F.lit(0).alias("block"))
-    by_anchor = lambda df: df.select("node", "label", F.posexplode("anchors").alias("block", "x")).select("node", "label", F.xxhash64("block", "x").alias("key"), "block")
-    steps = {"covering": by_mask, "first": lambda df: by_anchor(df).where("block = 0"), "anchors": lambda df: by_anchor(df).where("block > 0")}
+    deal = {
+        "leaders": lambda df: df.select("node", F.posexplode("anchors").alias("k", "x")).select("node", F.xxhash64("k", "x").alias("key")),
+        "covering": lambda df: df.select("node", "label", F.col("sig")[0].alias("w"), F.explode(masks).alias("m")).select("node", "label", F.xxhash64("m", F.col("w").bitwiseAND(F.col("m"))).alias("base"), F.lit(0).alias("used")),
+        "anchors": lambda df: df.select("node", "label", F.lit(0).cast("bigint").alias("base"), F.explode(F.array(*[F.lit(1 << k) for k in range(ANCHORS)])).alias("used")),
+    }
     labels, held = None, nodes.withColumn("label", F.col("node"))
-    for name, deal in steps.items():
-        pairs = ws.save(pairs_of_buckets(deal(held), held.select("node", "label", "sig"), ws, limit), f"{name}-pairs")
+    for name in deal:
+        entries = deal[name](held)
+        pairs = pairs_with_leaders(ws.save(entries, "entries"), held, limit) if name == "leaders" else pairs_of_buckets(entries, held, ws, limit)
+        pairs = ws.save(pairs, f"{name}-pairs")
         wanted = ws.save(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "least"), "node"), "wanted")
         sets = sigs.select(F.col("id").alias("least"), "node", "shingles").join(wanted, ["least", "node"]).dropDuplicates(["node"])
         links = verified(pairs, ws.save(sets, "sets"), similarity)

@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+ARROW_BYTES = 32 << 20  # what a Python task gets at once; a session that asks for less keeps its own
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; a folder of our own only where the session names none (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -24,6 +27,8 @@ class Workspace:
         self.spark = spark
         self.path = f"{shared_dir(spark)}/ws-{uuid.uuid4().hex}"
         self._n = 0
+        if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("bB")) not in range(1, ARROW_BYTES + 1):
+            spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
     def folder(self, name: str) -> str:
         self._n += 1

@@ -329,7 +329,8 @@ def near_pairs_in_one_bucket(spark, copies, others):
         sigs += [x, flip(x, 12)]
     rows = [(i, i, [int(v) for v in s.view(np.int64)]) for i, s in enumerate(sigs)]
     nodes = spark.createDataFrame(rows, "node long, label long, sig array<long>")
-    return nodes, nodes.select("node", "label", F.lit(1).cast("bigint").alias("key"), F.lit(0).alias("block"))
+    anchors = F.array(*[F.when(F.col("node") < copies, F.lit(k).cast("bigint")).otherwise(F.xxhash64(F.lit(k), F.floor(F.col("node") / 2))) for k in range(6)])
+    return nodes.withColumn("anchors", anchors), nodes.select("node", "label", F.lit(1).cast("bigint").alias("base"), F.lit(0).alias("used"))
 
 
 def test_a_large_bucket_is_split_and_keeps_its_links(spark):
@@ -345,8 +346,19 @@ def test_a_large_bucket_is_split_and_keeps_its_links(spark):
 def test_near_copies_of_a_large_group_make_few_pairs(spark):
     nodes, _ = near_pairs_in_one_bucket(spark, 1000, 0)
     masks = F.array(*[F.lit(m).cast("bigint") for m in simhash.covering_masks(list(range(64)), 3)])
-    entries = nodes.select("node", "label", F.col("sig")[0].alias("w"), F.explode(masks).alias("m")).select("node", "label", F.xxhash64("m", F.col("w").bitwiseAND(F.col("m"))).alias("key"), F.lit(0).alias("block"))
+    entries = nodes.select("node", "label", F.col("sig")[0].alias("w"), F.explode(masks).alias("m")).select("node", "label", F.xxhash64("m", F.col("w").bitwiseAND(F.col("m"))).alias("base"), F.lit(0).alias("used"))
     assert simhash.pairs_of_buckets(entries, nodes, Workspace(spark), 53).count() < 60 * 1000
+    one = nodes.select("node", F.lit(1).cast("bigint").alias("key"))
+    assert simhash.pairs_with_leaders(one, nodes, 53).count() == 999
+
+
+def test_a_large_group_of_one_label_meets_all_others(spark):
+    nodes, entries = near_pairs_in_one_bucket(spark, 400, 10)
+    nodes = nodes.withColumn("label", F.when(F.col("node") < 395, F.lit(0)).otherwise(F.col("node")))
+    entries = entries.drop("label").join(nodes.select("node", "label"), "node")
+    got = {(r.a, r.b) for r in simhash.pairs_of_buckets(entries, nodes, Workspace(spark), 53, most=60).collect()}
+    assert all(any(b == x for _, b in got) or any(a == x for a, _ in got) for x in range(395, 420))
+    assert all((x, x + 1) in got for x in range(400, 420, 2))
 
 
 def test_near_duplicates_are_verified_on_shingles(spark):
