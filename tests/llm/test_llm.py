@@ -75,6 +75,47 @@ def test_repeated_passages(spark, docs, empty):
     assert substrings.repeated_passages(empty).count() == 0
 
 
+def test_passages_of_one_id_and_several_texts(spark):
+    p, q = prose(70, 60), prose(71, 60)
+    rows = [(1, prose(72, 90)), (1, "x " + p), (2, p + " y"), (None, q), (None, "z " + q), (3, None)]
+    got = {(r.doc_id, r.source_id) for r in substrings.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(2, 1), (None, None)}
+
+
+def test_fuzzy_passages_by_length_and_identity(spark):
+    """Planted passages with replaced words, each in two documents; recall against the plain count of equal words."""
+    r = random.Random(31)
+    word = lambda: f"w{r.randrange(20000)}"
+    rows, planted = [], {}
+    for length in (60, 100):
+        for share in (0.0, 0.05, 0.1, 0.15):
+            for _ in range(60):
+                passage = [word() for _ in range(length)]
+                other = [word() if r.random() < share else x for x in passage]
+                i = len(rows)
+                for part in (passage, other):
+                    rows.append((len(rows), " ".join([word() for _ in range(r.randrange(20, 80))] + part + [word() for _ in range(r.randrange(20, 80))])))
+                planted[i, i + 1] = (length, share)
+    got = {(x.source_id, x.doc_id) for x in substrings.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = Counter(planted[p] for p in got if p in planted)
+    assert not got - set(planted)
+    assert all(found[length, share] >= least * 60 for length in (60, 100) for share, least in ((0.0, 1.0), (0.05, 0.97), (0.1, 0.9)))
+    assert found[100, 0.15] >= 0.85 * 60 and found[60, 0.15] >= 0.45 * 60
+
+
+def test_exact_passages_equal_brute_force(spark):
+    """Every document with a run of 50 words that another has, on the smallest table."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    where = {}
+    for i, t in docs.collect():
+        w = re.split("[\x20\x09-\x0d]+", (t or "").strip("\x20\x09\n\x0b\x0c\r").lower())
+        for s in range(len(w) - 49):
+            where.setdefault(tuple(w[s : s + 50]), set()).add(i)
+    want = {i for ids in where.values() if len(ids) > 1 for i in ids}
+    got = {i for x in substrings.repeated_passages(docs).collect() for i in (x.doc_id, x.source_id)}
+    assert want and want <= got
+
+
 def test_chains_equal_brute_force():
     r = np.random.default_rng(3)
     for _ in range(20):
