@@ -54,11 +54,11 @@ def book_targets(spark, sf_dir):
     return rounded(out)
 
 
-@query("with " + BOOK_SQL + " select candidate, idx, round(turnover, 6) as turnover, round(gross, 6) + 0.0 as gross, round(net, 6) + 0.0 as net, names, round(exposure, 6) as exposure from dy", "daily_bars", "scores")
+@query("with " + BOOK_SQL + " select candidate, idx, round(turnover, 9) as turnover, round(gross, 9) + 0.0 as gross, round(net, 9) + 0.0 as net, names, round(exposure, 9) as exposure from dy", "daily_bars", "scores")
 def book_daily_results(spark, sf_dir):
     targets, dates, rets, _ = book_parts(spark, sf_dir)
     out = books.daily_results(books.held_books(targets, dates), rets, dates, 10)
-    return rounded(out.select("candidate", "idx", "turnover", "gross", "net", "names", "exposure"))
+    return rounded(out.select("candidate", "idx", "turnover", "gross", "net", "names", "exposure"), 9)
 
 
 @query("with " + BOOK_SQL + """, cv as (select *, exp(sum(ln(1 + greatest(net, -0.999999))) over w) as curve from dy window w as (partition by candidate order by idx rows between unbounded preceding and current row)),
@@ -177,15 +177,15 @@ def daily(spark, sf_dir):
     return news.daily_news(items)
 
 
-@query("with " + NEWS_SQL + " select ticker, date, headline_count, round(sentiment, 6) + 0.0 as sentiment, round(sentiment_weighted, 6) + 0.0 as sentiment_weighted, round(relevance, 6) as relevance, round(novelty, 6) as novelty, source_count, source_mix from dn", "news_items")
+@query("with " + NEWS_SQL + " select ticker, date, headline_count, round(sentiment, 9) + 0.0 as sentiment, round(sentiment_weighted, 9) + 0.0 as sentiment_weighted, round(relevance, 9) as relevance, round(novelty, 9) as novelty, source_count, source_mix from dn", "news_items")
 def news_daily(spark, sf_dir):
-    return rounded(daily(spark, sf_dir))
+    return rounded(daily(spark, sf_dir), 9)
 
 
 @query("with " + NEWS_SQL + """, rw as (select ticker, date, headline_count, coalesce(sum(sentiment * headline_count) over b / sum(headline_count) over b, 0) as s, case when count(*) over m >= 5 then (headline_count - avg(headline_count) over m) / nullif(stddev_samp(headline_count) over m, 0) end as z from dn window b as (partition by ticker order by date rows between 4 preceding and current row), m as (partition by ticker order by date rows between 19 preceding and current row))
-select ticker, date, round(s, 6) + 0.0 as sentiment_nd, round(coalesce(z, 0), 6) + 0.0 as count_z from rw""", "news_items")
+select ticker, date, round(s, 9) + 0.0 as sentiment_nd, round(coalesce(z, 0), 9) + 0.0 as count_z from rw""", "news_items")
 def news_signal_windows(spark, sf_dir):
-    return rounded(news.signal_windows(daily(spark, sf_dir)).select("ticker", "date", "sentiment_nd", "count_z"))
+    return rounded(news.signal_windows(daily(spark, sf_dir)).select("ticker", "date", "sentiment_nd", "count_z"), 9)
 
 
 @query("with " + NEWS_SQL + """, rr as (select ticker, date, lead(close) over (partition by ticker order by date) / close - 1 as ret from daily_bars), j as (select dn.ticker, dn.date, sentiment, ret from dn left join rr on rr.ticker = dn.ticker and rr.date = dn.date),

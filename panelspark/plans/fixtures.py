@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 VIEWS = {
-    "px": """select p_brand as ticker, cast(l_shipdate as date) as date, row_number() over (partition by p_brand, cast(l_shipdate as date)
-        order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax) as seq,
+    "px": """select p_brand as ticker, cast(l_shipdate as date) as date, SEQ(l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax) as seq,
         l_extendedprice/l_quantity as price, l_quantity as qty, l_discount, l_tax, p_type from lineitem join part on l_partkey = p_partkey""",
     "daily_bars": "select ticker, date, min_by(price,seq) as open, max(price) as high, min(price) as low, max_by(price,seq) as close, sum(qty) as volume from px group by ticker, date",
     "macro": """select o_orderpriority as series_id, cast(o_orderdate as date) as date, avg(o_totalprice) as value,
@@ -26,8 +26,18 @@ VIEWS = {
         max(case when o_orderstatus='P' then 1 else 0 end) as flag from orders group by o_orderpriority, cast(date_trunc('week',o_orderdate) as date)""",
 }
 NEEDS = {"daily_bars": ["px"], "sector_map": ["px"], "fundamentals": ["px"], "scores": ["px"]}
-SPARK_JSONK = "cast(get_json_object(props,'$.k') as double)"
-DUCK_JSONK = "cast(json_extract_string(props,'$.k') as double)"
+#: What the two dialects call the same thing.
+SPARK = {"JSONK": "cast(get_json_object(props,'$.k') as double)", "SEQ(": "struct("}
+DUCK = {"JSONK": "cast(json_extract_string(props,'$.k') as double)", "SEQ(": "row("}
+#: Aggregated panels that queries use several times: computed once and kept in memory, or on disk where that is full.
+KEPT = ("daily_bars", "scores", "macro", "sector_map", "fundamentals", "runs")
+_opened: dict[tuple, DataFrame] = {}
+
+
+def said(sql: str, dialect: dict[str, str]) -> str:
+    for name, text in dialect.items():
+        sql = sql.replace(name, text)
+    return sql
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,18 +45,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A panel over the tables of sf_dir; only the tables that it reads are opened."""
-    sql = VIEWS[name].replace("JSONK", SPARK_JSONK)
-    for base in [*NEEDS.get(name, []), *TABLES]:
-        if f" {base}" in sql and (base in NEEDS.get(name, []) or name not in NEEDS):
-            (view if base in VIEWS else table)(spark, sf_dir, base).createOrReplaceTempView(base)
-    return spark.sql(sql)
+    """A panel over the tables of sf_dir; only the tables that it reads are opened, and each panel is analysed once a session.
+    Panels that are aggregates of the facts (a row a ticker and day at most) are persisted."""
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir, name)
+    if key not in _opened:
+        sql = said(VIEWS[name], SPARK)
+        for base in [*NEEDS.get(name, []), *TABLES]:
+            if f" {base}" in sql and (base in NEEDS.get(name, []) or name not in NEEDS):
+                (view if base in VIEWS else table)(spark, sf_dir, base).createOrReplaceTempView(base)
+        _opened[key] = spark.sql(sql)
+    df = _opened[key]
+    return df.persist(StorageLevel.MEMORY_AND_DISK) if name in KEPT and not df.is_cached else df
 
 
 def with_views(sql: str, *names: str) -> str:
     """The oracle's text: the views it needs as common table expressions, then sql."""
     order = [n for n in VIEWS if n in names or any(n in NEEDS.get(m, []) for m in names)]
-    ctes = [f"{n} as ({VIEWS[n].replace('JSONK', DUCK_JSONK)})" for n in order]
+    ctes = [f"{n} as ({said(VIEWS[n], DUCK)})" for n in order]
     head = "with recursive " + ", ".join(ctes)
     body = sql.strip()
     return head + (", " + body[5:] if body.lower().startswith("with ") else " " + body)
