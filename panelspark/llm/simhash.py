@@ -138,6 +138,10 @@ def covering_links(nodes: DataFrame, ws: Workspace, radius: int, positions: list
     return found
 
 
+def bucket_key() -> Column:
+    return F.xxhash64("base", "used", F.expr("transform(anchors, (x, i) -> if(shiftright(used, i) % 2 = 1, x, 0L))"))
+
+
 def _pairs_within(limit: int):
     """The task that turns buckets (n, members: node, label, sig) into candidate pairs (a, b), a < b; see _near_pairs."""
 
@@ -155,9 +159,9 @@ def _pairs_within(limit: int):
     return pairs
 
 
-def pairs_of_buckets(entries: DataFrame, nodes: DataFrame, ws: Workspace, limit: int, most: int = 512) -> DataFrame:
-    """entries (node, label, base, used) deal nodes (node, label, sig of 256 bits, anchors) into buckets, by base and by the
-    anchors whose bits are set in used -> candidate pairs (a, b), a < b: of one bucket, of different labels, within `limit`
+def pairs_of_buckets(entries: DataFrame, nodes: DataFrame, ws: Workspace, limit: int, most: int = 2048) -> DataFrame:
+    """entries (node, label, base, used, key) deal nodes (node, label, sig of 256 bits, anchors) into buckets, by base and by
+    the anchors whose bits are set in used (bucket_key) -> candidate pairs (a, b), a < b: of one bucket, of different labels, within `limit`
     bits (see _near_pairs).
 
     A bucket of more than `most` nodes is never collected whole. If all but most / 2 of its nodes have one label, those are
@@ -167,15 +171,13 @@ def pairs_of_buckets(entries: DataFrame, nodes: DataFrame, ws: Workspace, limit:
     smallest node stands in every part, which ties a group of copies together. Buckets of one label cost a row a task."""
     masks = F.array(*[F.lit(m).cast("bigint") for m in covering_masks(list(range(28)), 3)])
     slim = F.concat(F.array("node", "label"), "sig")
-    chosen = F.expr("transform(anchors, (x, i) -> if(shiftright(used, i) % 2 = 1, x, 0L))")
-    key = F.xxhash64("base", "used", chosen)
     found = None
 
     def met(members: DataFrame) -> DataFrame:
         lists = members.join(nodes.select("node", "label", "sig"), "node").groupBy("key").agg(F.collect_list(slim).alias("x"))
         return lists.select(F.size("x").alias("n"), F.flatten("x").alias("members")).mapInPandas(_pairs_within(limit), "a bigint, b bigint")
 
-    rows = entries.join(nodes.select("node", "anchors"), "node").withColumn("key", key).drop("anchors")
+    rows = entries
     for level in range(4):
         rows = ws.save(rows.select("node", "label", "base", "used", "key"), f"dealt{level}")
         sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("l0"), F.max("label").alias("l1"), F.min("node").alias("least")).where("l0 <> l1")
@@ -197,7 +199,7 @@ def pairs_of_buckets(entries: DataFrame, nodes: DataFrame, ws: Workspace, limit:
         rest = large.where(~few)
         if level < 2:
             rest = rest.select("node", "label", "base", F.explode(F.expr("transform(filter(sequence(0, 5), k -> shiftright(used, k) % 2 = 0), k -> used + shiftleft(1, k))")).alias("used")).distinct()
-            rows = rest.join(nodes.select("node", "anchors"), "node").withColumn("key", key)
+            rows = rest.join(nodes.select("node", "anchors"), "node").withColumn("key", bucket_key())
         else:
             word = F.element_at(F.array(*[_word(40 * k) for k in range(6)]), F.col("used") % 6 + 1)
             rest = rest.join(nodes.select("node", "sig"), "node").select("node", "label", "base", "used", "key", word.alias("w"), F.explode(masks).alias("m"))
@@ -323,13 +325,13 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     masks = F.array(*[F.lit(m).cast("bigint") for m in covering_masks(list(range(64)), 3)])
     deal = {
         "leaders": lambda df: df.select("node", F.posexplode("anchors").alias("k", "x")).select("node", F.xxhash64("k", "x").alias("key")),
-        "covering": lambda df: df.select("node", "label", F.col("sig")[0].alias("w"), F.explode(masks).alias("m")).select("node", "label", F.xxhash64("m", F.col("w").bitwiseAND(F.col("m"))).alias("base"), F.lit(0).alias("used")),
-        "anchors": lambda df: df.select("node", "label", F.lit(0).cast("bigint").alias("base"), F.explode(F.array(*[F.lit(1 << k) for k in range(ANCHORS)])).alias("used")),
+        "covering": lambda df: df.select("node", "label", "anchors", F.col("sig")[0].alias("w"), F.explode(masks).alias("m")).select("node", "label", "anchors", F.xxhash64("m", F.col("w").bitwiseAND(F.col("m"))).alias("base"), F.lit(0).alias("used")),
+        "anchors": lambda df: df.select("node", "label", "anchors", F.lit(0).cast("bigint").alias("base"), F.explode(F.array(*[F.lit(1 << k) for k in range(ANCHORS)])).alias("used")),
     }
     labels, held = None, nodes.withColumn("label", F.col("node"))
     for name in deal:
         entries = deal[name](held)
-        pairs = pairs_with_leaders(ws.save(entries, "entries"), held, limit) if name == "leaders" else pairs_of_buckets(entries, held, ws, limit)
+        pairs = pairs_with_leaders(ws.save(entries, "entries"), held, limit) if name == "leaders" else pairs_of_buckets(entries.withColumn("key", bucket_key()), held, ws, limit)
         pairs = ws.save(pairs, f"{name}-pairs")
         wanted = ws.save(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "least"), "node"), "wanted")
         sets = sigs.select(F.col("id").alias("least"), "node", "shingles").join(wanted, ["least", "node"]).dropDuplicates(["node"])

@@ -371,7 +371,9 @@ def near_pairs_in_one_bucket(spark, copies, others):
     rows = [(i, i, [int(v) for v in s.view(np.int64)]) for i, s in enumerate(sigs)]
     nodes = spark.createDataFrame(rows, "node long, label long, sig array<long>")
     anchors = F.array(*[F.when(F.col("node") < copies, F.lit(k).cast("bigint")).otherwise(F.xxhash64(F.lit(k), F.floor(F.col("node") / 2))) for k in range(6)])
-    return nodes.withColumn("anchors", anchors), nodes.select("node", "label", F.lit(1).cast("bigint").alias("base"), F.lit(0).alias("used"))
+    nodes = nodes.withColumn("anchors", anchors)
+    entries = nodes.select("node", "label", "anchors", F.lit(1).cast("bigint").alias("base"), F.lit(0).alias("used"))
+    return nodes, entries.withColumn("key", simhash.bucket_key())
 
 
 def test_a_large_bucket_is_split_and_keeps_its_links(spark):
@@ -387,7 +389,8 @@ def test_a_large_bucket_is_split_and_keeps_its_links(spark):
 def test_near_copies_of_a_large_group_make_few_pairs(spark):
     nodes, _ = near_pairs_in_one_bucket(spark, 1000, 0)
     masks = F.array(*[F.lit(m).cast("bigint") for m in simhash.covering_masks(list(range(64)), 3)])
-    entries = nodes.select("node", "label", F.col("sig")[0].alias("w"), F.explode(masks).alias("m")).select("node", "label", F.xxhash64("m", F.col("w").bitwiseAND(F.col("m"))).alias("base"), F.lit(0).alias("used"))
+    entries = nodes.select("node", "label", "anchors", F.col("sig")[0].alias("w"), F.explode(masks).alias("m")).select("node", "label", "anchors", F.xxhash64("m", F.col("w").bitwiseAND(F.col("m"))).alias("base"), F.lit(0).alias("used"))
+    entries = entries.withColumn("key", simhash.bucket_key())
     assert simhash.pairs_of_buckets(entries, nodes, Workspace(spark), 53).count() < 60 * 1000
     one = nodes.select("node", F.lit(1).cast("bigint").alias("key"))
     assert simhash.pairs_with_leaders(one, nodes, 53).count() == 999
