@@ -38,21 +38,28 @@ def normal_cdf(z: Column) -> Column:
     return F.when(z >= 0, (1 + erf) / 2).otherwise((1 - erf) / 2)
 
 
-def ewm(df: DataFrame, key: str, order: list[str], value: str, out: str, decay: float, block: int = 128) -> DataFrame:
-    """out = exponential mean of value with y = decay * y + (1 - decay) * x, seeded by the first row.
+def ewms(df: DataFrame, key: str, order: list[str], specs: list[tuple[str, str, float]], block: int = 128) -> DataFrame:
+    """For each (value, out, decay): out = exponential mean with y = decay * y + (1 - decay) * x, seeded by the first row.
 
-    Two levels: inside blocks of rows by prefix sums of rescaled values, then the ends of earlier blocks are carried on as
-    far as their weight counts. Windows only; memory and time are linear in the rows of a key."""
+    Two levels: inside blocks of rows by prefix sums of rescaled values, then the last values of earlier blocks, as far as
+    their weight counts. All windows are partitioned by the key, so all means share one shuffle; memory and time are linear
+    in the rows of a key."""
     w = Window.partitionBy(key).orderBy(*order)
     df = df.withColumn("__n", F.row_number().over(w) - 1)
     df = df.withColumn("__b", F.floor(F.col("__n") / block).cast("long")).withColumn("__j", F.col("__n") % block)
-    term = F.when(F.col("__n") == 0, F.col(value)).otherwise(F.col(value) * (1 - decay)) * F.pow(F.lit(decay), -F.col("__j"))
-    inside = Window.partitionBy(key, "__b").orderBy("__j")
-    df = df.withColumn("__local", F.sum(term).over(inside) * F.pow(F.lit(decay), F.col("__j")))
-    ends = df.groupBy(key, "__b").agg(F.max_by("__local", "__j").alias("__end"))
-    lags = max(1, math.ceil(-math.log(1e-17) / (-math.log(decay) * block)))
-    wb = Window.partitionBy(key).orderBy("__b")
-    carried = sum((F.coalesce(F.lag("__end", i).over(wb), F.lit(0.0)) * decay ** (block * (i - 1)) for i in range(1, lags + 1)), F.lit(0.0))
-    ends = ends.select(key, "__b", carried.alias("__carry"))
-    df = df.join(ends, [key, "__b"]).withColumn(out, F.col("__local") + F.col("__carry") * F.pow(F.lit(decay), F.col("__j") + 1))
-    return df.drop("__n", "__b", "__j", "__local", "__carry")
+    inside, blocks = Window.partitionBy(key, "__b").orderBy("__j"), Window.partitionBy(key).orderBy("__b")
+    for i, (value, _, decay) in enumerate(specs):
+        term = F.when(F.col("__n") == 0, F.col(value)).otherwise(F.col(value) * (1 - decay)) * F.pow(F.lit(decay), -F.col("__j"))
+        df = df.withColumn(f"__local{i}", F.sum(term).over(inside) * F.pow(F.lit(decay), F.col("__j")))
+    lags = [max(1, math.ceil(-math.log(1e-17) / (-math.log(decay) * block))) for _, _, decay in specs]
+    locals_ = [F.col(f"__local{i}").alias(f"l{i}") for i in range(len(specs))]
+    for k in range(1, max(lags) + 1):  # the last row of the k-th block before
+        df = df.withColumn(f"__end{k}", F.max(F.struct("__j", *locals_)).over(blocks.rangeBetween(-k, -k)))
+    for i, (_, out, decay) in enumerate(specs):
+        carried = sum((F.coalesce(F.col(f"__end{k}.l{i}"), F.lit(0.0)) * decay ** (block * (k - 1)) for k in range(1, lags[i] + 1)), F.lit(0.0))
+        df = df.withColumn(out, F.col(f"__local{i}") + carried * F.pow(F.lit(decay), F.col("__j") + 1))
+    return df.drop("__n", "__b", "__j", *[f"__local{i}" for i in range(len(specs))], *[f"__end{k}" for k in range(1, max(lags) + 1)])
+
+
+def ewm(df: DataFrame, key: str, order: list[str], value: str, out: str, decay: float, block: int = 128) -> DataFrame:
+    return ewms(df, key, order, [(value, out, decay)], block)

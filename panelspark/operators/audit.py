@@ -54,12 +54,12 @@ def evidence_hash(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame
 
 def history_match(runs: DataFrame, window: int) -> DataFrame:
     """runs (key, date, causes array): prior runs of the key within `window` business days that share a cause, and the
-    business days since the first of them. Runs are spread by cause, so the join is on (key, cause)."""
+    business days since the first of them. A range of ordinals by (key, cause), at most `window` days long; no pairs are joined."""
     r = runs.withColumn("ord", bday_ord(F.col("date")))
-    a = r.select("key", "date", "ord", F.explode("causes").alias("cause"))
-    b = a.select("key", "cause", F.col("ord").alias("o2"))
-    m = a.join(b, ["key", "cause"]).where((F.col("o2") < F.col("ord")) & (F.col("o2") >= F.col("ord") - window))
-    m = m.select("key", "date", "ord", "o2").distinct().groupBy("key", "date", "ord").agg(F.count(F.lit(1)).alias("matches"), F.min("o2").alias("first"))
+    back = Window.partitionBy("key", "cause").orderBy("ord").rangeBetween(-window, -1)
+    a = r.select("key", "date", "ord", F.explode("causes").alias("cause")).withColumn("prior", F.collect_set("ord").over(back))
+    m = a.groupBy("key", "date", "ord").agg(F.array_distinct(F.flatten(F.collect_list("prior"))).alias("prior"))
+    m = m.select("key", "date", "ord", F.size("prior").alias("matches"), F.array_min("prior").alias("first"))
     out = runs.join(m, ["key", "date"], "left")
     return out.select("key", "date", F.coalesce("matches", F.lit(0)).alias("matches"), F.coalesce(F.col("ord") - F.col("first"), F.lit(0)).alias("span"))
 
@@ -92,3 +92,97 @@ def drift_policy(diagnostics: DataFrame, weights: DataFrame, threshold: float, p
 def recent_history(runs: DataFrame, n: int = 128) -> DataFrame:
     w = Window.partitionBy("key").orderBy(F.desc("date"))
     return runs.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= n).drop("__n")
+
+
+def value_counts(df: DataFrame, field: str, when: Column | None = None) -> DataFrame:
+    """Non-empty values of a field and their runs, of all runs or of those where the condition holds."""
+    x = df.where(F.coalesce(F.col(field).cast("string"), F.lit("")) != "")
+    return (x if when is None else x.where(when)).groupBy(F.col(field).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("runs"))
+
+
+def top_items(counts: DataFrame, item: str, n: str, limit: int) -> DataFrame:
+    return counts.orderBy(F.desc(n), item).limit(limit)
+
+
+def relief_count(df: DataFrame, by: list[str], flag: Column, names: str, of: str = "feature_drift") -> DataFrame:
+    """Runs that a rule would have relieved: the flag holds and no other trigger than `of` is there."""
+    alone = F.size(F.array_except(names, F.array(F.lit(of)))) == 0
+    return df.groupBy(*by).agg(F.count_if(flag & alone).alias("relieved"), F.count(F.lit(1)).alias("runs"))
+
+
+def rates(df: DataFrame, by: list[str], flags: dict[str, Column]) -> DataFrame:
+    """Share of runs with each flag (nulls count as no)."""
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("runs"), *[F.avg(F.coalesce(c, F.lit(False)).cast("double")).alias(k) for k, c in flags.items()])
+
+
+def watch_only(df: DataFrame, base: str, effective: str, suppressed: str) -> DataFrame:
+    """Names that stayed watch-only: raised but not effective, and suppressed ones; a name that is both counts twice."""
+    names = F.concat(F.array_except(base, effective), F.coalesce(F.col(suppressed), F.array().cast("array<string>")))
+    return df.select(F.explode(names).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("runs"))
+
+
+def family_contribution(df: DataFrame) -> DataFrame:
+    """Rows (run, family, importance, missing_rate, stale_rate, source) -> means by family over all runs."""
+    return df.groupBy("family").agg(F.avg("importance").alias("importance"), F.avg("missing_rate").alias("missing_rate"), F.avg("stale_rate").alias("stale_rate"), F.array_join(F.array_sort(F.collect_set("source")), "|").alias("sources"), F.count_distinct("run").alias("runs"))
+
+
+def catalog_across_runs(df: DataFrame, worst: int | None = None) -> DataFrame:
+    """Rows (run, feature, family, missing_rate, stale_rate) -> mean rates by feature; the `worst` ones by missing, then stale."""
+    out = df.groupBy("feature", "family").agg(F.avg("missing_rate").alias("missing_rate"), F.avg("stale_rate").alias("stale_rate"), F.count(F.lit(1)).alias("runs"))
+    return out if worst is None else out.orderBy(F.desc("missing_rate"), F.desc("stale_rate"), "feature").limit(worst)
+
+
+def risk_review(runs: DataFrame, max_drawdown_limit: float) -> DataFrame:
+    """runs (run, stale_ratio, critical, warning, concentration, retrain, shift_flag, regime, max_drawdown, dummy) -> the
+    checks' states, risk level and approval."""
+    drift = F.when((F.col("critical") > 0) & F.col("dummy").isNull(), "FAIL").when((F.col("critical") > 0) | (F.col("warning") > 0), "WARNING").otherwise("PASS")
+    warn = lambda c: F.when(c, "WARNING").otherwise("PASS")
+    df = runs.withColumn("data_freshness", warn(F.col("stale_ratio") > 0.1)).withColumn("feature_drift", drift).withColumn("prediction_concentration", warn(F.col("concentration") > 0.75)).withColumn("model_staleness", warn(F.col("retrain"))).withColumn("regime_consistency", warn(F.col("shift_flag") | (F.col("regime") == "transition")))
+    checks = F.array("data_freshness", "feature_drift", "prediction_concentration", "model_staleness", "regime_consistency")
+    warnings, failed = F.size(F.filter(checks, lambda x: x == "WARNING")), F.array_contains(checks, "FAIL")
+    df = df.withColumn("warnings", warnings)
+    high = (F.col("max_drawdown") < -max_drawdown_limit) | (F.col("warnings") >= 2)
+    level = F.when(failed, "CRITICAL").when(high, "HIGH").when(F.col("warnings") > 0, "MEDIUM").when(F.col("dummy") == "null_random_walk", "MEDIUM").otherwise("LOW")
+    approval = F.when(failed, "BLOCKED").when(high | (F.col("warnings") > 0) | F.coalesce(F.col("dummy") == "null_random_walk", F.lit(False)), "MANUAL_REVIEW_REQUIRED").otherwise("AUTO_APPROVED")
+    return df.withColumn("risk_level", level).withColumn("approval", approval)
+
+
+def highest_confidence(df: DataFrame, by: list[str], item: str, confidence: Column) -> DataFrame:
+    """The item with the largest confidence of each group; ties take the first by name."""
+    w = Window.partitionBy(*by).orderBy(F.desc("__c"), item)
+    out = df.withColumn("__c", confidence).withColumn("__n", F.row_number().over(w)).where("__n = 1")
+    return out.select(*by, item, F.col("__c").alias("confidence"))
+
+
+def deltas(new: DataFrame, old: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """new less old by key; a side that lacks the key counts as 0."""
+    o = old.select(*keys, *[F.col(v).alias(f"__{v}") for v in values])
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    return new.join(o, keys, "full").select(*keys, *[(zero(v) - zero(f"__{v}")).alias(f"{v}_delta") for v in values])
+
+
+def side_by_side(metrics: DataFrame, by: list[str], mode: str, modes: list[str], values: list[str]) -> DataFrame:
+    """One row a group with each mode's values in columns of their own."""
+    return metrics.groupBy(*by).agg(*[F.max(F.when(F.col(mode) == m, F.col(v))).alias(f"{m}_{v}") for m in modes for v in values])
+
+
+def linked(runs: DataFrame, parts: dict[str, DataFrame], key: str = "run_id") -> DataFrame:
+    """Runs left joined with each artifact table by id; has_<name> says whether it was found."""
+    for name, p in parts.items():
+        p = p.select(key, *[F.col(c).alias(f"{name}_{c}") for c in p.columns if c != key]).withColumn(f"has_{name}", F.lit(True))
+        runs = runs.join(p, key, "left").withColumn(f"has_{name}", F.coalesce(f"has_{name}", F.lit(False)))
+    return runs
+
+
+def flat_run(documents: DataFrame, paths: dict[str, str]) -> DataFrame:
+    """Nested run documents to flat rows: output column -> path of struct fields; a path that the document lacks is null."""
+
+    def there(path: str) -> bool:
+        kind = documents.schema
+        for part in path.split("."):
+            if not hasattr(kind, "fieldNames") or part not in kind.fieldNames():
+                return False
+            kind = kind[part].dataType
+        return True
+
+    return documents.select(*[(F.col(p) if there(p) else F.lit(None).cast("string")).alias(c) for c, p in paths.items()])

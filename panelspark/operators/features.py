@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.functions.stats import ewm, full_window
+from panelspark.functions.stats import ewm, ewms, full_window
 
 ANNUAL = math.sqrt(252)
 
@@ -55,8 +55,7 @@ def price_features(bars: DataFrame, key: str = "ticker", date: str = "date") ->
 def macd(bars: DataFrame, key: str = "ticker", date: str = "date", spans: tuple[int, int, int] = (12, 26, 9)) -> DataFrame:
     """bars plus macd and macd_signal."""
     decay = [1 - 2 / (s + 1) for s in spans]
-    df = ewm(bars, key, [date], "close", "__fast", decay[0])
-    df = ewm(df, key, [date], "close", "__slow", decay[1]).withColumn("macd", F.col("__fast") - F.col("__slow"))
+    df = ewms(bars, key, [date], [("close", "__fast", decay[0]), ("close", "__slow", decay[1])]).withColumn("macd", F.col("__fast") - F.col("__slow"))
     return ewm(df, key, [date], "macd", "macd_signal", decay[2]).drop("__fast", "__slow")
 
 

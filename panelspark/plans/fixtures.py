@@ -20,15 +20,18 @@ VIEWS = {
         sum(price*qty*l_tax) as debt, sum(price) as equity from px group by ticker, cast(date_trunc('quarter',date) as date)) t""",
     "news_items": """select event_id as item_id, concat('Brand#', cast(user_id % 25 + 1 as string)) as ticker, ts - interval 9496 day as published_at, event_type as source_name,
         concat(event_type,' ',cast(user_id % 7 as string)) as headline_key, greatest(-1.0, least(1.0, (value-50.0)/50.0)) as sentiment_score, JSONK/100.0 as relevance_score from events""",
+    "mapped": """select item_id, ticker, published_at, cast(case when extract(DOWX from published_at) = 6 then published_at + interval 2 day when extract(DOWX from published_at) = 7 then published_at + interval 1 day else published_at end as date) as date,
+        case when hour(published_at) < 9 then 'pre_market' when hour(published_at) < 16 then 'regular' else 'post_market' end as session, source_name, concat(source_name, '_', cast(item_id % 2 as string)) as source_key, headline_key,
+        sentiment_score, relevance_score, cast(0.55 as double) + cast(0.05 as double) * (item_id % 9) as mapping_confidence from news_items""",
     "scores": """select ticker, date, exp(10*a)/(exp(10*a)+exp(10*b)+exp(c)) as prob_down, exp(10*b)/(exp(10*a)+exp(10*b)+exp(c)) as prob_flat,
         exp(c)/(exp(10*a)+exp(10*b)+exp(c)) as prob_up from (select ticker, date, avg(l_discount) as a, avg(l_tax) as b, avg(qty)/50.0 as c from px group by ticker, date) t""",
     "runs": """select o_orderpriority as ticker_set, cast(date_trunc('week',o_orderdate) as date) as as_of_date, count(*) as n, avg(o_totalprice) as metric,
         max(case when o_orderstatus='P' then 1 else 0 end) as flag from orders group by o_orderpriority, cast(date_trunc('week',o_orderdate) as date)""",
 }
-NEEDS = {"daily_bars": ["px"], "sector_map": ["px"], "fundamentals": ["px"], "scores": ["px"]}
+NEEDS = {"daily_bars": ["px"], "sector_map": ["px"], "fundamentals": ["px"], "scores": ["px"], "mapped": ["news_items"]}
 #: What the two dialects call the same thing.
-SPARK = {"JSONK": "cast(get_json_object(props,'$.k') as double)", "SEQ(": "struct("}
-DUCK = {"JSONK": "cast(json_extract_string(props,'$.k') as double)", "SEQ(": "row("}
+SPARK = {"JSONK": "cast(get_json_object(props,'$.k') as double)", "SEQ(": "struct(", "DOWX": "dow_iso"}
+DUCK = {"JSONK": "cast(json_extract_string(props,'$.k') as double)", "SEQ(": "row(", "DOWX": "isodow"}
 #: Aggregated panels that queries use several times: computed once and kept in memory, or on disk where that is full.
 KEPT = ("daily_bars", "scores", "macro", "sector_map", "fundamentals", "runs")
 _opened: dict[tuple, DataFrame] = {}
