@@ -27,8 +27,10 @@ VIEWS = {
         exp(c)/(exp(10*a)+exp(10*b)+exp(c)) as prob_up from (select ticker, date, avg(l_discount) as a, avg(l_tax) as b, avg(qty)/50.0 as c from px group by ticker, date) t""",
     "runs": """select o_orderpriority as ticker_set, cast(date_trunc('week',o_orderdate) as date) as as_of_date, count(*) as n, avg(o_totalprice) as metric,
         max(case when o_orderstatus='P' then 1 else 0 end) as flag from orders group by o_orderpriority, cast(date_trunc('week',o_orderdate) as date)""",
+    "policy_runs": """select ticker_set as key, as_of_date as date, cast(n as bigint) as n, case n % 4 when 0 then 'low_vol' when 1 then 'transition' when 2 then 'high_vol' else 'unknown' end as regime, cast((n * 37) % 101 as double) / 101 as state_probability,
+        cast(n % 7 as double) / 40 as transition_rate, n % 5 = 0 as shift_flag, cast((n * 7) % 11 as double) / 10 as pbo, cast(n % 13 as double) / 100 as ece, cast(n % 6 as bigint) as breaches, n % 3 = 0 as competition from runs""",
 }
-NEEDS = {"daily_bars": ["px"], "sector_map": ["px"], "fundamentals": ["px"], "scores": ["px"], "mapped": ["news_items"]}
+NEEDS = {"daily_bars": ["px"], "sector_map": ["px"], "fundamentals": ["px"], "scores": ["px"], "mapped": ["news_items"], "policy_runs": ["runs"]}
 #: What the two dialects call the same thing.
 SPARK = {"JSONK": "cast(get_json_object(props,'$.k') as double)", "SEQ(": "struct(", "DOWX": "dow_iso"}
 DUCK = {"JSONK": "cast(json_extract_string(props,'$.k') as double)", "SEQ(": "row(", "DOWX": "isodow"}
