@@ -67,3 +67,46 @@ def dense_fill(daily: DataFrame, tickers: DataFrame, calendar: DataFrame, fill:
     grid = tickers.crossJoin(F.broadcast(calendar))
     out = grid.join(daily, ["ticker", "date"], "left")
     return out.fillna(fill)
+
+
+def tickers_ever(base: DataFrame, changes: DataFrame) -> DataFrame:
+    """All tickers that were ever a member or named in a change."""
+    every = base.select("ticker").unionByName(changes.select(F.explode("added").alias("ticker"))).unionByName(changes.select(F.explode("removed").alias("ticker")))
+    return every.distinct()
+
+
+def default_universe(base: DataFrame, optional: list[DataFrame]) -> DataFrame:
+    """The base list and all optional lists, each ticker once, trimmed and upper-cased."""
+    out = base.select("ticker")
+    for o in optional:
+        out = out.unionByName(o.select("ticker"))
+    return out.select(F.upper(F.trim("ticker")).alias("ticker")).where("ticker <> ''").distinct()
+
+
+def fold_constituents(folds: DataFrame, panel: DataFrame, intervals: DataFrame) -> DataFrame:
+    """folds (fold_id, date, role) x panel rows, of tickers that are members on the last date of the fold."""
+    ends = folds.groupBy("fold_id").agg(F.max("date").alias("fold_end"))
+    on = (F.col("fold_end") >= F.col("from")) & (F.col("to").isNull() | (F.col("fold_end") < F.col("to")))
+    members = ends.join(intervals, on).select("fold_id", "ticker").distinct()  # folds x tickers
+    return panel.join(F.broadcast(folds), "date").join(members, ["fold_id", "ticker"], "left_semi")
+
+
+def price_at(filings: DataFrame, bars: DataFrame, filed: str = "available_at") -> DataFrame:
+    """filings plus close: that of the newest bar on or before the filing date."""
+    b = bars.select("ticker", F.col("date").alias("bar_date"), "close")
+    return asof_join(filings, b, "ticker", filed, "bar_date")
+
+
+def one_row_a_report(facts: DataFrame, metrics: list[str]) -> DataFrame:
+    """facts (ticker, report_date, metric, filed, val) -> one row a report with a column a metric and available_at, the
+    latest filing of those used."""
+    values = [F.max(F.when(F.col("metric") == m, F.col("val"))).alias(m) for m in metrics]
+    return facts.where(F.col("metric").isin(*metrics)).groupBy("ticker", "report_date").agg(*values, F.max("filed").alias("available_at"))
+
+
+def fuse_stale(df: DataFrame, flags: list[str], out: str = "stale_data_flag") -> DataFrame:
+    """True where any of the flags is; nulls count as false."""
+    either = F.lit(False)
+    for f in flags:
+        either = either | F.coalesce(F.col(f), F.lit(False))
+    return df.withColumn(out, either)

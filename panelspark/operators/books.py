@@ -101,3 +101,39 @@ def rank_band(edges: DataFrame, k: int, band: float) -> DataFrame:
 def liquidity_multiplier(volume_ratio: Column, floor: float, cap: float) -> Column:
     """Cost multiplier of a group: inverse of the median volume ratio, clipped."""
     return F.greatest(F.lit(floor), F.least(F.lit(cap), F.try_divide(F.lit(1.0), F.percentile(volume_ratio, 0.5))))
+
+
+def cool_down(targets: DataFrame, dates: DataFrame, days: int) -> DataFrame:
+    """targets (candidate, date, ticker, weight) plus idx and reentry: the ticker was out on the day before and its last
+    holding ended at most `days` trading days ago."""
+    t = targets.join(F.broadcast(dates), "date")  # a row a date
+    before = F.lag("idx").over(Window.partitionBy("candidate", "ticker").orderBy("idx"))
+    gap = F.col("idx") - before
+    return t.withColumn("reentry", F.coalesce((gap > 1) & (gap <= days + 1), F.lit(False)))
+
+
+def turnover_budget(daily: DataFrame, most: float) -> DataFrame:
+    """daily (candidate, idx, turnover, ...) plus breach and the scale that one step would need to stay within the budget."""
+    over = F.col("turnover") > most
+    return daily.withColumn("breach", over).withColumn("scale", F.when(over, most / F.col("turnover")).otherwise(1.0))
+
+
+def rule_comparison(performance: DataFrame, selected: str, uncontrolled: str, legacy: str) -> DataFrame:
+    """One row: the selected rule against the uncontrolled and the legacy one, and the reasons that hold."""
+    pick = lambda who, c: F.max(F.when(F.col("candidate") == who, F.col(c))).alias(f"{c}__{name[who]}")
+    name = {selected: "s", uncontrolled: "u", legacy: "l"}
+    cols = ["information_ratio", "mean_turnover", "cost_drag", "gross_annual_return", "active_ratio", "stability"]
+    one = performance.agg(*[pick(w, c) for w in name for c in cols])
+    x = lambda c, who="s": F.col(f"{c}__{who}")
+    delta = lambda c: (x(c) - x(c, "u")).alias(f"{c}_delta")
+    reasons = {
+        "legacy_rule_mostly_flat": (x("active_ratio", "l") <= 0.05) & (x("active_ratio") > x("active_ratio", "l")),
+        "gross_return_not_positive": x("gross_annual_return") <= 0,
+        "costs_erode_return": x("cost_drag") > F.greatest(F.abs(x("gross_annual_return")) * 0.25, F.lit(0.01)),
+        "names_unstable": x("stability") < 0.25,
+        "controls_raise_information_ratio": x("information_ratio") > x("information_ratio", "u"),
+        "controls_cut_cost_drag": x("cost_drag") < x("cost_drag", "u"),
+        "controls_raise_stability": x("stability") > x("stability", "u"),
+    }
+    found = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in reasons.items()]))
+    return one.select(delta("information_ratio"), delta("mean_turnover"), delta("cost_drag"), delta("stability"), F.when(F.size(found) > 0, F.array_join(found, "|")).otherwise("no_dominant_failure").alias("reasons"))

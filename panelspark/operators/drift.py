@@ -60,3 +60,24 @@ def drift_report(long: DataFrame, families: DataFrame, warning: float = 0.1, fai
 def family_summary(report: DataFrame) -> DataFrame:
     flagged = F.array_sort(F.collect_list(F.when(F.col("status") != "PASS", F.col("feature"))))
     return report.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.max("psi").alias("max_psi"), F.avg("psi").alias("mean_psi"), F.array_join(flagged, "|").alias("flagged"))
+
+
+def causes(report: DataFrame, thresholds: dict[str, tuple[float, float]], default: tuple[float, float], proxy_used: bool, regime_active: bool) -> DataFrame:
+    """report (feature, family, psi, raw_psi, proxy_sensitive) plus status by the family's thresholds, cause and action."""
+    limit = lambda i: F.coalesce(*[F.when(F.col("family") == f, F.lit(float(t[i]))) for f, t in thresholds.items()], F.lit(float(default[i])))
+    df = report.withColumn("status", F.when(F.col("psi") >= limit(1), "FAIL").when(F.col("psi") >= limit(0), "WARNING").otherwise("PASS"))
+    proxy, active = F.lit(proxy_used) & F.col("proxy_sensitive"), F.lit(regime_active)
+    cause = F.when(F.col("status") == "PASS", "stable").when(proxy & active, "mixed_proxy_and_regime").when(proxy, "proxy_sensitive").when(F.col("family").isin("macro", "volatility") & active, "regime_sensitive").otherwise("distribution_shift")
+    df = df.withColumn("cause", cause)
+    return df.withColumn("action", F.when(F.col("status") == "PASS", "ignore").when(F.col("cause").isin("proxy_sensitive", "mixed_proxy_and_regime"), "watch").otherwise("trigger"))
+
+
+def primary_cause(caused: DataFrame, by: list[str], proxy_used: bool, regime_active: bool) -> DataFrame:
+    """What a run's flagged features point to: a proxy artefact, a regime shift, both or neither."""
+    flagged = F.col("status") != "PASS"
+    count = lambda c: F.count_if(flagged & c)
+    fall = F.when(flagged & (F.col("raw_psi") > 0), F.greatest(F.col("raw_psi") - F.col("psi"), F.lit(0.0)) / F.greatest("raw_psi", F.lit(1e-9)))
+    x = caused.groupBy(*by).agg(count(F.lit(True)).alias("flagged"), count(F.col("proxy_sensitive")).alias("p"), count(~F.col("proxy_sensitive")).alias("np"), count(F.col("family").isin("macro", "volatility")).alias("mv"), F.coalesce(F.avg(fall), F.lit(0.0)).alias("reduction"))
+    used, active, p, n, m = F.lit(proxy_used), F.lit(regime_active), F.col("p"), F.col("np"), F.col("mv")
+    out = F.when(F.col("flagged") == 0, "stable").when(used & (p > 0) & (n == 0) & ~active, "proxy_artifact_likely").when(active & (m > 0) & (n >= p), "regime_shift_likely").when(used & (p > 0) & (F.col("reduction") >= 0.35) & (p >= n), "proxy_artifact_likely").when(active & (m > 0), "mixed_proxy_and_regime").otherwise("mixed_or_unknown")
+    return x.select(*by, "flagged", F.col("reduction").alias("mean_reduction"), out.alias("primary_cause"))

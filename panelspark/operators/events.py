@@ -49,3 +49,21 @@ def event_rollup(events: DataFrame, critical: float = 1.96) -> DataFrame:
     significant = F.avg((F.abs("t_stat") >= critical).cast("double"))
     agg = [F.count(F.lit(1)).alias("events"), F.avg("pre").alias("mean_pre"), F.avg("post").alias("mean_post"), F.avg("total").alias("mean_total"), significant.alias("significant_share")]
     return events.groupingSets([["sector"], []], "sector").agg(*agg).withColumn("sector", F.coalesce("sector", F.lit("__all__")))
+
+
+def sector_returns(rows: DataFrame) -> DataFrame:
+    """Benchmark rows under any of their column names (sector or industry; date or timestamp_utc; ret, return or benchmark) to
+    (sector, date, benchmark); duplicate days are averaged, a null sector is `__all__`."""
+
+    def first(*names: str) -> Column:
+        have = [F.col(n) for n in names if n in rows.columns]
+        return F.coalesce(*have) if have else F.lit(None)
+
+    x = rows.select(F.coalesce(first("sector", "industry").cast("string"), F.lit("__all__")).alias("sector"), first("date", "timestamp_utc").cast("date").alias("date"), first("benchmark", "ret", "return").cast("double").alias("benchmark"))
+    return x.where("date is not null and benchmark is not null").groupBy("sector", "date").agg(F.avg("benchmark").alias("benchmark"))
+
+
+def with_sector_fallback(events: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """events (ticker, sector, ...) whose sector has no benchmark take `__all__`."""
+    known = benchmark.select(F.col("sector").alias("__s")).distinct()
+    return events.join(F.broadcast(known), F.col("sector") == F.col("__s"), "left").withColumn("sector", F.coalesce("__s", F.lit("__all__"))).drop("__s")

@@ -55,3 +55,10 @@ def recent_windows(dates: DataFrame, width: int) -> DataFrame:
     n = dates.agg(F.count(F.lit(1)).alias("n"))
     out = dates.crossJoin(F.broadcast(n)).where(F.col("idx") >= F.col("n") - 2 * width)
     return out.select("date", F.when(F.col("idx") >= F.col("n") - width, "current").otherwise("reference").alias("part"))
+
+
+def chronological_cut(dates: DataFrame, share: float = 0.8) -> DataFrame:
+    """(date, idx, part): the first int(n * share) dates train (at least one of each part), the rest are validation."""
+    n = dates.agg(F.count(F.lit(1)).alias("n"))
+    cut = F.greatest(F.lit(1), F.least(F.floor(F.col("n") * share), F.col("n") - 1))
+    return dates.crossJoin(F.broadcast(n)).select("date", "idx", F.when(F.col("idx") < cut, "train").otherwise("validation").alias("part"))

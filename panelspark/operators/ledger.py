@@ -76,3 +76,19 @@ def settle_due(ledger: DataFrame, bars: DataFrame, as_of: Column, threshold: flo
 def weekly_review(ledger: DataFrame) -> DataFrame:
     """By ISO week of the forecast: counts by status, mean net return, hit rate."""
     return ledger.groupBy(iso_week(F.col("date")).alias("week_id")).agg(F.count(F.lit(1)).alias("trades"), *[F.count_if(F.col("status") == s).alias(s.lower()) for s in ("QUEUED", "PENDING", "SETTLED", "SKIPPED")], F.avg("net_return").alias("mean_net_return"), F.avg(F.col("hit").cast("double")).alias("hit_rate"))
+
+
+def execution_diagnostics(fills: DataFrame, by: list[str]) -> DataFrame:
+    """fills (status, quantity, filled_quantity, notional, executed_notional, cost_bps, gap_bps) -> of rows that are not queued
+    and were meant to trade: fill, partial and miss rates, exposure, and notional-weighted drag and gap."""
+    x = fills.where((F.col("status") != "QUEUED") & (F.col("quantity") > 0))
+    filled = F.col("filled_quantity") > 0
+    per = lambda a, b: F.coalesce(F.try_divide(a, F.when(b > 0, b)), F.lit(0.0))
+    n, done = F.count(F.lit(1)), F.sum(F.when(filled, F.col("executed_notional")))
+    partial, missed = F.count_if(filled & (F.col("filled_quantity") < F.col("quantity"))), F.count_if(~filled)
+    return x.groupBy(*by).agg(n.alias("intended_trades"), F.count_if(filled).alias("filled_trades"), per(F.sum("filled_quantity"), F.sum("quantity")).alias("fill_rate"), per(partial.cast("double"), n).alias("partial_fill_rate"), per(missed.cast("double"), n).alias("missed_trade_rate"), per(F.sum("executed_notional"), F.sum("notional")).alias("realized_vs_intended"), per(F.sum(F.when(filled, F.col("cost_bps") * F.col("executed_notional"))), done).alias("cost_drag_bps"), per(F.sum(F.when(filled, F.col("gap_bps") * F.col("executed_notional"))), done).alias("gap_slippage_bps"))
+
+
+def retraining_events(runs: DataFrame) -> DataFrame:
+    """Ledger rows of the runs that retrain: key, date, ISO week, sorted trigger names and causes."""
+    return runs.where("should_retrain").select("key", "date", iso_week(F.col("date")).alias("week_id"), F.array_sort("triggers").alias("trigger_names"), F.array_sort("causes").alias("cause_keys"))

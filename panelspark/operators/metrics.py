@@ -82,3 +82,11 @@ def compare_to(folds: DataFrame, model: str, primary: str, metrics: list[str]) -
     base = mean.where(F.col(model) == primary).select(*[F.col(m).alias(f"__{m}") for m in metrics])
     out = mean.crossJoin(F.broadcast(base))  # one row
     return out.select(model, *metrics, *[(F.col(m) - F.col(f"__{m}")).alias(f"{m}_delta") for m in metrics])
+
+
+def family_importance(importance: DataFrame, catalog: DataFrame) -> DataFrame:
+    """importance (feature, value) with the catalog (feature, family, source, missing_rate, stale_rate) -> by family: features,
+    mean importance and rates, sources. Features without an entry are family `unknown`."""
+    x = importance.join(catalog, "feature", "left").withColumn("family", F.coalesce("family", F.lit("unknown"))).withColumn("source", F.coalesce("source", F.lit("unknown")))
+    zero = lambda c: F.avg(F.coalesce(F.col(c), F.lit(0.0))).alias(f"mean_{c}")
+    return x.groupBy("family").agg(F.count(F.lit(1)).alias("features"), F.avg("value").alias("mean_importance"), zero("missing_rate"), zero("stale_rate"), F.array_join(F.array_sort(F.collect_set("source")), "|").alias("sources"))

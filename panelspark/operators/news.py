@@ -39,6 +39,15 @@ def headline_key(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]", " "), " +", " "))
 
 
+def alias_dimension(names: DataFrame, suffixes: list[str], least: int = 4) -> DataFrame:
+    """names (ticker, name) -> (alias, ticker): the ticker itself, the whole name as a headline key, and its words of at
+    least `least` letters that are no company suffix."""
+    key = headline_key(F.col("name"))
+    words = F.filter(F.split(key, " "), lambda w: (F.length(w) >= least) & ~w.isin(*suffixes))
+    every = F.array_union(F.array(F.lower("ticker"), key), words)
+    return names.select(F.explode(every).alias("alias"), "ticker").where("alias <> ''").distinct()
+
+
 def phrase_matches(items: DataFrame, aliases: DataFrame, longest: int = 3) -> DataFrame:
     """items (item_id, body) x aliases (alias, ticker) -> (item_id, ticker, hits): bodies are spread into runs of one to
     `longest` words and joined on the phrase, an equi-join instead of a containment test."""

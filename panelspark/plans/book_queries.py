@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from panelspark.functions.calendar import session_alignment
 from panelspark.operators import audit, books, events, folds, fundamentals, ledger, news, overfit
 from panelspark.operators.features import market_context
-from panelspark.plans.fixtures import table, view, with_views
+from panelspark.plans.fixtures import kept, table, view, with_views
 from panelspark.plans.forecast_queries import labelled
 from panelspark.plans.panel_queries import bars, rounded
 
@@ -34,7 +34,7 @@ tp as (select * from rk where rn <= k), sd as (select candidate, date, count(dis
 kp as (select tp.* from tp join sd on sd.candidate = tp.candidate and sd.date = tp.date where strategy = 'rank_long_only' or sides = 2),
 tg as (select candidate, holding, date, ticker, sum(w) as weight from (select *, case when side = 'long' then 1.0 else -1.0 end / count(*) over (partition by candidate, date, side) as w from kp) t group by all),
 di as (select date, row_number() over (order by date) - 1 as idx from (select distinct date from sc) t), hd as (select candidate, i as idx, ticker, sum(weight / holding) as weight from (select candidate, holding, ticker, weight, unnest(range(idx, idx + holding)) as i from tg join di on di.date = tg.date) t group by all),
-rt as (select ticker, date, lead(close) over (partition by ticker order by date) / close - 1 as ret from daily_bars), mv as (select candidate, idx, ticker, weight as d from hd union all select candidate, idx + 1, ticker, -weight from hd),
+rt as (select ticker, date, round(lead(close) over (partition by ticker order by date) / close - 1, 9) as ret from daily_bars), mv as (select candidate, idx, ticker, weight as d from hd union all select candidate, idx + 1, ticker, -weight from hd),
 tn as (select candidate, idx, sum(abs(d)) / 2 as turnover from (select candidate, idx, ticker, sum(d) as d from mv group by all) t group by all),
 gr as (select hd.candidate, hd.idx, sum(weight * coalesce(ret, 0)) as gross, count(*) as names, sum(abs(weight)) as exposure from hd join di on di.idx = hd.idx left join rt on rt.ticker = hd.ticker and rt.date = di.date group by all),
 dy as (select tn.candidate, tn.idx, turnover, coalesce(gross, 0) as gross, coalesce(names, 0) as names, coalesce(exposure, 0) as exposure, coalesce(gross, 0) - turnover * 10 / 1e4 as net from tn left join gr on gr.candidate = tn.candidate and gr.idx = tn.idx where tn.idx <= (select max(idx) from di))"""
@@ -42,12 +42,19 @@ dy as (select tn.candidate, tn.idx, turnover, coalesce(gross, 0) as gross, coale
 
 def book_parts(spark, sf_dir):
     scores = labelled(spark, sf_dir)
-    dates = folds.date_index(scores)
+    days = folds.date_index(scores)
     grid = books.candidate_grid(spark, ["rank_long_short", "rank_long_only"], [0.1, 0.3], [1, 3])
-    targets = books.target_books(books.side_edges(scores, 0.0, 0.01), grid)
+    targets = kept(spark, sf_dir, "books", lambda: books.target_books(books.side_edges(scores, 0.0, 0.01), grid))
+    dates = kept(spark, sf_dir, "book dates", lambda: days)
     return targets, dates, scores.select("ticker", "date", F.col("future_simple_return").alias("ret")), grid
 
 
+def book_days(spark, sf_dir):
+    """Daily results of all candidates."""
+    targets, dates, rets, _ = book_parts(spark, sf_dir)
+    return kept(spark, sf_dir, "book days", lambda: books.daily_results(books.held_books(targets, dates), rets, dates, 10))
+
+
 @query("with " + BOOK_SQL + " select candidate, date, count(*) as names, round(sum(abs(weight)), 6) as exposure, round(sum(weight), 6) + 0.0 as net_exposure from tg group by all", "daily_bars", "scores")
 def book_targets(spark, sf_dir):
     out = book_parts(spark, sf_dir)[0].groupBy("candidate", "date").agg(F.count(F.lit(1)).alias("names"), F.sum(F.abs("weight")).alias("exposure"), F.sum("weight").alias("net_exposure"))
@@ -56,8 +63,7 @@ def book_targets(spark, sf_dir):
 
 @query("with " + BOOK_SQL + " select candidate, idx, round(turnover, 9) as turnover, round(gross, 9) + 0.0 as gross, round(net, 9) + 0.0 as net, names, round(exposure, 9) as exposure from dy", "daily_bars", "scores")
 def book_daily_results(spark, sf_dir):
-    targets, dates, rets, _ = book_parts(spark, sf_dir)
-    out = books.daily_results(books.held_books(targets, dates), rets, dates, 10)
+    out = book_days(spark, sf_dir)
     return rounded(out.select("candidate", "idx", "turnover", "gross", "net", "names", "exposure"), 9)
 
 
@@ -66,8 +72,7 @@ dd as (select *, curve / max(curve) over (partition by candidate order by idx ro
 select candidate, count(*) as days, round(avg(net) * 252, 5) as annual_return, round(stddev_samp(net) * sqrt(252), 5) as annual_volatility, round(avg(net) * 252 / (stddev_samp(net) * sqrt(252)), 5) as information_ratio, round(avg(net) * 252 / (stddev_samp(least(net, 0)) * sqrt(252)), 5) as sortino,
  round(min(drawdown), 5) as max_drawdown, round(avg(turnover), 5) as mean_turnover, round(avg(exposure), 5) as mean_exposure, round(avg((names > 0)::int), 5) as active_ratio from dd group by candidate""", "daily_bars", "scores")
 def book_performance(spark, sf_dir):
-    targets, dates, rets, _ = book_parts(spark, sf_dir)
-    out = books.performance(books.daily_results(books.held_books(targets, dates), rets, dates, 10), 10)
+    out = books.performance(book_days(spark, sf_dir), 10)
     return rounded(out.select("candidate", "days", "annual_return", "annual_volatility", "information_ratio", "sortino", "max_drawdown", "mean_turnover", "mean_exposure", "active_ratio"), 5)
 
 
@@ -86,12 +91,13 @@ oc as (select split_id, candidate as winner, gap as winner_gap, out_score, ro /
 
 
 def split_scores(spark, sf_dir):
-    targets, dates, rets, grid = book_parts(spark, sf_dir)
-    daily = books.daily_results(books.held_books(targets, dates), rets, dates, 10)
+    _, dates, _, grid = book_parts(spark, sf_dir)
+    daily = book_days(spark, sf_dir)
     splits = folds.purged_splits(dates, 6, 2, 0, 15).join(dates, "date").select("split_id", "idx", "role")
     rows = daily.join(F.broadcast(splits), "idx").groupBy("split_id", "candidate")
     is_test = F.col("role") == "test"
-    return rows.agg(F.round(F.avg(F.when(~is_test, F.col("net"))), 12).alias("in_score"), F.round(F.avg(F.when(is_test, F.col("net"))), 12).alias("out_score")), grid
+    out = rows.agg(F.round(F.avg(F.when(~is_test, F.col("net"))), 12).alias("in_score"), F.round(F.avg(F.when(is_test, F.col("net"))), 12).alias("out_score"))
+    return kept(spark, sf_dir, "split scores", lambda: out), grid
 
 
 @query("with " + PBO_SQL + " select split_id, winner, round(winner_gap, 6) as winner_gap, round(out_score, 6) + 0.0 as out_score, round(rank_share, 6) as rank_share, round(logit, 6) + 0.0 as logit, logit < -1e-12 as overfit from oc", "daily_bars", "scores")
@@ -207,15 +213,16 @@ def news_lexicon_sentiment(spark, sf_dir):
     return rounded(d.select("doc_id", news.lexicon_sentiment(F.col("text"), ["the", "and", "of"], ["der", "die", "la", "le"]).alias("sentiment")))
 
 
-@query("""with a as (select distinct array_to_string(list_slice(w, 1, 2), ' ') as alias, 'B' || item_id % 7 as ticker from (select item_id, string_split(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]', ' ', 'g'), ' +', ' ', 'g')), ' ') as w from benchmark) t),
-d as (select doc_id as item_id, ' ' || trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]', ' ', 'g'), ' +', ' ', 'g')) || ' ' as body from documents)
-select item_id, ticker, count(distinct alias) as hits from d join a on contains(body, ' ' || alias || ' ') group by all""")
+KEY = "trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]', ' ', 'g'), ' +', ' ', 'g'))"
+
+
+@query(f"""with a as (select distinct w as alias, ticker from (select 'B' || item_id % 7 as ticker, unnest(string_split({KEY}, ' ')) as w from benchmark) t where length(w) >= 9 and w not in ('incorporated')),
+d as (select distinct doc_id as item_id, unnest(string_split({KEY}, ' ')) as alias from documents) select item_id, ticker, count(distinct d.alias) as hits from d join a on a.alias = d.alias group by all""")
 def news_phrase_matches(spark, sf_dir):
-    """Documents that contain a two-word alias, by n-gram equi-join."""
-    b = table(spark, sf_dir, "benchmark")
-    w = F.split(news.headline_key(F.col("text")), " ")
-    aliases = b.select(F.array_join(F.slice(w, 1, 2), " ").alias("alias"), F.concat(F.lit("B"), (F.col("item_id") % 7).cast("string")).alias("ticker")).distinct()
-    return news.phrase_matches(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("body")), aliases, 2)
+    """Documents that contain a long word of a named item, by n-gram equi-join with the alias dimension."""
+    b = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("B"), (F.col("item_id") % 7).cast("string")).alias("ticker"), F.col("text").alias("name"))
+    aliases = news.alias_dimension(b, ["incorporated"], 9)
+    return news.phrase_matches(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("body")), aliases, 1)
 
 
 @query("""with l as (select event_id, timezone('America/New_York', timezone('UTC', ts)) as lt from events), b as (select event_id, cast(lt as date) as day, case when isodow(lt) >= 6 then 'weekend' when hour(lt) * 60 + minute(lt) < 570 then 'pre_market' when hour(lt) * 60 + minute(lt) < 960 then 'regular' else 'post_market' end as session from l)

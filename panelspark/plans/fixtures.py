@@ -63,6 +63,15 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK) if name in KEPT and not df.is_cached else df
 
 
+def kept(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """A table that several steps of a query need, such as a day's books: built once a session and persisted."""
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir, f"kept {name}")
+    if key not in _opened:
+        _opened[key] = build()
+    df = _opened[key]
+    return df if df.is_cached else df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def with_views(sql: str, *names: str) -> str:
     """The oracle's text: the views it needs as common table expressions, then sql."""
     order = [n for n in VIEWS if n in names or any(n in NEEDS.get(m, []) for m in names)]

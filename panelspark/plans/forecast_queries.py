@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelspark.operators import drift, events, features, folds, metrics, regime
-from panelspark.plans.fixtures import view, with_views
-from panelspark.plans.panel_queries import FEATURE_SQL, bars, rounded
+from panelspark.plans.fixtures import kept, view, with_views
+from panelspark.plans.panel_queries import FEATURE_SQL, bars, price_panel, rounded
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -30,6 +30,10 @@ e as (select f.fold_id, p.* from p join di on di.date = p.date join f on idx >=
 
 
 def labelled(spark, sf_dir):
+    return kept(spark, sf_dir, "labelled", lambda: _labelled(spark, sf_dir))
+
+
+def _labelled(spark, sf_dir):
     lab = features.label_windows(bars(spark, sf_dir), 1, 0.2).select("ticker", "date", "future_simple_return", "direction_label")
     out = view(spark, sf_dir, "scores").join(lab, ["ticker", "date"]).withColumn("signal", F.round(F.col("prob_up") - F.col("prob_down"), 8))
     out = out.withColumn("future_simple_return", F.round("future_simple_return", 9))
@@ -39,7 +43,7 @@ def labelled(spark, sf_dir):
 def evaluated(spark, sf_dir):
     p = labelled(spark, sf_dir)
     days = folds.walk_forward(folds.date_index(p), 500, 200, 200, 5).where("role = 'eval'").select("fold_id", "date")
-    return p.join(F.broadcast(days), "date")  # as many rows as evaluation dates
+    return kept(spark, sf_dir, "evaluated", lambda: p.join(F.broadcast(days), "date"))  # as many rows as evaluation dates
 
 
 @query("with " + LABELLED + ", r as (select f.fold_id, case when idx < cut then 'train' else 'eval' end as role, di.date from di join f on idx < cut or (idx >= cut + 5 and idx < cut + 205)) select fold_id, role, count(*) as days, min(date) as first_date, max(date) as last_date from r group by all", "daily_bars", "scores")
@@ -112,9 +116,9 @@ sh as (select gr.feature, greatest(coalesce(r, 0) / tr, 1e-6) as r, greatest(coa
 
 
 def drifted(spark, sf_dir):
-    df = features.price_features(bars(spark, sf_dir)).select("date", *DRIFTED)
-    parts = folds.recent_windows(folds.date_index(df), 250)
-    return drift.to_long(df.join(F.broadcast(parts), "date"), DRIFTED, ["date", "part"])  # 500 dates
+    df = price_panel(spark, sf_dir).select("date", *DRIFTED)
+    parts = folds.recent_windows(folds.date_index(bars(spark, sf_dir)), 250)
+    return kept(spark, sf_dir, "drifted", lambda: drift.to_long(df.join(F.broadcast(parts), "date"), DRIFTED, ["date", "part"]))  # 500 dates
 
 
 @query(DRIFT_SQL + PSI_SQL.format("lg") + " select feature, round(sum((c - r) * ln(c / r)), 6) as psi from sh group by feature", "daily_bars")
@@ -139,7 +143,7 @@ OBS_SQL = FEATURE_SQL + ", ob as (select date, avg(log_return_1d) as mean_return
 
 
 def observations(spark, sf_dir):
-    return regime.market_observations(features.price_features(bars(spark, sf_dir)), "log_return_1d", "realized_vol_20d", "gk_vol", "rsi_14")
+    return regime.market_observations(price_panel(spark, sf_dir), "log_return_1d", "realized_vol_20d", "gk_vol", "rsi_14")
 
 
 @query(OBS_SQL + " select date, round(mean_return, 6) + 0.0 as mean_return, round(median_vol, 6) as median_vol, round(median_level, 6) as median_level, round(median_change, 6) as median_change from ob", "daily_bars")

@@ -78,11 +78,10 @@ def news_newest_relevant(spark, sf_dir):
     return news_utility.newest_relevant(view(spark, sf_dir, "mapped")).select("item_id", "ticker", "published_at")
 
 
-@query(f"with {PANEL} select ticker, date, round(ret, 9) + 0.0 as ret, headline_count, source_mix, session_bucket, round(sentiment_source_session_weighted, 9) + 0.0 as sentiment from pn where date >= date '1998-01-01' and date < date '1998-03-01' or ret is null", "daily_bars", "mapped")
+@query(f"with {PANEL} select ticker, date, round(ret, 9) + 0.0 as ret, headline_count, source_mix, session_bucket, round(sentiment_source_session_weighted, 9) + 0.0 as sentiment from pn", "daily_bars", "mapped")
 def news_coverage_panel(spark, sf_dir):
-    """The coverage panel joined with news: the months that have news, and rows without a return."""
-    p = panel(spark, sf_dir).where("date >= date'1998-01-01' and date < date'1998-03-01' or ret is null")
-    return rounded(p.select("ticker", "date", "ret", F.col("headline_count").cast("bigint").alias("headline_count"), "source_mix", "session_bucket", F.col("sentiment_source_session_weighted").alias("sentiment")), 9)
+    """The coverage panel joined with news; days without news are neutral."""
+    return rounded(panel(spark, sf_dir).select("ticker", "date", "ret", F.col("headline_count").cast("bigint").alias("headline_count"), "source_mix", "session_bucket", F.col("sentiment_source_session_weighted").alias("sentiment")), 9)
 
 
 @query(f"""with {DAILY}, mo as (select ticker, cast(date_trunc('week', date) as date) as date, * exclude (ticker, date) from dv), sp as (select ticker, date, unnest(string_split(source_mix, '|')) as s from mo), sx as (select ticker, date, string_agg(distinct trim(s), '|' order by trim(s)) as source_mix from sp where trim(s) not in ('', 'none') group by all)

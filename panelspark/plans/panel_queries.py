@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions import calendar as cal
 from panelspark.operators import asof, features
-from panelspark.plans.fixtures import table, view, with_views
+from panelspark.plans.fixtures import kept, table, view, with_views
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -33,6 +33,11 @@ def bars(spark, sf_dir) -> DataFrame:
     return view(spark, sf_dir, "daily_bars")
 
 
+def price_panel(spark, sf_dir) -> DataFrame:
+    """The price features of all bars; several queries use them."""
+    return kept(spark, sf_dir, "price features", lambda: features.price_features(bars(spark, sf_dir)))
+
+
 def _r(*cols: str) -> str:
     return ", ".join(f"round({c}, 6) + 0.0 as {c}" for c in cols)
 
@@ -62,14 +67,14 @@ s4 as (select *, coalesce(100 - 100 / (1 + up / nullif(down, 0)), 50) as rsi_14,
 
 @query(FEATURE_SQL + f"select ticker, date, {_r(*FEATURES)} from s4", "daily_bars")
 def panel_price_features(spark, sf_dir):
-    df = features.price_features(bars(spark, sf_dir))
+    df = price_panel(spark, sf_dir)
     return rounded(df.select("ticker", "date", *FEATURES))
 
 
 @query(FEATURE_SQL + ", lab as (select s4.*, lead(close) over (partition by ticker order by date) / close - 1 as fr from s4) select cast(case when fr <= -0.2 then 0 when fr <= 0.2 then 1 else 2 end as bigint) as direction_label, count(*) as n, round(avg(realized_vol_20d), 6) as mean_vol, round(avg(price_vs_sma_20d), 6) as mean_sma, round(count(*) / sum(count(*)) over (), 6) as share from lab where fr is not null group by 1", "daily_bars")
 def panel_label_profile(spark, sf_dir):
     """Share, mean volatility and mean price to average of each direction class."""
-    df = features.label_windows(features.price_features(bars(spark, sf_dir)), 1, 0.2).where("direction_label is not null")
+    df = features.label_windows(price_panel(spark, sf_dir), 1, 0.2).where("direction_label is not null")
     out = df.groupBy("direction_label").agg(F.count(F.lit(1)).alias("n"), F.avg("realized_vol_20d").alias("mean_vol"), F.avg("price_vs_sma_20d").alias("mean_sma"))
     total = out.agg(F.sum("n").alias("t"))
     return rounded(out.crossJoin(F.broadcast(total)).withColumn("share", F.col("n") / F.col("t")).drop("t"))
@@ -104,7 +109,7 @@ def panel_label_windows(spark, sf_dir):
 s6 as (select *, avg(roc_20d) over s as ms, avg(roc_20d) over d as md, avg(realized_vol_20d) over s as vs from s5 window s as (partition by date, sector), d as (partition by date))
 select ticker, date, sector, round(coalesce(roc_20d - ms, 0), 6) + 0.0 as sector_relative_momentum, round(coalesce(ms - md, 0), 6) + 0.0 as sector_strength, round(coalesce(realized_vol_20d - vs, 0), 6) + 0.0 as sector_vol_spread from s6""", "daily_bars", "sector_map")
 def panel_sector_features(spark, sf_dir):
-    df = features.price_features(bars(spark, sf_dir)).select("ticker", "date", "roc_20d", "realized_vol_20d")
+    df = price_panel(spark, sf_dir).select("ticker", "date", "roc_20d", "realized_vol_20d")
     df = features.sector_features(df, view(spark, sf_dir, "sector_map"))
     return rounded(df.select("ticker", "date", "sector", "sector_relative_momentum", "sector_strength", "sector_vol_spread"))
 
@@ -114,7 +119,7 @@ CATALOG = {"log_return_1d": "price", "realized_vol_20d": "volatility", "price_vs
 
 @query(FEATURE_SQL + " select feature, family, round(missing_rate, 6) as missing_rate, 0.0::double as stale_rate from (" + " union all ".join(f"select '{c}' as feature, '{f}' as family, avg(case when {c} is null then 1.0 else 0.0 end) as missing_rate from s4" for c, f in CATALOG.items()) + ") t", "daily_bars")
 def panel_feature_catalog(spark, sf_dir):
-    return rounded(features.feature_catalog(features.price_features(bars(spark, sf_dir)), CATALOG))
+    return rounded(features.feature_catalog(price_panel(spark, sf_dir), CATALOG))
 
 
 @query("""select ticker, date, cast(isodow(date) - 1 as bigint) as day_of_week, cast(month(date) as bigint) as month, last_day(date) = date as is_month_end, strftime(date, '%G-W%V') as week_id,
@@ -134,18 +139,18 @@ def calendar_business_days(spark, sf_dir):
     return rounded(days.select("date", cal.bday_add(d, 5).alias("plus_5"), cal.bday_add(d, -3).alias("minus_3"), cal.bday_distance(d, F.lit("2000-01-03").cast("date")).alias("to_2000")))
 
 
-@query(f"""with m as (select available_at, value from macro where series_id = '1-URGENT'), d as (select distinct date from daily_bars),
-a as (select d.date, m.value as level from d asof left join m on d.date >= m.available_at), b as (select *, level - lag(level, 5) over (order by date) as change_5d from a)
-select ticker, p.date, {_r("level", "change_5d")} from daily_bars p join b on p.date = b.date""", "daily_bars", "macro")
+@query(f"""with m as (select series_id, available_at, value from macro), d as (select date, series_id from (select distinct date from daily_bars) x, (select distinct series_id from macro) y),
+a as (select d.date, d.series_id, m.value as level from d asof left join m on d.series_id = m.series_id and d.date >= m.available_at), b as (select *, level - lag(level, 5) over (partition by series_id order by date) as change_5d from a)
+select ticker, p.date, series_id, {_r("level", "change_5d")} from daily_bars p join b on p.date = b.date""", "daily_bars", "macro")
 def asof_macro_levels(spark, sf_dir):
-    """The newest macro level known on each date, its change over five distinct dates, joined to the panel."""
+    """The newest level of each macro series known on each date, its change over five distinct dates, joined to the panel."""
     from pyspark.sql import Window
 
-    panel = bars(spark, sf_dir)
-    series = view(spark, sf_dir, "macro").where("series_id = '1-URGENT'").select("available_at", "value")
-    days = asof.asof_small(panel.select("date").distinct(), series, "date", "available_at", "value", "level")
-    days = days.withColumn("change_5d", F.col("level") - F.lag("level", 5).over(Window.orderBy("date")))  # a date table
-    return rounded(panel.select("ticker", "date").join(days, "date").select("ticker", "date", "level", "change_5d"))
+    panel, macro = bars(spark, sf_dir), view(spark, sf_dir, "macro")
+    grid = panel.select("date").distinct().crossJoin(F.broadcast(macro.select("series_id").distinct()))  # dates x a few series
+    days = asof.asof_join(grid, macro.select("series_id", "available_at", F.col("value").alias("level")), "series_id", "date", "available_at")
+    days = days.withColumn("change_5d", F.col("level") - F.lag("level", 5).over(Window.partitionBy("series_id").orderBy("date")))
+    return rounded(panel.select("ticker", "date").join(days, "date").select("ticker", "date", "series_id", "level", "change_5d"))
 
 
 @query(f"select b.ticker, b.date, f.available_at, f.report_date, {_r('revenue', 'profit')} from daily_bars b asof left join fundamentals f on b.ticker = f.ticker and b.date >= f.available_at", "daily_bars", "fundamentals")
@@ -161,12 +166,11 @@ def point_in_time_filter(spark, sf_dir):
     return m.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"), F.max("date").alias("last_date"))
 
 
-@query("""with changes as (select o_orderkey, cast(o_orderdate as date) as date, concat('Brand#', cast(o_custkey % 25 + 1 as string)) as ticker, o_orderkey % 2 as on_ from orders where o_orderkey % 200 in (0, 1)),
-ev as (select distinct ticker, date, on_ from changes union select ticker, date '1990-01-01', 1 from sector_map), last as (select p.ticker, p.date, max_by(e.on_, struct_pack(d := e.date, o := e.on_)) as state from daily_bars p join ev e on e.ticker = p.ticker and e.date <= p.date group by p.ticker, p.date)
-select date, count(*) as members from last where state = 1 group by date""", "daily_bars", "sector_map")
+@query("""with ev as (select concat('Brand#', cast(o_custkey % 25 + 1 as string)) as ticker, cast(o_orderdate as date) as date, max(o_orderkey % 2) as on_ from orders group by all), ea as (select * from ev union all select ticker, date '1990-01-01', 1 from sector_map),
+last as (select p.ticker, p.date, e.on_ as state from daily_bars p asof join ea e on e.ticker = p.ticker and p.date >= e.date) select date, count(*) as members from last where state = 1 group by date""", "daily_bars", "sector_map")
 def universe_constituents(spark, sf_dir):
     """Members by date from a base list and dated additions and removals (removals first on a day)."""
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 200 in (0, 1)")
+    o = table(spark, sf_dir, "orders")
     o = o.select(F.col("o_orderdate").cast("date").alias("date"), F.concat(F.lit("Brand#"), (F.col("o_custkey") % 25 + 1).cast("string")).alias("ticker"), (F.col("o_orderkey") % 2 == 1).alias("on"))
     changes = o.groupBy("date").agg(F.collect_set(F.when(F.col("on"), F.col("ticker"))).alias("added"), F.collect_set(F.when(~F.col("on"), F.col("ticker"))).alias("removed"))
     base = view(spark, sf_dir, "sector_map").select("ticker", F.lit("1990-01-01").cast("date").alias("base_date"))
@@ -186,9 +190,11 @@ def sequence_windows(spark, sf_dir):
     return rounded(df.select("ticker", "date", F.size("sequence").alias("length"), total.alias("close_sum")))
 
 
-@query("""with g as (select t.ticker, cast(c.g as date) as date from (select distinct ticker from daily_bars) t, generate_series(timestamp '1997-01-01', timestamp '1997-12-31', interval 1 day) c(g) where isodow(c.g) < 6)
-select g.ticker, g.date, coalesce(round(b.close, 6), 0.0) as close, coalesce(round(b.volume, 6), 0.0) as volume from g left join daily_bars b on b.ticker = g.ticker and b.date = g.date""", "daily_bars")
+@query("""with g as (select t.ticker, cast(c.g as date) as date from (select distinct ticker from daily_bars) t, generate_series((select cast(min(date) as timestamp) from daily_bars), (select cast(max(date) as timestamp) from daily_bars), interval 1 day) c(g) where isodow(c.g) < 6)
+select g.ticker, g.date, coalesce(round(b.close, 9), 0.0) as close, coalesce(round(b.volume, 9), 0.0) as volume from g left join daily_bars b on b.ticker = g.ticker and b.date = g.date""", "daily_bars")
 def dense_calendar_fill(spark, sf_dir):
-    days = cal.business_days(spark, F.lit("1997-01-01").cast("date"), F.lit("1997-12-31").cast("date")).select("date")
+    """Every ticker on every business day of the panel."""
     b = bars(spark, sf_dir)
-    return rounded(asof.dense_fill(b.select("ticker", "date", "close", "volume"), b.select("ticker").distinct(), days, {"close": 0.0, "volume": 0.0}))
+    ends = b.agg(F.min("date").alias("a"), F.max("date").alias("b"))  # one row
+    days = ends.select(F.explode(F.sequence("a", "b")).alias("date")).where(cal.is_business_day(F.col("date")))
+    return rounded(asof.dense_fill(b.select("ticker", "date", "close", "volume"), b.select("ticker").distinct(), days, {"close": 0.0, "volume": 0.0}), 9)

@@ -86,12 +86,22 @@ def padded_ids(df: DataFrame, payload: str = "payload") -> DataFrame:
     return x.select(F.upper("v.ticker").alias("ticker"), F.lpad(F.col("v.id").cast("string"), 10, "0").alias("id"))
 
 
-def first_source(union: DataFrame, keys: list[str], priority: str) -> DataFrame:
-    """Of landed sources the first with data wins, by key; fallback_used where it is not the preferred one."""
+def first_source(union: DataFrame, keys: list[str], priority: str, preferred: int = 1) -> DataFrame:
+    """Of landed sources the first with data wins, by key; fallback_used where it is not the preferred one, and the number of
+    sources tried up to it."""
     w = Window.partitionBy(*keys).orderBy(priority)
     x = union.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
-    low = union.agg(F.min(priority).alias("__low"))
-    return x.crossJoin(F.broadcast(low)).withColumn("fallback_used", F.col(priority) > F.col("__low")).drop("__low")
+    return x.withColumn("fallback_used", F.col(priority) > preferred).withColumn("attempts", F.col(priority) - preferred + 1)
+
+
+def routed(tickers: DataFrame, sources: dict[str, DataFrame], crypto: list[str]) -> DataFrame:
+    """Each ticker's rows from the source of its asset class (a class without a source has none), in one table."""
+    t = tickers.select("ticker", asset_class(F.col("ticker"), crypto).alias("asset_class"))
+    out = None
+    for name, df in sources.items():
+        one = df.join(t.where(F.col("asset_class") == name), "ticker")
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out
 
 
 def asset_class(ticker: Column, crypto: list[str]) -> Column:
@@ -111,8 +121,14 @@ def provenance(df: DataFrame, by: list[str], flag: str, origin: str) -> DataFram
     return df.groupBy(*by).agg(F.bool_or(flag).alias("any_flag"), F.array_join(F.array_sort(F.collect_set(origin)), "|").alias("origins"))
 
 
-def write_artifacts(df: DataFrame, path: str, by: str = "run_date") -> None:
-    df.write.mode("append").partitionBy(by).json(path)
+def write_artifacts(df: DataFrame, path: str, by: str = "run_date", mode: str = "append") -> None:
+    """JSON by date folder; by="week_id" needs that column (calendar.iso_week)."""
+    df.write.mode(mode).partitionBy(by).json(path)
+
+
+def write_table(df: DataFrame, path: str) -> None:
+    """A Parquet table, written anew."""
+    df.write.mode("overwrite").parquet(path)
 
 
 def latest_artifacts(catalog: DataFrame) -> DataFrame:
