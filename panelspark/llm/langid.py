@@ -17,13 +17,19 @@ def fold_of(id_col: str) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4
 
 
-def hashed_sample(rows: DataFrame, key: Column, sample: int, columns: list[str]) -> DataFrame:
-    """About `sample` of the rows, those with the smallest hashes of key; rows of equal hash count once. The rows are counted
-    first and a bound on the hash leaves about 1.5 times as many as asked for, so what is sorted and sent is bounded however
-    many partitions there are."""
-    share = min(1.0, 1.5 * (sample + 50) / max(1, rows.count()))
+def hash_bound(rows: DataFrame, key: Column, sample: int) -> DataFrame:
+    """About `sample` of the rows, those whose hash of key is under a bound set from the number of rows; no shuffle."""
+    share = min(1.0, sample / max(1, rows.count()))
     bound = min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))
-    hashed = rows.select(F.xxhash64(key).alias("rank"), F.struct(*columns).alias("row")).where(F.col("rank") <= bound)
+    return rows.where(F.xxhash64(key) <= bound)
+
+
+def hashed_sample(rows: DataFrame, key: Column, sample: int, columns: list[str]) -> DataFrame:
+    """At most `sample` of the rows, those with the smallest hashes of key; rows of equal hash count once. A bound on the
+    hash leaves about 1.5 times as many as asked for, so what is sorted and sent is bounded however many partitions there
+    are."""
+    near = hash_bound(rows, key, 3 * (sample + 50) // 2)
+    hashed = near.select(F.xxhash64(key).alias("rank"), F.struct(*columns).alias("row"))
     return hashed.groupBy("rank").agg(F.min("row").alias("row")).orderBy("rank").limit(sample).select("row.*")
 
 
