@@ -43,7 +43,10 @@ def ewms(df: DataFrame, key: str, order: list[str], specs: list[tuple[str, str,
 
     Two levels: inside blocks of rows by prefix sums of rescaled values, then the last values of earlier blocks, as far as
     their weight counts. All windows are partitioned by the key, so all means share one shuffle; memory and time are linear
-    in the rows of a key."""
+    in the rows of a key. Blocks are long enough for four of them to hold all weight that counts, and short enough for the
+    rescaled values to stay finite."""
+    slow, fast = max(d for _, _, d in specs), min(d for _, _, d in specs)
+    block = max(1, min(max(block, math.ceil(39.2 / (-4 * math.log(slow)))), int(600 / -math.log(fast))))
     w = Window.partitionBy(key).orderBy(*order)
     df = df.withColumn("__n", F.row_number().over(w) - 1)
     df = df.withColumn("__b", F.floor(F.col("__n") / block).cast("long")).withColumn("__j", F.col("__n") % block)
@@ -53,8 +56,7 @@ def ewms(df: DataFrame, key: str, order: list[str], specs: list[tuple[str, str,
         df = df.withColumn(f"__local{i}", F.sum(term).over(inside) * F.pow(F.lit(decay), F.col("__j")))
     lags = [max(1, math.ceil(-math.log(1e-17) / (-math.log(decay) * block))) for _, _, decay in specs]
     locals_ = [F.col(f"__local{i}").alias(f"l{i}") for i in range(len(specs))]
-    for k in range(1, max(lags) + 1):  # the last row of the k-th block before
-        df = df.withColumn(f"__end{k}", F.max(F.struct("__j", *locals_)).over(blocks.rangeBetween(-k, -k)))
+    df = df.withColumns({f"__end{k}": F.max(F.struct("__j", *locals_)).over(blocks.rangeBetween(-k, -k)) for k in range(1, max(lags) + 1)})  # the last row of the k-th block before
     for i, (_, out, decay) in enumerate(specs):
         carried = sum((F.coalesce(F.col(f"__end{k}.l{i}"), F.lit(0.0)) * decay ** (block * (k - 1)) for k in range(1, lags[i] + 1)), F.lit(0.0))
         df = df.withColumn(out, F.col(f"__local{i}") + carried * F.pow(F.lit(decay), F.col("__j") + 1))
