@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 def asof_join(left: DataFrame, right: DataFrame, key: str | None, left_ts: str, right_ts: str, prefix: str = "") -> DataFrame:
     """Each left row with the newest right row at or before its time, taken whole (nulls included).
 
-    Both sides are put in one sorted stream per key: one shuffle, no range join. Without a key use a small right side
-    (asof_small)."""
+    Both sides are put in one sorted stream per key: one shuffle, no range join. Without a key use
+    asof_keyless."""
     keep = [c for c in right.columns if c not in (key, right_ts)]
     r = right.select(key, F.col(right_ts).alias("__ts"), F.lit(0).alias("__side"), F.struct(F.col(right_ts), *keep).alias("__r"))
     names = [c for c in left.columns if c != key]
@@ -21,16 +21,22 @@ def asof_join(left: DataFrame, right: DataFrame, key: str | None, left_ts: str,
     return both.select(key, *[F.col(f"__l.{c}").alias(c) for c in names], *[F.col(f"__m.{c}").alias(prefix + c) for c in [right_ts, *keep]])
 
 
-def asof_small(dates: DataFrame, series: DataFrame, date: str, available: str, value: str, out: str, max_rows: int = 1_000_000) -> DataFrame:
-    """dates plus the series' newest value available on each date. The series must be small: it is counted first."""
-    n = series.count()
-    if n > max_rows:
-        raise ValueError(f"{n} rows; asof_small takes at most {max_rows}")
-    w = Window.orderBy(available)
-    cuts = series.groupBy(available).agg(F.max_by(value, available).alias(value)).withColumn("__to", F.lead(available).over(w))
-    cuts = cuts.select(F.col(available).alias("__from"), "__to", F.col(value).alias(out))
-    on = (F.col(date) >= F.col("__from")) & (F.col("__to").isNull() | (F.col(date) < F.col("__to")))
-    return dates.join(F.broadcast(cuts), on, "left").drop("__from", "__to")
+def asof_keyless(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, prefix: str = "") -> DataFrame:
+    """Each left row with the newest right row at or before its time, whole, without a key.
+
+    Time is cut into months: inside a month both sides are one sorted stream, and what a month begins with comes from a table
+    of one row a month, so neither side has to be small and no task gets all rows."""
+    keep = [c for c in right.columns if c != right_ts]
+    month = lambda c: F.trunc(F.col(c).cast("date"), "month")
+    r = right.where(F.col(right_ts).isNotNull()).select(month(right_ts).alias("__m"), F.col(right_ts).alias("__ts"), F.lit(0).alias("__side"), F.struct(F.col(right_ts), *keep).alias("__r"))
+    le = left.select(month(left_ts).alias("__m"), F.col(left_ts).alias("__ts"), F.lit(1).alias("__side"), F.struct(*left.columns).alias("__l"))
+    w = Window.partitionBy("__m").orderBy("__ts", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    inside = le.unionByName(r, allowMissingColumns=True).withColumn("__x", F.last("__r", ignorenulls=True).over(w)).where("__side = 1")
+    ends = r.groupBy("__m").agg(F.max_by("__r", "__ts").alias("__e")).unionByName(le.select("__m").distinct(), allowMissingColumns=True).groupBy("__m").agg(F.first("__e", ignorenulls=True).alias("__e"))
+    before = Window.orderBy("__m").rowsBetween(Window.unboundedPreceding, -1)  # a row a month
+    ends = ends.withColumn("__c", F.last("__e", ignorenulls=True).over(before)).select("__m", "__c")
+    out = inside.join(ends, "__m", "left").withColumn("__x", F.coalesce("__x", "__c"))
+    return out.select(*[F.col(f"__l.{c}").alias(c) for c in left.columns], *[F.col(f"__x.{c}").alias(prefix + c) for c in [right_ts, *keep]])
 
 
 def point_in_time(df: DataFrame, as_of, available: str = "available_at") -> DataFrame:

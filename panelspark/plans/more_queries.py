@@ -231,6 +231,15 @@ def asof_filing_price(spark, sf_dir):
     return rounded(asof.price_at(f, bars(spark, sf_dir)).select("ticker", "report_date", "bar_date", "close"))
 
 
+@query("with t as (select ts, event_id from events where event_type = 'error' or event_type = 'click'), l as (select user_id, ts from events where event_type = 'purchase') select l.user_id, l.ts, max(t.event_id) as event_id from l asof left join t on l.ts >= t.ts group by all")
+def asof_without_key(spark, sf_dir):
+    """The newest click or error before each purchase, of any user."""
+    e = table(spark, sf_dir, "events")
+    right = e.where("event_type in ('error', 'click')").select(F.col("ts").alias("seen_at"), "event_id")
+    out = asof.asof_keyless(e.where("event_type = 'purchase'").select("user_id", "ts"), right, "ts", "seen_at")
+    return out.groupBy("user_id", "ts").agg(F.max("event_id").alias("event_id"))
+
+
 @query("select ticker, count(*) filter (dayofyear(date) % 5 = 0 or (dayofyear(date) % 3 = 0 and dayofyear(date) % 2 = 0)) as stale, count(*) as n from daily_bars group by ticker", "daily_bars")
 def panel_stale_fusion(spark, sf_dir):
     d = F.dayofyear("date")

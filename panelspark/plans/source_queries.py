@@ -35,10 +35,10 @@ def source_column_quotes(spark, sf_dir):
     return rounded(out.select("ticker", F.to_date("timestamp_utc").alias("date"), "open", "close", "volume"))
 
 
-@query("select user_id as ticker, cast(ts as date) as date, round(arg_min(value, ts), 6) as open, round(max(value), 6) as high, round(min(value), 6) as low, round(arg_max(value, ts), 6) as close from events group by all")
+@query("select user_id as ticker, cast(ts as date) as date, round(arg_min(value, ts), 6) as open, round(max(value), 6) as high, round(min(value), 6) as low, round(arg_max(value, ts), 6) as close, round(arg_max(value * 2, ts), 6) as volume from events group by all")
 def source_tick_bars(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("ticker"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), F.col("value").alias("volume"))
-    return rounded(landed.tick_bars(e).select("ticker", "date", "open", "high", "low", "close"))
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("ticker"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), (F.col("value") * 2).alias("volume"))
+    return rounded(landed.tick_bars(e).select("ticker", "date", "open", "high", "low", "close", "volume"))
 
 
 @query("""with s as (select series_id, date, value, isodow(date) < 6 as b from macro), c as (select series_id as ticker, date, value as close, lead(date) over (partition by series_id order by date) as nx from s where b),

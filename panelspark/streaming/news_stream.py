@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def dedupe_stream(items: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -16,3 +18,22 @@ def bar_stream(ticks: DataFrame, delay: str = "1 hour", width: str = "1 day") ->
     g = ticks.withWatermark("ts", delay).groupBy(F.window("ts", width).alias("w"), "ticker")
     bars = g.agg(F.min_by("price", "ts").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "ts").alias("close"), F.sum("volume").alias("volume"))
     return bars.select("ticker", F.to_date("w.start").alias("date"), "open", "high", "low", "close", "volume")
+
+
+def novelty_stream(items: DataFrame, delay: str = "1 day", keep_days: int = 30) -> DataFrame:
+    """Items (ticker, headline_key, published_at timestamp, item_id) plus novelty, 1 / (1 + earlier items of the headline for
+    the ticker). The state of a headline is its count and ends `keep_days` days of event time after its last item."""
+
+    def step(key, batches, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        seen = state.get[0] if state.exists else 0
+        rows = pd.concat(list(batches)).sort_values(["published_at", "item_id"])
+        out = rows.assign(novelty=[1.0 / (1 + seen + i) for i in range(len(rows))])
+        state.update((seen + len(rows),))
+        state.setTimeoutTimestamp(int(max(rows["published_at"].max().timestamp() * 1000, state.getCurrentWatermarkMs() + 1)) + keep_days * 86_400_000)
+        yield out[["ticker", "headline_key", "published_at", "item_id", "novelty"]]
+
+    slim = items.select("ticker", "headline_key", "published_at", "item_id").withWatermark("published_at", delay)
+    return slim.groupBy("ticker", "headline_key").applyInPandasWithState(step, "ticker string, headline_key string, published_at timestamp, item_id bigint, novelty double", "n bigint", "append", GroupStateTimeout.EventTimeTimeout)

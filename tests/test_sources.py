@@ -74,3 +74,17 @@ def test_streams_equal_batch(spark, tmp_path):
     assert got == [(10.0, 12.0, 10.0, 12.0, 3.0)]
     batch = landed.tick_bars(spark.createDataFrame(rows, schema)).where(F.col("date") == dt.date(2026, 1, 5)).first()
     assert (batch.open, batch.high, batch.low, batch.close) == (10.0, 12.0, 10.0, 12.0)
+
+
+def test_novelty_stream_equals_batch(spark, tmp_path):
+    rows = [("A", "h", dt.datetime(2026, 1, 5, h), h) for h in (12, 10, 11)] + [("A", "g", dt.datetime(2026, 1, 6), 1), ("B", "h", dt.datetime(2026, 1, 5), 2)]
+    schema = "ticker string, headline_key string, published_at timestamp, item_id bigint"
+    items = spark.createDataFrame(rows, schema)
+    items.write.parquet(str(tmp_path / "in"))
+    stream = news_stream.novelty_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+    q = stream.writeStream.format("memory").queryName("novelty_out").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(90)
+    from panelspark.operators import news
+
+    want = {(r.ticker, r.item_id, r.novelty) for r in news.novelty(items).collect()}
+    assert {(r.ticker, r.item_id, r.novelty) for r in spark.table("novelty_out").collect()} == want
