@@ -28,6 +28,27 @@ def weighted_mean(v: Column, w: Column) -> Column:
     return F.coalesce(F.when(total > 0, F.try_divide(F.sum(F.when(use, v * w)), total)), F.avg(v))
 
 
+def exact_quantiles(df: DataFrame, key: str, value: str, probs: list[float], cells: int = 32) -> DataFrame:
+    """(key, q array, n): exact quantiles with linear interpolation, of values without nulls.
+
+    A mergeable sketch cuts the values of a key into cells of about equal size; values are counted and ranked inside their
+    cell only, so a key is spread over many tasks and no task holds all its distinct values."""
+    df = df.where(F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(value).alias("v"))
+    edges = df.groupBy("k").agg(F.percentile_approx("v", [i / cells for i in range(1, cells)], 1000).alias("e"), F.count("v").alias("n"))  # a row a key
+    rows = df.join(F.broadcast(edges), "k").select("k", "v", "n", F.size(F.filter("e", lambda e: e < F.col("v"))).alias("b"))
+    counts = rows.groupBy("k", "n", "b", "v").agg(F.count(F.lit(1)).alias("c"))
+    before = counts.groupBy("k", "b").agg(F.sum("c").alias("s"))
+    before = before.select("k", "b", (F.sum("s").over(Window.partitionBy("k").orderBy("b")) - F.col("s")).alias("before"))  # `cells` rows a key
+    ranked = counts.join(F.broadcast(before), ["k", "b"]).withColumn("to", F.col("before") + F.sum("c").over(Window.partitionBy("k", "b").orderBy("v")))
+    ranked = ranked.withColumn("from", F.col("to") - F.col("c"))
+    at = [(i, p, F.floor(F.lit(p) * (F.col("n") - 1)), F.ceil(F.lit(p) * (F.col("n") - 1))) for i, p in enumerate(probs)]
+    inside = lambda x: (x >= F.col("from")) & (x < F.col("to"))
+    hits = F.array_compact(F.array(*[F.when(inside(lo) | inside(hi), F.struct(F.lit(i).alias("i"), F.when(inside(lo), F.col("v")).alias("lo"), F.when(inside(hi), F.col("v")).alias("hi"), (F.lit(p) * (F.col("n") - 1) - lo).alias("f"))) for i, p, lo, hi in at]))
+    q = ranked.select("k", "n", F.explode(hits).alias("h")).groupBy("k", "n", "h.i").agg(F.max("h.lo").alias("lo"), F.max("h.hi").alias("hi"), F.max("h.f").alias("f"))
+    one = F.struct("i", (F.col("lo") + F.col("f") * (F.col("hi") - F.col("lo"))).alias("x"))
+    return q.groupBy("k", "n").agg(F.array_sort(F.collect_list(one)).alias("q")).select(F.col("k").alias(key), F.col("q.x").alias("q"), "n")
+
+
 def normal_cdf(z: Column) -> Column:
     """Standard normal distribution by a polynomial of the error function (absolute error below 2e-7)."""
     x = F.abs(z) / math.sqrt(2)

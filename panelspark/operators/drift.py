@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelspark.functions.stats import exact_quantiles
+
 
 def signed_log(x: Column) -> Column:
     return F.signum(x) * F.log1p(F.abs(x))
@@ -17,14 +19,21 @@ def to_long(df: DataFrame, features: list[str], keep: list[str]) -> DataFrame:
 def winsorise(long: DataFrame, part: str = "part", low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Both parts clipped to the reference part's quantiles."""
     q = long.where(F.col(part) == "reference").groupBy("feature").agg(F.percentile("value", [low, high]).alias("__q"))
-    out = long.join(q, "feature")
+    out = long.join(F.broadcast(q), "feature")  # a row a feature
     return out.withColumn("value", F.greatest(F.col("__q")[0], F.least(F.col("__q")[1], F.col("value")))).drop("__q")
 
 
-def psi(long: DataFrame, bins: int = 10, part: str = "part") -> DataFrame:
+def psi(long: DataFrame, bins: int = 10, part: str = "part", spread: bool = False) -> DataFrame:
     """long (feature, part, value) -> (feature, psi). Edges are the reference's quantiles (linear interpolation), made
-    distinct; under three edges, equal width; outer edges open; shares are at least 1e-6."""
-    ref = long.where(F.col(part) == "reference").groupBy("feature").agg(F.percentile("value", [i / bins for i in range(bins + 1)]).alias("e"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    distinct; under three edges, equal width; outer edges open; shares are at least 1e-6.
+    spread: the same quantiles by ranks inside cells, so that no task merges all distinct values of a feature; more jobs,
+    for features with very many distinct values."""
+    probs = [i / bins for i in range(bins + 1)]
+    if spread:
+        ref = exact_quantiles(long.where(F.col(part) == "reference"), "feature", "value", probs)
+    else:
+        ref = long.where(F.col(part) == "reference").groupBy("feature").agg(F.percentile("value", probs).alias("q"))
+    ref = ref.select("feature", F.col("q").alias("e"), F.col("q")[0].alias("lo"), F.col("q")[bins].alias("hi"))
     even = F.transform(F.sequence(F.lit(0), F.lit(bins)), lambda i: F.col("lo") + (F.col("hi") - F.col("lo")) * i / bins)
     ref = ref.withColumn("e", F.when(F.size(F.array_distinct("e")) >= 3, F.array_distinct("e")).otherwise(F.array_distinct(even)))
     inner = F.slice("e", 2, F.greatest(F.size("e") - 2, F.lit(0)))

@@ -86,7 +86,8 @@ def metrics_returns(spark, sf_dir):
 
 
 @query("with " + LABELLED + """, q as (select avg((y = 0)::int) as p0, avg((y = 1)::int) as p1, avg((y = 2)::int) as p2 from e where y is not null), d as (select fold_id, -ln(greatest(case y when 0 then prob_down when 1 then prob_flat else prob_up end, 1e-9)) + ln(case y when 0 then p0 when 1 then p1 else p2 end) as d from e, q where y is not null)
-select fold_id, round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 5) as dm_stat from d group by fold_id""", "daily_bars", "scores")
+, s as (select fold_id, avg(d) / (stddev_samp(d) / sqrt(count(*))) as dm from d group by fold_id), z as (select *, abs(dm) / sqrt(2.0::double) as x, 1 / (1 + 0.3275911::double * abs(dm) / sqrt(2.0::double)) as t from s)
+select fold_id, round(dm, 5) as dm_stat, round(t * (0.254829592::double + t * (-0.284496736::double + t * (1.421413741::double + t * (-1.453152027::double + t * 1.061405429::double)))) * exp(-x * x), 7) as p_value from z""", "daily_bars", "scores")
 def metrics_loss_against_prior(spark, sf_dir):
     """Diebold-Mariano statistic of the log loss against that of the class priors."""
     e = evaluated(spark, sf_dir).where("direction_label is not null")
@@ -94,7 +95,8 @@ def metrics_loss_against_prior(spark, sf_dir):
     e = e.crossJoin(F.broadcast(prior))  # one row
     p, q = F.array(*metrics.PROBS), F.array("prior_0", "prior_1", "prior_2")
     e = e.withColumn("d", -F.log(F.greatest(F.element_at(p, F.col("direction_label") + 1), F.lit(1e-9))) + F.log(F.element_at(q, F.col("direction_label") + 1)))
-    return rounded(metrics.diebold_mariano(e, ["fold_id"], "d").select("fold_id", "dm_stat"), 5)
+    out = metrics.diebold_mariano(e, ["fold_id"], "d")
+    return rounded(rounded(out.select("fold_id", "dm_stat"), 5).join(rounded(out.select("fold_id", "p_value"), 7), "fold_id"), 7)
 
 
 @query("with " + LABELLED + """, k as (select fold_id, avg(case when (case when prob_down >= prob_flat and prob_down >= prob_up then 0 when prob_flat >= prob_up then 1 else 2 end) = y then 1.0 else 0 end) as hit_rate from e where y is not null group by fold_id)
@@ -153,10 +155,11 @@ def regime_observations(spark, sf_dir):
 
 @query(OBS_SQL + """, s as (select *, case when median_level < 8 then 'low_vol' when median_level < 12 then 'transition' when median_level is not null then 'high_vol' else 'unknown' end as state from ob),
 t as (select *, lag(state) over (order by date) as previous from s), u as (select *, case when previous is not null then (state <> previous)::int end as ch from t)
-select date, state, previous, round(coalesce(avg(ch) over (order by date rows between 20 preceding and 1 preceding), 0), 6) as transition_rate from u""", "daily_bars")
+, v as (select *, row_number() over (order by date) as rn from u), pr as (select a.date, b.state as st, count(*) as c from v a join v b on b.rn >= a.rn - 20 and b.rn < a.rn group by all), dm as (select date, st as dominant_recent from (select *, row_number() over (partition by date order by c desc, st) as k from pr) t where k = 1)
+select v.date, v.state, v.previous, round(coalesce(avg(ch) over (order by v.date rows between 20 preceding and 1 preceding), 0), 6) as transition_rate, dominant_recent, coalesce(dominant_recent <> v.state, false) as shifted from v left join dm on dm.date = v.date""", "daily_bars")
 def regime_transitions(spark, sf_dir):
     days = observations(spark, sf_dir).withColumn("state", regime.threshold_state(F.col("median_level"), 8, 12))
-    return rounded(regime.transitions(days).select("date", "state", "previous", "transition_rate"))
+    return rounded(regime.transitions(days).select("date", "state", "previous", "transition_rate", "dominant_recent", "shifted"))
 
 
 @query(OBS_SQL + """, s as (select *, case when median_level < 8 then 'low_vol' when median_level < 12 then 'transition' when median_level is not null then 'high_vol' else 'unknown' end as state from ob),

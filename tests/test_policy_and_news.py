@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from panelspark.functions.stats import ewms
+from panelspark.functions.stats import ewms, exact_quantiles
 from panelspark.operators import audit, books, learned, news_utility, normalize, overfit, policy
 from panelspark.sources import landed
 
@@ -42,6 +42,16 @@ def test_exponential_means_over_blocks(spark):
         assert r.a == pytest.approx(a) and r.b == pytest.approx(b)
 
 
+def test_exact_quantiles_equal_numpy(spark):
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    groups = {"a": r.normal(size=997), "b": np.repeat([1.0, 2.0], 50), "c": np.array([5.0])}
+    df = spark.createDataFrame([(k, float(v)) for k, vs in groups.items() for v in vs] + [("a", None)], "k string, v double")
+    for row in exact_quantiles(df, "k", "v", [0.0, 0.01, 0.5, 0.9, 1.0], cells=8).collect():
+        assert list(row.q) == pytest.approx(list(np.quantile(groups[row.k], [0.0, 0.01, 0.5, 0.9, 1.0])))
+
+
 def test_transition_needs_runs_and_span(spark):
     rows = [("k", day(7 * i), "transition", 0.6, 0.05) for i in range(4)] + [("k", day(35), "low_vol", 0.9, 0.0)]
     out = {r.date: r for r in policy.transition_profile(spark.createDataFrame(rows, "key string, date date, regime string, state_probability double, transition_rate double")).collect()}
