@@ -98,7 +98,8 @@ def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     the text unless keep_text) and joined with the fences from there.
 
     Nulls: a null text has no words and fails; null languages and sources are groups of their own. Ties at a fence are
-    kept. Empty tables give no rows. Columns of docs that have the names of added ones are replaced."""
+    kept. Empty tables give no rows. Columns of docs that have the names of added ones are replaced,
+    those named as the fenced metrics are dropped. Very long texts are read whole; other columns stay."""
     ws = Workspace(docs.sparkSession)
     docs = docs.drop("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *FENCED)
     tag = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+ARROW_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 ARROW_BYTES = 32 << 20  # what a Python task gets at once; a session that asks for less keeps its own
 
 
@@ -27,8 +29,9 @@ class Workspace:
         self.spark = spark
         self.path = f"{shared_dir(spark)}/ws-{uuid.uuid4().hex}"
         self._n = 0
-        if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("bB")) not in range(1, ARROW_BYTES + 1):
-            spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+        size = re.fullmatch(r"(\d+)\s*([kmgt]?)b?", spark.conf.get(ARROW_CONF).strip().lower())
+        if not size or not 0 < int(size[1]) << 10 * " kmgt".index(size[2] or " ") <= ARROW_BYTES:
+            spark.conf.set(ARROW_CONF, str(ARROW_BYTES))
 
     def folder(self, name: str) -> str:
         self._n += 1
