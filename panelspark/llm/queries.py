@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelspark.llm.codes import book_digest, compress_vectors, with_label_error
 from panelspark.llm.decontaminate import find_leaks
 from panelspark.llm.langid import identify
+from panelspark.llm.negatives import hard_negatives
+from panelspark.llm.packing import pack_documents
 from panelspark.llm.pieces import encode_pieces
 from panelspark.llm.quality import quality_rules
 from panelspark.llm.secrets import scan_secrets
@@ -72,6 +75,23 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = compress_vectors(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    return with_label_error(codes).select("vec_id", "code", "error", "label_error", F.lit(book_digest(books)).alias("codebooks_sha256"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of ids divisible by 7 are moved by one, as the contract says."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", moved.alias("label"))
+    return hard_negatives(rows).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pack_documents(docs, keep_ids=False).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -79,7 +99,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    every = (op1_warc, op2_substring_dedup, op3_decontamination, op4_hilbert_sharding, op5_secret_scans, op6_sentencepiece, op7_simhash_near_dedup, op8_quality_rules, op9_url_filters, op10_language_id, pipeline)
+    every = (op1_warc, op2_substring_dedup, op3_decontamination, op4_hilbert_sharding, op5_secret_scans, op6_sentencepiece, op7_simhash_near_dedup, op8_quality_rules, op9_url_filters, op10_language_id, op11_vector_codes, op12_hard_negatives, op13_best_fit_packing, pipeline)
     return {f.__name__: f for f in every}
 
 
@@ -103,6 +123,23 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 from m left join f1 on f1.lang is not distinct from m.lang and f1.source is not distinct from m.source left join f2 on f2.lang is not distinct from m.lang, f3"""
 
 
+_USABLE = "embedding is not null and len(list_filter(embedding, lambda v: v is null or not isfinite(v))) = 0"
+#: Each round: squared distances to the 16 entries of a part, the nearest, and the floors of the means; 64 components in 8 parts.
+_NEAREST = "select vec_id, p, k, d from (select v.vec_id, v.p, b.k, " + " + ".join(f"(v.x[{j}] - b.x[{j}]) * (v.x[{j}] - b.x[{j}])" for j in range(1, 9)) + " as d, row_number() over (partition by v.vec_id, v.p order by d, b.k) as rn from v join b{0} b on b.p = v.p) t where rn = 1"
+_MEANS = "select b.p, b.k, coalesce(m.x, b.x) as x from b{0} b left join (select v.p, a.k, [" + ", ".join(f"cast(floor(sum(v.x[{j}])::double / count(*)) as bigint)" for j in range(1, 9)) + "] as x from v join a{0} a on a.vec_id = v.vec_id and a.p = v.p group by v.p, a.k) m on m.p = b.p and m.k = b.k"
+OP11_SQL = f"""with e as materialized (select vec_id, label, list_transform(embedding, lambda v: cast(floor(4096 * v::double) as bigint)) as x from embeddings where {_USABLE}),
+v as materialized (select vec_id, p, x[8 * p + 1 : 8 * p + 8] as x from e, range(8) t(p)), f as (select vec_id, row_number() over (order by vec_id) - 1 as k from e qualify k < 16),
+b0 as materialized (select p, k, x from v join f using (vec_id)), {", ".join(f"a{r} as materialized ({_NEAREST.format(r)})" + (f", b{r + 1} as materialized ({_MEANS.format(r)})" if r < 6 else "") for r in range(7))},
+c as (select vec_id, string_agg(printf('%02x', k), '' order by p) as code, cast(sum(d) as bigint) as error from a6 group by vec_id), h as (select sha256(string_agg(array_to_string(x, ','), ',' order by p, k)) as h from b6)
+select c.vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, h as codebooks_sha256 from c join e using (vec_id), h"""
+
+OP12_SQL = f"""with e as materialized (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda v: floor(256 * v::double)) as x from embeddings where label is not null and {_USABLE}),
+s as materialized (select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, cast(list_dot_product(a.x, b.x) as bigint) as score from e a join e b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0),
+p as (select anchor_id, vec_id as positive_id, score as positive_score from (select *, row_number() over (partition by anchor_id order by score desc, vec_id) as rn from s where same) t where rn <= 5),
+n as (select p.*, s.vec_id as negative_id, score as negative_score, row_number() over (partition by p.anchor_id, positive_id order by score desc, s.vec_id) as rank from p join s on s.anchor_id = p.anchor_id and not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score)
+select anchor_id, positive_id, cast(rank as integer) as rank, negative_id, positive_score, negative_score from n where rank <= 3"""
+
+
 def oracle_sql() -> dict[str, str]:
     """op8's sketches are exact on groups of under 10,000 rows, so SQL quantiles give the same fences there."""
-    return {"op1_warc": OP1_SQL, "op8_quality_rules": OP8_SQL}
+    return {"op1_warc": OP1_SQL, "op8_quality_rules": OP8_SQL, "op11_vector_codes": OP11_SQL, "op12_hard_negatives": OP12_SQL}
