@@ -13,12 +13,17 @@ def date_index(panel: DataFrame, date: str = "date") -> DataFrame:
     return panel.select(date).distinct().withColumn("idx", F.row_number().over(Window.orderBy(date)) - 1)
 
 
-def walk_forward(dates: DataFrame, first_train: int, eval_size: int, step: int, embargo: int = 0) -> DataFrame:
-    """(fold_id, date, role): an expanding training window, an embargo, then an evaluation window that moves by step."""
+def walk_forward_cuts(dates: DataFrame, first_train: int, eval_size: int, step: int, embargo: int = 0) -> DataFrame:
+    """(fold_id, cut): the number of training dates of each fold, a row a fold."""
     n = dates.agg(F.count(F.lit(1)).alias("n"))
     last = F.greatest(F.floor((F.col("n") - first_train - embargo - eval_size) / F.lit(step)), F.lit(0)).cast("int")
-    folds = n.select(F.explode(F.sequence(F.lit(0), last)).alias("fold_id"), "n")
-    folds = folds.withColumn("cut", F.lit(first_train) + F.col("fold_id") * step).where(F.col("cut") + embargo + eval_size <= F.col("n"))
+    folds = n.select(F.explode(F.sequence(F.lit(0), last)).alias("fold_id"), "n").withColumn("cut", F.lit(first_train) + F.col("fold_id") * step)
+    return folds.where(F.col("cut") + embargo + eval_size <= F.col("n")).drop("n")
+
+
+def walk_forward(dates: DataFrame, first_train: int, eval_size: int, step: int, embargo: int = 0) -> DataFrame:
+    """(fold_id, date, role): an expanding training window, an embargo, then an evaluation window that moves by step."""
+    folds = walk_forward_cuts(dates, first_train, eval_size, step, embargo)
     on = (F.col("idx") < F.col("cut")) | ((F.col("idx") >= F.col("cut") + embargo) & (F.col("idx") < F.col("cut") + embargo + eval_size))
     out = dates.join(F.broadcast(folds), on)  # as many rows as folds
     return out.select("fold_id", "date", F.when(F.col("idx") < F.col("cut"), "train").otherwise("eval").alias("role"))

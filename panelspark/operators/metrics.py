@@ -62,6 +62,16 @@ def class_priors(df: DataFrame, by: list[str], label: str = "direction_label") -
     return df.groupBy(*by).agg(*[F.avg((F.col(label) == i).cast("double")).alias(f"prior_{i}") for i in range(3)])
 
 
+def training_priors(rows: DataFrame, dates: DataFrame, cuts: DataFrame, label: str = "direction_label") -> DataFrame:
+    """(fold_id, prior_0, prior_1, prior_2): class shares of the rows of each fold's training dates, 0 for a class without rows.
+    Counts are taken once a date and cumulated over the dates."""
+    w = Window.orderBy("idx")  # a date table
+    counts = rows.groupBy("date").agg(*[F.count_if(F.col(label) == i).alias(f"n_{i}") for i in range(3)])
+    total = dates.join(counts, "date", "left").select("idx", *[F.sum(F.coalesce(f"n_{i}", F.lit(0))).over(w).alias(f"n_{i}") for i in range(3)])
+    n = F.col("n_0") + F.col("n_1") + F.col("n_2")
+    return cuts.select("fold_id", (F.col("cut") - 1).alias("idx")).join(total, "idx").select("fold_id", *[F.try_divide(f"n_{i}", n).alias(f"prior_{i}") for i in range(3)])
+
+
 def diebold_mariano(df: DataFrame, by: list[str], differential: str) -> DataFrame:
     """Mean loss differential over its standard error, and the two-sided p-value (normal, error below 1e-6)."""
     d = F.col(differential)

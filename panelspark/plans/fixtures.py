@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import re
+
+from py4j.protocol import Py4JError
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,7 +40,25 @@ SPARK = {"JSONK": "cast(get_json_object(props,'$.k') as double)", "SEQ(": "struc
 DUCK = {"JSONK": "cast(json_extract_string(props,'$.k') as double)", "SEQ(": "row(", "DOWX": "isodow"}
 #: Aggregated panels that queries use several times: computed once and kept in memory, or on disk where that is full.
 KEPT = ("daily_bars", "scores", "macro", "sector_map", "fundamentals", "runs")
-_opened: dict[tuple, DataFrame] = {}
+#: Frames that one query call shares; the next call starts anew (see scoped).
+_shared: dict[tuple, DataFrame] = {}
+
+
+def scoped(query):
+    """A query that shares frames within one call only: what an earlier call has persisted is given back first, and every call
+    reads its tables again. A result of an earlier call stays right; it is computed anew where it is used again."""
+
+    @functools.wraps(query)
+    def call(spark: SparkSession, sf_dir: str) -> DataFrame:
+        for df in _shared.values():
+            try:
+                df.unpersist()
+            except Py4JError:  # of a session that has ended
+                pass
+        _shared.clear()
+        return query(spark, sf_dir)
+
+    return call
 
 
 def said(sql: str, dialect: dict[str, str]) -> str:
@@ -50,26 +72,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A panel over the tables of sf_dir; only the tables that it reads are opened, and each panel is analysed once a session.
-    Panels that are aggregates of the facts (a row a ticker and day at most) are persisted."""
-    key = (spark.sparkContext.applicationId, id(spark), sf_dir, name)
-    if key not in _opened:
-        sql = said(VIEWS[name], SPARK)
+    """A panel over the tables of sf_dir; only the tables that it reads are opened. Panels that are aggregates of the facts (a row
+    a ticker and day at most) are persisted while the query call lasts. No view of the session is made or changed."""
+    key = (id(spark), sf_dir, name)
+    if key not in _shared:
+        sql, used = said(VIEWS[name], SPARK), {}
         for base in [*NEEDS.get(name, []), *TABLES]:
             if f" {base}" in sql and (base in NEEDS.get(name, []) or name not in NEEDS):
-                (view if base in VIEWS else table)(spark, sf_dir, base).createOrReplaceTempView(base)
-        _opened[key] = spark.sql(sql)
-    df = _opened[key]
-    return df.persist(StorageLevel.MEMORY_AND_DISK) if name in KEPT and not df.is_cached else df
+                used[base] = (view if base in VIEWS else table)(spark, sf_dir, base)
+                sql = re.sub(rf"\b(from|join) {base}\b", rf"\1 {{{base}}}", sql)
+        df = spark.sql(sql, **used)
+        _shared[key] = df.persist(StorageLevel.MEMORY_AND_DISK) if name in KEPT else df
+    return _shared[key]
 
 
 def kept(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    """A table that several steps of a query need, such as a day's books: built once a session and persisted."""
-    key = (spark.sparkContext.applicationId, id(spark), sf_dir, f"kept {name}")
-    if key not in _opened:
-        _opened[key] = build()
-    df = _opened[key]
-    return df if df.is_cached else df.persist(StorageLevel.MEMORY_AND_DISK)
+    """A table that several steps of a query need, such as a day's books: built and persisted once a query call."""
+    key = (id(spark), sf_dir, f"kept {name}")
+    if key not in _shared:
+        _shared[key] = build().persist(StorageLevel.MEMORY_AND_DISK)
+    return _shared[key]
 
 
 def with_views(sql: str, *names: str) -> str:

@@ -85,14 +85,15 @@ def metrics_returns(spark, sf_dir):
     return rounded(metrics.return_metrics(evaluated(spark, sf_dir), ["fold_id"], "signal", "future_simple_return"))
 
 
-@query("with " + LABELLED + """, q as (select avg((y = 0)::int) as p0, avg((y = 1)::int) as p1, avg((y = 2)::int) as p2 from e where y is not null), d as (select fold_id, -ln(greatest(case y when 0 then prob_down when 1 then prob_flat else prob_up end, 1e-9)) + ln(case y when 0 then p0 when 1 then p1 else p2 end) as d from e, q where y is not null)
+@query("with " + LABELLED + """, q as (select fold_id, avg((y = 0)::int) as p0, avg((y = 1)::int) as p1, avg((y = 2)::int) as p2 from p join di on di.date = p.date join f on idx < cut where y is not null group by fold_id), d as (select e.fold_id, -ln(greatest(case y when 0 then prob_down when 1 then prob_flat else prob_up end, 1e-9)) + ln(case y when 0 then p0 when 1 then p1 else p2 end) as d from e join q on q.fold_id = e.fold_id where y is not null)
 , s as (select fold_id, avg(d) / (stddev_samp(d) / sqrt(count(*))) as dm from d group by fold_id), z as (select *, abs(dm) / sqrt(2.0::double) as x, 1 / (1 + 0.3275911::double * abs(dm) / sqrt(2.0::double)) as t from s)
 select fold_id, round(dm, 5) as dm_stat, round(t * (0.254829592::double + t * (-0.284496736::double + t * (1.421413741::double + t * (-1.453152027::double + t * 1.061405429::double)))) * exp(-x * x), 7) as p_value from z""", "daily_bars", "scores")
 def metrics_loss_against_prior(spark, sf_dir):
-    """Diebold-Mariano statistic of the log loss against that of the class priors."""
+    """Diebold-Mariano statistic of the log loss against that of the class shares of each fold's training rows."""
     e = evaluated(spark, sf_dir).where("direction_label is not null")
-    prior = metrics.class_priors(e.withColumn("g", F.lit(1)), ["g"])
-    e = e.crossJoin(F.broadcast(prior))  # one row
+    rows = labelled(spark, sf_dir).where("direction_label is not null")
+    prior = metrics.training_priors(rows, folds.date_index(labelled(spark, sf_dir)), folds.walk_forward_cuts(folds.date_index(labelled(spark, sf_dir)), 500, 200, 200, 5))
+    e = e.join(prior, "fold_id")
     p, q = F.array(*metrics.PROBS), F.array("prior_0", "prior_1", "prior_2")
     e = e.withColumn("d", -F.log(F.greatest(F.element_at(p, F.col("direction_label") + 1), F.lit(1e-9))) + F.log(F.element_at(q, F.col("direction_label") + 1)))
     out = metrics.diebold_mariano(e, ["fold_id"], "d")
