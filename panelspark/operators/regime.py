@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import GaussianMixture
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,9 +42,34 @@ def transitions(days: DataFrame, state: str = "state", recent: int = 20) -> Data
     return df.withColumn("shifted", F.coalesce(F.col("dominant_recent") != F.col(state), F.lit(False))).drop("__list", "__change")
 
 
-def mixture_states(days: DataFrame, columns: list[str], k: int = 3, seed: int = 7) -> DataFrame:
-    """days plus state from a Gaussian mixture over standardised observations (no transition matrix)."""
-    rows = VectorAssembler(inputCols=columns, outputCol="__raw").transform(days.dropna(subset=columns))
-    rows = StandardScaler(inputCol="__raw", outputCol="__x", withMean=True).fit(rows).transform(rows)
-    model = GaussianMixture(featuresCol="__x", predictionCol="state", probabilityCol="__p", k=k, seed=seed).fit(rows)
-    return model.transform(rows).drop("__raw", "__x", "__p")
+def mixture_states(days: DataFrame, columns: list[str], order: str, k: int = 3, rounds: int = 15) -> DataFrame:
+    """days (complete rows only) plus state, from a mixture of k Gaussians with diagonal spread over standardised observations (no
+    transition matrix), and share, the state's probability.
+
+    Expectation-maximisation for a fixed number of rounds from a fixed start: the k-tiles of `order`. A round is one aggregate of
+    one row, run when called; the last model scores the days lazily. Persist the days before."""
+    p = range(len(columns))
+    x = days.dropna(subset=columns)
+    base = x.agg(*[f.alias(f"{n}{j}") for j, c in enumerate(columns) for n, f in (("m", F.avg(c)), ("s", F.stddev_pop(c)))]).first()
+    scaled = {f"__x{j}": (F.col(c) - (base[f"m{j}"] or 0.0)) / (base[f"s{j}"] or 1.0) for j, c in enumerate(columns)}
+    tile = F.ntile(k).over(Window.orderBy(order, "date")) - 1  # a date table
+    x = x.withColumn("__t", tile).withColumns(scaled)
+    shares = [(F.col("__t") == c).cast("double") for c in range(k)]
+    for _ in range(rounds):
+        rows = x.withColumns({f"__r{c}": s for c, s in enumerate(shares)})
+        sums = [s.alias(n) for c in range(k) for r in [F.col(f"__r{c}")] for n, s in [(f"n{c}", F.sum(r)), *[(f"a{c}_{j}", F.sum(r * F.col(f"__x{j}"))) for j in p], *[(f"q{c}_{j}", F.sum(r * F.col(f"__x{j}") * F.col(f"__x{j}"))) for j in p]]]
+        m = rows.agg(F.count(F.lit(1)).alias("n"), *sums).first()
+        if not m["n"]:
+            break
+        logs = []
+        for c in range(k):
+            n = m[f"n{c}"] or 1e-12
+            mean = [m[f"a{c}_{j}"] / n for j in p]
+            var = [max(m[f"q{c}_{j}"] / n - mean[j] ** 2, 1e-3) for j in p]
+            away = sum((F.pow(F.col(f"__x{j}") - mean[j], 2) / var[j] for j in p), F.lit(0.0))
+            logs.append(F.lit(math.log(max(n / m["n"], 1e-12)) - 0.5 * sum(math.log(v) for v in var)) - 0.5 * away)
+        x = x.drop(*[f"__d{c}" for c in range(k)]).withColumns({f"__d{c}": d for c, d in enumerate(logs)})
+        e = [F.exp(F.col(f"__d{c}") - F.greatest(*[f"__d{i}" for i in range(k)])) for c in range(k)]
+        shares = [v / sum(e[1:], e[0]) for v in e]
+    every = F.array(*shares)
+    return x.select(*days.columns, (F.array_position(every, F.array_max(every)) - 1).cast("int").alias("state"), F.array_max(every).alias("share"))

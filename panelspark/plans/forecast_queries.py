@@ -171,11 +171,22 @@ def regime_statistics(spark, sf_dir):
     return rounded(regime.named_states(regime.state_statistics(days)))
 
 
-@query()
+MIXED = ["mean_return", "median_vol", "median_level"]
+_M = range(len(MIXED))
+_START = ", ".join(f"(t = {c})::int::double as r{c}" for c in range(3))
+_SUMS = "count(*) as n, " + ", ".join(f"sum(r{c}) as n{c}, " + ", ".join(f"sum(r{c} * x{j}) / sum(r{c}) as u{c}_{j}, greatest(sum(r{c} * x{j} * x{j}) / sum(r{c}) - pow(sum(r{c} * x{j}) / sum(r{c}), 2), 1e-3) as v{c}_{j}" for j in _M) for c in range(3))
+_DENSITY = ", ".join(f"ln(greatest(n{c} / n, 1e-12)) - 0.5 * (" + " + ".join(f"ln(v{c}_{j}) + pow(x{j} - u{c}_{j}, 2) / v{c}_{j}" for j in _M) + f") as d{c}" for c in range(3))
+MIXTURE_SQL = OBS_SQL + ", m0 as materialized (select date, " + ", ".join(f"({c} - avg({c}) over ()) / stddev_pop({c}) over () as x{j}" for j, c in enumerate(MIXED)) + ", median_vol, median_level, mean_return, ntile(3) over (order by median_vol, date) - 1 as t from ob where " + " and ".join(f"{c} is not null" for c in MIXED) + f"), e0 as materialized (select *, {_START} from m0)" + "".join(f", k{r} as materialized (select {_SUMS} from e{r}), e{r + 1} as materialized (select * exclude (d0, d1, d2), exp(d0 - greatest(d0, d1, d2)) / (exp(d0 - greatest(d0, d1, d2)) + exp(d1 - greatest(d0, d1, d2)) + exp(d2 - greatest(d0, d1, d2))) as r0, exp(d1 - greatest(d0, d1, d2)) / (exp(d0 - greatest(d0, d1, d2)) + exp(d1 - greatest(d0, d1, d2)) + exp(d2 - greatest(d0, d1, d2))) as r1, exp(d2 - greatest(d0, d1, d2)) / (exp(d0 - greatest(d0, d1, d2)) + exp(d1 - greatest(d0, d1, d2)) + exp(d2 - greatest(d0, d1, d2))) as r2 from (select m0.*, {_DENSITY} from m0, k{r}) t)" for r in range(15))
+
+
+@query(MIXTURE_SQL + """, st as (select *, case when r0 >= r1 and r0 >= r2 then 0 when r1 >= r2 then 1 else 2 end as state, greatest(r0, r1, r2) as sh from e15),
+ag as (select state, count(*) as days, avg(mean_return) as mr, avg(median_vol) as mv, avg(median_level) as ml, avg(sh) as ms from st group by state)
+select cast(state as bigint) as state, days, round(mr, 6) + 0.0 as mean_return, round(mv, 6) as mean_vol, round(ml, 6) as mean_level, round(ms, 6) as mean_share, case when row_number() over (order by mv, ml, state) = 1 then 'low_vol' when row_number() over (order by mv, ml, state) = count(*) over () then 'high_vol' else 'transition' end as regime from ag""", "daily_bars")
 def regime_mixture(spark, sf_dir):
-    """State sizes of a Gaussian mixture over the daily observations."""
-    days = regime.mixture_states(observations(spark, sf_dir), ["mean_return", "median_vol", "median_level"])
-    return rounded(days.groupBy("state").agg(F.count(F.lit(1)).alias("days")))
+    """The states of a Gaussian mixture over the daily observations, named by volatility and level."""
+    days = regime.mixture_states(kept(spark, sf_dir, "observations", lambda: observations(spark, sf_dir)), MIXED, "median_vol")
+    stats = regime.named_states(regime.state_statistics(days)).join(days.groupBy("state").agg(F.avg("share").alias("mean_share")), "state")
+    return rounded(stats)
 
 
 EVENT_SQL = """ev as (select distinct ticker, report_date, greatest(report_date, available_at) as eff from fundamentals), rt as (select ticker, date, close / lag(close) over (partition by ticker order by date) - 1 as ret from daily_bars),

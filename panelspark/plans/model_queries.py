@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelspark.operators import books, features, folds, metrics, walkforward
+from panelspark.operators import books, calibration, features, folds, metrics, walkforward
 from panelspark.plans.book_queries import BOOK_SQL
 from panelspark.plans.fixtures import kept, with_views
 from panelspark.plans.panel_queries import FEATURE_SQL, bars, price_panel, rounded
@@ -145,3 +145,54 @@ def forecast_book_performance(spark, sf_dir):
     held = books.held_books(books.target_books(books.side_edges(rows, 0.0, 0.01), grid), days)
     out = books.performance(books.daily_results(held, rets, days, 10), 10)
     return rounded(out.select("candidate", "days", "annual_return", "annual_volatility", "mean_turnover", "mean_exposure"), 5)
+
+
+TAIL = (0.2, 60)  # share of the training dates kept for calibration, and the least number
+#: The models once more, fitted before each fold's tail, scored on the tail and on the evaluation rows.
+_SOFT = lambda w: ", ".join(f"exp(z{k} - greatest(z0, z1, z2)) / (exp(z0 - greatest(z0, z1, z2)) + exp(z1 - greatest(z0, z1, z2)) + exp(z2 - greatest(z0, z1, z2))) as p{k}" for k in range(3))
+_LOGIT = ", ".join(f"{{0}}.w{k}_0 + " + " + ".join(f"{{0}}.w{k}_{i} * x{i}" for i in range(1, 4)) + f" as z{k}" for k in range(3))
+_CENTRED = ", ".join(f"ln(greatest(least(q{k}, 1 - 1e-6), 1e-6)) - (" + " + ".join(f"ln(greatest(least(q{m}, 1 - 1e-6), 1e-6))" for m in range(3)) + f") / 3 as x{k + 1}" for k in range(3))
+_INVERSE = _eliminated(4, 4)
+_GRAM = ", ".join([f"sum(x{i} * x{j}) / 2 + {int(i == j and i > 0)} as t0_{i}_{j}" for i in range(4) for j in range(4)] + [f"{int(i == j)} as t0_{i}_{4 + j}" for i in range(4) for j in range(4)])
+_ROUND = ", ".join(f"any_value(w{k}_{i}) + " + " + ".join(f"any_value(t4_{i}_{4 + j}) * (sum(x{j} * ((y = {k})::int - p{k}))" + (f" - any_value(w{k}_{j})" if j else "") + ")" for j in range(4)) + f" as w{k}_{i}" for k in range(3) for i in range(4))
+CALIBRATED_SQL = ROWS_SQL + f"""fq as (select fold_id, cut, case when cut > greatest(60, round_even(cut * 0.2, 0)) + 5 then cast(cut - greatest(60, round_even(cut * 0.2, 0)) as bigint) else cut end as fit_cut from fo),
+gm as materialized (select fold_id, any_value(cut) as cut, any_value(fit_cut) as fit_cut, count(*) as n, {_GAUSS}, {_CLASS} from ri join fq on idx < fit_cut group by fold_id),
+dt as (select gm.fold_id, ticker, date, y, idx >= cut as is_eval, {_DENSE} from ri join gm on (idx >= fit_cut and idx < cut) or (idx >= cut + 5 and idx < cut + 205)),
+qt as (select *, exp(d0 - greatest(d0, d1, d2)) / (exp(d0 - greatest(d0, d1, d2)) + exp(d1 - greatest(d0, d1, d2)) + exp(d2 - greatest(d0, d1, d2))) as q0, exp(d1 - greatest(d0, d1, d2)) / (exp(d0 - greatest(d0, d1, d2)) + exp(d1 - greatest(d0, d1, d2)) + exp(d2 - greatest(d0, d1, d2))) as q1, exp(d2 - greatest(d0, d1, d2)) / (exp(d0 - greatest(d0, d1, d2)) + exp(d1 - greatest(d0, d1, d2)) + exp(d2 - greatest(d0, d1, d2))) as q2 from dt),
+xt as materialized (select fold_id, ticker, date, y, is_eval, q0, q1, q2, 1.0::double as x0, {_CENTRED} from qt),
+i0 as (select fold_id, {_GRAM} from xt where not is_eval group by fold_id having count(distinct y) = 3), {", ".join(f"i{k + 1} as (select fold_id, {c} from i{k})" for k, c in enumerate(_INVERSE))},
+iv as materialized (select fold_id, {", ".join(f"t4_{i}_{4 + j}" for i in range(4) for j in range(4))} from i4), w0 as (select fold_id, {", ".join(f"0.0::double as w{k}_{i}" for k in range(3) for i in range(4))} from iv),
+""" + ", ".join(f"w{r + 1} as materialized (select fold_id, {_ROUND} from (select *, {_SOFT('')} from (select xt.*, w{r}.* exclude (fold_id), iv.* exclude (fold_id), {_LOGIT.format(f'w{r}')} from xt join w{r} on w{r}.fold_id = xt.fold_id join iv on iv.fold_id = xt.fold_id where not is_eval) a) b group by fold_id)" for r in range(12)) + f""",
+cf as (select fold_id, ticker, date, y, q0, q1, q2, {", ".join(f"case when f is null then q{k} else p{k} end as c{k}" for k in range(3))} from (select *, {_SOFT('')} from (select xt.*, w12.fold_id as f, {_LOGIT.format("w12")} from xt left join w12 on w12.fold_id = xt.fold_id where is_eval) a) b)
+"""
+
+
+def calibrated_forecasts(spark, sf_dir):
+    """Evaluation rows with raw and calibrated probabilities; the model is fitted before the tail that calibrates it."""
+    rows = training_rows(spark, sf_dir)
+    first, size, step, embargo = FOLDS
+    dates = folds.date_index(rows)
+    cuts = calibration.tail_cuts(folds.walk_forward_cuts(dates, first, size, step, embargo), *TAIL)
+    sums = walkforward.training_sums(rows, dates, cuts.select("fold_id", F.col("fit_cut").alias("cut")), USED, "direction_label", TARGETS)
+    scales = walkforward.scales(sums, len(USED))
+    models = walkforward.ridge_by_fold(walkforward.gaussian_by_fold(scales, len(USED)), len(USED), len(TARGETS))
+    tail = cuts.where("fit_cut < cut").select("fold_id", F.explode(F.sequence("fit_cut", F.col("cut") - 1)).alias("idx")).join(dates, "idx").select("fold_id", "date")
+    slim = rows.select("ticker", "date", "direction_label", *USED)
+    before = kept(spark, sf_dir, "tail", lambda: walkforward.scored(slim, models, tail, USED).select("fold_id", "direction_label", *metrics.PROBS))
+    after = walkforward.scored(slim, models, walkforward.eval_dates(dates, cuts, size, embargo), USED).select("fold_id", "ticker", "date", "direction_label", *metrics.PROBS)
+    return calibration.calibrated(after, calibration.fitted(before, "direction_label"))
+
+
+_ECE = "select fold_id, sum(n * abs(c - hr)) / sum(n) as ece from (select fold_id, least(floor(conf * 10), 9) as bin, count(*) as n, avg(conf) as c, avg((am = y)::int) as hr from (select fold_id, y, greatest({0}0, {0}1, {0}2) as conf, case when {0}0 >= {0}1 and {0}0 >= {0}2 then 0 when {0}1 >= {0}2 then 1 else 2 end as am from cf) a group by all) b group by fold_id"
+
+
+@query(CALIBRATED_SQL + f", er as ({_ECE.format('q')}), ec as ({_ECE.format('c')}), ll as (select fold_id, avg(-ln(greatest(case y when 0 then q0 when 1 then q1 else q2 end, 1e-9))) as raw_log_loss, avg(-ln(greatest(case y when 0 then c0 when 1 then c1 else c2 end, 1e-9))) as log_loss from cf group by fold_id)" + " select fold_id, round(er.ece, 5) as raw_ece, round(ec.ece, 5) as ece, round(raw_log_loss, 5) as raw_log_loss, round(log_loss, 5) as log_loss from er join ec using (fold_id) join ll using (fold_id)")
+def forecast_calibration(spark, sf_dir):
+    """Calibration error and log loss of the calibrated probabilities beside those of the raw ones."""
+    rows = kept(spark, sf_dir, "calibrated", lambda: calibrated_forecasts(spark, sf_dir))
+    after = rows.select("fold_id", "direction_label", *[F.col(c).alias(p) for c, p in zip(("cal_down", "cal_flat", "cal_up"), metrics.PROBS, strict=True)])
+    out = None
+    for name, df in (("raw_", rows), ("", after)):
+        one = metrics.expected_calibration_error(df, ["fold_id"]).withColumnRenamed("ece", f"{name}ece").join(metrics.class_metrics(df, ["fold_id"]).select("fold_id", F.col("log_loss").alias(f"{name}log_loss")), "fold_id")
+        out = one if out is None else out.join(one, "fold_id")
+    return rounded(out, 5)
