@@ -14,7 +14,8 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 _powers: dict[str, np.ndarray] = {}
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n or more powers of BASE and of its inverse."""
     if "up" not in _powers or len(_powers["up"]) < n:
         size = max(n, 1 << 20)
         for name, base in (("up", BASE), ("down", INVERSE)):
@@ -46,7 +47,7 @@ def word_spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word, the same wherever the word stands."""
-    up, down = _power(len(buf) + 1)
+    up, down = powers(len(buf) + 1)
     sums = np.zeros(len(buf) + 1, dtype=np.uint64)
     np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts])

@@ -119,6 +119,22 @@ def test_exact_passages_equal_brute_force(spark):
     assert want and want <= got
 
 
+def test_passages_whose_parts_stand_in_many_other_documents(spark):
+    """Pairs that share 60 equal words, whose 13-word parts stand in five other documents each."""
+    r = random.Random(8)
+    word = lambda: f"w{r.randrange(50000)}"
+    rows, want = [], set()
+    for _ in range(40):
+        passage = [word() for _ in range(60)]
+        i = len(rows)
+        want.add((i, i + 1))
+        parts = [passage, passage, *(passage[s : s + 13] for s in range(0, 48, 6) for _ in range(5))]
+        rows += [(i + n, " ".join([word() for _ in range(40)] + p + [word() for _ in range(40)])) for n, p in enumerate(parts)]
+    r.shuffle(rows)
+    got = {(x.source_id, x.doc_id) for x in substrings.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_chains_equal_brute_force():
     r = np.random.default_rng(3)
     for _ in range(20):
