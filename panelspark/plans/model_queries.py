@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelspark.operators import books, calibration, features, folds, metrics, walkforward
+from panelspark.operators import books, calibration, features, folds, metrics, trees, walkforward
 from panelspark.plans.book_queries import BOOK_SQL
 from panelspark.plans.fixtures import kept, with_views
 from panelspark.plans.panel_queries import FEATURE_SQL, bars, price_panel, rounded
@@ -196,3 +196,68 @@ def forecast_calibration(spark, sf_dir):
         one = metrics.expected_calibration_error(df, ["fold_id"]).withColumnRenamed("ece", f"{name}ece").join(metrics.class_metrics(df, ["fold_id"]).select("fold_id", F.col("log_loss").alias(f"{name}log_loss")), "fold_id")
         out = one if out is None else out.join(one, "fold_id")
     return rounded(out, 5)
+
+
+BINS, TREE_ROUNDS, RATE, LEAST = 16, 2, 0.3, 20
+_Y = ("y = 0", "y = 1", "y = 2")
+
+
+def _tree_round(r: int) -> str:
+    """The tables of one round: gradients g, root cuts c, node cuts d, leaves l and new scores s. Long rows: fold, model m, row."""
+    prob = [f"exp(f{k} - greatest(f0, f1, f2)) / (exp(f0 - greatest(f0, f1, f2)) + exp(f1 - greatest(f0, f1, f2)) + exp(f2 - greatest(f0, f1, f2)))" for k in range(3)]
+    pairs = [f"select *, {k} as m, ({_Y[k]})::int - ({prob[k]}) as g, ({prob[k]}) * (1 - ({prob[k]})) as h from ts{r} where train" for k in range(3)] + [f"select *, {3 + i} as m, {t} - f{3 + i} as g, 1.0 as h from ts{r} where train" for i, t in enumerate(("tr", "fv"))]
+
+    def best(rows: str, by: str) -> str:
+        left = f"select {by}, j, bin, sum(g) over w as gl, sum(h) over w as hl, sum(n) over w as nl, sum(g) over v as ga, sum(h) over v as ha, sum(n) over v as na from (select {by}, j, b[j + 1] as bin, sum(g) as g, sum(h) as h, count(*) as n from {rows}, range({len(USED)}) t(j) group by all) a window w as (partition by {by}, j order by bin), v as (partition by {by}, j)"
+        gain = f"select *, case when nl >= {LEAST} and na - nl >= {LEAST} then gl * gl / (hl + 1) + (ga - gl) * (ga - gl) / (ha - hl + 1) - ga * ga / (ha + 1) else -1 end as gain from ({left}) b"
+        return f"select {by}, case when gain > 1e-9 then j else 0 end as j, case when gain > 1e-9 then bin else {1 << 20} end as t, case when gain > 1e-9 then gl / (hl + 1) else ga / (ha + 1) end as low, case when gain > 1e-9 then (ga - gl) / (ha - hl + 1) else 0 end as high from ({gain}) c qualify row_number() over (partition by {by} order by gain desc, j, bin) = 1"
+
+    add = ", ".join(f"max(f{m}) + {RATE} * max(case when l.m = {m} then case when s.b[l.j + 1] <= l.t then l.low else l.high end end) as f{m}" for m in range(5))
+    return f"""g{r} as materialized ({" union all ".join(pairs)}), c{r} as materialized ({best(f"g{r}", "fold_id, m")}), n{r} as materialized (select g{r}.*, case when b[c{r}.j + 1] <= c{r}.t then 0 else 1 end as side from g{r} join c{r} on c{r}.fold_id = g{r}.fold_id and c{r}.m = g{r}.m),
+d{r} as materialized ({best(f"n{r}", "fold_id, m, side")}), ts{r + 1} as materialized (select s.fold_id, ticker, date, any_value(y) as y, any_value(tr) as tr, any_value(fv) as fv, any_value(fr) as fr, any_value(train) as train, any_value(b) as b, {add}
+ from ts{r} s join c{r} c on c.fold_id = s.fold_id join d{r} l on l.fold_id = s.fold_id and l.m = c.m and l.side = case when s.b[c.j + 1] <= c.t then 0 else 1 end group by s.fold_id, ticker, date)"""
+
+
+_EDGES = ", ".join(f"list_distinct(quantile_cont(f{j}, [{', '.join(str(i / BINS) for i in range(1, BINS))}])) as e{j}" for j in P)
+TREE_SQL = ROWS_SQL + f"""eg as materialized (select {_EDGES} from ri where idx < 500), bn as materialized (select ri.*, [{", ".join(f"len(list_filter(e{j}, lambda v: v <= f{j}))" for j in P)}] as b from ri, eg),
+t0 as materialized (select fold_id, bn.*, idx < cut as train from bn join fo on idx < cut or (idx >= cut + 5 and idx < cut + 205)), z0 as (select fold_id, {", ".join(f"ln(greatest(avg(({_Y[k]})::int), 1e-9)) as f{k}" for k in range(3))}, avg(tr) as f3, avg(fv) as f4 from t0 where train group by fold_id),
+ts0 as materialized (select t0.fold_id, ticker, date, y, tr, fv, fr, train, b, z0.f0, z0.f1, z0.f2, z0.f3, z0.f4 from t0 join z0 on z0.fold_id = t0.fold_id), {", ".join(_tree_round(r) for r in range(TREE_ROUNDS))}
+"""
+
+
+def tree_rows(spark, sf_dir):
+    """(binned rows with their fold and part, as many times as folds use them)."""
+    rows = training_rows(spark, sf_dir)
+    first, size, step, embargo = FOLDS
+    dates = folds.date_index(rows)
+    windows = folds.walk_forward(dates, first, size, step, embargo)
+    early = rows.join(dates.where(F.col("idx") < first).select("date"), "date")
+    slim = trees.binned(rows, trees.bin_edges(early, USED, BINS)).select("ticker", "date", "direction_label", *TARGETS, "future_simple_return", "bins")
+    return kept(spark, sf_dir, "tree rows", lambda: slim.join(windows, "date"))
+
+
+def fitted_trees(spark, sf_dir):
+    rows = tree_rows(spark, sf_dir)
+    return trees.FoldTrees(TREE_ROUNDS, RATE, LEAST).fit(rows.where("role = 'train'"), len(USED), "direction_label", TARGETS)
+
+
+@query(TREE_SQL + """, ev as (select *, exp(f0 - greatest(f0, f1, f2)) / (exp(f0 - greatest(f0, f1, f2)) + exp(f1 - greatest(f0, f1, f2)) + exp(f2 - greatest(f0, f1, f2))) as q0, exp(f1 - greatest(f0, f1, f2)) / (exp(f0 - greatest(f0, f1, f2)) + exp(f1 - greatest(f0, f1, f2)) + exp(f2 - greatest(f0, f1, f2))) as q1,
+ exp(f2 - greatest(f0, f1, f2)) / (exp(f0 - greatest(f0, f1, f2)) + exp(f1 - greatest(f0, f1, f2)) + exp(f2 - greatest(f0, f1, f2))) as q2 from ts2 where not train)
+select fold_id, count(*) as n, round(avg(((case when q0 >= q1 and q0 >= q2 then 0 when q1 >= q2 then 1 else 2 end) = y)::int), 6) as hit_rate, round(avg(-ln(greatest(case y when 0 then q0 when 1 then q1 else q2 end, 1e-9))), 6) as log_loss, round(sqrt(avg(pow(f3 - tr, 2))), 6) as return_rmse, round(sqrt(avg(pow(greatest(f4, 0) - fv, 2))), 6) as volatility_rmse from ev group by fold_id""")
+def forecast_trees(spark, sf_dir):
+    """Metrics of the boosted trees on each fold's evaluation rows."""
+    rows = fitted_trees(spark, sf_dir).predict(tree_rows(spark, sf_dir).where("role = 'eval'").drop("role"))
+    rows = kept(spark, sf_dir, "tree forecasts", lambda: rows)
+    out = metrics.class_metrics(rows, ["fold_id"]).select("fold_id", "n", "hit_rate", "log_loss")
+    for name, predicted, actual in (("return_rmse", "expected_return", "target_return"), ("volatility_rmse", "predicted_volatility", "future_volatility_20d")):
+        out = out.join(metrics.return_metrics(rows, ["fold_id"], predicted, actual).select("fold_id", F.col("rmse").alias(name)), "fold_id")
+    return rounded(out)
+
+
+@query(TREE_SQL + " " + " union all ".join(f"select c.fold_id, {r} as round, cast(c.m as bigint) as model, cast(c.j as bigint) as root_feature, cast(c.t as bigint) as root_bin, cast(a.j as bigint) as left_feature, cast(a.t as bigint) as left_bin, cast(b.j as bigint) as right_feature, cast(b.t as bigint) as right_bin, round(a.low, 6) + 0.0 as leaf_0, round(a.high, 6) + 0.0 as leaf_1, round(b.low, 6) + 0.0 as leaf_2, round(b.high, 6) + 0.0 as leaf_3 from c{r} c join d{r} a on a.fold_id = c.fold_id and a.m = c.m and a.side = 0 left join d{r} b on b.fold_id = c.fold_id and b.m = c.m and b.side = 1" for r in range(TREE_ROUNDS)))
+def forecast_tree_cuts(spark, sf_dir):
+    """Every tree: the root's and the children's cuts, and the leaves."""
+    fit = fitted_trees(spark, sf_dir)
+    rows = [(f, r, m, *cuts, *leaves) for f, rounds in fit.trees.items() for r, models in enumerate(rounds) for m, (cuts, leaves) in enumerate(models)]
+    names = ["fold_id", "round", "model", "root_feature", "root_bin", "left_feature", "left_bin", "right_feature", "right_bin"]
+    return rounded(spark.createDataFrame(rows, ", ".join([f"{n} bigint" for n in names] + [f"leaf_{i} double" for i in range(4)])))
