@@ -34,12 +34,18 @@ def expected_calibration_error(df: DataFrame, by: list[str], bins: int = 10, lab
     return rows.groupBy(*by).agg((F.sum(F.col("n") * F.abs(F.col("c") - F.col("h"))) / F.sum("n")).alias("ece"))
 
 
-def average_ranks(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
-    """df plus the average rank of value within its group. Distinct values are counted first, so the ordered pass sees one
-    row a value and no group is sorted row by row."""
+def average_ranks(df: DataFrame, by: list[str], value: str, out: str, cells: int = 16) -> DataFrame:
+    """df plus the average rank of value within its group. Distinct values are counted first. A mergeable sketch cuts the values
+    of a group into cells of about equal size; values are ordered inside their cell only and get the number of rows in the
+    cells below, so no task orders a whole group."""
     counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__c"))
-    w = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    counts = counts.withColumn(out, F.sum("__c").over(w) - (F.col("__c") - 1) / 2.0).drop("__c")
+    edges = df.groupBy(*by).agg(F.percentile_approx(value, [i / cells for i in range(1, cells)], 1000).alias("__e"))  # a row a group
+    counts = counts.join(edges, by).withColumn("__b", F.size(F.filter("__e", lambda e: e < F.col(value)))).drop("__e")
+    below = counts.groupBy(*by, "__b").agg(F.sum("__c").alias("__s"))
+    below = below.select(*by, "__b", (F.sum("__s").over(Window.partitionBy(*by).orderBy("__b")) - F.col("__s")).alias("__below"))  # `cells` rows a group
+    w = Window.partitionBy(*by, "__b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    counts = counts.withColumn("__to", F.sum("__c").over(w)).join(below, [*by, "__b"])
+    counts = counts.withColumn(out, F.col("__below") + F.col("__to") - (F.col("__c") - 1) / 2.0).select(*by, value, out)
     return df.join(counts, [*by, value])
 
 

@@ -5,6 +5,9 @@ rows of a key, never a join of all pairs. Only the cool-off feeds back on itself
 
 from __future__ import annotations
 
+from collections import deque
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -152,6 +155,67 @@ def decide(runs: DataFrame, days: int = 30) -> DataFrame:
     return df.withColumn("suppressed", F.array_sort(F.array_except("triggers", "effective"))).drop("ord", "lone", "wanted", "confirmed")
 
 
+REPLAYED = "key string, date date, calibration_matches bigint, pbo_matches bigint, base array<string>, effective array<string>, causes array<string>, decision string, should_retrain boolean"
+
+
+def replay(runs: DataFrame, warning: float = 0.05, immediate: float = 1.5, pbo_warning: float = 0.6, pbo_at_once: float = 0.85, entries: int = 128, calibration_days: int = 30, pbo_days: int = 45, cool_off: int = 30) -> DataFrame:
+    """The policy over stored runs in order, where what the replay itself decides is the history of later runs: causes that it
+    finds feed the persistence of calibration and of overfitting, and effective ones the cool-off.
+
+    runs: key, date, regime, drift_causes (array), shift_cause (null without a shift), ece, breaches, ratio, pbo, label,
+    competition, state_probability, transition_rate. A key's runs are one ordered stream; what a task keeps of it is the window
+    of the last `entries` runs, so long histories need no memory. Equal dates stand in the order of all columns; null metrics
+    trigger nothing; an empty table gives no rows."""
+    fields = ["ord", "date", "bucket", "regime", "drift_causes", "shift_cause", "ece", "breaches", "ratio", "pbo", "label", "competition", "state_probability", "transition_rate"]
+    rows = with_ord(runs).withColumn("bucket", regime_bucket(F.col("regime"))).select("key", *fields)
+    rows = rows.repartition("key").sortWithinPartitions("key", *fields)
+
+    def step(past: deque, x) -> tuple:
+        near = lambda days: [e for e in past if x.ord - e["ord"] <= days]
+        value = lambda v, other=0.0: other if v is None or v != v else v
+        names, causes = [], list(x.drift_causes)
+        if causes:
+            names.append("feature_drift")
+        cause = f"calibration_ece:{x.bucket}"
+        seen = [e["ord"] for e in near(calibration_days) if cause in e["base"]]
+        folds = value(x.breaches) >= 2 and value(x.ratio) >= 0.4 * BREACH_MULTIPLIER.get(x.regime, 1.0)
+        if folds and (len(seen) + 1 >= 2 and seen and x.ord - min(seen) >= 10 or value(x.ece) >= warning * immediate):
+            names.append("calibration_ece")
+            causes.append(cause)
+        if isinstance(x.shift_cause, str):
+            names.append("regime_shift")
+            causes.append(x.shift_cause)
+        cause = f"pbo:{x.label}"
+        pbo, over = value(x.pbo), value(x.pbo) >= pbo_warning
+        held = [e["ord"] for e in near(pbo_days) if e["pbo"] >= pbo_warning or cause in e["base"]]
+        if over and len(held) + 1 >= 3 and held and x.ord - min(held) >= 20 or pbo >= pbo_at_once and not x.competition:
+            names.append("pbo")
+            causes.append(cause)
+        effective, left, decision = list(names), list(causes), "trigger"
+        if "regime_shift" in names and ("feature_drift" not in names or len(names) == 1):
+            if len(names) == 1 and value(x.state_probability) >= 0.65 and value(x.transition_rate) <= 0.15:
+                decision = "watch_regime_shift_only"
+            effective, left = [n for n in names if n != "regime_shift"], [c for c in causes if not c.startswith("regime_shift:")]
+        cooling = any(e["did"] and e["bucket"] == x.bucket and x.ord - e["ord"] < cool_off and set(left) & set(e["effective"]) for e in past)
+        if effective and cooling:
+            effective, left, decision = [], [], "suppressed_by_cooloff"
+        decision = "watch_only" if not names else "trigger" if effective else decision
+        past.append({"ord": x.ord, "bucket": x.bucket, "base": set(causes), "pbo": pbo, "did": bool(effective), "effective": set(left)})
+        return x.key, x.date, len(seen), len(held), names, effective, causes, decision, bool(effective)
+
+    def run(batches):
+        key, past = None, deque(maxlen=entries)
+        for pdf in batches:
+            out = []
+            for x in pdf.itertuples(index=False):
+                if not out and key is None or x.key != key:
+                    key, past = x.key, deque(maxlen=entries)
+                out.append(step(past, x))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in REPLAYED.split(", ")])
+
+    return rows.mapInPandas(run, REPLAYED)
+
+
 def history_entry(decided: DataFrame) -> DataFrame:
     """What a decided run leaves in the history."""
     return decided.select("key", "date", "regime", "bucket", "base_should_retrain", "should_retrain", F.col("triggers").alias("base_trigger_names"), F.col("effective").alias("effective_trigger_names"), F.col("suppressed").alias("suppressed_trigger_names"), F.col("causes").alias("base_cause_keys"), F.col("decision").alias("policy_decision"))

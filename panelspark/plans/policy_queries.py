@@ -246,3 +246,31 @@ def audit_alerts(spark, sf_dir):
     m = runs(spark, sf_dir).groupBy(F.col("key").alias("run")).agg(F.avg("pbo").alias("pbo"), F.avg("ece").alias("ece"), F.avg("transition_rate").alias("rate"))
     rules = spark.createDataFrame([("pbo", ">=", 0.3, "warning"), ("ece", ">=", 0.01, "info"), ("rate", ">=", 0.07, "critical")], "metric string, op string, threshold double, severity string")
     return audit.alerts(m.unpivot(["run"], ["pbo", "ece", "rate"], "metric", "value"), rules)
+
+
+_FOLDS = f"(breaches >= 2 and breaches / 5.0 >= 0.4 * {_CASE(policy.BREACH_MULTIPLIER, 'regime', 1.0)})"
+REPLAY_SQL = f"""rp as (select key, date, {ORD} as ord, {BUCKET} as bucket, case when n % 4 = 0 then ['feature_drift:volatility'] else cast([] as varchar[]) end as dc, case when shift_flag then 'regime_shift:a' end as sc, {_FOLDS} as folds, ece >= 0.05 * 1.5 as hot, pbo, competition, 'pbo:' || case when pbo < 0.2 then 'low_overfit_risk' when pbo < 0.5 then 'moderate_overfit_risk' when pbo < 0.8 then 'high_overfit_risk' else 'severe_overfit_risk' end as pc,
+ state_probability >= 0.65 and transition_rate <= 0.15 as settled, row_number() over (partition by key order by {ORD}) as rn from policy_runs),
+st as (select key, cast(0 as bigint) as rn, cast(null as date) as date, cast(0 as bigint) as cm, cast(0 as bigint) as pm, cast([] as varchar[]) as names, cast([] as varchar[]) as causes, cast([] as varchar[]) as eff, '' as decision, cast([] as struct(o bigint, b varchar, c varchar[], p double, did boolean, e varchar[])[]) as hist from (select distinct key from rp) t
+ union all select key, rn, date, cm, pm, names, causes, eff, decision, (hist || [{{'o': cast(ord as bigint), 'b': bucket, 'c': causes, 'p': cast(pbo as double), 'did': len(eff) > 0, 'e': case when len(eff) > 0 then kept when decision = 'suppressed_by_cooloff' then [] else kept end}}])[-128:] from
+ (select *, case when cooling then [] else conf end as eff, case when len(names) = 0 then 'watch_only' when len(conf) > 0 and not cooling then 'trigger' when len(conf) > 0 then 'suppressed_by_cooloff' when len(names) = 1 and settled then 'watch_regime_shift_only' else 'trigger' end as decision from
+ (select *, len(conf) > 0 and len(list_filter(hist, lambda h: h.did and h.b = bucket and ord - h.o < 30 and len(list_intersect(h.e, kept)) > 0)) > 0 as cooling from
+ (select *, case when list_contains(names, 'regime_shift') and not list_contains(names, 'feature_drift') then list_filter(names, lambda x: x <> 'regime_shift') else names end as conf, case when list_contains(names, 'regime_shift') and not list_contains(names, 'feature_drift') then list_filter(causes, lambda x: not starts_with(x, 'regime_shift:')) else causes end as kept from
+ (select *, list_filter([case when len(dc) > 0 then 'feature_drift' end, case when cal then 'calibration_ece' end, case when sc is not null then 'regime_shift' end, case when over then 'pbo' end], lambda x: x is not null) as names, dc || list_filter([case when cal then 'calibration_ece:' || bucket end, sc, case when over then pc end], lambda x: x is not null) as causes from
+ (select *, folds and (hot or (cm >= 1 and ord - cf >= 10)) as cal, (pbo >= 0.6 and pm >= 2 and ord - pf >= 20) or (pbo >= 0.85 and not competition) as over from
+ (select *, len(seen) as cm, list_min(list_transform(seen, lambda h: h.o)) as cf, len(held) as pm, list_min(list_transform(held, lambda h: h.o)) as pf from
+ (select rp.*, st.hist, list_filter(st.hist, lambda h: rp.ord - h.o <= 30 and list_contains(h.c, 'calibration_ece:' || rp.bucket)) as seen, list_filter(st.hist, lambda h: rp.ord - h.o <= 45 and (h.p >= 0.6 or list_contains(h.c, rp.pc))) as held from st join rp on rp.key = st.key and rp.rn = st.rn + 1) a) b) c) d) e) f) g)"""
+
+
+def replay_runs(spark, sf_dir):
+    r, p = runs(spark, sf_dir), F.col("pbo")
+    label = F.when(p < 0.2, policy.PBO_LABELS[0]).when(p < 0.5, policy.PBO_LABELS[1]).when(p < 0.8, policy.PBO_LABELS[2]).otherwise(policy.PBO_LABELS[3])
+    drift = F.when(F.col("n") % 4 == 0, F.array(F.lit("feature_drift:volatility"))).otherwise(F.array().cast("array<string>"))
+    return r.withColumns({"drift_causes": drift, "shift_cause": F.when(F.col("shift_flag"), "regime_shift:a"), "ratio": F.col("breaches") / 5.0, "label": label})
+
+
+@query(f"with {REPLAY_SQL} select key, date, cm as calibration_matches, pm as pbo_matches, array_to_string(names, '|') as base, array_to_string(eff, '|') as effective, decision, len(eff) > 0 as should_retrain from st where rn > 0", "policy_runs")
+def policy_replay_feedback(spark, sf_dir):
+    """The replay whose own causes are the history of later runs."""
+    out = policy.replay(replay_runs(spark, sf_dir))
+    return out.select("key", "date", "calibration_matches", "pbo_matches", F.array_join("base", "|").alias("base"), F.array_join("effective", "|").alias("effective"), "decision", "should_retrain")
