@@ -186,3 +186,89 @@ def flat_run(documents: DataFrame, paths: dict[str, str]) -> DataFrame:
         return True
 
     return documents.select(*[(F.col(p) if there(p) else F.lit(None).cast("string")).alias(c) for c, p in paths.items()])
+
+
+#: Sections of a run document, the type of their fields, and the fields, as `column=field` where the names differ
+#: and `?default` where it is not 0, false or the empty text.
+RUN_SECTIONS = [
+    ("", "string", "audit_id as_of_date ticker_set"),
+    ("backtest", "string", "backtest_id"),
+    ("backtest", "double", "pbo"),
+    ("backtest.cost_adjusted_metrics", "double", "information_ratio selection_stability"),
+    ("backtest.aggregate_metrics", "double", "hit_rate_mean"),
+    ("backtest.cpcv", "double", "cluster_adjusted_pbo"),
+    ("backtest.cpcv.pbo_summary", "string", "pbo_label=label"),
+    ("backtest.cpcv.cluster_adjusted_pbo_summary", "string", "cluster_adjusted_pbo_label=label"),
+    ("backtest.cpcv.pbo_diagnostics.near_candidate_competition", "boolean", "candidate_pbo_competition_dominated=competition_dominated"),
+    ("backtest.cpcv.pbo_diagnostics.near_candidate_competition", "string", "candidate_pbo_dominant_axis=dominant_axis candidate_pbo_dominant_value=dominant_value"),
+    ("backtest.cpcv.pbo_diagnostics.near_candidate_competition", "double", "candidate_pbo_close_competition_ratio=close_split_ratio"),
+    ("backtest.cpcv.cluster_adjusted_pbo_diagnostics.near_candidate_competition", "boolean", "pbo_competition_dominated=competition_dominated"),
+    ("backtest.cpcv.cluster_adjusted_pbo_diagnostics.near_candidate_competition", "string", "pbo_dominant_axis=dominant_axis pbo_dominant_value=dominant_value"),
+    ("backtest.cpcv.cluster_adjusted_pbo_diagnostics.near_candidate_competition", "double", "pbo_close_competition_ratio=close_split_ratio"),
+    ("backtest.regime_monitor", "string", "current_regime?unknown dominant_recent_regime?unknown"),
+    ("backtest.regime_monitor", "boolean", "regime_shift_flag"),
+    ("backtest.regime_monitor", "double", "state_probability?1.0 transition_rate"),
+    ("backtest.retraining_monitor.regime_signal", "string", "transition_profile?not_transition state_probability_bucket?stable transition_rate_bucket?zero"),
+    ("backtest.retraining_monitor.regime_signal", "bigint", "transition_history_matches transition_observation_count transition_span_business_days"),
+    ("backtest.retraining_monitor.regime_signal", "boolean", "transition_persistent stable_transition unstable_transition immediate_transition"),
+    ("backtest.retraining_monitor.drift_signal", "double", "drift_weighted_score=weighted_score drift_pre_suppression_weighted_score=pre_suppression_weighted_score drift_weighted_threshold=weighted_threshold drift_low_vol_threshold=low_vol_threshold drift_immediate_threshold=immediate_threshold drift_family_persistence_counterfactual_score=family_persistence_counterfactual_score drift_threshold_delta_to_suppress=threshold_delta_to_suppress drift_stable_transition_counterfactual_score=stable_transition_counterfactual_score"),
+    ("backtest.retraining_monitor.drift_signal", "bigint", "drift_trigger_feature_count=trigger_feature_count drift_trigger_family_count=trigger_family_count drift_pre_suppression_trigger_feature_count=pre_suppression_trigger_feature_count drift_pre_suppression_trigger_family_count=pre_suppression_trigger_family_count drift_proxy_sensitive_trigger_feature_count=proxy_sensitive_trigger_feature_count drift_non_proxy_trigger_feature_count=non_proxy_trigger_feature_count drift_pre_suppression_proxy_sensitive_trigger_feature_count=pre_suppression_proxy_sensitive_trigger_feature_count drift_pre_suppression_non_proxy_trigger_feature_count=pre_suppression_non_proxy_trigger_feature_count drift_history_matches=history_matches drift_span_business_days=span_business_days"),
+    ("backtest.retraining_monitor.drift_signal", "array<string>", "drift_trigger_families=trigger_families drift_pre_suppression_trigger_families=pre_suppression_trigger_families drift_suppressed_families=suppressed_families drift_stable_transition_suppressed_families=stable_transition_suppressed_families"),
+    ("backtest.retraining_monitor.drift_signal", "string", "drift_proxy_sensitive_profile=proxy_sensitive_profile?none"),
+    ("backtest.retraining_monitor.drift_signal", "boolean", "drift_family_persistence_would_suppress=family_persistence_would_suppress drift_low_vol_threshold_would_suppress=low_vol_threshold_would_suppress drift_stable_transition_suppression_would_suppress=stable_transition_suppression_would_suppress"),
+    ("backtest.drift_monitor.supplementary_analysis", "string", "drift_primary_cause=primary_cause"),
+    ("backtest.retraining_monitor.calibration_signal", "bigint", "ece_breach_count calibration_gap_breach_count ece_history_matches calibration_gap_history_matches ece_observation_count calibration_gap_observation_count ece_span_business_days calibration_gap_span_business_days"),
+    ("backtest.retraining_monitor.calibration_signal", "double", "ece_breach_ratio calibration_gap_breach_ratio"),
+    ("backtest.retraining_monitor.calibration_signal", "boolean", "ece_fold_persistent calibration_gap_fold_persistent ece_run_persistent calibration_gap_run_persistent"),
+    ("backtest.retraining_monitor", "boolean", "base_should_retrain should_retrain"),
+    ("backtest.retraining_monitor", "string", "policy_decision?watch_only"),
+    ("backtest.retraining_monitor", "array<string>", "trigger_names=effective_trigger_names base_trigger_names suppressed_trigger_names policy_notes"),
+    ("data_sources", "string", "ohlcv_source macro_source"),
+    ("data_sources.ohlcv_transport", "string", "ohlcv_transport_origin=origin"),
+    ("data_sources.macro_transport", "string", "macro_transport_origin=origin"),
+    ("data_sources.feature_sources.news", "string", "news_used_source=used_source news_requested_source=requested_source"),
+    ("data_sources.feature_sources.news", "boolean", "news_fallback_used=fallback_used"),
+    ("data_sources.feature_sources.news.transport", "string", "news_transport_origin=origin"),
+    ("data_sources.feature_sources.fundamental", "string", "fundamental_used_source=used_source fundamental_requested_source=requested_source"),
+    ("data_sources.feature_sources.fundamental", "boolean", "fundamental_fallback_used=fallback_used"),
+    ("data_sources.feature_sources.fundamental.transport", "string", "fundamental_transport_origin=origin"),
+    ("news_coverage_analysis", "bigint", "news_best_aggregation_window=best_aggregation_window news_best_decay_halflife=best_decay_halflife"),
+    ("news_coverage_analysis", "double", "news_best_aggregation_coverage=best_aggregation_coverage news_best_aggregation_abs_ic=best_aggregation_abs_ic news_best_decay_coverage=best_decay_coverage news_best_decay_abs_ic=best_decay_abs_ic"),
+    ("news_coverage_analysis", "boolean", "news_aggregation_improves_coverage=aggregation_improves_coverage news_aggregation_improves_utility=aggregation_improves_utility news_decay_improves_coverage=decay_improves_coverage news_decay_improves_utility=decay_improves_utility"),
+]
+
+
+def run_fields() -> list[tuple[str, str, str, object]]:
+    """(column, path, type, default) of every scalar or list of a flat run row."""
+    nothing = {"double": 0.0, "bigint": 0, "boolean": False, "string": "", "array<string>": None}
+    out = []
+    for section, kind, names in RUN_SECTIONS:
+        for item in names.split():
+            name, _, default = item.partition("?")
+            column, _, field = name.partition("=")
+            path = ".".join(filter(None, [section, field or column]))
+            out.append((column, path, kind, type(nothing[kind])(default) if default else nothing[kind]))
+    return out
+
+
+def flat_documents(df: DataFrame, document: str) -> DataFrame:
+    """df without the column `document` (JSON text), plus a flat row's columns: those of run_fields, look-backs and half-lives of the news
+    analysis, and the mean missing and stale rate of the news features in the catalog. Each is read from a VARIANT by its path
+    and type; a path that is missing or holds another type gives the default, and text that is no JSON gives defaults only."""
+    v = df.withColumn("__v", F.try_parse_json(document))
+    get = lambda path, kind: F.try_variant_get("__v", f"$.{path}", kind)
+    empty = F.array().cast("array<string>")
+    columns = {c: F.coalesce(get(p, k), empty if k == "array<string>" else F.lit(d)) for c, p, k, d in run_fields()}
+    for entries, key, sizes, prefix, suffix in (("lookback_windows", "window_days", (1, 3, 5, 10), "lookback", "d"), ("decay_halflives", "halflife_days", (3, 5), "halflife", "d")):
+        items = get(f"news_coverage_analysis.{entries}", f"array<struct<{key}: bigint, coverage: double, abs_ic: double>>")
+        for n in sizes:
+            one = F.try_element_at(F.filter(items, lambda x: x[key] == n), F.lit(-1))
+            for field in ("coverage", "abs_ic"):
+                columns[f"news_{'decay_' if prefix == 'halflife' else ''}{field}_{prefix}_{n}{suffix}"] = F.coalesce(one[field], F.lit(0.0))
+    catalog = F.filter(get("backtest.feature_catalog", "array<struct<feature_family: string, missing_rate: double, stale_rate: double>>"), lambda x: x["feature_family"] == "news")
+    mean = lambda field: F.aggregate(catalog, F.lit(0.0), lambda s, x: s + F.coalesce(x[field], F.lit(0.0))) / F.greatest(F.size(catalog), F.lit(1))
+    there = F.coalesce(F.size(catalog), F.lit(0)) > 0
+    columns["news_feature_missing_rate"] = F.when(there, mean("missing_rate")).otherwise(1.0)
+    columns["news_feature_coverage"] = F.greatest(1 - columns["news_feature_missing_rate"], F.lit(0.0))
+    columns["news_feature_stale_rate"] = F.when(there, mean("stale_rate")).otherwise(F.coalesce(get("data_sources.feature_sources.news.stale_rate", "double"), F.lit(0.0)))
+    return v.withColumns(columns).drop("__v", document)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelspark.operators import audit, policy
-from panelspark.plans.fixtures import view, with_views
+from panelspark.plans.fixtures import table, view, with_views
 from panelspark.plans.panel_queries import rounded
+from panelspark.sources import landed
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -16,7 +17,7 @@ def query(sql: str = "", *views: str):
     def put(f):
         Q[f.__name__] = f
         if sql:
-            SQL[f.__name__] = with_views(sql, *views)
+            SQL[f.__name__] = with_views(sql, *views) if views else sql
         return f
 
     return put
@@ -274,3 +275,83 @@ def policy_replay_feedback(spark, sf_dir):
     """The replay whose own causes are the history of later runs."""
     out = policy.replay(replay_runs(spark, sf_dir))
     return out.select("key", "date", "calibration_matches", "pbo_matches", F.array_join("base", "|").alias("base"), F.array_join("effective", "|").alias("effective"), "decision", "should_retrain")
+
+
+def _leaf_rule(i: int, kind: str) -> tuple[str, str]:
+    """(value, JSON text) of the i-th field of a stored run, as SQL over n; every fifth is missing, and some hold another type."""
+    gone, other = f"(n + {i}) % 5 = 0", f"(n + {i}) % 13 = 0"
+    value = {"double": f"cast((n * {i + 1}) % 11 as double) / 8", "bigint": f"cast((n * {i + 1}) % 7 as bigint)", "boolean": f"(n + {i}) % 2 = 0", "string": f"concat('v', cast((n + {i}) % 3 as string))"}.get(kind)
+    if kind == "array<string>":
+        return f"case when {gone} then '' else concat('a|b', cast((n + {i}) % 3 as string)) end", f"case when {gone} then null else concat('[\"a\",\"b', cast((n + {i}) % 3 as string), '\"]') end"
+    text = f"concat('\"', {value}, '\"')" if kind == "string" else f"cast({value} as string)"
+    odd = f"when {other} then '[\"bad\"]' " if kind != "string" else ""
+    return f"case when {gone} {'or ' + other if odd else ''} then null else {value} end", f"case when {gone} then null {odd}else {text} end"
+
+
+def _document() -> str:
+    """SQL text that makes the JSON document of a run."""
+    tree: dict = {}
+    for i, (_, path, kind, _) in enumerate(audit.run_fields()):
+        *above, name = path.split(".")
+        at = tree
+        for part in above:
+            at = at.setdefault(part, {})
+        at[name] = _leaf_rule(i, kind)[1]
+    tree["news_coverage_analysis"]["lookback_windows"] = "concat('[{\"window_days\":1,\"coverage\":', cast(cast(n % 4 as double) / 4 as string), '},{\"window_days\":3,\"coverage\":0.5,\"abs_ic\":', cast(cast(n % 8 as double) / 8 as string), '}]')"
+    tree["backtest"]["feature_catalog"] = "case when n % 3 = 0 then null else concat('[{\"feature_family\":\"news\",\"missing_rate\":0.25,\"stale_rate\":', cast(cast(n % 2 as double) / 2 as string), '},{\"feature_family\":\"price\",\"missing_rate\":1}]') end"
+
+    def text(node) -> str:
+        parts = [f"concat('\"{k}\":', {text(v) if isinstance(v, dict) else v})" for k, v in node.items()]
+        return f"concat('{{', concat_ws(',', {', '.join(parts)}), '}}')"
+
+    return text(tree)
+
+
+def _flat_sql() -> str:
+    def shown(c: str, kind: str, rule: str, default) -> str:
+        rule = rule.replace(" as string)", " as varchar)")
+        none = {"string": f"'{default}'", "boolean": "false", "array<string>": "''"}.get(kind, str(default))
+        return f"coalesce({rule}, {none}) as {c}"
+
+    columns = [shown(c, k, _leaf_rule(i, k)[0], d) for i, (c, _, k, d) in enumerate(audit.run_fields())]
+    zero = [f"0.0::double as {c}" for c in ("news_abs_ic_lookback_1d", *[f"news_{f}_lookback_{n}d" for n in (5, 10) for f in ("coverage", "abs_ic")], *[f"news_decay_{f}_halflife_{n}d" for n in (3, 5) for f in ("coverage", "abs_ic")])]
+    rates = ["case when n % 3 = 0 then 1.0::double else 0.25 end as news_feature_missing_rate", "case when n % 3 = 0 then 0.0::double else 0.75 end as news_feature_coverage", "case when n % 3 = 0 then 0.0::double else (n % 2) / 2.0::double end as news_feature_stale_rate"]
+    return "select key, date, " + ", ".join([*columns, "(n % 4) / 4.0::double as news_coverage_lookback_1d", "0.5::double as news_coverage_lookback_3d", "(n % 8) / 8.0::double as news_abs_ic_lookback_3d", *zero, *rates]) + " from policy_runs"
+
+
+@query(_flat_sql(), "policy_runs")
+def audit_flat_documents(spark, sf_dir):
+    """Run documents, written as JSON text and read back, to flat rows of about 120 columns."""
+    path = landed.shared_folder(spark, "run-documents")
+    landed.write_artifacts(runs(spark, sf_dir).select("key", F.col("date").cast("string").alias("date"), F.lit("all").alias("part"), F.expr(_document()).alias("document")), path, "part")
+    back = landed.read_artifacts(spark, path, "key string, date date, document string").drop("part")
+    out = audit.flat_documents(back, "document")
+    return out.select(*[F.array_join(c, "|").alias(c) if t == "array<string>" else F.col(c) for c, t in out.dtypes])
+
+
+@query("with a as (select key, n, 'w' || cast(weekofyear(date) % 20 as varchar) as week_id from policy_runs) select week_id, count(*) as rows, cast(sum(case when week_id in ('w1', 'w3') then n + 1 else n end) as bigint) as total from a group by week_id", "policy_runs")
+def source_artifact_folders(spark, sf_dir):
+    """Artifacts by week folder: all written, all written again, two weeks written anew with other numbers, and read back."""
+    path = landed.shared_folder(spark, "artifacts")
+    rows = runs(spark, sf_dir).select("key", "n", F.concat(F.lit("w"), (F.weekofyear("date") % 20).cast("string")).alias("week_id"))
+    landed.write_artifacts(rows, path, "week_id")
+    landed.write_artifacts(rows, path, "week_id")
+    landed.write_artifacts(rows.where("week_id in ('w1', 'w3')").withColumn("n", F.col("n") + 1), path, "week_id")
+    back = landed.read_artifacts(spark, path, "key string, n bigint, week_id string")
+    return rounded(back.groupBy("week_id").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("total")))
+
+
+@query("""with o as (select o_orderkey, o_orderpriority as p, case o_orderpriority when '1-URGENT' then 'first' when '2-HIGH' then 'second' when '3-MEDIUM' then 'third' end as source from orders where o_orderpriority < '4'), g as (select * from o where source = 'first' or (source = 'second' and o_orderkey % 10 <> 1)),
+x as (select source, count(*) as rows, cast(sum(o_orderkey) as bigint) as total from g group by source), b as (select source, count(*) as broken from o where source = 'third' or (source = 'second' and o_orderkey % 10 = 1) group by source)
+select n.source, case n.source when 'fourth' then 'missing' when 'third' then 'failed' when 'second' then 'partial' else 'ok' end as status, coalesce(rows, 0) as rows, coalesce(broken, 0) as broken, total from (values ('first'), ('second'), ('third'), ('fourth')) n(source) left join x on x.source = n.source left join b on b.source = n.source""")
+def source_tolerant_union(spark, sf_dir):
+    """Four landed sources: one whole, one with broken lines, one that is no JSON at all, one that is not there."""
+    o = table(spark, sf_dir, "orders")
+    good = F.to_json(F.struct("o_orderkey", "o_orderpriority"))
+    rules = {"first": ("1-URGENT", good), "second": ("2-HIGH", F.when(F.col("o_orderkey") % 10 == 1, F.substring(good, 1, 14)).otherwise(good)), "third": ("3-MEDIUM", F.concat(F.lit("<"), good))}
+    path, sources = landed.shared_folder(spark, "sources"), {}
+    for name, (priority, text) in rules.items():
+        sources[name] = f"{path}/{name}"
+        o.where(F.col("o_orderpriority") == priority).select(text.alias("value")).write.text(sources[name])
+    rows, status = landed.union_landed(spark, sources | {"fourth": f"{path}/fourth"}, "o_orderkey bigint, o_orderpriority string")
+    return status.join(rows.groupBy("source").agg(F.sum("o_orderkey").alias("total")), "source", "left")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -121,9 +125,50 @@ def provenance(df: DataFrame, by: list[str], flag: str, origin: str) -> DataFram
     return df.groupBy(*by).agg(F.bool_or(flag).alias("any_flag"), F.array_join(F.array_sort(F.collect_set(origin)), "|").alias("origins"))
 
 
-def write_artifacts(df: DataFrame, path: str, by: str = "run_date", mode: str = "append") -> None:
-    """JSON by date folder; by="week_id" needs that column (calendar.iso_week)."""
-    df.write.mode(mode).partitionBy(by).json(path)
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder in spark.checkpoint.dir, which all executors share. Where that is unset a temporary folder serves a local
+    master only."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="panelspark-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def write_artifacts(df: DataFrame, path: str, by: str = "run_date") -> None:
+    """JSON by folders of `by` (a date, or calendar.iso_week as week_id). Only folders that df has rows for are written anew, so a
+    rerun leaves one copy and other days stay."""
+    df.repartition(by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).json(path)
+
+
+def read_artifacts(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).json(path)
+
+
+def union_landed(spark: SparkSession, sources: dict[str, str], schema: str) -> tuple[DataFrame, DataFrame]:
+    """JSON lines of several sources (name -> path) as (rows with `source`, status). A source that is not there, and lines that
+    are no JSON of the schema, cost their own rows only. status: (source, status, rows, broken): ok, partial where some lines
+    are broken, failed where all are, missing where there is no path, and empty without lines."""
+    union, missing = None, []
+    for name, path in sources.items():
+        try:
+            lines = spark.read.text(path)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            missing.append(name)
+            continue
+        parsed = F.from_json("value", f"{schema}, _broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+        one = lines.select(parsed.alias("x")).select("x.*", F.lit(name).alias("source"))
+        union = one if union is None else union.unionByName(one)
+    if union is None:
+        union = spark.createDataFrame([], f"{schema}, _broken string, source string")
+    found = union.groupBy("source").agg(F.count_if(F.col("_broken").isNull()).alias("rows"), F.count("_broken").alias("broken"))
+    names = spark.createDataFrame([(n, n in missing) for n in sources], "source string, missing boolean")  # a row a source
+    status = names.join(found, "source", "left").fillna({"rows": 0, "broken": 0})
+    kind = F.when(F.col("missing"), "missing").when(F.col("rows") + F.col("broken") == 0, "empty").when(F.col("rows") == 0, "failed").when(F.col("broken") > 0, "partial").otherwise("ok")
+    return union.where("_broken is null").drop("_broken"), status.select("source", kind.alias("status"), "rows", "broken")
 
 
 def write_table(df: DataFrame, path: str) -> None:
