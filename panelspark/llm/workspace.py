@@ -14,9 +14,11 @@ ARROW_BYTES = 32 << 20  # what a Python task gets at once; a session that asks f
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a folder of our own only where the session names none (tests)."""
+    """The folder of spark.checkpoint.dir. Where the session names none, a folder of our own serves a local master only (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="panelspark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
