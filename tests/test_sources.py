@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -76,15 +77,41 @@ def test_streams_equal_batch(spark, tmp_path):
     assert (batch.open, batch.high, batch.low, batch.close) == (10.0, 12.0, 10.0, 12.0)
 
 
-def test_novelty_stream_equals_batch(spark, tmp_path):
-    rows = [("A", "h", dt.datetime(2026, 1, 5, h), h) for h in (12, 10, 11)] + [("A", "g", dt.datetime(2026, 1, 6), 1), ("B", "h", dt.datetime(2026, 1, 5), 2)]
-    schema = "ticker string, headline_key string, published_at timestamp, item_id bigint"
-    items = spark.createDataFrame(rows, schema)
-    items.write.parquet(str(tmp_path / "in"))
-    stream = news_stream.novelty_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
-    q = stream.writeStream.format("memory").queryName("novelty_out").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination(90)
+def streamed(spark, tmp_path, name, rows, schema, twin, batches):
+    """The twin over rows that arrive in shuffled micro-batches, with one item far ahead that moves the watermark past all."""
+    news_stream.state_store(spark)
+    folder = str(tmp_path / name)
+    for i, part in enumerate(batches):
+        spark.createDataFrame([rows[j] for j in part], schema).coalesce(1).write.mode("append").parquet(f"{folder}/in/{i}")
+    stream = twin(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{folder}/in"))
+    q = stream.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", f"{folder}/c").trigger(availableNow=True).start()
+    assert q.awaitTermination(180)
+    return spark.table(name).collect()
+
+
+def shuffled_batches(n, seed, parts=4):
+    order = list(range(n))
+    random.Random(seed).shuffle(order)
+    return [order[i::parts] for i in range(parts)] + [[n]]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_novelty_stream_equals_batch(spark, tmp_path, seed):
     from panelspark.operators import news
 
-    want = {(r.ticker, r.item_id, r.novelty) for r in news.novelty(items).collect()}
-    assert {(r.ticker, r.item_id, r.novelty) for r in spark.table("novelty_out").collect()} == want
+    rows = [("AB"[i % 2], "gh"[i // 2 % 2], dt.datetime(2026, 1, 5, i // 2 % 20, i % 7), i) for i in range(40)]
+    schema = "ticker string, headline_key string, published_at timestamp, item_id bigint"
+    want = {(r.ticker, r.headline_key, r.item_id, r.novelty) for r in news.novelty(spark.createDataFrame(rows, schema)).collect()}
+    ahead = ("A", "z", dt.datetime(2026, 1, 9), 99)
+    got = streamed(spark, tmp_path, f"novelty_{seed}", [*rows, ahead], schema, news_stream.novelty_stream, shuffled_batches(40, seed))
+    assert len(got) == 40 and {(r.ticker, r.headline_key, r.item_id, r.novelty) for r in got} == want
+
+
+def test_dedupe_stream_keeps_the_most_relevant(spark, tmp_path):
+    rows = [("gh"[i % 2], dt.datetime(2026, 1, 5, i % 3), "s" + str(i % 5 // 4), i, [None, 0.1, 0.7, 0.7][i * 7 % 4]) for i in range(40)]
+    schema = "headline_key string, published_at timestamp, source_name string, item_id bigint, relevance_score double"
+    best = {}
+    for h, t, s, i, r in sorted(rows, key=lambda x: (-(x[4] if x[4] is not None else -1), x[3])):
+        best.setdefault((h, t, s), i)
+    got = streamed(spark, tmp_path, "deduped", [*rows, ("z", dt.datetime(2026, 1, 9), "s", 99, 1.0)], schema, news_stream.dedupe_stream, shuffled_batches(40, 5))
+    assert len(got) == len(best) and {(r.headline_key, r.published_at, r.source_name): r.item_id for r in got} == best
