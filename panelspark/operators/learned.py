@@ -123,3 +123,28 @@ def parameter_sweep(fits: DataFrame, dates: DataFrame, grid: DataFrame) -> DataF
     out = out.crossJoin(F.broadcast(n_dates)).withColumn("fit_rate", F.col("fit_days") / F.col("__dates")).drop("__dates")
     order = Window.partitionBy(F.lit(0)).orderBy(F.desc("fit_rate"), F.desc(F.round("global_score_mean", 9)), F.desc(F.round("top_score_mean", 9)), "shrinkage", "least_samples", "lookback")  # settings, a few
     return out.withColumn("rank", F.row_number().over(order))
+
+
+def refined_grid(results: DataFrame, best: int = 2, factors: tuple[float, ...] = (0.5, 1.0, 2.0), fewer: tuple[float, ...] = (0.5, 1.0)) -> DataFrame:
+    """The settings about the first `best` ranks: their shrinkage times each factor, and fewer or as many samples."""
+    x = results.where(F.col("rank") <= best).select("lookback", F.explode(F.array(*[F.col("shrinkage") * f for f in factors])).alias("shrinkage"), "least_samples")
+    return x.select("lookback", "shrinkage", F.explode(F.array(*[F.ceil(F.col("least_samples") * f).cast("int") for f in fewer])).alias("least_samples")).distinct()
+
+
+def staged_sweep(fits: DataFrame, dates: DataFrame, grid: DataFrame, best: int = 2) -> DataFrame:
+    """parameter_sweep over the coarse grid (stage 1), then over refined_grid about its best (stage 2), with `stage`; a job a stage."""
+    first = parameter_sweep(fits, dates, grid)
+    second = parameter_sweep(fits, dates, refined_grid(first, best))
+    return first.withColumn("stage", F.lit(1)).unionByName(second.withColumn("stage", F.lit(2)))
+
+
+def stage_summary(results: DataFrame, metrics: tuple[str, ...] = ("fit_rate", "global_score_mean", "top_score_mean")) -> DataFrame:
+    """By stage: settings tried, best, worst and median of each metric, and the settings of the first rank."""
+    spread = [f.alias(f"{m}_{n}") for m in metrics for n, f in (("best", F.max(m)), ("worst", F.min(m)), ("median", F.median(m)))]
+    return results.groupBy("stage").agg(F.count(F.lit(1)).alias("settings"), *spread, *[F.min_by(c, "rank").alias(c) for c in ("lookback", "shrinkage", "least_samples")])
+
+
+def preset(results: DataFrame) -> DataFrame:
+    """One row: the first rank of the last stage, as settings to run with."""
+    last = results.groupBy().agg(F.max(F.struct(F.col("stage").alias("stage"), (-F.col("rank")).alias("r"), "lookback", "shrinkage", "least_samples", "fit_rate", "global_score_mean")).alias("b"))
+    return last.select("b.stage", "b.lookback", "b.shrinkage", "b.least_samples", "b.fit_rate", "b.global_score_mean")

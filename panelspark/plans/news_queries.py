@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelspark.operators import learned, news, news_utility
-from panelspark.plans.fixtures import view, with_views
+from panelspark.plans.fixtures import kept, view, with_views
 from panelspark.plans.panel_queries import bars, rounded
 
 Q: dict = {}
@@ -275,3 +275,40 @@ def learned_parameter_sweep(spark, sf_dir):
         fits = one if fits is None else fits.unionByName(one)
     grid = spark.createDataFrame([(n, s, m) for n in (10, 20) for s in (10.0, 30.0) for m in (20, 60)], "lookback int, shrinkage double, least_samples int")
     return rounded(learned.parameter_sweep(fits, combos, grid), 7)
+
+
+def _sweep_sql(grid: str, out: str) -> str:
+    return f"""{out}x as (select gr.lookback, shrinkage, least_samples, date, n, abs_ic, sum(abs_ic * n) over w / sum(n) over w as g from fa join {grid} gr on gr.lookback = fa.lookback window w as (partition by gr.lookback, shrinkage, least_samples, date)), {out}y as (select *, greatest((n * abs_ic + shrinkage * g) / (n + shrinkage), 0) as s from {out}x),
+{out}d as (select lookback, shrinkage, least_samples, date, sum(n) as total, count(*) filter (n >= least_samples) as eligible, max(g) as g, max(s) as top from {out}y group by all), {out}o as (select lookback, shrinkage, least_samples, count(*) filter (ok) as fit_days, coalesce(avg(case when ok then g end), 0) as g, coalesce(avg(case when ok then top end), 0) as top from (select *, total >= least_samples and eligible > 0 and top > 0 as ok from {out}d) t group by all),
+{out} as materialized (select *, fit_days / (select count(*) from ev) as fit_rate, row_number() over (order by fit_days desc, round(g, 9) desc, round(top, 9) desc, shrinkage, least_samples, lookback) as rank from {out}o)"""
+
+
+STAGED_SQL = f"""with {COMBOS}, {fits_sql(10, "f10")}, {fits_sql(20, "f20")}, fa as materialized (select 10 as lookback, * from f10 union all select 20, * from f20), g1 as (select * from (values (10), (20)) a(lookback), (values (10.0::double), (30.0::double)) b(shrinkage), (values (20), (60)) c(least_samples)), {_sweep_sql("g1", "s1")},
+g2 as (select distinct lookback, shrinkage * f as shrinkage, cast(ceil(least_samples * h) as bigint) as least_samples from s1, (values (0.5::double), (1.0::double), (2.0::double)) a(f), (values (0.5::double), (1.0::double)) b(h) where rank <= 2), {_sweep_sql("g2", "s2")}, rs as (select 1 as stage, * from s1 union all select 2, * from s2)"""
+
+
+def staged(spark, sf_dir):
+    combos = learned.combo_rows(view(spark, sf_dir, "mapped"))
+    fits = None
+    for n in (10, 20):
+        one = learned.trailing_fits(combos, _returns(spark, sf_dir), n).withColumn("lookback", F.lit(n))
+        fits = one if fits is None else fits.unionByName(one)
+    grid = spark.createDataFrame([(n, s, m) for n in (10, 20) for s in (10.0, 30.0) for m in (20, 60)], "lookback int, shrinkage double, least_samples int")
+    fits = kept(spark, sf_dir, "fits by look-back", lambda: fits)
+    return kept(spark, sf_dir, "staged sweep", lambda: learned.staged_sweep(fits, combos, grid))
+
+
+@query(STAGED_SQL + " select cast(stage as bigint) as stage, cast(lookback as bigint) as lookback, cast(shrinkage as double) as shrinkage, cast(least_samples as bigint) as least_samples, fit_days, round(g, 7) as global_score_mean, round(top, 7) as top_score_mean, round(fit_rate, 7) as fit_rate, rank from rs", "daily_bars", "mapped")
+def learned_staged_sweep(spark, sf_dir):
+    """A coarse grid, then a finer one about its two best settings."""
+    return rounded(staged(spark, sf_dir), 7)
+
+
+@query(STAGED_SQL + """, sm as (select stage, count(*) as settings, max(fit_rate) as fit_rate_best, min(fit_rate) as fit_rate_worst, median(fit_rate) as fit_rate_median, max(g) as gb, min(g) as gw, median(g) as gm, max(top) as tb, min(top) as tw, median(top) as tm, min_by(lookback, rank) as lookback, min_by(shrinkage, rank) as shrinkage, min_by(least_samples, rank) as least_samples from rs group by stage)
+select cast(stage as bigint) as stage, settings, round(fit_rate_best, 7) as fit_rate_best, round(fit_rate_worst, 7) as fit_rate_worst, round(fit_rate_median, 7) as fit_rate_median, round(gb, 7) as global_score_mean_best, round(gw, 7) as global_score_mean_worst, round(gm, 7) as global_score_mean_median, round(tb, 7) as top_score_mean_best, round(tw, 7) as top_score_mean_worst, round(tm, 7) as top_score_mean_median, cast(lookback as bigint) as lookback, shrinkage, cast(least_samples as bigint) as least_samples, stage = 2 as preset from sm""", "daily_bars", "mapped")
+def learned_stage_summary(spark, sf_dir):
+    """What each stage found; the preset is the first rank of the last stage."""
+    results = staged(spark, sf_dir)
+    chosen = learned.preset(results).select("stage", "lookback", "shrinkage", "least_samples", F.lit(True).alias("preset"))
+    out = learned.stage_summary(results).join(chosen, ["stage", "lookback", "shrinkage", "least_samples"], "left")
+    return rounded(out.withColumn("preset", F.coalesce("preset", F.lit(False))), 7)
