@@ -33,9 +33,9 @@ def bucket_size(n: Column, fraction: Column) -> Column:
     return F.greatest(F.lit(1), F.bround(n * fraction).cast("int"))
 
 
-def target_books(edges: DataFrame, grid: DataFrame) -> DataFrame:
-    """(candidate, holding, date, ticker, weight): top buckets by edge, equal weights a side (long +, short -), netted by
-    ticker; two-sided strategies are empty on days without both sides."""
+def selections(edges: DataFrame, grid: DataFrame) -> DataFrame:
+    """(candidate, holding, date, side, ticker, w): top buckets by edge, equal weights a side (long +, short -); two-sided
+    strategies are empty on days without both sides."""
     rows = edges.join(F.broadcast(grid), "strategy")  # a tiny grid
     side = Window.partitionBy("candidate", "date", "side")
     better = F.when(F.col("side") == "long", -F.col("signal")).otherwise(F.col("signal"))
@@ -44,7 +44,22 @@ def target_books(edges: DataFrame, grid: DataFrame) -> DataFrame:
     rows = rows.withColumn("sides", F.size(F.collect_set("side").over(day)))
     rows = rows.where(~F.col("strategy").isin("classified_two_sided", "rank_long_short") | (F.col("sides") == 2))
     share = F.when(F.col("side") == "long", 1.0).otherwise(-1.0) / F.count(F.lit(1)).over(side)
-    return rows.withColumn("w", share).groupBy("candidate", "holding", "date", "ticker").agg(F.sum("w").alias("weight"))
+    return rows.withColumn("w", share)
+
+
+def target_books(edges: DataFrame, grid: DataFrame) -> DataFrame:
+    """(candidate, holding, date, ticker, weight): the selections of each day netted by ticker."""
+    return selections(edges, grid).groupBy("candidate", "holding", "date", "ticker").agg(F.sum("w").alias("weight"))
+
+
+def side_ratios(chosen: DataFrame, grid: DataFrame, dates: DataFrame) -> DataFrame:
+    """(candidate, signal_ratio, two_sided_ratio, one_sided_ratio) of all dates: days with a selection, with both sides, with one.
+    Candidates that never select anything have zeros."""
+    days = chosen.groupBy("candidate", "date").agg(F.count_distinct("side").alias("sides"))
+    n = dates.agg(F.count(F.lit(1)).alias("n"))  # one row
+    per = days.groupBy("candidate").agg(F.count(F.lit(1)).alias("signal"), F.count_if(F.col("sides") == 2).alias("two"), F.count_if(F.col("sides") == 1).alias("one"))
+    out = grid.select("candidate").join(per, "candidate", "left").crossJoin(F.broadcast(n))
+    return out.select("candidate", *[F.coalesce(F.try_divide(c, "n"), F.lit(0.0)).alias(name) for c, name in (("signal", "signal_ratio"), ("two", "two_sided_ratio"), ("one", "one_sided_ratio"))])
 
 
 def held_books(targets: DataFrame, dates: DataFrame) -> DataFrame:
@@ -118,11 +133,13 @@ def turnover_budget(daily: DataFrame, most: float) -> DataFrame:
     return daily.withColumn("breach", over).withColumn("scale", F.when(over, most / F.col("turnover")).otherwise(1.0))
 
 
-def rule_comparison(performance: DataFrame, selected: str, uncontrolled: str, legacy: str) -> DataFrame:
-    """One row: the selected rule against the uncontrolled and the legacy one, and the reasons that hold."""
+def rule_comparison(performance: DataFrame, selected: str, uncontrolled: str, legacy: str, pbo: DataFrame | None = None) -> DataFrame:
+    """One row: the selected rule against the uncontrolled and the legacy one, and the reasons that hold. Side ratios, where
+    performance has them, and a row with the family's pbo add a reason each."""
     pick = lambda who, c: F.max(F.when(F.col("candidate") == who, F.col(c))).alias(f"{c}__{name[who]}")
     name = {selected: "s", uncontrolled: "u", legacy: "l"}
-    cols = ["information_ratio", "mean_turnover", "cost_drag", "gross_annual_return", "active_ratio", "stability"]
+    sides = [c for c in ("one_sided_ratio", "two_sided_ratio") if c in performance.columns]
+    cols = ["information_ratio", "mean_turnover", "cost_drag", "gross_annual_return", "active_ratio", "stability", *sides]
     one = performance.agg(*[pick(w, c) for w in name for c in cols])
     x = lambda c, who="s": F.col(f"{c}__{who}")
     delta = lambda c: (x(c) - x(c, "u")).alias(f"{c}_delta")
@@ -135,5 +152,10 @@ def rule_comparison(performance: DataFrame, selected: str, uncontrolled: str, le
         "controls_cut_cost_drag": x("cost_drag") < x("cost_drag", "u"),
         "controls_raise_stability": x("stability") > x("stability", "u"),
     }
+    if sides:
+        reasons["one_sided_days_dominate"] = x("one_sided_ratio") > x("two_sided_ratio")
+    if pbo is not None:
+        one = one.crossJoin(F.broadcast(pbo.select(F.col("pbo").alias("__pbo"))))  # one row
+        reasons["severe_pbo"] = F.col("__pbo") >= 0.8
     found = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in reasons.items()]))
     return one.select(delta("information_ratio"), delta("mean_turnover"), delta("cost_drag"), delta("stability"), F.when(F.size(found) > 0, F.array_join(found, "|")).otherwise("no_dominant_failure").alias("reasons"))

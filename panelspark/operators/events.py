@@ -66,4 +66,4 @@ def sector_returns(rows: DataFrame) -> DataFrame:
 def with_sector_fallback(events: DataFrame, benchmark: DataFrame) -> DataFrame:
     """events (ticker, sector, ...) whose sector has no benchmark take `__all__`."""
     known = benchmark.select(F.col("sector").alias("__s")).distinct()
-    return events.join(F.broadcast(known), F.col("sector") == F.col("__s"), "left").withColumn("sector", F.coalesce("__s", F.lit("__all__"))).drop("__s")
+    return events.join(known, F.col("sector") == F.col("__s"), "left").withColumn("sector", F.coalesce("__s", F.lit("__all__"))).drop("__s")

@@ -265,3 +265,36 @@ select key, x, round(case when k < first then 0.1 else v * max(sc) filter (k = f
 def learned_floor_weights(spark, sf_dir):
     o = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("key"), F.col("o_orderstatus").alias("x")).agg(F.pow(F.count(F.lit(1)).cast("double"), 2).alias("v"))
     return rounded(news.floor_weights(o, ["key"], "v", 0.1).select("key", "x", "weight"))
+
+
+@query("with " + BOOK_SQL + """, cv as (select *, exp(sum(ln(1 + greatest(net, -0.999999))) over w) as curve from dy window w as (partition by candidate order by idx rows between unbounded preceding and current row)),
+dd as (select *, curve / max(curve) over (partition by candidate order by idx rows between unbounded preceding and current row) - 1 as drawdown from cv)
+select candidate, round(avg(gross) * 252, 5) + 0.0 as gross_annual_return, round(avg(gross) * 252 - avg(net) * 252, 5) + 0.0 as cost_drag, round(sum(turnover) * 10, 4) as total_cost_bps, round(coalesce(avg(net) * 252 / nullif(abs(min(drawdown)), 0), 0), 4) + 0.0 as calmar from dd group by candidate""", "daily_bars", "scores")
+def book_costs(spark, sf_dir):
+    """Gross return, cost drag, total cost and Calmar ratio of each candidate."""
+    out = books.performance(book_days(spark, sf_dir), 10)
+    first, last = rounded(out.select("candidate", "gross_annual_return", "cost_drag"), 5), rounded(out.select("candidate", "total_cost_bps", "calmar"), 4)
+    return first.join(last, "candidate")
+
+
+SIDES_SQL = """sc as (select ticker, date, round(prob_down, 10) as prob_down, round(prob_flat, 10) as prob_flat, round(prob_up, 10) as prob_up, round(prob_up - prob_down, 8) as signal from scores),
+ct as (select *, count(*) over (partition by date) as n, greatest(prob_down - prob_up, -signal) as se, case when prob_down >= prob_flat and prob_down >= prob_up then 0 when prob_flat >= prob_up then 1 else 2 end as am from sc),
+lo as (select ticker, date, n, signal, 'long' as side, prob_up - greatest(prob_down, prob_flat) as edge from ct where am = 2 and prob_up >= 0.4), so as (select ticker, date, n, signal, 'short' as side, prob_down - greatest(prob_up, prob_flat) as edge from ct where am = 0 and prob_down >= 0.4),
+rl as (select ticker, date, n, signal, 'long' as side, signal as edge from ct where signal >= 0.01), rh as (select ticker, date, n, signal, 'short' as side, se as edge from ct where se >= 0.01),
+ed as (select 'classified_two_sided' as strategy, * from lo union all select 'classified_two_sided', * from so union all select 'classified_directional', * from lo union all select 'classified_directional', * from so union all select 'rank_long_short', * from rl union all select 'rank_long_short', * from rh union all select 'rank_long_only', * from rl),
+gd as (select s as strategy, s || '|0.2|1' as candidate from (values ('classified_two_sided'), ('classified_directional'), ('rank_long_short'), ('rank_long_only')) a(s)),
+rk as (select ed.*, candidate, row_number() over (partition by candidate, date, side order by edge desc, case when side = 'long' then -signal else signal end, ticker) as rn, greatest(1, round_even(n * 0.2::double, 0)) as k from ed join gd on gd.strategy = ed.strategy),
+sd as (select strategy, candidate, date, count(distinct side) as sides, count(*) as names from rk where rn <= k group by all), ks as (select * from sd where strategy in ('classified_directional', 'rank_long_only') or sides = 2), nd as (select count(distinct date) as n from sc)
+select gd.candidate, round(count(ks.date) / any_value(nd.n), 6) as signal_ratio, round(count(*) filter (sides = 2) / any_value(nd.n), 6) as two_sided_ratio, round(count(*) filter (sides = 1) / any_value(nd.n), 6) as one_sided_ratio, cast(coalesce(sum(names), 0) as bigint) as names from gd left join ks on ks.candidate = gd.candidate, nd group by gd.candidate"""
+
+
+@query("with " + SIDES_SQL, "daily_bars", "scores")
+def book_side_ratios(spark, sf_dir):
+    """All four strategies: shares of days with a selection, with both sides and with one."""
+    scores = view(spark, sf_dir, "scores").withColumns({c: F.round(c, 10) for c in ("prob_down", "prob_flat", "prob_up")})
+    scores = scores.withColumn("signal", F.round(F.col("prob_up") - F.col("prob_down"), 8))
+    grid = books.candidate_grid(spark, ["classified_two_sided", "classified_directional", "rank_long_short", "rank_long_only"], [0.2], [1])
+    chosen = kept(spark, sf_dir, "selections", lambda: books.selections(books.side_edges(scores, 0.4, 0.01), grid))
+    names = chosen.groupBy("candidate").agg(F.count(F.lit(1)).alias("names"))
+    out = books.side_ratios(chosen, grid, folds.date_index(scores)).join(names, "candidate", "left").fillna({"names": 0})
+    return rounded(out)

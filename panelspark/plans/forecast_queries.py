@@ -203,8 +203,8 @@ def event_effects(spark, sf_dir):
     rets = events.simple_returns(bars(spark, sf_dir))
     sectors = view(spark, sf_dir, "sector_map")
     market = rets.groupBy("date").agg(F.avg("ret").alias("benchmark"))
-    bench = market.crossJoin(F.broadcast(sectors.select("sector").distinct()))  # at most one row a sector
-    return events.abnormal_returns(ev.join(F.broadcast(sectors), "ticker"), rets, bench, 3)
+    bench = market.crossJoin(sectors.select("sector").distinct())
+    return events.abnormal_returns(ev.join(sectors, "ticker"), rets, bench, 3)
 
 
 @query("with " + EVENT_SQL + " select ticker, sector, effective_date, round(pre, 6) + 0.0 as pre, round(post, 6) + 0.0 as post, round(total, 6) + 0.0 as total, round(t_stat, 5) + 0.0 as t_stat, n from a", "daily_bars", "fundamentals", "sector_map")
@@ -221,3 +221,26 @@ def event_rollup(spark, sf_dir):
 @query("select ticker, report_date, greatest(report_date, available_at) as effective_date, cast(greatest(report_date, available_at) - report_date as bigint) as lag_days from fundamentals", "fundamentals")
 def event_dates(spark, sf_dir):
     return rounded(events.earnings_events(view(spark, sf_dir, "fundamentals")))
+
+
+SECTOR_EVENT_SQL = EVENT_SQL.replace("x as (select g.*, rs.sector, rs.ret - al.bench as ab from g join rs on rs.ticker = g.ticker and rs.date = g.day join al on al.date = g.day where rs.ret is not null and al.bench is not null)", """bs as (select sector, date, bench from bm where not starts_with(sector, 'ECONOMY') union all select '__all__', date, bench from al),
+x as (select g.ticker, g.report_date, g.eff, g.rel, case when starts_with(rs.sector, 'ECONOMY') then '__all__' else rs.sector end as sector, rs.ret - bs.bench as ab from g join rs on rs.ticker = g.ticker and rs.date = g.day join bs on bs.date = g.day and bs.sector = case when starts_with(rs.sector, 'ECONOMY') then '__all__' else rs.sector end where rs.ret is not null and bs.bench is not null)""")
+
+
+@query("with " + SECTOR_EVENT_SQL + " select coalesce(sector, '__total__') as sector, count(*) as events, round(avg(pre), 6) + 0.0 as mean_pre, round(avg(post), 6) + 0.0 as mean_post, round(avg(total), 6) + 0.0 as mean_total, round(avg((abs(t_stat) >= 1.96)::int), 6) as significant_share from a group by grouping sets ((sector), ())", "daily_bars", "fundamentals", "sector_map")
+def event_sector_effects(spark, sf_dir):
+    """Returns around events less those of the event's own sector; sectors without a benchmark take the market's."""
+    rets = kept(spark, sf_dir, "returns", lambda: events.simple_returns(bars(spark, sf_dir)))
+    sectors = view(spark, sf_dir, "sector_map")
+    own = rets.join(sectors, "ticker").where(~F.col("sector").startswith("ECONOMY")).select("sector", "date", "ret")
+    bench = events.sector_returns(own.unionByName(rets.select(F.lit("__all__").alias("sector"), "date", "ret")))
+    ev = events.earnings_events(view(spark, sf_dir, "fundamentals")).drop("report_date", "lag_days").join(sectors, "ticker")
+    effects = events.abnormal_returns(events.with_sector_fallback(ev, bench), rets, bench, 3)
+    return rounded(_total_named(events.event_rollup(effects)))
+
+
+def _total_named(rollup):
+    """The row over all events, the one with the most of them, is named apart from the fallback's."""
+    most = rollup.agg(F.max("events").alias("__most"))
+    x = rollup.crossJoin(F.broadcast(most))  # one row
+    return x.withColumn("sector", F.when((F.col("sector") == "__all__") & (F.col("events") == F.col("__most")), "__total__").otherwise(F.col("sector"))).drop("__most")
