@@ -147,6 +147,16 @@ def risk_review(runs: DataFrame, max_drawdown_limit: float) -> DataFrame:
     return df.withColumn("risk_level", level).withColumn("approval", approval)
 
 
+def risk_checks(reviewed: DataFrame, keys: list[str]) -> DataFrame:
+    """A risk_review with all eight checks as rows: (keys, check_name, status, metric_value, threshold). Liquidity, free-form text
+    and source integrity have nothing to measure and pass by definition."""
+    metric = {"data_freshness": ("stale_ratio", 0.1), "feature_drift": ("max_psi", None), "prediction_concentration": ("concentration", 0.75), "model_staleness": ("trigger_count", 1.0), "regime_consistency": ("state_probability", 0.6)}
+    none = F.lit(None).cast("double")
+    rows = [F.struct(F.lit(n).alias("check_name"), F.col(n).alias("status"), (F.col(c).cast("double") if c in reviewed.columns else none).alias("metric_value"), (F.when(F.col(n) == "FAIL", 0.25).otherwise(0.2) if n == "feature_drift" else F.lit(t)).alias("threshold")) for n, (c, t) in metric.items()]
+    rows += [F.struct(F.lit(n).alias("check_name"), F.lit("PASS").alias("status"), none.alias("metric_value"), none.alias("threshold")) for n in ("liquidity_check", "hallucination_guard", "source_integrity")]
+    return reviewed.select(*keys, F.explode(F.array(*rows)).alias("x")).select(*keys, "x.*")
+
+
 def highest_confidence(df: DataFrame, by: list[str], item: str, confidence: Column) -> DataFrame:
     """The item with the largest confidence of each group; ties take the first by name."""
     w = Window.partitionBy(*by).orderBy(F.desc("__c"), item)

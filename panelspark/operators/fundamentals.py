@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.operators.asof import price_at
 
 def filing_type(df: DataFrame) -> DataFrame:
     """By cadence: the gap to the previous filing, else to the next, else 91 days; 250 days or more is annual."""
@@ -32,6 +33,23 @@ def ratios(df: DataFrame) -> DataFrame:
     return df.dropna(subset=["revenue_growth", "profitability", "debt_to_equity"])
 
 
+def earnings_yield(filings: DataFrame, bars: DataFrame) -> DataFrame:
+    """filings (ticker, report_date, available_at, eps, revenue, profit, debt, equity) plus annualised_eps (four times the figure
+    where the report before is at most 130 days away or there is none), close on or before available_at, and earnings_yield;
+    growth is 0 without a report before, the other ratios are filled forward, and rows that still lack one go."""
+    w = Window.partitionBy("ticker").orderBy("report_date")
+    safe = lambda a, b: F.try_divide(a, F.when(b != 0, b))
+    gap = F.coalesce(F.date_diff("report_date", F.lag("report_date").over(w)), F.lit(91))
+    df = filings.withColumn("annualised_eps", F.col("eps") * F.when(gap <= 130, 4.0).otherwise(1.0))
+    df = df.withColumn("revenue_growth", F.coalesce(safe(F.col("revenue"), F.lag("revenue").over(w)) - 1, F.lit(0.0)))
+    df = df.withColumn("profitability", safe(F.col("profit"), F.col("revenue"))).withColumn("debt_to_equity", safe(F.col("debt"), F.col("equity")))
+    df = price_at(df, bars).withColumn("earnings_yield", safe(F.col("annualised_eps"), F.col("close")))
+    back = w.rowsBetween(Window.unboundedPreceding, 0)
+    filled = ("earnings_yield", "debt_to_equity", "profitability")
+    df = df.withColumns({c: F.last(c, ignorenulls=True).over(back) for c in filled})
+    return df.dropna(subset=["revenue_growth", *filled])
+
+
 def pick_metric(facts: DataFrame, priorities: dict[str, int]) -> DataFrame:
     """facts (ticker, concept, start, end, filed, val): quarterly durations (70-110 days) where the ticker has any, else
     annual (300-380); one row a report date by concept priority, then the latest filing."""

@@ -298,3 +298,23 @@ def book_side_ratios(spark, sf_dir):
     names = chosen.groupBy("candidate").agg(F.count(F.lit(1)).alias("names"))
     out = books.side_ratios(chosen, grid, folds.date_index(scores)).join(names, "candidate", "left").fillna({"names": 0})
     return rounded(out)
+
+
+@query("""with x as (select *, profit / 1000 as eps, coalesce(report_date - lag(report_date) over w, 91) as gap, coalesce(revenue / nullif(lag(revenue) over w, 0) - 1, 0) as g, profit / nullif(revenue, 0) as p, debt / nullif(equity, 0) as d from fundamentals window w as (partition by ticker order by report_date)),
+y as (select x.ticker, report_date, available_at, g, p, d, eps * case when gap <= 130 then 4.0 else 1.0 end as ae, close from x asof left join daily_bars b on b.ticker = x.ticker and b.date <= x.available_at)
+select ticker, report_date, round(ae, 4) as annualised_eps, round(close, 6) as close, round(ae / close, 6) as earnings_yield, round(g, 6) + 0.0 as revenue_growth from y where close is not null""", "fundamentals", "daily_bars")
+def filings_earnings_yield(spark, sf_dir):
+    """Annualised earnings against the close on or before the day they became available."""
+    f = view(spark, sf_dir, "fundamentals").withColumn("eps", F.col("profit") / 1000)
+    out = fundamentals.earnings_yield(f, bars(spark, sf_dir))
+    return rounded(out.select("ticker", "report_date", F.round("annualised_eps", 4).alias("annualised_eps"), "close", "earnings_yield", "revenue_growth"))
+
+
+@query("""with f as (select ticker, report_date from fundamentals where ascii(right(ticker, 1)) % 2 = 0 or month(report_date) = 12), x as (select *, coalesce(report_date - lag(report_date) over w, lead(report_date) over w - report_date, 91) as gap from f window w as (partition by ticker order by report_date)),
+k as (select *, case when gap >= 250 then 'annual' else 'quarterly' end as filing_type from x), r as (select *, row_number() over (partition by ticker, filing_type order by report_date desc) as rn from k)
+select ticker, filing_type, count(*) as filings, min(report_date) as first_date, max(report_date) as last_date from r where rn <= 3 group by all""", "fundamentals")
+def filings_by_cadence(spark, sf_dir):
+    """The last three filings of each type; every other ticker reports in December only, so both types are there."""
+    f = view(spark, sf_dir, "fundamentals").where((F.ascii(F.substring("ticker", -1, 1)) % 2 == 0) | (F.month("report_date") == 12)).select("ticker", "report_date")
+    both = fundamentals.recent_filings(f, 3, "quarterly").unionByName(fundamentals.recent_filings(f, 3, "annual"))
+    return both.groupBy("ticker", "filing_type").agg(F.count(F.lit(1)).alias("filings"), F.min("report_date").alias("first_date"), F.max("report_date").alias("last_date"))

@@ -355,3 +355,14 @@ def source_tolerant_union(spark, sf_dir):
         o.where(F.col("o_orderpriority") == priority).select(text.alias("value")).write.text(sources[name])
     rows, status = landed.union_landed(spark, sources | {"fourth": f"{path}/fourth"}, "o_orderkey bigint, o_orderpriority string")
     return status.join(rows.groupBy("source").agg(F.sum("o_orderkey").alias("total")), "source", "left")
+
+
+@query(f"""with {RISK}, ck as (select *, case when critical > 7 and dummy is null then 'FAIL' when critical > 7 or warning > 2 then 'WARNING' else 'PASS' end as drift from rk), lg as (select key, date, unnest([{{'n': 'data_freshness', 's': case when stale_ratio > 0.1 then 'WARNING' else 'PASS' end, 'm': cast(stale_ratio as double), 't': 0.1::double}}, {{'n': 'feature_drift', 's': drift, 'm': (critical + 1) / 20.0::double, 't': case when drift = 'FAIL' then 0.25::double else 0.2::double end}},
+ {{'n': 'prediction_concentration', 's': case when concentration > 0.75 then 'WARNING' else 'PASS' end, 'm': concentration, 't': 0.75::double}}, {{'n': 'model_staleness', 's': case when retrain then 'WARNING' else 'PASS' end, 'm': retrain::int::double, 't': 1.0::double}}, {{'n': 'regime_consistency', 's': case when shift_flag or regime = 'transition' then 'WARNING' else 'PASS' end, 'm': concentration, 't': 0.6::double}}, {{'n': 'liquidity_check', 's': 'PASS', 'm': null, 't': null}}, {{'n': 'hallucination_guard', 's': 'PASS', 'm': null, 't': null}}, {{'n': 'source_integrity', 's': 'PASS', 'm': null, 't': null}}]) as x from ck)
+select x.n as check_name, x.s as status, count(*) as runs, round(avg(x.m), 6) as mean_metric, round(max(x.t), 6) as threshold from lg group by all""", "policy_runs")
+def audit_risk_checks(spark, sf_dir):
+    """All eight risk checks by name and state."""
+    n = F.col("n")
+    r = runs(spark, sf_dir).select("key", "date", (n % 20 / 100.0).alias("stale_ratio"), F.greatest(n % 9 - 7, F.lit(0)).alias("critical"), F.greatest(n % 4 - 2, F.lit(0)).alias("warning"), F.col("state_probability").alias("concentration"), "state_probability", (n % 6 == 0).alias("retrain"), (n % 6 == 0).cast("int").alias("trigger_count"), ((n % 9 + 1) / 20.0).alias("max_psi"), "shift_flag", "regime", (-F.col("transition_rate")).alias("max_drawdown"), F.when(n % 10 == 0, "null_random_walk").alias("dummy"))
+    rows = audit.risk_checks(audit.risk_review(r, 0.12), ["key", "date"])
+    return rounded(rows.groupBy("check_name", "status").agg(F.count(F.lit(1)).alias("runs"), F.avg("metric_value").alias("mean_metric"), F.max("threshold").alias("threshold")))
