@@ -255,6 +255,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 ANCHORS = 6
+MOST_BROADCAST = 1_000_000  # keys of 8 bytes
 
 
 def signatures(docs: DataFrame, shingle: int) -> DataFrame:
@@ -334,12 +335,22 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         pairs = pairs_with_leaders(ws.save(entries, "entries"), held, limit) if name == "leaders" else pairs_of_buckets(entries.withColumn("key", bucket_key()), held, ws, limit)
         pairs = ws.save(pairs, f"{name}-pairs")
         wanted = ws.save(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "least"), "node"), "wanted")
-        sets = sigs.select(F.col("id").alias("least"), "node", "shingles").join(wanted, ["least", "node"]).dropDuplicates(["node"])
+        some = sigs.select(F.col("id").alias("least"), "node", "shingles")
+        if wanted.count() <= MOST_BROADCAST:  # sets of other texts are not shuffled then
+            some = some.join(F.broadcast(wanted.select("node")), "node", "left_semi")
+        sets = some.join(wanted, ["least", "node"]).dropDuplicates(["node"])
         links = verified(pairs, ws.save(sets, "sets"), similarity)
         links = links if labels is None else links.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
         labels = ws.save(connected_components(ws.save(links, "links"), ws), f"{name}-components")
         held = ws.save(nodes.select("node", "sig", "anchors").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
     least = least_ids(nodes, labels, ws)
     gone = ws.save(sigs.select("id", "node").join(least, "node").where("id <> component").select("id").distinct(), "gone")
-    kept = docs.withColumn("__key", key).join(gone.withColumnRenamed("id", "__gone"), F.col("__key") == F.col("__gone"), "left_anti")
-    return kept.dropDuplicates(["__key"]).drop("__key")
+    twice = sigs.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
+    marked = ws.save(gone.unionByName(twice).select(F.xxhash64("id").alias("__hash")).distinct(), "marked")
+    keyed, first = docs.withColumn("__key", key), lambda df: df.join(gone.withColumnRenamed("id", "__gone"), F.col("__key") == F.col("__gone"), "left_anti").dropDuplicates(["__key"])
+    if marked.count() > MOST_BROADCAST:
+        return first(keyed).drop("__key")
+    # only rows that go or stand twice are shuffled, all others stay where they are
+    hashed, marked = keyed.withColumn("__hash", F.xxhash64("__key")), F.broadcast(marked)
+    out = hashed.join(marked, "__hash", "left_anti").unionByName(first(hashed.join(marked, "__hash", "left_semi")))
+    return out.drop("__key", "__hash")
