@@ -106,8 +106,8 @@ def queries() -> dict:
 _BASE32 = " || ".join(
     "(" + " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast((cast('0x' || substr(h, {5 * i + 1}, 5) as bigint) >> {s}) & 31 as integer) + 1, 1)" for s in (15, 10, 5, 0)) + ")" for i in range(8)
 )
-OP1_SQL = f"""with p as (select page_id, coalesce(html, '') as x from pages), q as (select page_id, strlen(x) as payload_bytes, sha1(x) as h, min(page_id) over (partition by x) as first from p)
-select page_id, payload_bytes, {_BASE32} as payload_digest, case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to from q"""
+OP1_SQL = f"""with p as (select page_id, url, coalesce(html, '') as x from pages), q as (select page_id, strlen(x) as payload_bytes, sha1(x) as h, min(page_id) over (partition by x) as first, page_id is null and count(page_id) over (partition by x) = 0 or page_id is not null and row_number() over (partition by x order by page_id nulls last, url nulls first) = 1 as answers from p)
+select page_id, payload_bytes, {_BASE32} as payload_digest, case when answers then 'response' else 'revisit' end as record_type, case when not answers then first end as refers_to from q"""
 
 FENCE = {"symbol_rate": 0.25, "dup_line_rate": 0.34, "word_length": 3.0}
 _RATES = ", ".join(f"case when count(*) >= 50 then quantile_disc({m}, 0.5) + greatest(3.0 * (quantile_disc({m}, 0.75) - quantile_disc({m}, 0.25)), {x}) end as {{0}}_{m}" for m, x in FENCE.items())

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelspark.llm.workspace import Workspace
@@ -205,23 +205,33 @@ def read_archives(spark: SparkSession, manifest: DataFrame, split_bytes: int = 6
 
 
 def with_revisits(pages: DataFrame, id_col: str, payload_col: str, least_bytes: int = 0) -> DataFrame:
-    """pages plus payload (UTF-8 bytes; null is empty) and refers_to: the smallest id of an equal payload if it is another
-    id, else null. Payloads under least_bytes refer to nothing. Null ids refer to the smallest id of equal payloads.
+    """pages plus payload (UTF-8 bytes; null is empty) and refers_to: the smallest id of an equal payload, null for one row of that
+    id, the first by url (further rows of the id refer to it). Payloads under least_bytes refer to nothing. Null ids refer to
+    the smallest id of equal payloads; where all are null, there is no name to refer to and refers_to is null. Very long payloads
+    are hashed whole.
 
     Equality is by length and SHA-1. Digests are grouped with partial aggregation; only those that stand under several
     ids are joined back, and both sides are plain shuffles, so a payload that a third of the rows share is split."""
     slim = pages.select(F.col(id_col).alias("__first"), F.sha1(F.coalesce(F.encode(payload_col, "UTF-8"), F.lit(b""))).alias("__sha"), F.coalesce(F.octet_length(payload_col), F.lit(0)).alias("__len"))
-    groups = slim.groupBy("__sha", "__len").agg(F.min("__first").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    ids = slim.groupBy("__sha", "__len", "__first").agg(F.count(F.lit(1)).alias("__c"))
+    groups = ids.groupBy("__sha", "__len").agg(F.min("__first").alias("__first"), F.sum("__c").alias("__n"), F.min_by("__c", "__first").alias("__tied"))
     groups = Workspace(pages.sparkSession).save(groups.where(f"__n > 1 and __len >= {least_bytes}").drop("__n"), "repeated")
     out = pages.withColumn("payload", F.coalesce(F.encode(payload_col, "UTF-8"), F.lit(b""))).withColumn("__sha", F.sha1("payload")).withColumn("__len", F.octet_length("payload"))
     out = out.join(groups, ["__sha", "__len"], "left")
     refers = F.when(F.col(id_col).isNull() | (F.col(id_col) > F.col("__first")), F.col("__first"))
-    return out.withColumn("refers_to", refers).drop("__sha", "__len", "__first")
+    out = out.withColumn("refers_to", refers)
+    if groups.where("__tied > 1").limit(1).count():  # several rows of the smallest id: the first by url answers, the others refer to it
+        tied = (F.col("__tied") > 1) & (F.col(id_col) == F.col("__first"))
+        w = Window.partitionBy("__sha", "__len").orderBy(*[c for c in pages.columns if c not in (id_col, payload_col)])
+        rows = out.where(tied).withColumn("__n", F.row_number().over(w)).withColumn("refers_to", F.when(F.col("__n") > 1, F.col("__first"))).drop("__n")
+        out = out.where(~F.coalesce(tied, F.lit(False))).unionByName(rows)
+    return out.drop("__sha", "__len", "__first", "__tied")
 
 
 def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0, split_bytes: int = 64 << 20, with_payload: bool = True) -> DataFrame:
     """Writes pages as archives in the shared folder and reads them back: one row a record (RECORD_SCHEMA plus page_id,
-    refers_to as ids). Repeated rows give a record each; a null url has no target; an empty table gives no records."""
+    refers_to as ids). Repeated rows give a record each; a null url has no target, a null payload is empty, very long ones are
+    archived whole; further columns are ignored; an empty table gives no records."""
     spark, ws = pages.sparkSession, Workspace(pages.sparkSession)
     slim = with_revisits(pages.select(id_col, url_col, payload_col), id_col, payload_col, least_bytes)
     name = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("null")))

@@ -62,10 +62,17 @@ def test_warc_round_trip_over_byte_ranges(spark):
         assert back.rdd.getNumPartitions() >= (20 if split == 37 else 1)  # byte ranges are dealt over tasks
         assert Counter(r.page_id for r in got) == Counter(r[0] for r in rows)
         assert all((r.payload_bytes, r.payload_digest) == want[r.page_id] for r in got)
-        assert {r.page_id: r.refers_to for r in got} == {1: None, 2: 1, 3: None, 4: 3, 5: 3, 6: None, 7: None}
+        assert {(r.page_id, r.refers_to) for r in got} == {(1, None), (2, 1), (3, None), (4, 3), (5, 3), (6, None), (6, 6), (7, None)}
     assert warc.archive_pages(df.limit(0)).count() == 0
 
 
+def test_one_row_of_the_smallest_id_answers(spark):
+    rows = [(1, "b", "same"), (1, "a", "same"), (2, "c", "same"), (None, "d", "same"), (3, "e", "own"), (4, "f", "own"), (None, "g", "none"), (None, "h", "none")]
+    back = warc.archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    got = {r.target_uri: (r.record_type, r.refers_to) for r in back}
+    assert got == {"a": ("response", None), "b": ("revisit", 1), "c": ("revisit", 1), "d": ("revisit", 1), "e": ("response", None), "f": ("revisit", 3), "g": ("response", None), "h": ("response", None)}
+
+
 def test_repeated_passages(spark, docs, empty):
     got = substrings.repeated_passages(docs).collect()
     pairs = {(r.source_id, r.doc_id) for r in got}
