@@ -35,24 +35,23 @@ def expected_calibration_error(df: DataFrame, by: list[str], bins: int = 10, lab
 
 
 def average_ranks(df: DataFrame, by: list[str], value: str, out: str, cells: int = 16) -> DataFrame:
-    """df plus the average rank of value within its group. Distinct values are counted first. A mergeable sketch cuts the values
-    of a group into cells of about equal size; values are ordered inside their cell only and get the number of rows in the
-    cells below, so no task orders a whole group."""
+    """(by, value, out): the average rank of each distinct value within its group. Distinct values are counted first. A mergeable
+    sketch cuts the values of a group into cells of about equal size; values are ordered inside their cell only and get the
+    number of rows in the cells below, so no task orders a whole group."""
     counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__c"))
     edges = df.groupBy(*by).agg(F.percentile_approx(value, [i / cells for i in range(1, cells)], 1000).alias("__e"))  # a row a group
     counts = counts.join(edges, by).withColumn("__b", F.size(F.filter("__e", lambda e: e < F.col(value)))).drop("__e")
-    below = counts.groupBy(*by, "__b").agg(F.sum("__c").alias("__s"))
-    below = below.select(*by, "__b", (F.sum("__s").over(Window.partitionBy(*by).orderBy("__b")) - F.col("__s")).alias("__below"))  # `cells` rows a group
     w = Window.partitionBy(*by, "__b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    counts = counts.withColumn("__to", F.sum("__c").over(w)).join(below, [*by, "__b"])
-    counts = counts.withColumn(out, F.col("__below") + F.col("__to") - (F.col("__c") - 1) / 2.0).select(*by, value, out)
-    return df.join(counts, [*by, value])
+    counts = counts.withColumn("__to", F.sum("__c").over(w))
+    below = counts.groupBy(*by, "__b").agg(F.max("__to").alias("__s"))
+    below = below.select(*by, "__b", (F.sum("__s").over(Window.partitionBy(*by).orderBy("__b")) - F.col("__s")).alias("__below"))  # `cells` rows a group
+    return counts.join(below, [*by, "__b"]).select(*by, value, (F.col("__below") + F.col("__to") - (F.col("__c") - 1) / 2.0).alias(out))
 
 
 def information_coefficients(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """Pearson and rank correlation of x and y over rows where both are finite."""
     ok = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y)).select(*by, F.col(x).alias("__x"), F.col(y).alias("__y"))
-    ranked = average_ranks(average_ranks(ok, by, "__x", "__rx"), by, "__y", "__ry")
+    ranked = ok.join(average_ranks(ok, by, "__x", "__rx"), [*by, "__x"]).join(average_ranks(ok, by, "__y", "__ry"), [*by, "__y"])
     return ranked.groupBy(*by).agg(safe_corr(F.col("__x"), F.col("__y")).alias("ic"), safe_corr(F.col("__rx"), F.col("__ry")).alias("rank_ic"))
 
 

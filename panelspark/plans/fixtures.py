@@ -9,6 +9,8 @@ from py4j.protocol import Py4JError
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
+from panelspark.sources.landed import shared_folder
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 VIEWS = {
@@ -94,6 +96,16 @@ def kept(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     return _shared[key]
 
 
+def written(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """Like kept, but a table in the shared folder: what reads it has a short plan, and a lost executor costs a reread only."""
+    key = (id(spark), sf_dir, f"written {name}")
+    if key not in _shared:
+        path, df = shared_folder(spark, name.replace(" ", "-")), build()
+        df.write.parquet(path)
+        _shared[key] = spark.read.schema(df.schema).parquet(path)
+    return _shared[key]
+
+
 def with_views(sql: str, *names: str) -> str:
     """The oracle's text: the views it needs as common table expressions, then sql."""
     order = [n for n in VIEWS if n in names or any(n in NEEDS.get(m, []) for m in names)]

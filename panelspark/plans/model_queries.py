@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from panelspark.operators import books, calibration, features, folds, metrics, trees, walkforward
 from panelspark.plans.book_queries import BOOK_SQL
-from panelspark.plans.fixtures import kept, with_views
+from panelspark.plans.fixtures import with_views, written
 from panelspark.plans.panel_queries import FEATURE_SQL, bars, price_panel, rounded
 
 Q: dict = {}
@@ -68,7 +68,7 @@ def training_rows(spark, sf_dir):
     """Complete rows of features, label and targets."""
     lab = features.label_windows(bars(spark, sf_dir), 1, 0.2).select("ticker", "date", "future_simple_return", "direction_label", *TARGETS)
     rows = price_panel(spark, sf_dir).select("ticker", "date", *USED).join(lab, ["ticker", "date"])
-    return kept(spark, sf_dir, "training rows", lambda: features.training_frame(rows, [*USED, "direction_label", *TARGETS]))
+    return written(spark, sf_dir, "training rows", lambda: features.training_frame(rows, [*USED, "direction_label", *TARGETS]))
 
 
 def fitted(spark, sf_dir):
@@ -78,7 +78,7 @@ def fitted(spark, sf_dir):
 def forecasts(spark, sf_dir):
     """All folds' forecasts on their own evaluation rows."""
     models, windows = fitted(spark, sf_dir)
-    return kept(spark, sf_dir, "forecasts", lambda: walkforward.scored(training_rows(spark, sf_dir), models, windows, USED))
+    return written(spark, sf_dir, "forecasts", lambda: walkforward.scored(training_rows(spark, sf_dir), models, windows, USED))
 
 
 @query(MODEL_SQL + " select fold_id, ticker, date, y as direction_label, round(prob_down, 6) as prob_down, round(prob_flat, 6) as prob_flat, round(prob_up, 6) as prob_up, round(expected_return, 6) + 0.0 as expected_return, round(predicted_volatility, 6) + 0.0 as predicted_volatility, case when greatest(prob_down, prob_flat, prob_up) > 0.5 then 'high' when greatest(prob_down, prob_flat, prob_up) > 0.4 then 'medium' else 'low' end as confidence from fc")
@@ -178,7 +178,7 @@ def calibrated_forecasts(spark, sf_dir):
     models = walkforward.ridge_by_fold(walkforward.gaussian_by_fold(scales, len(USED)), len(USED), len(TARGETS))
     tail = cuts.where("fit_cut < cut").select("fold_id", F.explode(F.sequence("fit_cut", F.col("cut") - 1)).alias("idx")).join(dates, "idx").select("fold_id", "date")
     slim = rows.select("ticker", "date", "direction_label", *USED)
-    before = kept(spark, sf_dir, "tail", lambda: walkforward.scored(slim, models, tail, USED).select("fold_id", "direction_label", *metrics.PROBS))
+    before = written(spark, sf_dir, "tail", lambda: walkforward.scored(slim, models, tail, USED).select("fold_id", "direction_label", *metrics.PROBS))
     after = walkforward.scored(slim, models, walkforward.eval_dates(dates, cuts, size, embargo), USED).select("fold_id", "ticker", "date", "direction_label", *metrics.PROBS)
     return calibration.calibrated(after, calibration.fitted(before, "direction_label"))
 
@@ -189,7 +189,7 @@ _ECE = "select fold_id, sum(n * abs(c - hr)) / sum(n) as ece from (select fold_i
 @query(CALIBRATED_SQL + f", er as ({_ECE.format('q')}), ec as ({_ECE.format('c')}), ll as (select fold_id, avg(-ln(greatest(case y when 0 then q0 when 1 then q1 else q2 end, 1e-9))) as raw_log_loss, avg(-ln(greatest(case y when 0 then c0 when 1 then c1 else c2 end, 1e-9))) as log_loss from cf group by fold_id)" + " select fold_id, round(er.ece, 5) as raw_ece, round(ec.ece, 5) as ece, round(raw_log_loss, 5) as raw_log_loss, round(log_loss, 5) as log_loss from er join ec using (fold_id) join ll using (fold_id)")
 def forecast_calibration(spark, sf_dir):
     """Calibration error and log loss of the calibrated probabilities beside those of the raw ones."""
-    rows = kept(spark, sf_dir, "calibrated", lambda: calibrated_forecasts(spark, sf_dir))
+    rows = written(spark, sf_dir, "calibrated", lambda: calibrated_forecasts(spark, sf_dir))
     after = rows.select("fold_id", "direction_label", *[F.col(c).alias(p) for c, p in zip(("cal_down", "cal_flat", "cal_up"), metrics.PROBS, strict=True)])
     out = None
     for name, df in (("raw_", rows), ("", after)):
@@ -233,7 +233,7 @@ def tree_rows(spark, sf_dir):
     windows = folds.walk_forward(dates, first, size, step, embargo)
     early = rows.join(dates.where(F.col("idx") < first).select("date"), "date")
     slim = trees.binned(rows, trees.bin_edges(early, USED, BINS)).select("ticker", "date", "direction_label", *TARGETS, "future_simple_return", "bins")
-    return kept(spark, sf_dir, "tree rows", lambda: slim.join(windows, "date"))
+    return written(spark, sf_dir, "tree rows", lambda: slim.join(windows, "date"))
 
 
 def fitted_trees(spark, sf_dir):
@@ -247,7 +247,7 @@ select fold_id, count(*) as n, round(avg(((case when q0 >= q1 and q0 >= q2 then
 def forecast_trees(spark, sf_dir):
     """Metrics of the boosted trees on each fold's evaluation rows."""
     rows = fitted_trees(spark, sf_dir).predict(tree_rows(spark, sf_dir).where("role = 'eval'").drop("role"))
-    rows = kept(spark, sf_dir, "tree forecasts", lambda: rows)
+    rows = written(spark, sf_dir, "tree forecasts", lambda: rows)
     out = metrics.class_metrics(rows, ["fold_id"]).select("fold_id", "n", "hit_rate", "log_loss")
     for name, predicted, actual in (("return_rmse", "expected_return", "target_return"), ("volatility_rmse", "predicted_volatility", "future_volatility_20d")):
         out = out.join(metrics.return_metrics(rows, ["fold_id"], predicted, actual).select("fold_id", F.col("rmse").alias(name)), "fold_id")
