@@ -203,3 +203,17 @@ def test_a_file_of_another_format_goes_through_the_tokenizer(tmp_path):
         file = json.load(f)
     file["model"]["end_of_word_suffix"] = "</other>"
     assert packing.WordTokens._merges(file) is None
+
+
+@pytest.mark.parametrize("name", ["op1_warc", "op11_vector_codes", "op12_hard_negatives"])
+def test_query_equals_its_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    from panelspark.llm import queries
+
+    small, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("pages", "embeddings"):
+        con.execute(f"create view {t} as select * from '{small}/{t}.parquet'")
+    cur = con.execute(queries.oracle_sql()[name])
+    names = [c[0] for c in cur.description]
+    got = queries.queries()[name](spark, small).select(*names).collect()
+    assert got and Counter(map(tuple, got)) == Counter(cur.fetchall())
