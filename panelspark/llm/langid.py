@@ -55,7 +55,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """(id, held_out, lang_pred, score) per row. Whole texts are scored in fixed overlapping windows of bytes; their
     probabilities are averaged by new bytes held; score is the winner's mean. `und` with score 0 for null texts, texts without a letter, and
     where no labelled row exists. held_out: fold 2 (false for null ids). Ties take the first language by name. Repeated
-    rows get a row each; an empty table none. Very long texts cost more windows; extra columns are ignored. Only the bounded training sample reaches the driver."""
+    rows get a row each; an empty table none. Very long texts cost more windows; extra columns are ignored. Trains when called: only the
+    bounded training sample reaches the driver."""
     net, langs = train(docs, id_col, text_col, lang_col, sample)
 
     def run(batches):

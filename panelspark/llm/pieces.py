@@ -250,7 +250,7 @@ def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Null texts have null ids, 0 pieces and are lossless; empty texts have no pieces. Rows with the same id and text get the
     same pieces; null ids share one seed. Columns ids, n_pieces and lossless of docs are replaced. model names a file that
-    every executor has. Memory: a block of about a million characters, or one longer text."""
+    every executor has. An empty table gives no rows. Memory: a block of about a million characters, or one longer text."""
     docs = docs.drop("ids", "n_pieces", "lossless")
 
     def run(batches):

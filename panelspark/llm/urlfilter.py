@@ -62,7 +62,7 @@ def mine_rules(transactions: DataFrame, min_support: float, min_confidence: floa
 
 
 def filter_urls(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id", min_support: float = 0.002, min_confidence: float = 0.8, min_rows: int = 20) -> DataFrame:
-    """pages plus host, path, rule, verdict (allow or block), learned_confidence.
+    """pages plus host, path, rule, verdict (allow or block), learned_confidence. Mines the rules by jobs when called.
 
     Fixed rules decide where one fits. Elsewhere the method does: pages whose id has a row in labels (page id = label id)
     give transactions of URL tokens, bad where toxic = 1 or quality = 0; FP-growth mines the token sets that imply bad,
