@@ -66,6 +66,14 @@ def drift_report(long: DataFrame, families: DataFrame, warning: float = 0.1, fai
     return out.withColumn("status", status(F.col("psi"), warning, fail)).orderBy(F.desc("psi"), "feature")
 
 
+def run_summary(report: DataFrame) -> DataFrame:
+    """One row of a drift_report: features, share of stable ones, largest and mean PSI as it is and winsorised, and the features by
+    falling PSI (equal ones by name), a row a feature at most."""
+    order = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("psi")).alias("k"), "feature"))), lambda x: x["feature"])
+    numbers = [f.alias(f"{n}_{c}") for c in ("psi", "adjusted_psi") for n, f in (("max", F.max(c)), ("mean", F.avg(c)))]
+    return report.agg(F.count(F.lit(1)).alias("features"), F.avg((F.col("status") == "PASS").cast("double")).alias("stable_ratio"), *numbers, F.array_join(order, "|").alias("by_psi"))
+
+
 def family_summary(report: DataFrame) -> DataFrame:
     flagged = F.array_sort(F.collect_list(F.when(F.col("status") != "PASS", F.col("feature"))))
     return report.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.max("psi").alias("max_psi"), F.avg("psi").alias("mean_psi"), F.array_join(flagged, "|").alias("flagged"))

@@ -244,3 +244,11 @@ def _total_named(rollup):
     most = rollup.agg(F.max("events").alias("__most"))
     x = rollup.crossJoin(F.broadcast(most))  # one row
     return x.withColumn("sector", F.when((F.col("sector") == "__all__") & (F.col("events") == F.col("__most")), "__total__").otherwise(F.col("sector"))).drop("__most")
+
+
+@query(DRIFT_SQL + "qa as (select feature, quantile_cont(value, 0.01) as lo, quantile_cont(value, 0.99) as hi from lg where part = 'reference' group by feature), aj as (select lg.feature, part, greatest(lo, least(hi, value)) as value from lg join qa using (feature)), ra as (with " + PSI_SQL.format("lg") + " select feature, sum((c - r) * ln(c / r)) as psi from sh group by feature), ad as (with " + PSI_SQL.format("aj") + """ select feature, sum((c - r) * ln(c / r)) as psi from sh group by feature)
+select count(*) as features, round(avg((ra.psi < 0.004)::int), 6) as stable_ratio, round(max(ra.psi), 6) as max_psi, round(avg(ra.psi), 6) as mean_psi, round(max(ad.psi), 6) as max_adjusted_psi, round(avg(ad.psi), 6) as mean_adjusted_psi, string_agg(feature, '|' order by ra.psi desc, feature) as by_psi from ra join ad using (feature)""", "daily_bars")
+def drift_run_summary(spark, sf_dir):
+    """The drift of a run in one row, as it is and winsorised."""
+    families = spark.createDataFrame(list(FAMILY.items()), "feature string, family string")
+    return rounded(drift.run_summary(drift.drift_report(drifted(spark, sf_dir), families, 0.004, 0.01)))
