@@ -142,6 +142,25 @@ def test_passages_whose_parts_stand_in_many_other_documents(spark):
     assert got == want
 
 
+def test_every_holder_of_a_passage_has_a_source_of_smaller_id(spark):
+    """Twenty holders of one passage, in groups whose further words differ, and equal texts; then two passages of one pair
+    with many words between them. The first by id is the only holder without a row."""
+    r = random.Random(15)
+    word = lambda: f"w{r.randrange(50000)}"
+    some = lambda n: [word() for _ in range(n)]
+    run, p, q = some(26), some(60), some(60)
+    groups = [some(20) + run + some(20) for _ in range(5)]
+    rows = [(n, " ".join(some(40) + groups[n % 5] + some(40))) for n in range(20)]
+    rows += [(20 + n, " ".join(some(30) + p + some(30))) for n in range(20)] + [(40, rows[7][1]), (41, rows[7][1])]
+    rows += [(50 + n, " ".join(p + some(150) + q)) for n in range(2)]
+    got = substrings.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(x.source_id < x.doc_id for x in got)
+    assert {x.doc_id for x in got} == {*range(5, 20), *range(21, 42), 50, 51}
+    assert {(x.source_id, x.start_word, x.end_word) for x in got if x.doc_id in (40, 41)} == {(7, 0, 146)}
+    assert any(x.doc_id == 51 and x.start_word <= 210 and x.end_word == 270 for x in got)
+    assert any(x.doc_id == 51 and x.start_word == 0 and 60 <= x.end_word < 80 for x in got)
+
+
 def test_chains_equal_brute_force():
     r = np.random.default_rng(3)
     for _ in range(20):
