@@ -1,12 +1,12 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Document frequencies of hashed terms over all documents (partial counts a task, then a shuffle of counts).
-2. A randomised SVD, by passes of Spark, of the TF-IDF rows of the benchmark's items and of a bounded sample of corpus
-   passages; every pass is A^T (A Q), summed by term block. The rank is at most half of the number of items.
+1. Document frequencies and counts of hashed terms over all documents (partial counts a task, then a shuffle of counts).
+2. A randomised SVD, by passes of Spark, of the TF-IDF rows of all the benchmark's items; every pass is A^T (A Q), summed by
+   term block. The rank is at most half of the number of items. Words that no item has count in a window's length only.
 3. Every window of every document, at lengths that grow by half over the range of the items' lengths, is put into the latent
    space by differences of running sums and compared with all items by cosine. The cosine that makes a candidate is not
-   set by hand: it is the one that keeps a given share of simulated paraphrases with as many replaced words as step 4
-   allows, placed anywhere between the windows.
+   set by hand: it is the one that keeps a given share of simulated paraphrases of every item with as many replaced words
+   as step 4 allows, placed anywhere between the windows; the new words follow the counts over all documents.
 4. Candidates are checked by their longest common subsequence with the item, and with its answer (the last sentence).
 Items of four to seven words are found as exact runs of words beside that.
 """
@@ -20,14 +20,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.langid import hashed_sample
 from panelspark.llm.textkernels import word_batches
 from panelspark.llm.workspace import Workspace
 
 TERM_BITS = 18
 BLOCK_ITEMS = 1 << 16
 TERM_BLOCK = 256
-LATENT_TERMS = 1 << 13  # terms of corpus passages that the latent space takes beside those of the items
 _TABLE = bytes(32 if not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128) else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -40,25 +38,27 @@ def terms_of(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - TERM_BITS)).astype(np.int64)
 
 
-def document_frequencies(docs: DataFrame, text_col: str) -> tuple[np.ndarray, int]:
-    """Documents that hold each hashed term, over all documents, and the number of documents. What reaches the driver has
+def document_frequencies(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray, int]:
+    """Documents that hold each hashed term and its places, over all documents, and the number of documents. What reaches the driver has
     at most 2^TERM_BITS + 1 rows."""
 
     def run(batches):
-        total, n = np.zeros(1 << TERM_BITS, dtype=np.int64), 0
+        total, places, n = np.zeros(1 << TERM_BITS, dtype=np.int64), np.zeros(1 << TERM_BITS, dtype=np.int64), 0
         for pdf in batches:
             n += len(pdf)
             for first, last, hashes, ptr in word_batches([normal(t) for t in pdf["text"]]):
                 owner = np.repeat(np.arange(last - first), np.diff(ptr))
-                total += np.bincount(np.unique((owner << TERM_BITS) | terms_of(hashes)) & ((1 << TERM_BITS) - 1), minlength=1 << TERM_BITS)
+                terms = terms_of(hashes)
+                places += np.bincount(terms, minlength=1 << TERM_BITS)
+                total += np.bincount(np.unique((owner << TERM_BITS) | terms) & ((1 << TERM_BITS) - 1), minlength=1 << TERM_BITS)
         some = np.flatnonzero(total)
-        yield pd.DataFrame({"term": np.append(some, -1), "n": np.append(total[some], n)})
+        yield pd.DataFrame({"term": np.append(some, -1), "n": np.append(total[some], n), "places": np.append(places[some], 0)})
 
-    rows = docs.select(F.col(text_col).alias("text")).mapInPandas(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
-    df = np.zeros(1 << TERM_BITS)
+    rows = docs.select(F.col(text_col).alias("text")).mapInPandas(run, "term bigint, n bigint, places bigint").groupBy("term").agg(F.sum("n").alias("n"), F.sum("places").alias("places")).toPandas()
+    df, places = np.zeros(1 << TERM_BITS), np.zeros(1 << TERM_BITS)
     real = rows[rows["term"] >= 0]
-    df[real["term"]] = real["n"]
-    return df, int(rows.loc[rows["term"] < 0, "n"].sum())
+    df[real["term"]], places[real["term"]] = real["n"], real["places"]
+    return df, places, int(rows.loc[rows["term"] < 0, "n"].sum())
 
 
 def gram_pass(passages: DataFrame, own: np.ndarray, weights: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -139,20 +139,24 @@ def answer_of(text: str) -> bytes:
 
 
 class LatentSpace:
-    """Terms' rows (the basis times idf; terms outside have a zero row) and what is made of them."""
+    """Terms' rows (the basis times idf; terms outside have a zero row), the squared idf of all terms, and what is made of them."""
 
     def __init__(self, own: np.ndarray, idf: np.ndarray, basis: np.ndarray):
         self.rows = np.concatenate([basis * idf[own][:, None], np.zeros((1, basis.shape[1]), np.float32)]).astype(np.float32)
+        self.square = (idf * idf).astype(np.float32)
         self.place = np.full(1 << TERM_BITS, len(own), dtype=np.int32)
         self.place[own] = np.arange(len(own), dtype=np.int32)
 
     def windows(self, terms: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-        """Unit latent vectors of terms[start:stop]; starts rise. Running sums over the span of these windows."""
+        """Latent vectors of terms[start:stop] over the length of their TF-IDF rows, each place for itself; starts rise. Running
+        sums over the span of these windows."""
         lo = int(starts[0])
         sums = np.zeros((int(stops.max()) - lo + 1, self.rows.shape[1]), np.float32)
-        np.cumsum(self.rows[self.place[terms[lo : lo + len(sums) - 1]]], axis=0, out=sums[1:])
+        part = terms[lo : lo + len(sums) - 1]
+        np.cumsum(self.rows[self.place[part]], axis=0, out=sums[1:])
+        squares = np.concatenate((np.zeros(1), np.cumsum(self.square[part], dtype=np.float64)))
         out = sums[stops - lo] - sums[starts - lo]
-        return out / np.maximum(np.sqrt(np.einsum("ij,ij->i", out, out)), 1e-6)[:, None]
+        return out / np.maximum(np.sqrt(squares[stops - lo] - squares[starts - lo]), 1e-6)[:, None].astype(np.float32)
 
 
 def grid(terms: np.ndarray, ptr: np.ndarray, lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -181,18 +185,20 @@ def lengths_of(sizes: list[int]) -> list[int]:
     return lengths
 
 
-def gate_of(space: LatentSpace, items: list[np.ndarray], pool: np.ndarray, lengths: list[int], replaced: float, recall: float, trials: int = 300, seed: int = 3) -> float:
-    """The cosine at or above which `recall` of simulated paraphrases have a window: items (as terms) with a share `replaced`
-    of their words drawn anew from the pool of corpus terms, between other words of the pool."""
+def gate_of(space: LatentSpace, items: list[np.ndarray], places: np.ndarray, lengths: list[int], replaced: float, recall: float, trials: int = 300, seed: int = 3) -> float:
+    """The cosine at or above which `recall` of simulated paraphrases have a window: every item (as terms), as often as gives
+    about `trials` in all, with a share `replaced` of its words drawn anew by the counts `places` of terms, between other words
+    drawn so."""
     g = np.random.default_rng(seed)
+    total = np.cumsum(places) if places.any() else np.ones(len(places)).cumsum()
+    draw = lambda n: np.searchsorted(total, g.random(n) * total[-1], side="right")
     best = []
-    for k in range(min(trials, 4 * len(items))):
-        item = items[int(g.integers(len(items)))]
+    for item in items * max(1, -(-trials // max(1, len(items)))):
         n = len(item)
         part = item.copy()
         at = g.choice(n, round(replaced * n), replace=False)
-        part[at] = pool[g.integers(0, len(pool), len(at))]
-        left, right = (pool[g.integers(0, len(pool), n + int(g.integers(n)))] for _ in "ab")
+        part[at] = draw(len(at))
+        left, right = (draw(n + int(g.integers(n))) for _ in "ab")
         terms = np.concatenate([left, part, right])
         a, b = grid(terms, np.array([0, len(terms)]), lengths)
         whole = space.windows(item, np.array([0]), np.array([n]))[0]
@@ -200,14 +206,14 @@ def gate_of(space: LatentSpace, items: list[np.ndarray], pool: np.ndarray, lengt
     return float(np.quantile(best, 1 - recall)) if best else 0.0
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", recall: float = 0.95, lcs: float = 0.8, lcs_with_answer: float = 0.6, answer: float = 0.8, rank: int = 96, least_words: int = 8, least_exact: int = 4, sample: int = 8000) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", recall: float = 0.95, lcs: float = 0.8, lcs_with_answer: float = 0.6, answer: float = 0.8, rank: int = 96, least_words: int = 8, least_exact: int = 4) -> DataFrame:
     """(id, item_id, start_word, cosine, lcs_ratio, answer_ratio): for each document and item the best window of a leak.
     Fits the latent space by jobs when called; the search itself is lazy.
 
     A leak has an LCS with the item of at least `lcs` of its words, or of at least `lcs_with_answer` with at least `answer`
     of the answer's words in order, in or around a window whose latent cosine with the item is one that `recall` of
-    simulated paraphrases reach (gate_of). The latent space is fitted on all items and on one passage of each of about
-    `sample` documents, its rank is at most `rank` and half of the items. All items are searched in one pass, 65,536 at a
+    simulated paraphrases reach (gate_of). The latent space is fitted on all items, weighted by the frequencies
+    over all documents; its rank is at most `rank` and half of the items. All items are searched in one pass, 65,536 at a
     time. Items of under least_words words are leaks as exact runs (cosine 1); items of under least_exact words have no
     evidence of their own and never match. Null and empty texts match nothing; repeated rows give a row each id; an empty
     benchmark or table gives no rows. Ties take the first window. Very long texts are read whole; extra columns are ignored."""
@@ -217,19 +223,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     items = ws.save(benchmark.where(F.col(item_text).isNotNull()).select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")), "items")
     schema = f"id string, item_id {dict(items.dtypes)['item_id']}, start_word bigint, cosine double, lcs_ratio double, answer_ratio double"
     n_items = items.count()
-    df, n_docs = document_frequencies(docs, text_col)
+    df, places, n_docs = document_frequencies(docs, text_col)
     idf = np.maximum(np.log((n_docs + 1) / (df + 0.5)), 0.05).astype(np.float32)
     slim = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-    begin = F.pmod(F.xxhash64("id"), F.greatest(F.length("text") - 400, F.lit(1))).cast("int") + 1
-    passages = hashed_sample(slim.where("text is not null").select("id", F.substr("text", begin, F.lit(400)).alias("text")), F.coalesce("id", F.lit("")), sample, ["text"])
-    passages = ws.save(passages, "passages")
     found = None
     if n_items and n_docs:
-        drawn = passages.toPandas()["text"].tolist()
-        pool = np.concatenate([np.empty(0, np.int64)] + [terms_of(h) for _, _, h, _ in word_batches([normal(t) for t in drawn])])
-        pool = pool if len(pool) else np.zeros(1, np.int64)
-        own, count = np.unique(pool, return_counts=True)
-        own = own[np.argsort(-count, kind="stable")[:LATENT_TERMS]]
+        own = np.empty(0, np.int64)
         n_blocks = -(-n_items // BLOCK_ITEMS)
         blocks = []
         for b in range(n_blocks):
@@ -238,13 +237,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
             blocks.append(rows[[len(w) >= least_exact for w in rows["words"]]].reset_index(drop=True))
             for _, _, hashes, _ in word_batches([b" ".join(w) for w in blocks[-1]["words"]]):
                 own = np.union1d(own, terms_of(hashes))
-        weight = (max(1, len(drawn)) / n_items) ** 0.5  # items and passages count alike
-        both = items.select("text", F.lit(max(1.0, weight)).alias("scale")).unionByName(passages.select("text", F.lit(1.0).alias("scale")))
-        space = LatentSpace(own, idf, randomised_svd(both, own, idf[own].astype(np.float64), max(1, min(rank, n_items // 2))))
+        own = own if len(own) else np.zeros(1, np.int64)
+        space = LatentSpace(own, idf, randomised_svd(items.select("text", F.lit(1.0).alias("scale")), own, idf[own].astype(np.float64), max(1, min(rank, n_items // 2))))
         space = sc.broadcast(space)
         for rows in blocks:
             if len(rows):
-                new = slim.mapInPandas(_searcher(sc, rows, space, pool, recall, lcs, lcs_with_answer, answer, least_words), schema)
+                new = slim.mapInPandas(_searcher(sc, rows, space, places, recall, lcs, lcs_with_answer, answer, least_words), schema)
                 found = new if found is None else found.unionByName(new)
     found = spark.createDataFrame([], schema) if found is None else found
     best = F.struct(F.col("lcs_ratio"), F.col("cosine"), -F.col("start_word"))
@@ -252,7 +250,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     return out.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)
 
 
-def _searcher(sc, rows: pd.DataFrame, space, pool: np.ndarray, recall: float, lcs: float, lcs_with_answer: float, answer: float, least_words: int):
+def _searcher(sc, rows: pd.DataFrame, space, places: np.ndarray, recall: float, lcs: float, lcs_with_answer: float, answer: float, least_words: int):
     """The task of one block of items (item_id, text, words)."""
     words, ids = rows["words"].tolist(), rows["item_id"].tolist()
     answers = [answer_of(t).split() for t in rows["text"]]
@@ -267,7 +265,7 @@ def _searcher(sc, rows: pd.DataFrame, space, pool: np.ndarray, recall: float, lc
     lengths, gate, latent = [8], 2.0, None
     if long:
         lengths = lengths_of([len(words[i]) for i in long])
-        gate = gate_of(space.value, [terms_list[i] for i in long], pool, lengths, 1 - lcs_with_answer, recall)
+        gate = gate_of(space.value, [terms_list[i] for i in long], places, lengths, 1 - lcs_with_answer, recall)
         latent = np.concatenate([space.value.windows(terms_list[i], np.array([0]), np.array([len(terms_list[i])])) for i in long])
     held = np.zeros(1 << TERM_BITS, dtype=bool)
     for i in long:

@@ -187,6 +187,22 @@ def test_leaks_and_paraphrase(spark, empty):
     assert decontaminate.find_leaks(empty, bench).count() == 0 and decontaminate.find_leaks(df, bench.limit(0)).count() == 0
 
 
+def test_leak_model_rests_on_counts_over_all_documents(spark):
+    """Other documents with their words in another order have the same frequencies, so the cosine of a leak stays."""
+    r = random.Random(77)
+    word = lambda: f"w{r.randrange(3000)}"
+    items = [" ".join(word() for _ in range(40)) for _ in range(12)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    others = [[word() for _ in range(400)] for _ in range(40)]
+    found = []
+    for _ in "ab":
+        rows = [(n, " ".join(w)) for n, w in enumerate(others)] + [(100, " ".join([items[3], *others[0][:40]]))]
+        got = decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+        found.append({(x.doc_id, x.item_id, round(x.cosine, 4)) for x in got})
+        others = [w if n == 0 else r.sample(w, len(w)) for n, w in enumerate(others)]
+    assert found[0] == found[1] and {x[:2] for x in found[0]} == {(100, 3)}
+
+
 def test_leaks_equal_brute_force_on_paraphrases(spark):
     """Items with shares of their words replaced, anywhere in a document, against the LCS and answer rules on every region."""
     r = random.Random(21)
