@@ -1,14 +1,21 @@
-"""A small byte convolutional network in numpy: embedding, filters of widths 2, 3 and 4, max pooling, softmax."""
+"""A small byte convolutional network in numpy: embedding, filters of widths 2, 3 and 4, max pooling, softmax.
+
+Tasks train it on shards of all rows, of a bounded size each, and the mean of their networks starts the next round."""
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 WIDTHS = (2, 3, 4)
+SHARD_ROWS = 12800  # of a task's network
+SHARD_SCHEMA = "shard bigint, x binary, y binary"  # x: (n, length) uint8; y: n int32
 
 
 class ByteCNN:
-    """Training runs on the driver over a bounded sample; the trained arrays travel with the tasks' closures."""
+    """The trained arrays travel with the tasks' closures."""
 
     def __init__(self, classes: int, filters: int = 8, size: int = 6, seed: int = 7):
         g = np.random.default_rng(seed)
@@ -45,6 +52,39 @@ class ByteCNN:
         self._tables = None
         return self
 
+    def fit_shards(self, shards: DataFrame, weight: np.ndarray, rounds: int, steps: int, crop: int | None = None) -> ByteCNN:
+        """shards (SHARD_SCHEMA), rows dealt by a hash. Every round each shard is fitted, all of its rows and `steps` batches at least,
+        from the network that all share, which then becomes the mean of theirs by rows. weight: by class. What reaches the
+        driver is at most 16 sums a round."""
+        names = sorted(self.p)
+        for k in range(rounds):
+            start = self.p
+
+            def run(batches):
+                for pdf in batches:
+                    out = []
+                    for shard, x, y in zip(pdf["shard"], pdf["x"], pdf["y"], strict=True):
+                        y = np.frombuffer(y, np.int32)
+                        if not len(y):
+                            continue
+                        net = ByteCNN(1, self.filters)
+                        net.p = {n: v.copy() for n, v in start.items()}  # noqa: B023
+                        net.fit(np.frombuffer(x, np.uint8).reshape(len(y), -1), y, weight[y].astype(np.float32), max(steps, -(-len(y) // 64)), seed=rounds * shard + k + 11, crop=crop)  # noqa: B023
+                        out.append((shard, len(y), np.concatenate([net.p[n].ravel() for n in names]).tobytes()))
+                    yield pd.DataFrame(out, columns=["shard", "n", "p"])
+
+            def add(pdf):
+                pdf = pdf.sort_values("shard")
+                total = sum(n * np.frombuffer(p, np.float32).astype(np.float64) for n, p in zip(pdf["n"], pdf["p"], strict=True))
+                return pd.DataFrame({"part": [pdf["shard"].iloc[0] % 16], "n": [pdf["n"].sum()], "p": [total.tobytes()]})
+
+            rows = shards.mapInPandas(run, "shard bigint, n bigint, p binary").groupBy(F.col("shard") % 16).applyInPandas(add, "part bigint, n bigint, p binary").toPandas().sort_values("part")
+            mean = sum(np.frombuffer(p) for p in rows["p"]) / rows["n"].sum()
+            ends = np.cumsum([self.p[n].size for n in names])
+            self.p = {n: mean[e - self.p[n].size : e].reshape(self.p[n].shape).astype(np.float32) for n, e in zip(names, ends, strict=True)}
+        self._tables = None
+        return self
+
     def _gradient(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
         p, n, size = self.p, len(x), self.p["emb"].shape[1]
         e = p["emb"][x]

@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.bytecnn import ByteCNN, windows
+from panelspark.llm.bytecnn import SHARD_ROWS, SHARD_SCHEMA, ByteCNN, windows
+from panelspark.llm.workspace import Workspace
 
 UND = "und"
 
@@ -17,47 +18,38 @@ def fold_of(id_col: str) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4
 
 
-def hash_bound(rows: DataFrame, key: Column, sample: int) -> DataFrame:
-    """About `sample` of the rows, those whose hash of key is under a bound set from the number of rows; no shuffle."""
-    share = min(1.0, sample / max(1, rows.count()))
-    bound = min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))
-    return rows.where(F.xxhash64(key) <= bound)
-
-
-def hashed_sample(rows: DataFrame, key: Column, sample: int, columns: list[str]) -> DataFrame:
-    """At most `sample` of the rows, those with the smallest hashes of key; rows of equal hash count once. A bound on the
-    hash leaves about 1.5 times as many as asked for, so what is sorted and sent is bounded however many partitions there
-    are."""
-    near = hash_bound(rows, key, 3 * (sample + 50) // 2)
-    hashed = near.select(F.xxhash64(key).alias("rank"), F.struct(*columns).alias("row"))
-    return hashed.groupBy("rank").agg(F.min("row").alias("row")).orderBy("rank").limit(sample).select("row.*")
-
-
-def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int = 8000, length: int = 512) -> tuple[ByteCNN, list[str]]:
-    """Fits on about `sample` labelled rows of the folds 0, 1 and 3: those with the smallest hashes of their ids, and of
-    each `length` bytes from a place given by the hash, as long as a window of a prediction. Classes are weighted by the
-    inverse root of their frequency. Without labelled rows the class list is empty."""
+def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, length: int = 512) -> tuple[ByteCNN, list[str]]:
+    """Fits on all labelled rows of the folds 0, 1 and 3, of each `length` bytes from a place given by the hash of its id, as long
+    as a window of a prediction. Rows of equal ids count once. Classes are weighted by the inverse root of their frequency.
+    Without labelled rows the class list is empty."""
+    ws = Workspace(docs.sparkSession)
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (F.coalesce(fold_of(id_col), F.lit(2)) != 2))
-    start = F.pmod(F.xxhash64(F.lit("start"), F.col(id_col)), F.greatest(F.length(text_col) - length // 2, F.lit(1))).cast("int") + 1
-    rows = rows.select(F.col(id_col).alias("id"), F.substr(text_col, start, F.lit(length)).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    rows = hashed_sample(rows, F.concat(F.lit("train"), F.col("id").cast("string")), sample, ["text", "lang"]).toPandas()
-    langs = sorted(rows["lang"].unique())
+    counts = rows.groupBy(F.col(lang_col).cast("string").alias("lang")).count().toPandas()  # a row a language
+    langs = sorted(counts["lang"])
     if len(langs) < 1:
         return ByteCNN(1), []
-    y = np.searchsorted(langs, rows["lang"])
-    data = [t.encode("utf-8", "surrogatepass")[:length].ljust(length, b"\0") for t in rows["text"]]
-    x = np.frombuffer(b"".join(data), dtype=np.uint8).reshape(-1, length)
-    weight = (1 / np.sqrt(np.bincount(y, minlength=len(langs))))[y]
-    return ByteCNN(len(langs)).fit(x, y, weight.astype(np.float32), crop=24), langs
+    start = F.pmod(F.xxhash64(F.lit("start"), F.col(id_col)), F.greatest(F.length(text_col) - length // 2, F.lit(1))).cast("int") + 1
+    rank = F.xxhash64(F.concat(F.lit("train"), F.col(id_col).cast("string")))
+    n = int(-(-counts["count"].sum() // SHARD_ROWS))
+    rows = rows.select(F.pmod(rank, F.lit(n)).alias("shard"), rank.alias("rank"), F.substr(text_col, start, F.lit(length)).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+
+    def shard(pdf):
+        pdf = pdf.sort_values(["rank", "text", "lang"]).drop_duplicates("rank")
+        x = b"".join(t.encode("utf-8", "surrogatepass")[:length].ljust(length, b"\0") for t in pdf["text"])
+        return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "x": [x], "y": [np.searchsorted(langs, pdf["lang"]).astype(np.int32).tobytes()]})
+
+    shards = ws.save(rows.repartition(n, "shard").groupBy("shard").applyInPandas(shard, SHARD_SCHEMA), "shards")
+    weight = 1 / np.sqrt(counts.set_index("lang")["count"][langs].to_numpy())
+    return ByteCNN(len(langs)).fit_shards(shards, weight, rounds=4, steps=200, crop=24), langs
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 8000, window: int = 512) -> DataFrame:
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", window: int = 512) -> DataFrame:
     """(id, held_out, lang_pred, score) per row. Whole texts are scored in fixed overlapping windows of bytes; their
     probabilities are averaged by new bytes held; score is the winner's mean. `und` with score 0 for null texts, texts without a letter, and
     where no labelled row exists. held_out: fold 2 (false for null ids). Ties take the first language by name. Repeated
-    rows get a row each; an empty table none. Very long texts cost more windows; extra columns are ignored. Trains when called: only the
-    bounded training sample reaches the driver."""
-    net, langs = train(docs, id_col, text_col, lang_col, sample)
+    rows get a row each; an empty table none. Very long texts cost more windows; extra columns are ignored. Trains when called, on
+    all labelled rows."""
+    net, langs = train(docs, id_col, text_col, lang_col)
 
     def run(batches):
         for pdf in batches:

@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.bytecnn import ByteCNN
-from panelspark.llm.langid import hash_bound
+from panelspark.llm.bytecnn import SHARD_ROWS, ByteCNN
+from panelspark.llm.workspace import Workspace
 
 #: Fixed patterns, kinds in their listed order.
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
@@ -120,9 +120,8 @@ def _batches(texts: list, limit: int = 1 << 21):
         first = last
 
 
-def findings(docs: DataFrame, id_col: str, text_col: str, sample: int, sample_docs: int) -> DataFrame:
-    """Labelled findings (fold, bad, left, value, right) of about `sample_docs` documents, at most `sample`, half of each
-    class: values of base spans (bad = 1; the word before an assignment's sign, and AKIA, taken away) and other candidates
+def findings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Labelled findings (rank, fold, bad, left, value, right) of all documents: values of base spans (bad = 1; the word before an assignment's sign, and AKIA, taken away) and other candidates
     (0), with their contexts. fold is 0 (fit) or 1 (calibration), by document."""
 
     def run(batches):
@@ -142,12 +141,10 @@ def findings(docs: DataFrame, id_col: str, text_col: str, sample: int, sample_do
                 yield pd.DataFrame(rows, columns=["id", "bad", "at", "left", "value", "right"])
 
     slim = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-    slim = hash_bound(slim, F.coalesce("id", F.lit("")), sample_docs)
     found = slim.mapInPandas(run, "id string, bad int, at bigint, left binary, value binary, right binary")
     found = found.withColumn("rank", F.xxhash64("id", "at", "bad", "value")).withColumn("fold", (F.crc32(F.coalesce("id", F.lit("")).cast("binary")) % 2).cast("int"))
     found = found.groupBy("rank", "bad", "fold").agg(F.min(F.struct("left", "value", "right")).alias("x"))  # repeated rows count once
-    pick = lambda b: found.where(F.col("bad") == b).orderBy("rank").limit(sample // 2)
-    return pick(1).unionByName(pick(0)).select("fold", "bad", "x.*")
+    return found.select("rank", "fold", "bad", "x.*")
 
 
 ALPHABETS = [b"0123456789abcdef", b"0123456789ABCDEF", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", b"abcdefghijklmnopqrstuvwxyz0123456789", b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"]
@@ -201,32 +198,58 @@ def training_windows(rows: pd.DataFrame, g: np.random.Generator) -> tuple[np.nda
 
 class SecretModel:
     """The network, a logistic calibration and the threshold: the highest that keeps `least_recall` of the findings of the
-    calibration fold, of the redrawn ones alone, which are harder. recall and precision are those of that fold."""
+    calibration fold, of the redrawn ones alone, which are harder. recall and precision are those of that fold.
+    rows: all findings (see findings). Logits are whole thousandths, so the counts of each value, at most 24,001 by class, are
+    all that the calibration needs."""
 
-    def __init__(self, rows: pd.DataFrame, least_recall: float = 0.95):
+    def __init__(self, rows: DataFrame, ws: Workspace, least_recall: float = 0.95):
         self.net, self.threshold, self.recall, self.precision = None, 2.0, None, None
-        fit, cal = rows[rows["fold"] == 0], rows[rows["fold"] == 1]
-        if min(fit["bad"].nunique(), cal["bad"].nunique()) < 2:
+        rows = ws.save(rows, "findings")
+        held = {(r.fold, r.bad): r["count"] for r in rows.groupBy("fold", "bad").count().collect()}
+        if len(held) < 4:
             return
-        g = np.random.default_rng(13)
-        x, y, _ = training_windows(fit, g)
-        weight = (len(y) / (2 * np.bincount(y, minlength=2)))[y].astype(np.float32)
-        self.net = ByteCNN(2, filters=12).fit(x, y, weight, steps=1600)
-        x, truth, of = training_windows(cal, g)
-        logit, truth, drawn = self._best(self._logit(x), of), self._best(truth.astype(float), of), np.unique(of) % VARIANTS > 0
+        most = max(held[f, 0] + held[f, 1] for f in (0, 1)) * VARIANTS
+        n = -(-most // SHARD_ROWS)
+
+        def shard(pdf):
+            pdf = pdf.sort_values(["bad", "rank"])
+            g = np.random.default_rng([13, int(pdf["fold"].iloc[0]), int(pdf["shard"].iloc[0])])
+            x, y, of = training_windows(pdf, g)
+            return pd.DataFrame({"fold": [pdf["fold"].iloc[0]], "shard": [pdf["shard"].iloc[0]], "x": [x.tobytes()], "y": [y.astype(np.int32).tobytes()], "of": [of.astype(np.int32).tobytes()], "bad": [int(y.sum())], "n": [len(y)]})
+
+        dealt = rows.withColumn("shard", F.pmod("rank", F.lit(n))).repartition(2 * n, "fold", "shard")
+        shards = ws.save(dealt.groupBy("fold", "shard").applyInPandas(shard, "fold int, shard bigint, x binary, y binary, of binary, bad bigint, n bigint"), "shards")
+        total = shards.where("fold = 0").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")).first()
+        weight = total.n / (2 * np.array([total.n - total.bad, total.bad]))
+        self.net = ByteCNN(2, filters=12).fit_shards(shards.where("fold = 0").select("shard", "x", "y"), weight, rounds=8, steps=200)
+
+        def scored(batches):
+            for pdf in batches:
+                for x, y, of in zip(pdf["x"], pdf["y"], pdf["of"], strict=True):
+                    y, of = np.frombuffer(y, np.int32), np.frombuffer(of, np.int32)
+                    logit = self._best(self._logit(np.frombuffer(x, np.uint8).reshape(len(y), -1)), of)
+                    out = pd.DataFrame({"truth": self._best(y, of), "drawn": np.unique(of) % VARIANTS > 0, "logit": logit, "n": 1})
+                    yield out.groupby(["truth", "drawn", "logit"], as_index=False)["n"].sum()
+
+        cal = shards.where("fold = 1").select("x", "y", "of").mapInPandas(scored, "truth int, drawn boolean, logit bigint, n bigint")
+        cal = cal.groupBy("truth", "drawn", "logit").agg(F.sum("n").alias("n")).toPandas().sort_values(["logit", "truth", "drawn"])
+        logit, truth, n = cal["logit"].to_numpy() / 1000, cal["truth"].to_numpy(float), cal["n"].to_numpy(float)
         a, b = 1.0, 0.0
         for _ in range(200):  # logistic calibration by gradient steps
             p = 1 / (1 + np.exp(-np.clip(a * logit + b, -30, 30)))
-            a, b = a - 0.05 * np.mean((p - truth) * logit), b - 0.5 * np.mean(p - truth)
+            a, b = a - 0.05 * np.average((p - truth) * logit, weights=n), b - 0.5 * np.average(p - truth, weights=n)
         self.a, self.b = max(a, 1e-3), b
         p = 1 / (1 + np.exp(-np.clip(self.a * logit + self.b, -30, 30)))
-        good = np.sort(p[(truth == 1) & drawn])
-        self.threshold = float(good[int((1 - least_recall) * len(good))])
-        self.recall, self.precision = float(np.mean(good >= self.threshold)), float(truth[p >= self.threshold].mean())
+        good = (truth == 1) & cal["drawn"].to_numpy()
+        above = np.cumsum(n[good])  # logits rise
+        self.threshold = float(p[good][np.searchsorted(above, int((1 - least_recall) * above[-1]), side="right")])
+        hit = p >= self.threshold
+        self.recall, self.precision = float(n[good & hit].sum() / above[-1]), float(np.average(truth[hit], weights=n[hit]))
 
     def _logit(self, x: np.ndarray) -> np.ndarray:
+        """In whole thousandths."""
         q = self.net.probabilities(x)
-        return np.log(np.maximum(q[:, 1], 1e-9) / np.maximum(q[:, 0], 1e-9)).clip(-12, 12)
+        return np.rint(1000 * np.log(np.maximum(q[:, 1], 1e-9) / np.maximum(q[:, 0], 1e-9)).clip(-12, 12)).astype(np.int64)
 
     @staticmethod
     def _best(value: np.ndarray, of: np.ndarray) -> np.ndarray:
@@ -236,14 +259,14 @@ class SecretModel:
     def score(self, parts: list[list[bytes]]) -> np.ndarray:
         """Calibrated probability of each candidate, that of its best window."""
         x = np.frombuffer(b"".join(w for part in parts for w in part), dtype=np.uint8).reshape(-1, LEFT + BODY + RIGHT)
-        logit = self._best(self._logit(x), np.repeat(np.arange(len(parts)), [len(p) for p in parts]))
+        logit = self._best(self._logit(x), np.repeat(np.arange(len(parts)), [len(p) for p in parts])) / 1000
         return 1 / (1 + np.exp(-np.clip(self.a * logit + self.b, -30, 30)))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 8000, sample_docs: int = 20000) -> SecretModel:
-    """Fits on a bounded sample of labelled findings (see findings); folds by document. Without both classes in both
-    folds the model adds nothing."""
-    return SecretModel(findings(docs, id_col, text_col, sample, sample_docs).toPandas())
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> SecretModel:
+    """Fits on all labelled findings (see findings); folds by document. Without both classes in both folds the model adds
+    nothing."""
+    return SecretModel(findings(docs, id_col, text_col), Workspace(docs.sparkSession))
 
 
 def spans_of(texts: list, model: SecretModel) -> list[list[tuple[str, int, int]]]:
@@ -266,16 +289,16 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 8000) -> DataFrame:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_assign, n_access, n_hex, n_learned, base_sha256, spans) per row, over whole texts.
-    Trains when called.
+    Trains on all findings when called.
 
     Base spans are those of the fixed patterns and always stay. Every other candidate and its context is scored by the
     network; those at or above the threshold (set on a calibration fold to keep a recall of 0.95 there) are added as kind
     learned. Null and empty texts have no spans; base_sha256 is then that of the empty
     string. Repeated rows get a row each; an empty table none. Very long texts and candidates are read whole; extra columns are
     ignored."""
-    model = train(docs, id_col, text_col, sample)
+    model = train(docs, id_col, text_col)
 
     def run(batches):
         for pdf in batches:
@@ -289,10 +312,10 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.withColumn("id", F.col("id").cast(dict(docs.dtypes)[id_col])).withColumnRenamed("id", id_col)
 
 
-def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[SECRET]", sample: int = 8000) -> DataFrame:
+def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
     """docs with each span (overlapping ones as one) replaced by mask; other columns and null texts stay as they are. Trains when
     called. Repeated rows get the same text; an empty table gives no rows; very long texts are read whole."""
-    model = train(docs, id_col, text_col, sample)
+    model = train(docs, id_col, text_col)
 
     def clean(text: str, spans: list[tuple[str, int, int]]) -> str:
         parts, at = [], 0
