@@ -1,11 +1,15 @@
 """The corpus operators against brute force, round trips and edge cases."""
 
 import base64
+import glob
 import gzip
 import hashlib
 import itertools
+import os
 import random
 import re
+import tempfile
+import time
 from collections import Counter
 
 import numpy as np
@@ -15,7 +19,7 @@ from pyspark.sql import functions as F
 
 from panelspark.llm import decontaminate, langid, pieces, quality, secrets, sharding, simhash, substrings, urlfilter, warc
 from panelspark.llm.components import connected_components
-from panelspark.llm.workspace import Workspace
+from panelspark.llm.workspace import CLEANUP_CONF, Workspace
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard string"
 WORDS = ["alpha", "beta", "gamma", "delta", "rho", "tau", "über", "né", "omega", "kappa", "zeta", "eta"]
@@ -642,3 +646,18 @@ def test_models_are_fitted_on_every_document(spark, monkeypatch):
     monkeypatch.setattr(langid.ByteCNN, "fit_shards", lambda self, shards, *a, **b: (read.append(shards), fit(self, shards, *a[:1], rounds=1, steps=1))[1])
     langid.train(ids, "doc_id", "text", "lang")
     assert read[0].agg(F.sum(F.octet_length("y") / 4)).first()[0] == ids.where(langid.fold_of("doc_id") != 2).count() > 8000
+
+
+def test_saved_tables_leave_no_shuffle_files(spark):
+    top = [os.environ.get("SPARK_LOCAL_DIRS"), spark.conf.get("spark.local.dir", None), tempfile.gettempdir()]
+    files = lambda: {f for d in top if d for f in glob.glob(f"{d}/**/blockmgr-*/*/shuffle_*.data", recursive=True)}
+    was, before = spark.conf.get(CLEANUP_CONF), files()
+    df = Workspace(spark).save(spark.range(50000).groupBy((F.col("id") % 9999).alias("k")).count(), "counts")
+    for _ in range(50):  # they go a moment later
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and df.count() == 9999 and spark.conf.get(CLEANUP_CONF) == was
+    frame = spark.range(50000).repartition(3, "id")
+    frame.count()
+    assert files() - before  # where the files are
