@@ -151,14 +151,52 @@ class LatentSpace:
         """Latent vectors of terms[start:stop] over the length of their TF-IDF rows, each place for itself; starts rise. Running
         sums over the span of these windows."""
         lo = int(starts[0])
-        sums = np.zeros((int(stops.max()) - lo + 1, self.rows.shape[1]), np.float32)
-        part = terms[lo : lo + len(sums) - 1]
-        np.cumsum(self.rows[self.place[part]], axis=0, out=sums[1:])
+        part = terms[lo : int(stops.max())]
+        sums = np.zeros((len(part) // 16 + 1, 16, self.rows.shape[1]), np.float32)
+        np.take(self.rows, self.place[part], axis=0, out=sums.reshape(-1, sums.shape[2])[1 : len(part) + 1], mode="clip")
+        for j in range(1, 16):  # runs of 16 first, which is much faster than one running sum of rows
+            sums[:, j] += sums[:, j - 1]
+        sums[1:] += np.cumsum(sums[:-1, 15], axis=0)[:, None]
+        sums = sums.reshape(-1, sums.shape[2])
         squares = np.concatenate((np.zeros(1), np.cumsum(self.square[part], dtype=np.float64)))
         out = sums[stops - lo] - sums[starts - lo]
         return out / np.maximum(np.sqrt(squares[stops - lo] - squares[starts - lo]), 1e-6)[:, None].astype(np.float32)
 
 
+class WordCounts:
+    """How often each item, and its answer, has each of its terms."""
+
+    def __init__(self, items: list[np.ndarray], answers: list[np.ndarray]):
+        empty = np.empty(0, np.int64)
+        keys, ends = (np.concatenate([empty, *[(k << TERM_BITS) | t for k, t in enumerate(x)]]) for x in (items, answers))
+        self.keys = np.unique(np.concatenate([keys, ends]))
+        self.count, self.count_answer = (np.bincount(np.searchsorted(self.keys, x), minlength=len(self.keys)) for x in (keys, ends))
+        self.held = np.zeros(1 << TERM_BITS, dtype=bool)
+        self.held[self.keys & ((1 << TERM_BITS) - 1)] = True
+
+    def most(self, terms: np.ndarray, starts: np.ndarray, stops: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words of item of[i], and of its answer, that can be matched at most in terms[starts[i]:stops[i]]: each as often as it is in
+        both. In blocks of about 2^19 words."""
+        out, out_answer = np.zeros(len(of), np.int64), np.zeros(len(of), np.int64)
+        some = np.flatnonzero(self.held[terms])  # other words match nothing
+        starts, stops, terms = np.searchsorted(some, starts), np.searchsorted(some, stops), terms[some]
+        total, lo = np.cumsum(stops - starts), 0
+        while lo < len(of):
+            hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + (1 << 19))))
+            size = (stops - starts)[lo:hi]
+            owner = np.repeat(np.arange(hi - lo), size)
+            at = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size - starts[lo:hi], size)
+            key = (of[lo:hi][owner] << TERM_BITS) | terms[at]
+            near = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = self.keys[near] == key
+            pair, n = np.unique(owner[hit] * len(self.keys) + near[hit], return_counts=True)
+            who, near = pair // len(self.keys), pair % len(self.keys)
+            for to, count in ((out, self.count), (out_answer, self.count_answer)):
+                to[lo:hi] = np.bincount(who, weights=np.minimum(n, count[near]), minlength=hi - lo)
+            lo = hi
+        return out, out_answer
+
+
 def grid(terms: np.ndarray, ptr: np.ndarray, lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """(starts, stops) of the windows of texts terms[ptr[i]:ptr[i+1]], starts rising: each length steps by a quarter; one more
     ends with each text; texts shorter than the least length are one window."""
@@ -271,26 +309,26 @@ def _searcher(sc, rows: pd.DataFrame, space, places: np.ndarray, recall: float,
     for i in long:
         held[terms_list[i]] = True
     firsts = {n: np.unique(np.array([terms_of(word_batches_one(w[0]))[0] for w in keys])) for n, keys in short.items()}
-    sent = sc.broadcast((words, ids, answers, terms_list, long, short, firsts, lengths, gate, latent, held))
+    sizes = np.array([len(words[i]) for i in long], dtype=np.int64)
+    answer_sizes = np.array([len(answers[i]) for i in long], dtype=np.int64)
+    table = WordCounts([terms_list[i] for i in long], [np.concatenate([np.empty(0, np.int64), *[terms_of(word_batches_one(w)) for w in answers[i]]]) for i in long])
+    sent = sc.broadcast((words, ids, answers, terms_list, long, short, firsts, lengths, gate, latent, held, sizes, answer_sizes, table))
 
     def candidates(space, terms, a, b, latent, gate):
-        """(window, long item, cosine), in blocks of windows of neighbouring starts."""
-        lo = 0
+        """(windows, long items, cosines), in blocks of windows of neighbouring starts."""
+        lo, found = 0, [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32))]
         while lo < len(a):
             hi = min(lo + 8192, int(np.searchsorted(a, a[lo] + 32768)))
             scores = space.windows(terms, a[lo:hi], b[lo:hi]) @ latent.T
-            for w, i in zip(*np.nonzero(scores >= gate), strict=True):
-                yield lo + int(w), int(i), float(scores[w, i])
+            at = np.flatnonzero(scores >= gate)
+            found.append((lo + at // len(latent), at % len(latent), scores.ravel()[at]))
             lo = hi
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
     def run(batches):
-        words, ids, answers, terms_list, long, short, firsts, lengths, gate, latent, held = sent.value
+        words, ids, answers, terms_list, long, short, firsts, lengths, gate, latent, held, sizes, answer_sizes, table = sent.value
         sets = {}
 
-        def region(s, length, n):
-            pad = max(0, n - length) + n // 2
-            return max(0, s - pad), s + length + pad
-
         def checked(tokens, terms, lo, hi, i):
             n = len(words[i])
             if i not in sets:
@@ -316,23 +354,35 @@ def _searcher(sc, rows: pd.DataFrame, space, places: np.ndarray, recall: float,
                     share = np.concatenate(([0], np.cumsum(held[terms])))
                     ok = share[b] - share[a] >= 0.4 * (b - a)  # a leak has more of the items' words than that
                     a, b = a[ok], b[ok]
-                    places: dict[tuple, list] = {}
-                    for w, k, cos in sorted(candidates(space.value, terms, a, b, latent, gate), key=lambda c: (-c[2], c[0])):
-                        item, i = long[k], int(owner[a[w]])
-                        s, length, n = int(a[w] - ptr[i]), int(b[w] - a[w]), len(words[item])
-                        places.setdefault((i, item, (2 * s + length) // max(2, n // 2)), []).append((s, cos, *region(s, length, n)))
-                    for (i, item, _), windows in places.items():  # best cosine first, until one passes
-                        own, lo, hi = terms[ptr[i] : ptr[i + 1]], min(x[2] for x in windows), max(x[3] for x in windows)
+                    w, k, cosine = candidates(space.value, terms, a, b, latent, gate)
+                    own = owner[a[w]]
+                    s, length, n = a[w] - ptr[own], b[w] - a[w], sizes[k]
+                    pad = np.maximum(0, n - length) + n // 2
+                    x = {"own": own, "k": k, "place": (2 * s + length) // np.maximum(2, n // 2), "s": s, "cos": cosine, "left": np.maximum(0, s - pad), "right": s + length + pad}
+                    order = np.lexsort((w, -cosine, x["place"], k, own))  # best cosine first in each place
+                    x = {c: v[order] for c, v in x.items()}
+                    heads = np.flatnonzero(np.concatenate([np.ones(min(1, len(w)), bool), (np.diff(x["own"]) != 0) | (np.diff(x["k"]) != 0) | (np.diff(x["place"]) != 0)]))
+                    ok = np.empty(0, bool)
+                    if len(heads):
+                        lo, hi = np.minimum.reduceat(x["left"], heads), np.maximum.reduceat(x["right"], heads)
+                        at, of, tails = ptr[x["own"][heads]], x["k"][heads], np.append(heads[1:], len(w))
+                        most, most_answer = table.most(terms, at + lo, np.minimum(at + hi, ptr[x["own"][heads] + 1]), of)
+                        # at most so many words can be in the subsequences
+                        ok = (most / sizes[of] >= lcs) | ((most / sizes[of] >= lcs_with_answer) & (most_answer / np.maximum(1, answer_sizes[of]) >= answer))
+                    for p in np.flatnonzero(ok).tolist():
+                        i, item, left, right = int(x["own"][heads[p]]), long[of[p]], int(lo[p]), int(hi[p])
+                        own = terms[ptr[i] : ptr[i + 1]]
+                        windows = [(int(x["s"][j]), float(x["cos"][j]), int(x["left"][j]), int(x["right"][j])) for j in range(heads[p], tails[p])]
                         # a subsequence of a part is one of the whole: where that fails, so do all windows
-                        if (lo, hi) != windows[0][2:] and not checked(split(i), own, lo, hi, item):
+                        if (left, right) != windows[0][2:] and not checked(split(i), own, left, right, item):
                             continue
-                        for s, cos, left, right in windows:
-                            hit = checked(split(i), own, left, right, item)
+                        for s, cos, begin, end in windows:  # until one passes
+                            hit = checked(split(i), own, begin, end, item)
                             if hit:
                                 if (hit[0], cos, -s) > best.get((i, item), (-1.0,)):
                                     best[i, item] = (hit[0], cos, -s, hit[1])
                                 break
-                            if (left, right) == (lo, hi):
+                            if (begin, end) == (left, right):
                                 break
                 for n, keys_of in short.items():
                     for at in np.flatnonzero(np.isin(terms, firsts[n])).tolist():

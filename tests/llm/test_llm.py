@@ -661,3 +661,40 @@ def test_saved_tables_leave_no_shuffle_files(spark):
     frame = spark.range(50000).repartition(3, "id")
     frame.count()
     assert files() - before  # where the files are
+
+
+def test_words_in_common_bound_the_subsequence():
+    """The bound of an item in a part of a text is the number of words of both, each as often as both have it; no subsequence is
+    longer, and most places of ordinary text need no comparison."""
+    r = random.Random(4)
+    item = [[r.randrange(30) for _ in range(40)] for _ in range(6)]
+    text = np.array([r.randrange(60) for _ in range(3000)])
+    table = decontaminate.WordCounts([np.array(x) for x in item], [np.array(x[-5:]) for x in item])
+    starts = np.array([r.randrange(2900) for _ in range(400)])
+    stops, of = starts + np.array([r.randrange(100) for _ in range(400)]), np.array([r.randrange(6) for _ in range(400)])
+    most, most_answer = table.most(text, starts, stops, of)
+    for s, e, k, m, a in zip(starts, stops, of, most, most_answer, strict=True):
+        part = Counter(text[s:e].tolist())
+        assert m == (part & Counter(item[k])).total() and a == (part & Counter(item[k][-5:])).total()
+        assert decontaminate.lcs_length(item[k], text[s:e].tolist()) <= m
+    space = decontaminate.LatentSpace(np.arange(60), np.ones(1 << decontaminate.TERM_BITS, np.float32), np.random.default_rng(1).normal(size=(60, 8)).astype(np.float32))
+    got = space.windows(text, np.arange(2900), np.arange(2900) + 100)
+    assert np.allclose(got, [space.rows[text[i : i + 100]].sum(axis=0) / 10 for i in range(2900)], atol=1e-3)
+
+
+def test_ordinary_places_need_no_comparison(spark, monkeypatch):
+    """Texts of the items' own words in another order pass the cosine often; few of them are compared word by word."""
+    import pandas as pd
+
+    r = random.Random(8)
+    items = [" ".join(f"w{r.randrange(120)}" for _ in range(30)) for _ in range(10)]
+    rows = pd.DataFrame({"item_id": range(10), "text": items, "words": [decontaminate.normal(t).split() for t in items]})
+    terms = [decontaminate.terms_of(next(decontaminate.word_batches([t.encode()]))[2]) for t in items]
+    own = np.unique(np.concatenate(terms))
+    space = decontaminate.LatentSpace(own, np.ones(1 << decontaminate.TERM_BITS, np.float32), np.eye(len(own), dtype=np.float32)[:, :5])
+    run = decontaminate._searcher(spark.sparkContext, rows, spark.sparkContext.broadcast(space), np.zeros(1 << decontaminate.TERM_BITS), 0.95, 0.8, 0.6, 0.8, 8)
+    calls, plain = [], decontaminate.lcs_length
+    monkeypatch.setattr(decontaminate, "lcs_length", lambda a, b: calls.append(1) or plain(a, b))
+    texts = [" ".join(f"w{r.randrange(120)}" for _ in range(400)) for _ in range(40)] + [items[3]]
+    found = list(run([pd.DataFrame({"id": [str(i) for i in range(41)], "text": texts})]))
+    assert [(x.id, x.item_id) for x in found[0].itertuples()] == [("40", 3)] and len(calls) <= 100
