@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 
 def candidate_grid(spark, strategies: list[str], fractions: list[float], holdings: list[int]) -> DataFrame:
-    """(candidate, strategy, fraction, holding): a product of tiny lists."""
-    s = spark.createDataFrame([(x,) for x in strategies], "strategy string")
-    f = spark.createDataFrame([(x,) for x in fractions], "fraction double")
-    h = spark.createDataFrame([(x,) for x in holdings], "holding int")
-    return s.crossJoin(f).crossJoin(h).withColumn("candidate", F.format_string("%s|%s|%d", "strategy", "fraction", "holding"))
+    """(candidate, strategy, fraction, holding): a product of tiny lists, in one partition."""
+    one = lambda name, values, kind: F.explode(F.array(*[F.lit(x).cast(kind) for x in values])).alias(name)
+    grid = spark.range(0, 1, 1, 1).select(one("strategy", strategies, "string")).select("strategy", one("fraction", fractions, "double")).select("strategy", "fraction", one("holding", holdings, "int"))
+    return grid.withColumn("candidate", F.format_string("%s|%s|%d", "strategy", "fraction", "holding"))
 
 
 def side_edges(scores: DataFrame, threshold: float, minimum_edge: float) -> DataFrame:

@@ -36,12 +36,19 @@ VIEWS = {
     "policy_runs": """select ticker_set as key, as_of_date as date, cast(n as bigint) as n, case n % 4 when 0 then 'low_vol' when 1 then 'transition' when 2 then 'high_vol' else 'unknown' end as regime, cast((n * 37) % 101 as double) / 101 as state_probability,
         cast(n % 7 as double) / 40 as transition_rate, n % 5 = 0 as shift_flag, cast((n * 7) % 11 as double) / 10 as pbo, cast(n % 13 as double) / 100 as ece, cast(n % 6 as bigint) as breaches, n % 3 = 0 as competition from runs""",
 }
+#: What the panels over a ticker's days are made of in Spark: one pass of the facts, written, for both. The oracle uses VIEWS.
+DAYS = """select ticker, date, min_by(price,seq) as open, max(price) as high, min(price) as low, max_by(price,seq) as close, sum(qty) as volume,
+    avg(l_discount) as a, avg(l_tax) as b, avg(qty)/50.0 as c from px group by ticker, date"""
+OF_DAYS = {
+    "daily_bars": "select ticker, date, open, high, low, close, volume from {days}",
+    "scores": re.sub(r" from \(select .*", " from {days}", VIEWS["scores"], flags=re.S),
+}
 NEEDS = {"daily_bars": ["px"], "sector_map": ["px"], "fundamentals": ["px"], "scores": ["px"], "mapped": ["news_items"], "policy_runs": ["runs"]}
 #: What the two dialects call the same thing.
 SPARK = {"JSONK": "cast(get_json_object(props,'$.k') as double)", "SEQ(": "struct(", "DOWX": "dow_iso"}
 DUCK = {"JSONK": "cast(json_extract_string(props,'$.k') as double)", "SEQ(": "row(", "DOWX": "isodow"}
 #: Aggregated panels that queries use several times: computed once and kept in memory, or on disk where that is full.
-KEPT = ("daily_bars", "scores", "macro", "sector_map", "fundamentals", "runs")
+KEPT = ("macro", "sector_map", "fundamentals", "runs")
 #: Frames that one query call shares; the next call starts anew (see scoped).
 _shared: dict[tuple, DataFrame] = {}
 
@@ -76,6 +83,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A panel over the tables of sf_dir; only the tables that it reads are opened. Panels that are aggregates of the facts (a row
     a ticker and day at most) are persisted while the query call lasts. No view of the session is made or changed."""
+    if name in OF_DAYS:
+        days = written(spark, sf_dir, "days", lambda: spark.sql(DAYS.replace("from px", "from {px}"), px=view(spark, sf_dir, "px")))
+        return spark.sql(OF_DAYS[name], days=days)
     key = (id(spark), sf_dir, name)
     if key not in _shared:
         sql, used = said(VIEWS[name], SPARK), {}

@@ -147,3 +147,21 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "feature string, part string, value double")
     assert drift.psi(none).count() == 0
     assert asof.asof_join(spark.createDataFrame([], "k string, t int"), spark.createDataFrame([], "k string, u int, v int"), "k", "t", "u").count() == 0
+
+
+def test_candidate_grid_is_one_partition(spark):
+    from panelspark.operators import books
+
+    grid = books.candidate_grid(spark, ["a", "b"], [0.1, 0.3], [1, 3])
+    assert grid.rdd.getNumPartitions() == 1 and grid.dtypes == [("strategy", "string"), ("fraction", "double"), ("holding", "int"), ("candidate", "string")]
+    assert {r.candidate for r in grid.collect()} == {f"{s}|{f}|{h}" for s in "ab" for f in (0.1, 0.3) for h in (1, 3)}
+
+
+def test_bars_and_scores_are_one_pass_over_the_facts(spark):
+    from panelspark.plans import fixtures
+
+    sf = "/root/testdata/sf0.001"
+    found = fixtures.scoped(lambda s, d: [fixtures.view(s, d, n) for n in ("daily_bars", "scores")])(spark, sf)
+    days = [k[2] for k in fixtures._shared]
+    assert [n for n in days if n not in ("px",)] == ["written days"]
+    assert found[0].count() == found[1].count() > 0 and found[1].columns == ["ticker", "date", "prob_down", "prob_flat", "prob_up"]
