@@ -13,6 +13,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,7 @@ from panelspark.llm.textkernels import BASE, INVERSE, mix
 SPACE_MARK = 0x2581
 LITERAL_MARK = 0x110000  # a mark that stands in the text itself; no code point, so it takes byte pieces
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+BLOCK_CHARS = 1 << 19  # of texts that are encoded at once, about 250 bytes of arrays each
 
 
 class Lattice:
@@ -142,6 +144,7 @@ def _forward(lat: Lattice, codes: np.ndarray, starts: np.ndarray, ends: np.ndarr
     e_piece.append(np.full(len(rest), -1, dtype=np.int32))
     e_weight.append(lat.fallback * _utf8_len(codes[rest].astype(np.int64)))
     src, dst, piece, weight = map(np.concatenate, (e_from, e_to, e_piece, e_weight))
+    del e_from, e_to, e_piece, e_weight, chunk_start, chunk_end, sums, down
     # by depth of the end place within its chunk, then by place: every level needs earlier levels only
     level = depth[dst - 1] + 1
     order = np.lexsort((src, dst, level))
@@ -194,6 +197,7 @@ def encode_batch(lat: Lattice, texts: list[str], seeds: np.ndarray) -> list[np.n
     ends = np.append(starts[1:], n)
     sums, down = _prefix(codes)
     _, pick, of = np.unique(mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)), return_index=True, return_inverse=True)
+    del sums, down, small, plain, space, parts
     lengths = (ends - starts)[pick]
     u_ends = np.cumsum(lengths)
     u_starts = u_ends - lengths
@@ -250,32 +254,28 @@ def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Null texts have null ids, 0 pieces and are lossless; empty texts have no pieces. Rows with the same id and text get the
     same pieces; null ids share one seed. Columns ids, n_pieces and lossless of docs are replaced. model names a file that
-    every executor has. An empty table gives no rows. Memory: a block of about a million characters, or one longer text."""
+    every executor has. An empty table gives no rows. Memory: a block of at most BLOCK_CHARS characters, or one longer text."""
     docs = docs.drop("ids", "n_pieces", "lossless")
 
     def run(batches):
         lat = lattice(model, alpha)
         for batch in batches:
             names = batch.schema.names
-            texts = batch.column(names.index(text_name)).to_pylist()
-            keys = batch.column(names.index("__key")).to_pylist()
-            values, sizes, lossless, first = [], [], [], 0
-            while first < len(texts):
-                last, size = first, 0
-                while last < len(texts) and (last == first or size < 1 << 20):
-                    size += len(texts[last] or "")
-                    last += 1
-                part = [t or "" for t in texts[first:last]]
-                seeds = np.array([row_seed(k) ^ (seed * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) for k in keys[first:last]], dtype=np.uint64)
-                for t, ids in zip(part, encode_batch(lat, part, seeds), strict=True):
-                    values.append(ids)
-                    sizes.append(len(ids))
-                    lossless.append(decode(lat, ids) == t)
+            sizes_in = pc.fill_null(pc.utf8_length(batch.column(names.index(text_name))), 0).to_numpy(zero_copy_only=False)
+            total, first = np.cumsum(sizes_in, dtype=np.int64), 0
+            while first < len(total):  # each block is a batch of its own, so only one is held
+                last = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + BLOCK_CHARS, side="right")))
+                part = batch.slice(first, last - first)
+                texts = part.column(names.index(text_name)).to_pylist()
+                seeds = np.array([row_seed(k) ^ (seed * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) for k in part.column(names.index("__key")).to_pylist()], dtype=np.uint64)
+                values = encode_batch(lat, [t or "" for t in texts], seeds)
+                sizes = [len(ids) for ids in values]
+                lossless = [decode(lat, ids) == (t or "") for t, ids in zip(texts, values, strict=True)]
+                offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32), mask=np.array([t is None for t in texts] + [False]))
+                arrays = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(values), type=pa.int32()))
+                keep = [c for c in names if c not in ("__text", "__key")]  # __text is there only if the text itself is not kept
+                yield pa.RecordBatch.from_arrays([part.column(names.index(c)) for c in keep] + [arrays, pa.array(sizes, pa.int64()), pa.array(lossless, pa.bool_())], [*keep, "ids", "n_pieces", "lossless"])
                 first = last
-            offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32), mask=np.array([t is None for t in texts] + [False]))
-            arrays = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(values) if values else np.empty(0, np.int32), type=pa.int32()))
-            keep = [c for c in names if c not in ("__text", "__key")]  # __text is there only if the text itself is not kept
-            yield pa.RecordBatch.from_arrays([batch.column(names.index(c)) for c in keep] + [arrays, pa.array(sizes, pa.int64()), pa.array(lossless, pa.bool_())], [*keep, "ids", "n_pieces", "lossless"])
 
     text_name = text_col if keep_text else "__text"
     wide = docs if keep_text else docs.withColumnRenamed(text_col, "__text")
