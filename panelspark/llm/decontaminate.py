@@ -50,7 +50,8 @@ def document_frequencies(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np
                 owner = np.repeat(np.arange(last - first), np.diff(ptr))
                 terms = terms_of(hashes)
                 places += np.bincount(terms, minlength=1 << TERM_BITS)
-                total += np.bincount(np.unique((owner << TERM_BITS) | terms) & ((1 << TERM_BITS) - 1), minlength=1 << TERM_BITS)
+                keys = np.sort((owner << TERM_BITS) | terms)  # by far faster than the hash table of np.unique
+                total += np.bincount(keys[np.diff(keys, prepend=-1) > 0] & ((1 << TERM_BITS) - 1), minlength=1 << TERM_BITS)
         some = np.flatnonzero(total)
         yield pd.DataFrame({"term": np.append(some, -1), "n": np.append(total[some], n), "places": np.append(places[some], 0)})
 
@@ -152,15 +153,28 @@ class LatentSpace:
         sums over the span of these windows."""
         lo = int(starts[0])
         part = terms[lo : int(stops.max())]
-        sums = np.zeros((len(part) // 16 + 1, 16, self.rows.shape[1]), np.float32)
-        np.take(self.rows, self.place[part], axis=0, out=sums.reshape(-1, sums.shape[2])[1 : len(part) + 1], mode="clip")
+        places = self.place[part]
+        known = places < len(self.rows) - 1  # other terms' rows are zero and stay out of the sums
+        places, before = places[known], np.concatenate((np.zeros(1, np.int64), np.cumsum(known)))
+        sums = np.zeros((len(places) // 16 + 1, 16, self.rows.shape[1]), np.float32)
+        np.take(self.rows, places, axis=0, out=sums.reshape(-1, sums.shape[2])[1 : len(places) + 1], mode="clip")
         for j in range(1, 16):  # runs of 16 first, which is much faster than one running sum of rows
             sums[:, j] += sums[:, j - 1]
         sums[1:] += np.cumsum(sums[:-1, 15], axis=0)[:, None]
         sums = sums.reshape(-1, sums.shape[2])
         squares = np.concatenate((np.zeros(1), np.cumsum(self.square[part], dtype=np.float64)))
-        out = sums[stops - lo] - sums[starts - lo]
-        return out / np.maximum(np.sqrt(squares[stops - lo] - squares[starts - lo]), 1e-6)[:, None].astype(np.float32)
+        starts, stops = starts - lo, stops - lo
+        out = sums.take(before[stops], axis=0)
+        out -= sums.take(before[starts], axis=0)
+        out /= np.maximum(np.sqrt(squares[stops] - squares[starts]), 1e-6)[:, None].astype(np.float32)
+        return out
+
+
+def marked(mask: np.ndarray) -> np.ndarray:
+    """Places of a flat mask's few set entries, eight at a time."""
+    whole = len(mask) & ~7
+    at = (8 * np.flatnonzero(mask[:whole].view(np.uint64))[:, None] + np.arange(8)).ravel()
+    return np.concatenate((at[mask[at]], whole + np.flatnonzero(mask[whole:])))
 
 
 class WordCounts:
@@ -318,10 +332,10 @@ def _searcher(sc, rows: pd.DataFrame, space, places: np.ndarray, recall: float,
         """(windows, long items, cosines), in blocks of windows of neighbouring starts."""
         lo, found = 0, [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32))]
         while lo < len(a):
-            hi = min(lo + 8192, int(np.searchsorted(a, a[lo] + 32768)))
-            scores = space.windows(terms, a[lo:hi], b[lo:hi]) @ latent.T
-            at = np.flatnonzero(scores >= gate)
-            found.append((lo + at // len(latent), at % len(latent), scores.ravel()[at]))
+            hi = min(lo + 4096, int(np.searchsorted(a, a[lo] + 16384)))
+            scores = (space.windows(terms, a[lo:hi], b[lo:hi]) @ latent.T).ravel()
+            at = marked(scores >= gate)
+            found.append((lo + at // len(latent), at % len(latent), scores[at]))
             lo = hi
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 

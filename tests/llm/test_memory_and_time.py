@@ -5,7 +5,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
-from panelspark.llm import pieces
+from panelspark.llm import decontaminate, pieces
 from panelspark.llm.workspace import ARROW_CONF, Workspace
 
 
@@ -52,3 +52,30 @@ def test_python_tasks_get_at_most_eight_megabytes_at_once(spark):
         assert spark.conf.get(ARROW_CONF) == "1m"
     finally:
         spark.conf.set(ARROW_CONF, before)
+
+
+def test_latent_windows_sum_the_rows_of_known_terms_only():
+    """Of windows with one known term in a hundred, sums are held for that one; the vectors are those of plain sums."""
+    g = np.random.default_rng(2)
+    own = np.arange(0, 1 << decontaminate.TERM_BITS, 100)
+    idf = g.random(1 << decontaminate.TERM_BITS).astype(np.float32) + 0.1
+    space = decontaminate.LatentSpace(own, idf, g.normal(size=(len(own), 96)).astype(np.float32))
+    terms = g.integers(0, 1 << decontaminate.TERM_BITS, 20000)
+    starts = np.sort(g.choice(np.arange(500, 19000), 60, replace=False))
+    stops = starts + g.integers(8, 300, 60)
+    tracemalloc.start()
+    got = space.windows(terms, starts, stops)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    for v, a, b in zip(got, starts, stops, strict=True):
+        want = space.rows[space.place[terms[a:b]]].sum(axis=0) / np.sqrt((idf[terms[a:b]].astype(float) ** 2).sum())
+        np.testing.assert_allclose(v, want, atol=2e-4)
+    assert most < len(terms) * 96 * 4 / 4, most
+
+
+def test_marked_places_of_a_mask():
+    g = np.random.default_rng(3)
+    for n in (0, 1, 7, 8, 9, 64, 1001):
+        for share in (0, 0.02, 0.5, 1):
+            mask = g.random(n) < share
+            assert decontaminate.marked(mask).tolist() == np.flatnonzero(mask).tolist()
