@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.functions.letters import capitals
 from panelspark.functions.stats import ewm, safe_corr, weighted_mean
 
 #: Entities of the markup.
@@ -28,11 +29,12 @@ def lexicon_sentiment(text: Column, positive: list[str], negative: list[str]) ->
 
 
 def relevance(text: Column, name: Column) -> Column:
-    """0.55 + 0.20 * min(hits, 2) + 0.40 * min(hits / tokens, 0.25), at most 1."""
-    upper = F.upper(text)
-    hits = F.coalesce(F.try_divide(F.length(upper) - F.length(F.replace(upper, F.upper(name), F.lit(""))), F.length(name)), F.lit(0)).cast("int")
+    """0.55 + 0.20 * min(hits, 2) + 0.40 * min(hits / tokens, 0.25), at most 1. Hits are of capitals, one letter for one."""
+    upper, name = capitals(text), capitals(name)
+    hits = F.coalesce(F.try_divide(F.length(upper) - F.length(F.replace(upper, name, F.lit(""))), F.length(name)), F.lit(0)).cast("int")
     tokens = F.greatest(F.regexp_count(text, F.lit(TOKEN)), F.lit(1))
-    return F.least(F.lit(1.0), 0.55 + 0.20 * F.least(hits, F.lit(2)) + 0.40 * F.least(hits / tokens, F.lit(0.25)))
+    base = F.element_at(F.array(F.lit(0.55), F.lit(0.75), F.lit(0.95)), F.least(hits, F.lit(2)) + 1)  # sums of decimals
+    return F.least(F.lit(1.0), base + 0.40 * F.least(hits / tokens, F.lit(0.25)))
 
 
 def headline_key(text: Column) -> Column:

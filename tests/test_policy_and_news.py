@@ -5,6 +5,8 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
+from panelspark.functions.letters import capitals
 from panelspark.functions.stats import ewms, exact_quantiles
 from panelspark.operators import audit, books, learned, news_utility, normalize, overfit, policy
 from panelspark.sources import landed
@@ -100,3 +102,23 @@ def test_risk_levels(spark):
     rows = [(1, 0.0, 0, 0, 0.5, False, False, "low_vol", 0.0, None), (2, 0.2, 0, 0, 0.5, False, False, "low_vol", 0.0, None), (3, 0.2, 0, 0, 0.8, False, False, "low_vol", 0.0, None), (4, 0.0, 1, 0, 0.5, False, False, "low_vol", 0.0, None), (5, 0.0, 1, 0, 0.5, False, False, "low_vol", 0.0, "null_random_walk")]
     df = spark.createDataFrame(rows, "run int, stale_ratio double, critical int, warning int, concentration double, retrain boolean, shift_flag boolean, regime string, max_drawdown double, dummy string")
     assert [(r.risk_level, r.approval) for r in audit.risk_review(df, 0.2).orderBy("run").collect()] == [("LOW", "AUTO_APPROVED"), ("MEDIUM", "MANUAL_REVIEW_REQUIRED"), ("HIGH", "MANUAL_REVIEW_REQUIRED"), ("CRITICAL", "BLOCKED"), ("MEDIUM", "MANUAL_REVIEW_REQUIRED")]
+
+
+def test_relevance_equals_its_sql_on_odd_texts(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    texts = ["Geß enüß es", "eßt von ſeſt", "ﬁes esﬁ ﬂ ᾳ ŉ ΐ", "x " * 511 + "es", "x " * 509 + "es es es", "", "12", "ESES es ẞ", None]
+    rows = [(i, t, lang) for i, (t, lang) in enumerate((t, lang) for t in texts for lang in ("es", "ss", "fi", "ß", None))]
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{path}/*.parquet'")
+    got = {r.doc_id: r.relevance for r in entry.queries()["news_relevance"](spark, str(tmp_path)).collect()}
+    assert got == dict(con.execute(entry.oracle_sql()["news_relevance"]).fetchall())
+
+
+def test_capitals_equal_those_of_the_oracle(spark):
+    duckdb = pytest.importorskip("duckdb")
+    cased = [c for c in map(chr, (i for i in range(0x110000) if not 0xD800 <= i < 0xE000)) if c.upper() != c or c.lower() != c]
+    got = [r.c for r in spark.createDataFrame([(i, c) for i, c in enumerate(cased)], "i int, x string").orderBy("i").select(capitals(F.col("x")).alias("c")).collect()]
+    wrong = [(c, g, w) for c, g in zip(cased, got, strict=True) if g != (w := duckdb.execute("select upper(?)", [c]).fetchone()[0])]
+    assert len(cased) > 2000 and all(c in "ƛɤ" for c, _, _ in wrong)  # their capitals came with Unicode 16, which the oracle does not know
