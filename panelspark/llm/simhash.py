@@ -207,6 +207,62 @@ def pairs_of_buckets(entries: DataFrame, nodes: DataFrame, ws: Workspace, limit:
     return found.distinct()
 
 
+def _all_pairs(limit: int, most: int = 1 << 20):
+    """The task that turns groups (g, n, members: node, label, block, sig) into all pairs (a, b, far, g), a < b, of different labels
+    within `limit` bits; where a group has several blocks, those of different blocks only. About `most` pairs are held at once."""
+
+    def pairs(batches):
+        for pdf in batches:
+            parts, held = [], 0
+            for g, flat, n in zip(pdf["g"], pdf["members"], pdf["n"], strict=True):
+                rows = np.asarray(flat, dtype=np.int64).reshape(n, -1)
+                rows = rows[np.argsort(rows[:, 0], kind="stable")]
+                node, label, block, sigs = rows[:, 0], rows[:, 1], rows[:, 2], np.ascontiguousarray(rows[:, 3:]).view(np.uint64)
+                several = bool((block != block[0]).any())
+                for i in range(n - 1):
+                    far = np.bitwise_count(sigs[i + 1 :] ^ sigs[i]).sum(axis=1)
+                    near = (far <= limit) & (label[i + 1 :] != label[i])
+                    at = np.flatnonzero(near & (block[i + 1 :] != block[i]) if several else near)
+                    if len(at):
+                        parts.append(pd.DataFrame({"a": node[i], "b": node[i + 1 + at], "far": far[at].astype(np.int32), "g": g}))
+                        held += len(at)
+                    if held > most:
+                        yield pd.concat(parts)
+                        parts, held = [], 0
+            if held:
+                yield pd.concat(parts)
+
+    return pairs
+
+
+def rest_of_buckets(entries: DataFrame, nodes: DataFrame, ws: Workspace, limit: int, whole: int = 64, most: int = 2048) -> DataFrame:
+    """entries, nodes as in pairs_of_buckets -> (a, b, far, g), a < b: all pairs of different labels within `limit` bits of the
+    buckets of more than `whole` nodes, of which pairs_of_buckets gives only some; g is a group of about `most` nodes that holds both.
+
+    A bucket of more than `most` nodes goes in blocks of most / 2: those of its commonest label and those of all others; every
+    block of others meets every block, two of the commonest label never meet. So a group holds about `most` nodes, and the rows
+    grow with nodes times blocks of others: one block, unless links are missing between many."""
+    sizes = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("l0"), F.max("label").alias("l1")).where((F.col("l0") != F.col("l1")) & (F.col("n") > whole))
+    rows = ws.save(entries.select("node", "label", "key").join(sizes.select("key", "n"), "key"), "unmet")
+    tops = rows.where(F.col("n") > most).groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
+    tops = ws.save(tops.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("top"), F.max("c").alias("c")), "unmet-tops")
+    rows = rows.join(tops, "key", "left")
+    blocks = lambda n: F.greatest(F.ceil(n / (most // 2)), F.lit(1)).cast("int")
+    small = F.col("top").isNull()
+    is_top, tp, op = ~small & (F.col("label") == F.col("top")), blocks(F.coalesce("c", F.lit(0))), F.when(small, 1).otherwise(blocks(F.col("n") - F.coalesce("c", F.lit(0))))
+    rows = rows.select("key", "node", small.alias("small"), is_top.alias("is_top"), tp.alias("tp"), op.alias("op"), F.pmod(F.xxhash64("node", "key"), F.when(is_top, tp).otherwise(op)).cast("int").alias("own"))
+    with_top = F.transform(F.sequence(F.lit(0), F.when(F.col("is_top"), F.col("op")).otherwise(F.col("tp")) - 1), lambda q: F.struct(F.lit(0).alias("kind"), F.when(F.col("is_top"), F.col("own")).otherwise(q).alias("p"), F.when(F.col("is_top"), q).otherwise(F.col("own")).alias("q")))
+    others = F.transform(F.sequence(F.lit(0), F.col("op") - 1), lambda q: F.struct(F.lit(1).alias("kind"), F.least(F.col("own"), q).alias("p"), F.greatest(F.col("own"), q).alias("q")))
+    groups = F.when(F.col("small"), others).when(F.col("is_top"), with_top).otherwise(F.concat(with_top, others))
+    block = F.when(F.col("is_top"), F.lit(-1)).otherwise(F.col("own")).cast("bigint")
+    dealt = rows.select("key", "node", block.alias("block"), F.inline(groups))
+    slim = F.concat(F.array("node", "label", "block"), "sig")
+    lists = dealt.join(nodes.select("node", "label", "sig"), "node").groupBy("key", "kind", "p", "q").agg(F.collect_list(slim).alias("x"))
+    lists = lists.select(F.xxhash64("key", "kind", "p", "q").alias("g"), F.size("x").alias("n"), F.flatten("x").alias("members"))
+    found = lists.mapInPandas(_all_pairs(limit), "a bigint, b bigint, far int, g bigint")
+    return found.groupBy("a", "b").agg(F.min("far").alias("far"), F.min("g").alias("g"))
+
+
 def pairs_with_leaders(entries: DataFrame, nodes: DataFrame, limit: int) -> DataFrame:
     """Candidate pairs (a, b) of each node and the smallest node of each of its buckets, within `limit` bits: a row an entry,
     however large the bucket."""
@@ -294,6 +350,40 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(run, "a bigint, b bigint")
 
 
+def verified_in_groups(pairs: DataFrame, sets: DataFrame, ws: Workspace, similarity: float, most: int = 8 << 20) -> DataFrame:
+    """pairs (a, b, far, g), sets (node, label, shingles) -> those pairs (a, b) of a Jaccard similarity of at least `similarity` that
+    connect all labels which such pairs of their group connect. A set goes to each group once; nearest pairs come first, and those
+    of labels that are connected by then need no comparison. Groups with sets of over `most` bytes go in parts."""
+    ends = lambda df, *by: df.select(*by, F.explode(F.array("a", "b")).alias("node")).distinct().join(sets, "node")
+    parts = ends(pairs, "g").groupBy("g").agg(F.ceil(F.sum(F.octet_length("shingles")) / most).cast("int").alias("n")).where("n > 1")
+    parts = ws.save(parts, "parts")
+    dealt = pairs.join(parts, "g", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    dealt = ws.save(dealt.select("a", "b", "far", F.xxhash64("g", F.pmod(F.xxhash64("a"), "n"), F.pmod(F.xxhash64("b"), "n")).alias("g")), "dealt-pairs")
+
+    def run(near: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        own = {n: np.frombuffer(x, np.uint32) for n, x in zip(held["node"], held["shingles"], strict=True)}
+        up, label = {}, dict(zip(held["node"], held["label"], strict=True))
+
+        def root(x: int) -> int:
+            while (y := up.get(x, x)) != x:
+                up[x] = x = up.get(y, y)
+            return x
+
+        keep = []
+        near = near.sort_values(["far", "a", "b"])
+        for a, b in zip(near["a"], near["b"], strict=True):
+            x, y, u, v = root(label[a]), root(label[b]), own[a], own[b]
+            if x != y and min(len(u), len(v)) >= similarity * max(len(u), len(v)):
+                both = len(np.intersect1d(u, v, assume_unique=True))
+                if both >= similarity * (len(u) + len(v) - both) - 1e-9:
+                    up[y] = x
+                    keep.append((a, b))
+        return pd.DataFrame(keep, columns=["a", "b"], dtype="int64")
+
+    held = ends(dealt, F.col("g").alias("of"))
+    return dealt.groupBy("g").cogroup(held.groupBy("of")).applyInPandas(run, "a bigint, b bigint")
+
+
 def row_key(id_col: str, text_col: str) -> Column:
     """A string that orders rows by id (a bigint), null ids last, then by the MD5 of the text; null texts are empty."""
     number = F.hex(F.coalesce(F.col(id_col).cast("bigint"), F.lit(0)).bitwiseXOR(F.lit(-(1 << 63))))
@@ -309,9 +399,10 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     1. in one of the 15 tables of a covering of radius 3 over the first 64 bits, as all within that radius do;
     2. at a smaller similarity, where fingerprints differ in more bits than any covering of practical size allows, in a
        group that shares the smallest shingle under one of six mixings (a pair shares each with the probability of its
-       similarity, whatever the size of the corpus); how large groups are split is said in pairs_of_buckets.
+       similarity, whatever the size of the corpus).
     Before both, every text is compared with the smallest node of each of its groups, and each step contracts what the one
-    before has linked, so a group of copies makes few candidates later.
+    before has linked, so a group of copies makes few candidates later. In groups of more than 64 texts, nearest pairs are
+    taken first (pairs_of_buckets), then all others that these have not linked (rest_of_buckets, verified_in_groups).
 
     Rows are told apart by id and text, so null and repeated ids lose no other text; of rows equal in both one stays. Ties
     of ids go by a hash of the text. Rows with null ids go last. Wordless texts are one group. Very long texts are read
@@ -330,19 +421,30 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         "anchors": lambda df: df.select("node", "label", "anchors", F.lit(0).cast("bigint").alias("base"), F.explode(F.array(*[F.lit(1 << k) for k in range(ANCHORS)])).alias("used")),
     }
     labels, held = None, nodes.withColumn("label", F.col("node"))
-    for name in deal:
-        entries = deal[name](held)
-        pairs = pairs_with_leaders(ws.save(entries, "entries"), held, limit) if name == "leaders" else pairs_of_buckets(entries.withColumn("key", bucket_key()), held, ws, limit)
-        pairs = ws.save(pairs, f"{name}-pairs")
+
+    def linked(pairs: DataFrame, name: str, in_groups: bool = False) -> tuple[DataFrame, DataFrame]:
         wanted = ws.save(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "least"), "node"), "wanted")
         some = sigs.select(F.col("id").alias("least"), "node", "shingles")
         if wanted.count() <= MOST_BROADCAST:  # sets of other texts are not shuffled then
             some = some.join(F.broadcast(wanted.select("node")), "node", "left_semi")
         sets = some.join(wanted, ["least", "node"]).dropDuplicates(["node"])
-        links = verified(pairs, ws.save(sets, "sets"), similarity)
+        sets = ws.save(sets, "sets")
+        links = verified_in_groups(pairs, sets.join(held.select("node", "label"), "node"), ws, similarity) if in_groups else verified(pairs, sets, similarity)
         links = links if labels is None else links.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
-        labels = ws.save(connected_components(ws.save(links, "links"), ws), f"{name}-components")
-        held = ws.save(nodes.select("node", "sig", "anchors").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+        found = ws.save(connected_components(ws.save(links, "links"), ws), f"{name}-components")
+        return found, ws.save(nodes.select("node", "sig", "anchors").join(found, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+
+    for name in deal:
+        entries = deal[name](held)
+        pairs = pairs_with_leaders(ws.save(entries, "entries"), held, limit) if name == "leaders" else pairs_of_buckets(entries.withColumn("key", bucket_key()), held, ws, limit)
+        pairs = ws.save(pairs, f"{name}-pairs")
+        labels, held = linked(pairs, name)
+        if name == "leaders":
+            continue
+        rest = rest_of_buckets(deal[name](held).withColumn("key", bucket_key()), held, ws, limit)
+        rest = ws.save(rest.join(pairs, ["a", "b"], "left_anti"), f"{name}-rest")
+        if rest.limit(1).count():
+            labels, held = linked(rest, f"{name}-rest", True)
     least = least_ids(nodes, labels, ws)
     gone = ws.save(sigs.select("id", "node").join(least, "node").where("id <> component").select("id").distinct(), "gone")
     twice = sigs.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")

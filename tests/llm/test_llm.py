@@ -470,6 +470,40 @@ def test_a_large_group_of_one_label_meets_all_others(spark):
     assert all((x, x + 1) in got for x in range(400, 420, 2))
 
 
+def test_the_rest_of_large_buckets_equals_brute_force(spark):
+    nodes, entries = near_pairs_in_one_bucket(spark, 100, 60)
+    for top, last in ((0, 220), (90, 220), (97, 100)):  # no label stands out, one does, nearly all rows have one
+        named = nodes.withColumn("label", F.when((F.col("node") < top) | (F.col("node") >= last), F.lit(0)).otherwise(F.floor(F.col("node") / 3)))
+        own = entries.drop("label").join(named.select("node", "label"), "node")
+        rows = [(r.node, r.label, np.array(r.sig).view(np.uint64)) for r in named.orderBy("node").collect()]
+        want = {(x[0], y[0]): d for i, x in enumerate(rows) for y in rows[i + 1 :] if x[1] != y[1] and (d := int(np.bitwise_count(x[2] ^ y[2]).sum())) <= 53}
+        for most in (2048, 40):
+            got = simhash.rest_of_buckets(own, named, Workspace(spark), 53, most=most).collect()
+            assert {(r.a, r.b): r.far for r in got} == want and len(got) == len(want) > 10
+
+
+def test_near_duplicates_in_a_large_group_lose_no_link(spark):
+    r = random.Random(31)
+    base = [f"w{i}" for i in range(300)]
+    texts = []
+    for k in range(150):
+        words = list(base)
+        for i in r.sample(range(300), 4 + (k % 3 > 0)):
+            words[i] = f"x{k}-{i}"
+        texts.append(words)
+    sets = [{tuple(t[i : i + 5]) for i in range(296)} for t in texts]
+    label = list(range(150))
+    for i in range(150):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    kept = {x.doc_id for x in simhash.drop_near_duplicates(docs).collect()}
+    assert 5 < len(set(label)) < 145
+    assert kept == set(label)
+
+
 def test_near_duplicates_are_verified_on_shingles(spark):
     r = random.Random(9)
     rows, near, far = [], 0, 0
