@@ -146,6 +146,25 @@ def test_passages_whose_parts_stand_in_many_other_documents(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("holders", [12, 50])
+def test_fuzzy_passages_whose_parts_stand_in_many_other_documents(spark, holders):
+    """Pairs that share 60 words but for four replaced ones; their 13-word parts stand in many other documents, so most seeds have
+    anchors outside of the pair. With 50 documents a part the seeds have over MOST_HOLDERS texts."""
+    r = random.Random(12)
+    word = lambda: f"w{r.randrange(50000)}"
+    rows, want = [], set()
+    for _ in range(120 // holders):
+        passage = [word() for _ in range(60)]
+        other = [word() if n in (12, 24, 36, 48) else x for n, x in enumerate(passage)]
+        parts = [x[s : s + 13] for x in (passage, other) for s in range(0, 48, 6) for _ in range(holders)]
+        i = len(rows)
+        want.add((i, i + 1))
+        rows += [(i + n, " ".join([word() for _ in range(40)] + p + [word() for _ in range(40)])) for n, p in enumerate([passage, other, *parts])]
+    r.shuffle(rows)
+    got = {(x.source_id, x.doc_id) for x in substrings.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_every_holder_of_a_passage_has_a_source_of_smaller_id(spark):
     """Twenty holders of one passage, in groups whose further words differ, and equal texts; then two passages of one pair
     with many words between them. The first by id is the only holder without a row."""
